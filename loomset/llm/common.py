@@ -25,7 +25,9 @@ def scratch_root(spark: SparkSession) -> str:
         root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="loomset-"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return full if "://" in full else full.replace(":/", ":///", 1)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,20 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomset.llm import simhash
+from loomset.llm import decontaminate, mixing, simhash, token_ids, toxicity
+from loomset.llm.common import scratch_path
+
+#: Size of the vocabulary of word_bpe_49k.json and the id that ends a document.
+VOCABULARY, END_ID = 49_408, 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file; it is read where it is installed and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), index)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"), F.col("toxic_neighbour").alias("neighbour"), F.col("toxic_cosine").alias("cosine"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "overlap", "matched")
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-ids")
+    token_ids.write_token_ids(_table(spark, sf_dir, "documents"), out, tokenizer_path(), VOCABULARY, END_ID)
+    return token_ids.read_token_ids(spark, out, with_ids=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
+    "op8_token_ids": op8_token_ids,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

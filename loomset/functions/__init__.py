@@ -1 +1 @@
-
+"""Column functions: text normalization and vector arithmetic."""

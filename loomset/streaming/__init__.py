@@ -1 +1 @@
-
+"""Streams: an extension beside the batch operators."""

@@ -17,10 +17,13 @@ from loomset.llm.common import scratch_root, slices, text_of, word_lists, writte
 
 #: The classifier is fitted on so many labelled rows of each class at most, drawn by a hash of their ids.
 EXAMPLES_PER_CLASS = 8_000
-#: A term is kept if its share among toxic examples exceeds that among clean ones by so many standard errors.
+#: A term is kept if its share among toxic examples exceeds that among clean ones by so many standard errors, and is so
+#: many times as large.
 MIN_Z = 6.0
+MIN_LIFT = 3.0
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 8
 #: Weight of the prior in the vote, in units of one perfect neighbour.
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.3
@@ -49,7 +52,6 @@ class Index:
     neighbours: int = NEIGHBOURS
     code: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    block_at: list[np.ndarray] = field(default_factory=list)
     block_max: np.ndarray | None = None
 
     def vector(self, counts: dict[str, int]) -> list[tuple[int, float]]:
@@ -70,40 +72,37 @@ class Index:
             w = np.array([w for _, w in own])
             np.maximum.at(self.block_max[t], at // BLOCK, w)
             self.postings.append((at, w))
-            self.block_at.append(np.searchsorted(at, np.arange(blocks + 1) * BLOCK))
 
     def nearest(self, vector: list[tuple[int, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest examples with a positive cosine; ties go to the smaller example.
 
-        Blocks are scored in order of their bounds, the sum of query weight times the block's largest weight, until no
-        bound reaches the k-th cosine found: the result is exact.
+        A block's bound is the sum of query weight times the block's largest weight. The FIRST_BLOCKS blocks of the
+        largest bounds are scored, and then all blocks whose bound reaches the k-th cosine found: the result is exact.
         """
-        bound = sum(w * self.block_max[t] for t, w in vector)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        examples, cosines, at = np.zeros(0, np.int64), np.zeros(0), 0
-        step = 4
-        while at < len(order):
-            kth = cosines[k - 1] if len(cosines) >= k else 0.0
-            if bound[order[at]] < kth - 1e-9:
-                break
-            todo = order[at : at + step]
-            at, step = at + step, step * 2
-            score = np.zeros((len(todo), BLOCK))
-            for t, w in vector:
-                own, weight = self.postings[t]
-                cuts = self.block_at[t]
-                for row, b in enumerate(todo.tolist()):
-                    lo, hi = cuts[b], cuts[b + 1]
-                    if hi > lo:
-                        score[row, own[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            row, column = np.nonzero(score)
-            examples = np.concatenate((examples, todo[row] * BLOCK + column))
-            cosines = np.concatenate((cosines, np.round(score[row, column], 9)))
-            best = np.lexsort((examples, -cosines))[:k]
-            examples, cosines = examples[best], cosines[best]
+        codes, own = np.array([t for t, _ in vector]), np.array([w for _, w in vector])
+        bound = own @ self.block_max[codes]
+        at = np.concatenate([self.postings[t][0] for t, _ in vector])
+        part = np.concatenate([w * self.postings[t][1] for t, w in vector])
+        block = at // BLOCK
+        chosen = np.zeros(len(bound), bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        examples, cosines = self._scored(at, part, chosen[block], k)
+        kth = cosines[k - 1] if len(cosines) >= k else 0.0
+        rest = (bound > 0) & (bound >= kth - 1e-9) & ~chosen
+        if rest.any():
+            examples, cosines = self._scored(at, part, (chosen | rest)[block], k)
         return examples, cosines
 
+    def _scored(self, at: np.ndarray, part: np.ndarray, use: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples by the sum of their parts over the postings in use."""
+        total = np.round(np.bincount(at[use], part[use]), 9)
+        found = np.flatnonzero(total)
+        if len(found) > 4 * k:
+            least = np.partition(total[found], len(found) - k)[len(found) - k]
+            found = found[total[found] >= least]
+        best = found[np.lexsort((found, -total[found]))[:k]]
+        return best, total[best]
+
     def score(self, vector: list[tuple[int, float]]) -> tuple[float, int | None, float]:
         """(score, nearest example's id, its cosine). No kept term: the share of toxic rows among such examples."""
         if not vector:
@@ -152,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids of 12 bytes
     sample = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("t")).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
-    counted = written(_count_terms(sample.select("doc_id", "toxic", "t")), "toxicity-examples")
+    # copies of a text are one example, or a group of them would make all its words look telling
+    counted = written(_count_terms(sample.select("doc_id", "toxic", "t").dropDuplicates(["toxic", "t"])), "toxicity-examples")
     n = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     each = {y: total.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)}
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     p1, p0 = F.col("b") / max(1, n1), F.col("a") / max(1, n0)
     pooled = (F.col("a") + F.col("b")) / max(1, n0 + n1)
     error = F.sqrt(pooled * (1 - pooled) * (1 / max(1, n0) + 1 / max(1, n1)))
-    strong = shares.where((F.col("b") >= 2) & (p1 - p0 >= min_z * error) & (pooled < 1)).withColumn("df", F.col("a") * each[0] + F.col("b") * each[1])
+    strong = shares.where((F.col("b") >= 2) & (p1 - p0 >= min_z * error) & (p1 >= MIN_LIFT * p0) & (pooled < 1)).withColumn("df", F.col("a") * each[0] + F.col("b") * each[1])
     every = n0 * each[0] + n1 * each[1]
     idf = {r["term"]: math.log(1 + every / r["df"]) for r in strong.orderBy("term").collect()}
     held = counted.select("doc_id", "toxic", F.filter("terms", lambda x: x["term"].isin(*idf) if idf else F.lit(False)).alias("terms")) if len(idf) <= 200 else None
@@ -208,15 +208,17 @@ def toxicity_scores(docs: DataFrame, index: Index, text: str = "text", keep: boo
                 kept = np.array([t in index.code for t in named] or [False])
                 hit = np.flatnonzero(kept[codes]) if len(codes) else np.zeros(0, np.int64)
                 doc, term = np.searchsorted(ends, hit, "right"), codes[hit]
-                score = np.full(len(part), index.base)
+                score, seen = np.full(len(part), index.base), {}
                 near: list[int | None] = [None] * len(part)
                 cosine = np.zeros(len(part))
                 cut = np.flatnonzero(np.diff(doc)) + 1
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
                     if b > a:
-                        t, n = np.unique(term[a:b], return_counts=True)
-                        d = int(doc[a])
-                        score[d], near[d], cosine[d] = index.score(index.vector({named[i]: k for i, k in zip(t.tolist(), n.tolist(), strict=True)}))
+                        d, key = int(doc[a]), np.sort(term[a:b]).tobytes()
+                        if key not in seen:
+                            t, n = np.unique(term[a:b], return_counts=True)
+                            seen[key] = index.score(index.vector({named[i]: k for i, k in zip(t.tolist(), n.tolist(), strict=True)}))
+                        score[d], near[d], cosine[d] = seen[key]
                 if keep:
                     yield pa.RecordBatch.from_arrays(part.filter(pa.array(score < threshold)).columns, names=own)
                 else:

@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from loomset.llm.common import slices, text_of, word_lists
 MAGIC = b"PKTOKEN1"
 BLOCK_IDS = 4096
 SHARD_IDS = 8_000_000
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 400_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -57,11 +58,29 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
+#: Letters that lower-case one by one, are composed already and are letters in every version of Unicode.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Marks that may follow them in a word; none of them starts a contraction.
+_MARKS = '.,;:!?|)"'
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write a byte: itself if it is visible in Latin-1, else the next character from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
-    """A public tokenizer that remembers the ids of words.
+    """A public tokenizer (lower case, byte-level BPE with word ends, white space dropped) that remembers words' ids.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its words one after
-    another; texts in which a special token's string occurs are encoded whole all the same.
+    The tokenizer never merges across white space, so a text's ids are those of its words one after another. A word of
+    plain letters and marks after them is two pieces, whose ids follow each other; its letters go straight to the
+    library's BPE model. All other words, special tokens' strings among them, go through the library's encode. Memory is
+    bounded by two generations of _MEMO_WORDS words.
     """
 
     def __init__(self, path: str):
@@ -69,24 +88,53 @@ class Encoder:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def word_ids(self, words: list[str]) -> list[np.ndarray]:
+        self.memo: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _know(self, words: list[str], letters: bool) -> None:
+        """Put the ids of words into the memo."""
+        memo, old = self.memo, self.old
+        missing = []
+        for w in words:
+            if w not in memo:
+                if w in old:
+                    memo[w] = old[w]
+                else:
+                    missing.append(w)
+        if letters:
+            bpe = self.tokenizer.model.tokenize
+            for w in missing:
+                memo[w] = np.array([t.id for t in bpe(w.encode().decode("latin-1").translate(_BYTES))], np.uint32).tobytes()
+        else:
+            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+                memo[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def word_ids(self, words: pa.Array) -> list[bytes]:
+        """The ids of each different word, as bytes of unsigned 32-bit numbers."""
+        if len(self.memo) > _MEMO_WORDS:
+            self.memo, self.old = {"": b""}, self.memo
+        plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$")
+        own = words.filter(plain)
+        stems = pc.utf8_lower(pc.utf8_rtrim(own, _MARKS)).to_pylist()
+        marks = pc.replace_substring_regex(own, f"^[{_LETTERS}]+", "").to_pylist()
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        self._know(stems, True)
+        self._know([*set(marks)], False)
+        self._know(rest, False)
         memo = self.memo
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-        missing = [w for w in words if w not in memo]
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, np.uint32)
-        return [memo[w] for w in words]
+        found = np.empty(len(words), object)
+        at = plain.to_numpy(zero_copy_only=False)
+        found[at] = [memo[s] + memo[m] for s, m in zip(stems, marks, strict=True)]
+        found[~at] = [memo[w] for w in rest]
+        return found.tolist()
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts in one array, each text followed by end_id."""
         lists = word_lists(texts)
         coded = lists.flatten().dictionary_encode()
-        own = self.word_ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        pool = np.concatenate([*own, np.zeros(0, np.uint32)])
+        own = self.word_ids(coded.dictionary)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool = np.frombuffer(b"".join(own), np.uint32)
         index = coded.indices.to_numpy()
         size, begin = sizes[index], (np.cumsum(sizes) - sizes)[index]
         until = np.cumsum(size)

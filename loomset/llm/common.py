@@ -64,6 +64,21 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), text_of(text))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame:
+    """The rows of docs whose row_key() is not in keys (one column, key). Beyond broadcast_rows keys, texts are shuffled."""
+    name = free_name(docs, "__key")
+    gone = broadcast_or_shuffle(keys.toDF(name), broadcast_rows)
+    return docs.withColumn(name, row_key(doc_id, text)).join(gone, name, "left_anti").select(docs.columns)
+
+
 def words_expr(text: Column) -> Column:
     """JVM words [^\\x20\\x09-\\x0D]+ as an array; no words: an empty array."""
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import broadcast_or_shuffle, row_key, scratch_root, slices, text_of, word_lists, written
+from loomset.llm.common import broadcast_or_shuffle, row_key, scratch_root, slices, text_of, without_keys, word_lists, written
 
 #: The positions that each mask keeps; it ignores the others, so substitutions there do not matter.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 2, 5, 7, 8))
@@ -201,5 +201,5 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs that leak no item. Texts are shuffled only if more than broadcast_rows rows leak."""
-    found = written(benchmark_leaks(docs, benchmark, doc_id, text).select(F.col("row_key").alias("__key")).distinct(), "decontam-drop")
-    return docs.withColumn("__key", row_key(doc_id, text)).join(broadcast_or_shuffle(found, broadcast_rows), "__key", "left_anti").select(docs.columns)
+    found = written(benchmark_leaks(docs, benchmark, doc_id, text).select("row_key").distinct(), "decontam-drop")
+    return without_keys(docs, found, doc_id, text, broadcast_rows)

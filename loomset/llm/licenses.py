@@ -124,8 +124,8 @@ def scan_licenses(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     """(id, path, license, cosine, origin, origin_dir): one row for each row of files.
 
     origin is own for a licence in the text itself, inherited for that of a licence file in the nearest directory at or
-    above the file's (origin_dir), null for none; of several licence files in a directory the largest cosine holds, then
-    the name. A licence file is named as one of FILE_NAMES or consists of notices by FILE_SHARE of its words. Null paths
+    above the file's (origin_dir), null for none; of several licence files in a directory those so named come first, then the
+    largest cosine, then the licence's name. A licence file is named as one of FILE_NAMES or consists of notices by FILE_SHARE of its words. Null paths
     are in no directory; null and empty texts have no own licence.
     """
     scratch_root(files.sparkSession)
@@ -133,8 +133,9 @@ def scan_licenses(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     rows = written(own_licenses(named, templates), "licenses")
     parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*\z", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     base = F.regexp_extract(F.lower(F.substring_index("path", "/", -1)), r"\A[^.]*", 0)
-    held = rows.where("license is not null and path is not null").where(F.col("is_file") | base.isin(*FILE_NAMES)).withColumn("dir", parent)
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("best")
+    by_name = base.isin(*FILE_NAMES)
+    held = rows.where("license is not null and path is not null").where(F.col("is_file") | by_name).select("license", "cosine", parent.alias("dir"), (~by_name).alias("by_text"))
+    best = F.min(F.struct("by_text", (-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("best")
     dirs = held.groupBy("dir").agg(best).select("dir", F.col("best.l").alias("from"), (-F.col("best.c")).alias("from_cosine"))
     # the directories without licence of their own are few against the files, so the walk upwards is over distinct ones
     lacking = rows.where("license is null and path is not null").select(parent.alias("at")).distinct()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.llm.common import SPACE, broadcast_or_shuffle, row_key, scratch_root, text_of, written
+from loomset.llm.common import SPACE, broadcast_or_shuffle, free_name, row_key, scratch_root, text_of, written
 
 BLOCK_WORDS = 256
 MAX_REPEATS = 3
@@ -166,6 +166,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share = F.col("taken") / F.col("size")
     chance = F.pmod(F.xxhash64(F.col("row_key"), F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
     found = taken_words(docs, doc_id, text, source, **how).where("taken > 0").groupBy("row_key").agg(F.avg(share).alias("share"))
-    times = written(found.select(F.col("row_key").alias("__key"), (F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")).alias("__n")).where("__n > 0"), "mixing-times")
-    kept = docs.withColumn("__key", row_key(doc_id, text)).join(times, "__key")
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(docs.columns)
+    times = written(found.select("row_key", (F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")).cast("int").alias("n")).where("n > 0"), "mixing-times")
+    key = free_name(docs, "__key")
+    n = free_name(docs, "__n")
+    copy = free_name(docs, "__copy")
+    kept = docs.withColumn(key, row_key(doc_id, text)).join(times.toDF(key, n), key)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)

@@ -25,6 +25,9 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     Null texts have no word.
     """
     own = [c for c in docs.columns if c != text]
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__t", "__w", "__l", "__h", "__v", "__s", "__p"}
+    if made & {c.lower() for c in own}:
+        raise ValueError(f"docs has {sorted(made & {c.lower() for c in own})} already")
     out = docs.select(*own, text_of(text).alias("__t")).withColumn("__w", words_expr(F.col("__t")))
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     out = out.select(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm import golay
-from loomset.llm.common import broadcast_or_shuffle, row_key, scratch_root, slices, text_of, word_lists, written
+from loomset.llm.common import broadcast_or_shuffle, free_name, row_key, scratch_root, slices, text_of, without_keys, word_lists, written
 from loomset.llm.components import connected_components
 
 SEED = 42
@@ -169,10 +169,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     found = _classes(docs, doc_id, text, 3, MAX_DISTANCE)
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
     keyed = written(found.join(first, "label").groupBy("row_key").agg(F.first(F.col("row_key") == F.col("first.row_key")).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "simhash-drop")
-    gone = broadcast_or_shuffle(keyed.where("not stays").select(F.col("row_key").alias("__key")), broadcast_rows)
-    again = broadcast_or_shuffle(keyed.where("stays").select(F.col("row_key").alias("__key")), broadcast_rows)
-    left = docs.withColumn("__key", row_key(doc_id, text)).join(gone, "__key", "left_anti")
+    left = without_keys(docs, keyed.where("not stays").select("row_key"), doc_id, text, broadcast_rows)
+    again = keyed.where("stays").select("row_key")
     if again.isEmpty():
-        return left.select(docs.columns)
-    once = left.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-    return left.join(again, "__key", "left_anti").union(once).select(docs.columns)
+        return left
+    # whole rows that are repeated: one of each stays
+    name = free_name(docs, "__key")
+    twice = broadcast_or_shuffle(again.toDF(name), broadcast_rows)
+    once = left.withColumn(name, row_key(doc_id, text)).join(twice, name, "left_semi").dropDuplicates([name]).select(docs.columns)
+    return without_keys(left, again, doc_id, text, broadcast_rows).union(once)

@@ -101,9 +101,8 @@ def _tail(spark: SparkSession, path: str, n: int) -> bytes:
     n = min(n, size)
     stream = fs.open(p)
     try:
-        buffer = spark.sparkContext._gateway.new_array(spark._jvm.byte, n)
-        stream.readFully(size - n, buffer)
-        return bytes(b & 0xFF for b in buffer)
+        stream.seek(size - n)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.readFully(stream, n))  # arrays come back by value only
     finally:
         stream.close()
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomset.functions.vectors import doubles, normalized
 from loomset.operators.keys import contiguous_index
 from loomset.operators.retrieval import top_by_block
+from loomset.operators.search import match_title
+from loomset.operators.train import triple_loss
 
 #: Popularity strata, lower bounds inclusive.
 STRATA = ((0, "a. <5"), (5, "b. 5-19"), (20, "c. 20-99"), (100, "d. 100-999"), (1000, "e. >=1000"))
@@ -105,3 +108,30 @@ def same_creator_share(top: DataFrame, creators: DataFrame, item: str = "item")
     own = creators.select(F.col(item).alias("seed"), F.col("creator").alias("a")).where("a is not null")
     pairs = top.join(own, "seed").select("a", F.explode("top").alias(item)).join(creators, item, "left")
     return pairs.agg(F.avg(F.coalesce((F.col("creator") == F.col("a")).cast("double"), F.lit(0.0))).alias("share"), F.count("*").alias("n"))
+
+
+def recall_evaluator(tests: DataFrame, k: int):
+    """A function of a table (ix, v) that gives recall at k over probes(), for choosing the epoch to keep."""
+    kept = tests.persist()
+
+    def score(vectors: DataFrame) -> float:
+        unit = vectors.select("ix", normalized(doubles(F.col("v"))).alias("v"))
+        return float(recall(hits(kept, neighbours(kept, unit, k))).first()["recall"] or 0.0)
+
+    return score
+
+
+def loss_evaluator(triples: DataFrame):
+    """A function of a table (ix, v) that gives minus the mean loss over fixed triples (anchor, pos, neg)."""
+    kept = triples.persist()
+    return lambda vectors: -float(triple_loss(kept, vectors).first()["loss"])
+
+
+def nearest_to_title(rows: DataFrame, vectors: DataFrame, owner: str, title: str, k: int = 8) -> DataFrame:
+    """The k nearest items to the row of an owner and title, with their names; no such row: none.
+
+    rows: (ix, owner, title, n_tracks).
+    """
+    found = match_title(rows, F.col("owner"), F.col("title"), owner, title, "n_tracks", "ix").select(F.col("ix").alias("query"))
+    query = found.join(vectors.withColumnRenamed("ix", "query"), "query").select("query", "v")
+    return top_by_block(vectors, query, k).join(rows, "ix").select("place", "ix", "owner", "title", "score").orderBy("place")

@@ -16,7 +16,7 @@ BLOCK_QUERIES = 4_096
 
 
 def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK_QUERIES) -> DataFrame:
-    """(query, ix, score): the k items of the largest inner product with each query, ties to the smaller ix.
+    """(query, ix, score, place): the k items of the largest inner product with each query, ties to the smaller ix.
 
     items: (ix, v array<double>), queries: (query, v). Each block of queries is broadcast, every partition of items
     multiplies it and passes on its own k best, and a window keeps the k best of those: k rows a partition and query
@@ -60,7 +60,7 @@ def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: boo
     if buffer:
         add()
     if not parts:
-        return spark.createDataFrame([], "query bigint, ix bigint, score double")
+        return spark.createDataFrame([], "query bigint, ix bigint, score double, place int")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

@@ -199,6 +199,17 @@ def test_training_learns_planted_blocks(spark):
         train.train(adj, freq, 31, config, folder, resume=True)
 
 
+def test_evaluators_and_probes(spark):
+    items, _, v, *_ = catalogue(spark, n=40)
+    tests = spark.createDataFrame([(0, 3, [int(np.argsort(-(v @ v[3]))[1]), 39])], "query bigint, seed bigint, targets array<bigint>")
+    assert evaluate.recall_evaluator(tests, 1)(items.select("ix", "v")) in (0.5, 1.0)
+    triples = spark.createDataFrame([(1, 2, 3)], "anchor bigint, pos bigint, neg bigint")
+    assert math.isclose(-evaluate.loss_evaluator(triples)(items.select("ix", "v")), math.log(1 + math.exp(-(v[1] @ v[2] - v[1] @ v[3]))), rel_tol=1e-9)
+    rows = items.select("ix", F.lit("o").alias("owner"), F.concat(F.lit("t"), F.col("ix").cast("string")).alias("title"), F.lit(1).alias("n_tracks"))
+    assert [r["ix"] for r in evaluate.nearest_to_title(rows, items.select("ix", "v"), "o", "t7", 3).collect()] == np.argsort(-(v @ v[7]))[1:4].tolist()
+    assert evaluate.nearest_to_title(rows, items.select("ix", "v"), "o", "none").count() == 0
+
+
 def test_sampling_shares(spark):
     freq = spark.createDataFrame([(0, 16), (1, 0), (70_000, 81)], "item bigint, freq bigint")
     got = {r["item"]: r for r in train.negative_cdf(freq).collect()}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.functions.text import dedup_key, title_norm
@@ -32,17 +32,20 @@ class Tables:
 
     def without_sentinels(self) -> Tables:
         """All tables without rows whose id is empty or null."""
-        full = lambda df, *keys: df.where(" and ".join(f"{k} is not null and cast({k} as string) <> ''" for k in keys))
-        return Tables(full(self.track, "id"), full(self.track_creator, "track_id", "creator_id"), full(self.creator, "id"), full(self.track_collection, "track_id", "collection_id"), full(self.collection, "id"), full(self.release, "id"))
+        return Tables(filled(self.track, "id"), filled(self.track_creator, "track_id", "creator_id"), filled(self.creator, "id"), filled(self.track_collection, "track_id", "collection_id"), filled(self.collection, "id"), filled(self.release, "id"))
 
 
-def _named(c: str) -> Column:
-    return F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+def filled(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose columns are neither null nor, if they are text, empty: plain comparisons, which reach the scan."""
+    text = dict(df.dtypes)
+    for c in columns:
+        df = df.where(F.col(c) != "" if text[c] == "string" else F.col(c).isNotNull())
+    return df
 
 
 def release_sizes(track: DataFrame) -> DataFrame:
     """(release_id, n_tracks, minutes) over tracks with a release; minutes are null where all durations are."""
-    return track.where(_named("release_id")).groupBy("release_id").agg(F.count("*").alias("n_tracks"), (F.sum("duration") / F.lit(MS_PER_MINUTE)).alias("minutes"))
+    return filled(track, "release_id").groupBy("release_id").agg(F.count("*").alias("n_tracks"), (F.sum("duration") / F.lit(MS_PER_MINUTE)).alias("minutes"))
 
 
 def kept_releases(track: DataFrame, min_minutes: float = MIN_MINUTES) -> DataFrame:
@@ -52,7 +55,7 @@ def kept_releases(track: DataFrame, min_minutes: float = MIN_MINUTES) -> DataFra
 
 def main_creators(track: DataFrame, track_creator: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(release_id, creator_id): the creator of most of a release's tracks, of equal ones the smallest id."""
-    own = track.where(_named("release_id")).select("id", "release_id")
+    own = filled(track, "release_id").select("id", "release_id")
     if kept is not None:
         own = own.join(kept.select("release_id"), "release_id", "left_semi")
     pairs = own.join(track_creator, own["id"] == track_creator["track_id"]).groupBy("release_id", "creator_id").agg(F.count("*").alias("n"))
@@ -62,7 +65,7 @@ def main_creators(track: DataFrame, track_creator: DataFrame, kept: DataFrame |
 
 def title_keys(release: DataFrame, creators: DataFrame, ampersand: bool = True, with_owner: bool = True) -> DataFrame:
     """(release_id, creator_id, title, title_norm, title_key) of named releases with a main creator."""
-    named = release.where(_named("name")).join(creators, release["id"] == creators["release_id"]).select("release_id", "creator_id", F.col("name").alias("title"))
+    named = filled(release, "name").join(creators, release["id"] == creators["release_id"]).select("release_id", "creator_id", F.col("name").alias("title"))
     normed = named.withColumn("title_norm", title_norm(F.col("title"), ampersand))
     return normed.withColumn("title_key", dedup_key(F.col("title"), F.col("title_norm"), F.col("release_id"), F.col("creator_id") if with_owner else None))
 
@@ -77,7 +80,7 @@ def collection_releases(track: DataFrame, track_collection: DataFrame, kept: Dat
 
     Repeats go before the join, and a track has one release, so a plain count follows.
     """
-    own = track.where(_named("release_id")).select(F.col("id").alias("track_id"), "release_id")
+    own = filled(track, "release_id").select(F.col("id").alias("track_id"), "release_id")
     if kept is not None:
         own = own.join(kept.select("release_id"), "release_id", "left_semi")
     links = track_collection.select("track_id", "collection_id").distinct()
@@ -122,8 +125,3 @@ def creator_index(creators: DataFrame, releases: DataFrame) -> DataFrame:
     """Serving rows of creators: pop is the sum of their releases' pops, so a collection counts once a release."""
     pop = releases.where("creator_ix is not null").groupBy("creator_ix").agg(F.sum("pop").alias("pop"))
     return creators.join(pop, "creator_ix", "left").select("creator_ix", "creator_id", F.col("name").alias("creator"), F.coalesce("pop", F.lit(0)).cast("int").alias("pop"))
-
-
-def best_first(column: str, *ties: str) -> Window:
-    """A window over all rows, largest first; for small results only."""
-    return Window.orderBy(F.col(column).desc(), *ties)

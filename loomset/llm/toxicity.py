@@ -112,7 +112,8 @@ class Index:
             return self.base, None, 0.0
         votes = cosines**2 * self.weights[examples]
         prior = PRIOR_WEIGHT * self.weights.mean()
-        return float((votes @ self.labels[examples] + prior * self.prior) / (votes.sum() + prior)), int(self.ids[examples[0]]), float(cosines[0])
+        share = float((votes @ self.labels[examples] + prior * self.prior) / (votes.sum() + prior))
+        return min(1.0, max(0.0, share)), int(self.ids[examples[0]]), float(cosines[0])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Spark's own file systems, if the session still lives."""
     sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
+    if sc._jsc is None:
         return
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have gone before
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import scratch_root, slices, text_of, word_lists, written
+from loomset.llm.common import SPACE, scratch_root, slices, text_of, word_lists, written
 
 #: Notices of licences; fixed values.
 TEMPLATES = {
@@ -30,6 +31,7 @@ MIN_COSINE = 0.8
 #: A file whose units with a licence hold so much of its words is a licence file.
 FILE_SHARE = 0.5
 FILE_NAMES = ("license", "licence", "copying", "notice")
+_WORD = re.compile(f"[^{SPACE}]+")
 _TRIM = ".,;:!?\"'()[]{}|*#%$&<>_=\\`~@^+"
 
 
@@ -44,16 +46,15 @@ class Templates:
         self.idf = {w: math.log(1 + len(counts) / n) for w, n in df.items()}
         self.rare = math.log(1 + len(counts))
         self.vectors = [self._unit(c) for c in counts]
-        #: Prefix filter: a unit that reaches min_cosine with a template shares one of the words whose weights, the
-        #: largest first, leave less than min_cosine squared to the others.
-        self.anchors: set[str] = set()
-        for v in self.vectors:
-            left = 1.0
-            for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
-                if left < min_cosine**2:
-                    break
-                self.anchors.add(w)
-                left -= x * x
+        #: By word the square of its weight in each template. A text whose different words have less than min_cosine
+        #: squared of a template's squares cannot reach min_cosine with it (Cauchy-Schwarz), nor can any part of it.
+        self.words = {w: i for i, w in enumerate(sorted(df))}
+        self.squares = np.array([[v.get(w, 0.0) ** 2 for v in self.vectors] for w in self.words])
+
+    def may_match(self, words) -> bool:
+        """Whether a text of these words can reach min_cosine with some template."""
+        own = [self.words[w] for w in set(words) if w in self.words]
+        return bool(own) and bool(self.squares[own].sum(axis=0).max() >= self.min_cosine**2 - 1e-9)
 
     def _unit(self, counts: Counter) -> dict[str, float]:
         own = {w: (1 + math.log(n)) * self.idf.get(w, self.rare) for w, n in counts.items()}
@@ -89,22 +90,25 @@ def own_licenses(files: DataFrame, templates: Templates | None = None) -> DataFr
     own = templates or Templates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = own.anchors
         for batch in batches:
             for part in slices(batch, "t"):
                 lists = word_lists(part.column(2))
                 coded = lists.flatten().dictionary_encode()
                 plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), _TRIM).to_pylist()
-                hit = np.array([w in anchors for w in plain] or [False])[coded.indices.to_numpy()] if len(coded) else np.zeros(0, bool)
                 ends = lists.offsets.to_numpy()[1:]
-                docs = np.unique(np.searchsorted(ends, np.flatnonzero(hit), "right"))
+                known = np.array([own.words.get(w, -1) for w in plain] or [-1])[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                hit = np.flatnonzero(known >= 0)
+                pairs = np.unique(np.searchsorted(ends, hit, "right") * len(own.words) + known[hit])
+                cover = np.zeros((len(part), own.squares.shape[1]))
+                np.add.at(cover, pairs // len(own.words), own.squares[pairs % len(own.words)])
+                docs = np.flatnonzero(cover.max(axis=1) >= own.min_cosine**2 - 1e-9)
                 license: list[str | None] = [None] * len(part)
                 cosine, whole = np.zeros(len(part)), np.zeros(len(part), bool)
                 for d in docs.tolist():
                     lines = block = 0
                     for unit in _units(part.column(2)[d].as_py()):
-                        words = [w for w in (x.strip(_TRIM) for x in unit.lower().split()) if w]
-                        if anchors.isdisjoint(words):
+                        words = [w for w in (x.strip(_TRIM) for x in _WORD.findall(unit.lower())) if w]
+                        if not own.may_match(words):
                             continue
                         c, name = own.best(words)
                         if name and c > cosine[d]:

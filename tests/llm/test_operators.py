@@ -281,7 +281,7 @@ def test_license_scan(spark, none):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
-def test_anchors_lose_no_template_match():
+def test_the_bound_loses_no_template_match():
     t = licenses.Templates()
     for texts in licenses.TEMPLATES.values():
         for text in texts:
@@ -290,7 +290,7 @@ def test_anchors_lose_no_template_match():
             for _ in range(50):
                 part = [x for x in w if rng.random() > 0.15] + ["other"] * int(rng.integers(0, 3))
                 if t.best(part)[1]:
-                    assert not t.anchors.isdisjoint(part)
+                    assert t.may_match(part)
 
 
 # 8

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import assert_same, connect
-from test_operators import WORD, brute_classes, brute_print, brute_rule, brute_spans, brute_targets
+from test_llm_operators import WORD, brute_classes, brute_print, brute_rule, brute_spans, brute_targets
 
 import corpus_pipeline
 from loomset.llm import licenses, queries, toxicity

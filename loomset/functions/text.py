@@ -36,8 +36,6 @@ def _folded_udf(s: pd.Series) -> pd.Series:
     return s.map(_folded, na_action="ignore")
 
 
-_ASCII = "^[\\x00-\\x7F]*$"
-
 
 def strip_accents(c: Column) -> Column:
     """Drop combining marks after canonical decomposition; null stays null."""

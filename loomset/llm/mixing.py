@@ -18,7 +18,9 @@ MAX_REPEATS = 3
 WEIGHTS = (5, 2, 1)
 #: Output shards over which the slots are drawn.
 SHARDS = 1024
-_CHUNK_ROWS = 20_000
+_CHUNK_ROWS, _LEAST_CHUNKS = 20_000, 256
+#: Row keys with their numbers of copies are broadcast up to so many rows (12 bytes each).
+BROADCAST_ROWS = 1_000_000
 _ROUNDS = 4
 
 
@@ -129,7 +131,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """
     scratch_root(docs.sparkSession)
     narrow = written(docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(source).cast("string").alias("source"), word_count(text_of(text)).alias("size")), "mixing-rows")
-    chunks = max(16, math.ceil(narrow.count() / _CHUNK_ROWS))
+    chunks = max(_LEAST_CHUNKS, math.ceil(narrow.count() / _CHUNK_ROWS))
     # a source's words run by chunk, so that no task needs all rows of a source in order
     by = Window.partitionBy("source", "chunk").orderBy("doc_id", "row_key")
     ranked = narrow.withColumn("chunk", F.pmod("row_key", F.lit(chunks)).cast("int")).withColumn("rank", F.row_number().over(by)).withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
@@ -161,7 +163,8 @@ def taken_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """Rows of docs as often as the mix takes them: taken / size times, the fraction settled by a hash of the row.
 
-    Columns are those of docs. Rows without words are never taken.
+    Columns are those of docs. Rows without words are never taken. Texts are shuffled only if more than BROADCAST_ROWS
+    rows are taken.
     """
     share = F.col("taken") / F.col("size")
     chance = F.pmod(F.xxhash64(F.col("row_key"), F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
@@ -170,5 +173,5 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = free_name(docs, "__key")
     n = free_name(docs, "__n")
     copy = free_name(docs, "__copy")
-    kept = docs.withColumn(key, row_key(doc_id, text)).join(times.toDF(key, n), key)
+    kept = docs.withColumn(key, row_key(doc_id, text)).join(broadcast_or_shuffle(times.toDF(key, n), BROADCAST_ROWS), key)
     return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)

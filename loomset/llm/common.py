@@ -102,8 +102,11 @@ def word_lists(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), flat.filter(pa.array(full)))
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
-    """Cut a batch into runs of rows whose texts hold about so many bytes; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
+    """Cut a batch into runs of rows whose texts hold about so many bytes; a longer text stands alone.
+
+    After the last run, memory that Arrow has freed goes back, or workers that live on would keep their peak.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, total, begin = [], 0, 0
     for i, n in enumerate(sizes):
@@ -115,6 +118,7 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
         ends.append((begin, len(sizes)))
     for a, b in ends:
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def broadcast_or_shuffle(small: DataFrame, max_rows: int) -> DataFrame:

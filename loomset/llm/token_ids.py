@@ -23,7 +23,7 @@ from loomset.llm.common import slices, text_of, word_lists
 MAGIC = b"PKTOKEN1"
 BLOCK_IDS = 4096
 SHARD_IDS = 8_000_000
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 200_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -247,7 +247,7 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, vocabulary: int,
 
         held = 0
         for batch in batches:
-            for piece in slices(batch, "t"):
+            for piece in slices(batch, "t", 4_000_000):
                 ids, ends = own.encode(piece.column(1), end_id)
                 known = pc.is_valid(piece.column(0)).to_numpy(zero_copy_only=False)
                 kept.append((pc.fill_null(piece.column(0), 0).to_numpy(), known, np.diff(ends, prepend=0), ids))

@@ -137,19 +137,24 @@ def _regions(docs: DataFrame, bitmap, short: tuple[int, ...], reach: int) -> Dat
 
 
 def best_overlap(own: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(start, length, matches) of the best ungapped overlap of item laid on own at diagonal.
+    """(start, length, matches) of the longest ungapped overlap of item laid on own at diagonal that holds to MIN_IDENTITY.
 
-    A match counts 1 and a substitution as much less as MIN_IDENTITY demands, so every end of the overlap holds to it.
+    Of stretches of one length the one with most matches, then the first. A match counts 1 and a substitution as much
+    less as MIN_IDENTITY demands, so a stretch holds to it if the running sum is no lower at its end than at its start.
     """
     lo, hi = max(0, diagonal), min(len(own), diagonal + len(item))
     if hi <= lo:
         return lo, 0, 0
     same = own[lo:hi] == item[lo - diagonal : hi - diagonal]
-    total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -MIN_IDENTITY / (1 - MIN_IDENTITY)))))
-    floor = np.minimum.accumulate(total)
-    end = int(np.argmax(total - floor))
-    begin = int(np.argmin(total[: end + 1]))
-    return lo + begin, end - begin, int(same[begin:end].sum())
+    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -round(MIN_IDENTITY / (1 - MIN_IDENTITY))))))
+    # for each end the first start whose sum is no higher: running minima never rise
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)
+    length = np.arange(len(total)) - begin
+    ends = np.flatnonzero(length == length.max())
+    matches = np.concatenate(([0], np.cumsum(same)))
+    found = matches[ends] - matches[begin[ends]]
+    end = int(ends[np.argmax(found)])
+    return lo + int(begin[end]), int(length[end]), int(found.max())
 
 
 def _verified(pairs: DataFrame, doc_kind: str, min_overlap: int) -> DataFrame:
@@ -158,7 +163,8 @@ def _verified(pairs: DataFrame, doc_kind: str, min_overlap: int) -> DataFrame:
             out = []
             for doc, key, start, own, item, other, diagonal in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at, length, matches = best_overlap(np.array(own, np.int64), np.array(other, np.int64), diagonal)
-                if length >= min(min_overlap, len(other)):
+                whole = len(other) <= max(m[-1] for m in MASKS)
+                if length >= min(min_overlap, len(other)) and (matches == length or not whole):
                     out.append((doc, key, item, start + at, length, matches))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]

@@ -262,6 +262,26 @@ def test_a_stretch_is_the_best_overlap():
     assert decontaminate.best_overlap(own, item, 200)[1] == 0
 
 
+def test_a_stretch_bears_a_fifth_of_substitutions_anywhere(spark):
+    rng = np.random.default_rng(12)
+    for n, k in [(13, 1), (13, 2), (20, 4), (25, 5), (40, 8)]:
+        for _ in range(30):
+            item = rng.integers(1, 1 << 60, n)
+            own = np.concatenate([rng.integers(1, 1 << 60, 30), item, rng.integers(1, 1 << 60, 30)])
+            own[30 + rng.choice(n, k, replace=False)] = 0
+            assert decontaminate.best_overlap(own, item, 30) == (30, n, n - k)
+            own[30 + rng.choice(n, n // 2, replace=False)] = 0
+            same = own[30 : 30 + n] == item
+            brute = max((j - i for i in range(n) for j in range(i + 1, n + 1) if 5 * same[i:j].sum() >= 4 * (j - i)), default=0)
+            assert decontaminate.best_overlap(own, item, 30)[1] == brute
+    item = words(rng, 27).split()
+    own = item[:12] + ["zzz"] * 3 + item[15:]
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(item[:10] + ["zzz"] * 17)), (3, "b c d e f g yyy")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "b c d e f g h")], "item_id bigint, text string")
+    assert [tuple(r)[2:] for r in decontaminate.benchmark_leaks(docs, bench).where("doc_id = 1").collect()] == [(1, 0, 27, 24)]
+    assert decontaminate.benchmark_leaks(docs, bench).where("doc_id > 1").count() == 0
+
+
 # 7
 
 

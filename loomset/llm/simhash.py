@@ -166,7 +166,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     A row without an id stays only if no row of its class has one. Columns are those of docs. Texts are shuffled only
     if more than broadcast_rows row keys go.
     """
-    found = _classes(docs, doc_id, text, 3, MAX_DISTANCE)
+    return one_of_each(docs, _classes(docs, doc_id, text, 3, MAX_DISTANCE), doc_id, text, broadcast_rows)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame:
+    """One row of docs for each label of found (doc_id, row_key, fp, label by row), as drop_near_duplicates() chooses it."""
     # the first row of each fingerprint and then of each class, so that no join meets all rows of a class
     own = found.groupBy("fp").agg(F.first("label").alias("label"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("own")).checkpoint()
     first = own.join(own.groupBy("label").agg(F.min("own").alias("first")), "label").select("fp", F.col("first.row_key").alias("first"))

@@ -296,7 +296,7 @@ def neg_sampling_cdf(spark, d):
 
 def neg_sampling_lookup(spark, d):
     freq = _t(spark, d).track_collection.groupBy(F.col("track_id").alias("item")).agg(F.count("*").alias("freq"))
-    cdf = T.negative_cdf(freq).where("item < 2000")
+    cdf = T.negative_cdf(freq)
     draws = spark.range(64).select(F.col("id").alias("draw"), ((F.col("id") + 0.5) / 64).alias("u"))
     return draws.join(cdf, (F.col("u") > F.col("cdf_prev")) & (F.col("u") <= F.col("cdf"))).select("draw", "item")
 

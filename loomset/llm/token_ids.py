@@ -23,7 +23,8 @@ from loomset.llm.common import slices, text_of, word_lists
 MAGIC = b"PKTOKEN1"
 BLOCK_IDS = 4096
 SHARD_IDS = 8_000_000
-_MEMO_WORDS = 200_000
+#: What a worker remembers of words and their ids.
+MEMO_BYTES = 80_000_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -60,87 +61,114 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
 
 #: Letters that lower-case one by one, are composed already and are letters in every version of Unicode.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-#: Marks that may follow them in a word; none of them starts a contraction.
-_MARKS = '.,;:!?|)"'
-
-
-def _byte_letters() -> dict[int, str]:
-    """How byte-level tokenizers write a byte: itself if it is visible in Latin-1, else the next character from 256 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
-_BYTES = _byte_letters()
+#: Marks that may follow them in a word and are one piece together; none starts a contraction or a special token's string.
+_MARKS = '.,;:!?|)"#$%&*('
+#: Normalizer and pre-tokenizer of which it is known that words between white space are encoded by themselves, and plain
+#: words by their pieces. A tokenizer with any other gets whole texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _ragged(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends): the runs pool[begin : begin + size] one after another."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class Memo:
+    """Ids of strings: by string a number, and by number where its ids begin in a pool and how many there are."""
+
+    #: A string of the memo takes about so many bytes beside its characters and ids.
+    ENTRY = 170
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.begin, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.nbytes = 0
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each string; -1: unknown."""
+        return np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Put in different strings that are unknown, with their ids one after another; their numbers."""
+        first = len(self.size)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
+        self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, ids))
+        self.nbytes += len(words) * self.ENTRY + sum(map(len, words)) + ids.nbytes
+        return np.arange(first, first + len(words))
 
 
 class Encoder:
-    """A public tokenizer (lower case, byte-level BPE with word ends, white space dropped) that remembers words' ids.
+    """A public tokenizer that remembers the ids of words.
 
-    The tokenizer never merges across white space, so a text's ids are those of its words one after another. A word of
-    plain letters and marks after them is two pieces, whose ids follow each other; its letters go straight to the
-    library's BPE model. All other words, special tokens' strings among them, go through the library's encode. Memory is
-    bounded by two generations of _MEMO_WORDS words.
+    If its normalizer and pre-tokenizer are those above, a text's ids are those of its words one after another. A word of
+    plain letters and marks after them is two pieces, whose ids follow each other; letters go straight to the library's
+    BPE model. All other words, special tokens' strings among them, go through the library's encode. Any other tokenizer
+    encodes whole texts. The memo starts anew once it holds memo_bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _know(self, words: list[str], letters: bool) -> None:
-        """Put the ids of words into the memo."""
-        memo, old = self.memo, self.old
-        missing = []
-        for w in words:
-            if w not in memo:
-                if w in old:
-                    memo[w] = old[w]
-                else:
-                    missing.append(w)
+        made = json.loads(self.tokenizer.to_str())
+        self.by_word = made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == _PRE_TOKENIZER and made["post_processor"] is None and made["truncation"] is None
+        self.memo, self.memo_bytes = Memo(), memo_bytes
+        # how the library writes the bytes of each character that a plain piece can hold
+        level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 0x180)) if re.match(f"[{_LETTERS}]", c)})
+
+    def _know(self, words: list[str], letters: bool) -> np.ndarray:
+        """The numbers of different words; unknown ones go into the memo. letters: they are plain letters in lower case."""
+        memo = self.memo
+        at = memo.numbers(words)
+        new = np.flatnonzero(at < 0)
+        missing = [words[i] for i in new.tolist()]
         if letters:
-            bpe = self.tokenizer.model.tokenize
-            for w in missing:
-                memo[w] = np.array([t.id for t in bpe(w.encode().decode("latin-1").translate(_BYTES))], np.uint32).tobytes()
+            bpe, table = self.tokenizer.model.tokenize, self.letters
+            own = [[t.id for t in bpe(w.translate(table))] for w in missing]
         else:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def word_ids(self, words: pa.Array) -> list[bytes]:
-        """The ids of each different word, as bytes of unsigned 32-bit numbers."""
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo, self.old = {"": b""}, self.memo
-        plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$")
-        own = words.filter(plain)
-        stems = pc.utf8_lower(pc.utf8_rtrim(own, _MARKS)).to_pylist()
-        marks = pc.replace_substring_regex(own, f"^[{_LETTERS}]+", "").to_pylist()
-        rest = words.filter(pc.invert(plain)).to_pylist()
-        self._know(stems, True)
-        self._know([*set(marks)], False)
-        self._know(rest, False)
-        memo = self.memo
-        found = np.empty(len(words), object)
-        at = plain.to_numpy(zero_copy_only=False)
-        found[at] = [memo[s] + memo[m] for s, m in zip(stems, marks, strict=True)]
-        found[~at] = [memo[w] for w in rest]
-        return found.tolist()
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        at[new] = memo.add(missing, size, np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(size.sum())))
+        return at
+
+    def pieces(self, words: pa.Array) -> np.ndarray:
+        """(words, 2): the memo's numbers of each different word's letters and of the marks after them, or of it and ""."""
+        stems = pc.utf8_rtrim(words, _MARKS)
+        plain = pc.match_substring_regex(stems, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        out = np.empty((len(words), 2), np.int64)
+        out[:, 1] = self._know([""], False)
+        coded = pc.utf8_lower(stems.filter(pa.array(plain))).dictionary_encode()
+        out[plain, 0] = self._know(coded.dictionary.to_pylist(), True)[coded.indices.to_numpy()]
+        marked = plain & (pc.binary_length(words).to_numpy() > pc.binary_length(stems).to_numpy())
+        coded = pc.utf8_ltrim(words.filter(pa.array(marked)), "".join(c for c in map(chr, range(65, 0x180)) if re.match(f"[{_LETTERS}]", c))).dictionary_encode()
+        out[marked, 1] = self._know(coded.dictionary.to_pylist(), False)[coded.indices.to_numpy()]
+        out[~plain, 0] = self._know(words.filter(pa.array(~plain)).to_pylist(), False)
+        return out
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts in one array, each text followed by end_id."""
+        if not self.by_word:
+            own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            return np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(ends[-1]) if len(ends) else 0), ends
+        if self.memo.nbytes > self.memo_bytes:
+            self.memo = Memo()
         lists = word_lists(texts)
         coded = lists.flatten().dictionary_encode()
-        own = self.word_ids(coded.dictionary)
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        pool = np.frombuffer(b"".join(own), np.uint32)
-        index = coded.indices.to_numpy()
-        size, begin = sizes[index], (np.cumsum(sizes) - sizes)[index]
-        until = np.cumsum(size)
-        flat = pool[np.repeat(begin - (until - size), size) + np.arange(until[-1] if len(until) else 0)]
-        word_ends = lists.offsets.to_numpy()[1:]
-        ends = np.concatenate(([0], until))[word_ends]
+        at = self.pieces(coded.dictionary)[coded.indices.to_numpy()].reshape(-1)
+        flat, until = _ragged(self.memo.pool, self.memo.begin[at], self.memo.size[at])
+        ends = np.concatenate(([0], until))[2 * lists.offsets.to_numpy()[1:]]
         return np.insert(flat, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
@@ -247,7 +275,7 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, vocabulary: int,
 
         held = 0
         for batch in batches:
-            for piece in slices(batch, "t", 4_000_000):
+            for piece in slices(batch, "t", 6_000_000):
                 ids, ends = own.encode(piece.column(1), end_id)
                 known = pc.is_valid(piece.column(0)).to_numpy(zero_copy_only=False)
                 kept.append((pc.fill_null(piece.column(0), 0).to_numpy(), known, np.diff(ends, prepend=0), ids))

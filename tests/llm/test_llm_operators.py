@@ -346,6 +346,21 @@ def test_token_files_read_back(spark, docs, rows, none):
     assert token_ids.write_token_ids(none, scratch_path(spark, "t"), tokenizer_path(), VOCABULARY, END_ID).count() == 0
 
 
+def test_encoder_equals_the_library_whatever_the_memo_and_tokenizer():
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = ["", " \t", "Foo, foo.%%% FOO&&& (foo) 'Tis we'll x1y2 3,5$ É\u0301a Straße. <|endoftext|>,", "É'S İstanbul ΣΑΣ ǅ a\u0301 12a3!!foo(bar) \u200b it's", *(f"w{'ab' * (i % 7)}{chr(97 + i % 26)}{'.' * (i % 3)}" for i in range(300))]
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        own = token_ids.Encoder(public_tokenizers.path(name), memo_bytes=2_000)
+        assert own.by_word == by_word
+        for a in range(0, len(texts), 50):
+            part = texts[a : a + 50]
+            ids, ends = own.encode(pa.array(part), END_ID)
+            want = [e.ids + [END_ID] for e in own.tokenizer.encode_batch(part, add_special_tokens=False)]
+            assert ids.tolist() == [x for w in want for x in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 # 9
 
 

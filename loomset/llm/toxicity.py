@@ -4,116 +4,195 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomset.llm.common import scratch_root, slices, text_of, word_lists, written
+from loomset.llm.common import free_name, scratch_root, slices, text_of, word_lists, written
 
-#: The classifier is fitted on so many labelled rows of each class at most, drawn by a hash of their ids.
-EXAMPLES_PER_CLASS = 8_000
-#: A term is kept if its share among toxic examples exceeds that among clean ones by so many standard errors, and is so
-#: many times as large.
-MIN_Z = 6.0
-MIN_LIFT = 3.0
+#: The classifier is fitted on so many labelled rows of each class at most, drawn by a hash of their ids ...
+EXAMPLES_PER_CLASS = 2_000
+#: ... and on so many different terms of them in all, summed over the examples of a class in that order.
+TERMS_PER_CLASS = 2_000_000
 NEIGHBOURS = 15
 BLOCK = 64
-FIRST_BLOCKS = 8
+#: A document's blocks of the largest bounds, which are scored first.
+FIRST_BLOCKS = 4
 #: Weight of the prior in the vote, in units of one perfect neighbour.
-PRIOR_WEIGHT = 0.5
+PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.3
+#: Documents are scored in groups whose scores with all examples take so many numbers.
+_SCORES = 100_000
 _TRIM = ".,;:!?\"'()[]{}|*#%$&<>-_=/\\`~@^+"
 
 
-def terms(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(terms, codes, ends): the words of all texts, in lower case without punctuation around them, as codes of terms."""
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): each word's 64-bit hash, in lower case without punctuation around it; pure punctuation goes."""
     lists = word_lists(texts)
     coded = lists.flatten().dictionary_encode()
-    plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), _TRIM).dictionary_encode()
-    codes = plain.indices.to_numpy()[coded.indices.to_numpy()] if len(plain) else np.zeros(0, np.int32)
-    return plain.dictionary.to_pylist(), codes, lists.offsets.to_numpy()[1:]
+    plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), _TRIM).to_pylist()
+    own = np.fromiter([xxhash.xxh64_intdigest(w) if w else 0 for w in plain], np.uint64, len(plain))
+    h = own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
+    full = h != 0
+    return h[full], np.concatenate(([0], np.cumsum(full)))[lists.offsets.to_numpy()[1:]]
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin .. begin + size - 1 of all runs one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class Index:
-    """Labelled examples as unit TF-IDF vectors over the kept terms, in blocks with their largest weight of each term."""
+    """Labelled examples as unit TF-IDF vectors in a block-max inverted index.
 
-    idf: dict[str, float]
+    codes: the terms' hashes in order, scale: what a term's frequency is multiplied by. The examples stand in blocks of
+    BLOCK. A cell is a term in a block: cells first[t] .. first[t + 1] - 1 are those of term t, each with its block,
+    the largest weight there and the place where its postings (example, weight) begin.
+    """
+
+    codes: np.ndarray
+    scale: np.ndarray
+    rare: float
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     prior: float
-    base: float
-    neighbours: int = NEIGHBOURS
-    code: dict[str, int] = field(default_factory=dict)
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    block_max: np.ndarray | None = None
-
-    def vector(self, counts: dict[str, int]) -> list[tuple[int, float]]:
-        """The unit vector of term counts over the kept terms; empty if there is none."""
-        own = [(self.code[t], (1 + math.log(n)) * self.idf[t]) for t, n in sorted(counts.items()) if t in self.code]
-        norm = math.sqrt(sum(w * w for _, w in own))
-        return [(t, w / norm) for t, w in own]
-
-    def fill(self, vectors: list[list[tuple[int, float]]]) -> None:
-        blocks = math.ceil(len(vectors) / BLOCK)
-        rows: list[list[tuple[int, float]]] = [[] for _ in self.code]
-        for i, v in enumerate(vectors):
-            for t, w in v:
-                rows[t].append((i, w))
-        self.block_max = np.zeros((len(self.code), blocks))
-        for t, own in enumerate(rows):
-            at = np.array([i for i, _ in own], np.int64)
-            w = np.array([w for _, w in own])
-            np.maximum.at(self.block_max[t], at // BLOCK, w)
-            self.postings.append((at, w))
-
-    def nearest(self, vector: list[tuple[int, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest examples with a positive cosine; ties go to the smaller example.
-
-        A block's bound is the sum of query weight times the block's largest weight. The FIRST_BLOCKS blocks of the
-        largest bounds are scored, and then all blocks whose bound reaches the k-th cosine found: the result is exact.
+    neighbours: int
+    first: np.ndarray
+    cell_block: np.ndarray
+    cell_max: np.ndarray
+    cell_begin: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+
+    @property
+    def blocks(self) -> int:
+        return math.ceil(len(self.ids) / BLOCK)
+
+    def vectors(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, weight) of the unit vectors of documents' known terms; h, ends as terms() gives them."""
+        doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        at = np.minimum(np.searchsorted(self.codes, h), max(0, len(self.codes) - 1))
+        known = self.codes[at] == h if len(self.codes) else np.zeros(len(h), bool)
+        key, n = np.unique(doc[known] * len(self.codes) + at[known], return_counts=True)
+        doc, term = np.divmod(key, max(1, len(self.codes)))
+        w = (1 + np.log(n)) * self.scale[term]
+        norm = np.sqrt(np.bincount(doc, w * w, minlength=len(ends)))
+        return doc, term, w / norm[doc]
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines), n x k: the k examples nearest to each of n documents; ties go to the smaller example.
+
+        A block's bound for a document is the sum of its weights times the cells' largest weights. The FIRST_BLOCKS
+        blocks of the largest bounds are scored, then all others whose bound reaches the k-th cosine found; the
+        postings of the rest are never read. The result is exact. Cosines of 0 come with example -1.
         """
-        codes, own = np.array([t for t, _ in vector]), np.array([w for _, w in vector])
-        bound = own @ self.block_max[codes]
-        at = np.concatenate([self.postings[t][0] for t, _ in vector])
-        part = np.concatenate([w * self.postings[t][1] for t, w in vector])
-        block = at // BLOCK
-        chosen = np.zeros(len(bound), bool)
-        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        examples, cosines = self._scored(at, part, chosen[block], k)
-        kth = cosines[k - 1] if len(cosines) >= k else 0.0
-        rest = (bound > 0) & (bound >= kth - 1e-9) & ~chosen
+        k, blocks = min(self.neighbours, len(self.ids)), self.blocks
+        size = self.first[term + 1] - self.first[term]
+        cell = _runs(self.first[term], size)
+        at = np.repeat(doc, size) * blocks + self.cell_block[cell]
+        own = np.repeat(w, size)
+        bound = np.bincount(at, own * self.cell_max[cell], minlength=n * blocks).reshape(n, blocks)
+        chosen = np.zeros((n, blocks), bool)
+        np.put_along_axis(chosen, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        scores = self._scores(at, cell, own, chosen)
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        rest = (bound > 0) & (bound >= kth[:, None] - 1e-9) & ~chosen
         if rest.any():
-            examples, cosines = self._scored(at, part, (chosen | rest)[block], k)
+            scores += self._scores(at, cell, own, rest)
+        scores = np.round(scores, 9)
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, example = np.nonzero(scores >= np.maximum(kth, 1e-9)[:, None])
+        value = scores[row, example]
+        order = np.lexsort((example, -value, row))
+        row, example, value = row[order], example[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        examples, cosines = np.full((n, k), -1), np.zeros((n, k))
+        few = place < k
+        examples[row[few], place[few]], cosines[row[few], place[few]] = example[few], value[few]
         return examples, cosines
 
-    def _scored(self, at: np.ndarray, part: np.ndarray, use: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples by the sum of their parts over the postings in use."""
-        total = np.round(np.bincount(at[use], part[use]), 9)
-        found = np.flatnonzero(total)
-        if len(found) > 4 * k:
-            least = np.partition(total[found], len(found) - k)[len(found) - k]
-            found = found[total[found] >= least]
-        best = found[np.lexsort((found, -total[found]))[:k]]
-        return best, total[best]
-
-    def score(self, vector: list[tuple[int, float]]) -> tuple[float, int | None, float]:
-        """(score, nearest example's id, its cosine). No kept term: the share of toxic rows among such examples."""
-        if not vector:
-            return self.base, None, 0.0
-        examples, cosines = self.nearest(vector, self.neighbours)
-        if not len(examples):
-            return self.base, None, 0.0
-        votes = cosines**2 * self.weights[examples]
-        prior = PRIOR_WEIGHT * self.weights.mean()
-        share = float((votes @ self.labels[examples] + prior * self.prior) / (votes.sum() + prior))
-        return min(1.0, max(0.0, share)), int(self.ids[examples[0]]), float(cosines[0])
+    def _scores(self, at: np.ndarray, cell: np.ndarray, own: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Sums of products over the postings of the cells in the blocks in use, by document and example."""
+        n, width = len(use), self.blocks * BLOCK
+        held = use.reshape(-1)[at]
+        at, cell, own = at[held], cell[held], own[held]
+        size = self.cell_begin[cell + 1] - self.cell_begin[cell]
+        posting = _runs(self.cell_begin[cell], size)
+        place = np.repeat(at // self.blocks * width, size) + self.example[posting]
+        return np.bincount(place, np.repeat(own, size) * self.weight[posting], minlength=n * width).reshape(n, width)
+
+    def score(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, nearest examples' ids, cosines) of documents; id -1 and cosine 0 where no term is known.
+
+        Votes weigh the square of the cosine times what a row of the class stands for; the prior votes too.
+        """
+        n = len(ends)
+        scores, near, cosines = np.full(n, self.prior), np.full(n, -1), np.zeros(n)
+        if not len(self.ids):
+            return scores, near, cosines
+        doc, term, w = self.vectors(h, ends)
+        step = max(1, _SCORES // len(self.ids))
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            lo, hi = np.searchsorted(doc, (a, b))
+            examples, cosine = self.nearest(doc[lo:hi] - a, term[lo:hi], w[lo:hi], b - a)
+            votes = cosine**2 * self.weights[examples] / self.weights.mean()
+            scores[a:b] = np.clip(((votes * self.labels[examples]).sum(1) + PRIOR_WEIGHT * self.prior) / (votes.sum(1) + PRIOR_WEIGHT), 0, 1)
+            near[a:b], cosines[a:b] = np.where(examples[:, 0] >= 0, self.ids[examples[:, 0]], -1), cosine[:, 0]
+        return scores, near, cosines
+
+
+def _best_of(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Each row's term of the largest value, ties to the smaller; -1: a row without terms."""
+    order = np.lexsort((term, -value, row))
+    out = np.full(n, -1)
+    first = np.flatnonzero(np.diff(row[order], prepend=-1))
+    out[row[order][first]] = term[order][first]
+    return out
+
+
+def build(ids: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, neighbours: int = NEIGHBOURS) -> Index:
+    """The index of examples: hashes and counts are their terms one after another, sizes[i] of them example i's.
+
+    A term weighs (1 + ln count) x idf x (1 + chi square), where chi square (2 x 2, with continuity correction) tells
+    how much more often the term comes in toxic examples; it is 0 where it does not. No term is left out.
+    """
+    n = len(ids)
+    codes, term = np.unique(hashes, return_inverse=True)
+    row = np.repeat(np.arange(n), sizes)
+    every, toxic = np.bincount(term, minlength=len(codes)), np.bincount(term, labels[row], minlength=len(codes))
+    share = labels.mean() if n else 0.0
+    excess = np.maximum(0.0, toxic - every * share - 0.5)
+    chi = excess**2 / np.maximum(1e-12, every * share * (1 - share))
+    whole = stands_for.sum()
+    idf = np.log(1 + whole / np.bincount(term, stands_for[row], minlength=len(codes)))
+    scale = idf * (1 + chi)
+    w = (1 + np.log(counts)) * scale[term]
+    w = w / np.sqrt(np.bincount(row, w * w, minlength=n))[row]
+    # examples of one most common term (most often those of a language), and then of one leading term, stand side by
+    # side, which makes the bounds of blocks tight
+    common, lead = (_best_of(row, term, x, n) for x in (every[term], w))
+    order = np.lexsort((ids, lead, labels, common))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    at = place[row]
+    order_p = np.lexsort((at, term))
+    t, example, weight = term[order_p], at[order_p], w[order_p]
+    block = example // BLOCK
+    start = np.flatnonzero(np.diff(t, prepend=-1) | np.diff(block, prepend=-1))
+    return Index(
+        codes, scale, math.log(1 + whole), ids[order], labels[order], stands_for[order], float(labels @ stands_for / whole) if n else 0.0, neighbours,
+        np.searchsorted(t[start], np.arange(len(codes) + 1)), block[start], np.maximum.reduceat(weight, start) if len(start) else weight, np.append(start, len(t)), example, weight,
+    )
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -122,27 +201,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _count_terms(docs: DataFrame) -> DataFrame:
-    """(doc_id, toxic, terms array<struct<term, n>>) of (doc_id, toxic, t)."""
+    """(doc_id, toxic, h, terms array, counts array) of (doc_id, toxic, h, t): the hashes of a text's terms, and how often each comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                names, codes, ends = terms(part.column(2))
-                names, out = np.array(names, object), []
-                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    own, n = np.unique(codes[a:b], return_counts=True)
-                    out.append([{"term": t, "n": k} for t, k in zip(names[own].tolist(), n.tolist(), strict=True) if t])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))], names=["doc_id", "toxic", "terms"])
+                h, ends = terms(part.column(3))
+                own = [np.unique(h[a:b], return_counts=True) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                kind = pa.list_(pa.int64())
+                lists = [pa.array([x.view(np.int64) for x, _ in own], kind), pa.array([n for _, n in own], kind)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], names=["doc_id", "toxic", "h", "terms", "counts"])
 
-    return docs.mapInArrow(run, "doc_id bigint, toxic int, terms array<struct<term:string,n:bigint>>")
+    return docs.mapInArrow(run, "doc_id bigint, toxic int, h bigint, terms array<bigint>, counts array<bigint>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = EXAMPLES_PER_CLASS, min_z: float = MIN_Z, neighbours: int = NEIGHBOURS) -> Index:
-    """Fit on the labelled rows that are not held out: per_class of each class at most, in the order of a hash of their ids.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = EXAMPLES_PER_CLASS, terms_per_class: int = TERMS_PER_CLASS, neighbours: int = NEIGHBOURS) -> Index:
+    """Fit on the labelled rows that are not held out, in the order of a hash of their ids.
 
-    Rows with a null id or label are left out; of several labels of one id the largest holds. Class weights make up for
-    the draw. Everything on the driver is bounded by per_class and by the terms that pass min_z among those rows.
-    Without examples every score is 0.
+    Of each class per_class rows at most are drawn, and those whose terms exceed terms_per_class in all are left out:
+    this bounds what the driver and each task hold, whatever the tables. Rows with a null id or label are left out; of
+    several labels of one id the largest holds; copies of a text in a class are one example, different texts of one id
+    are examples of their own. Examples stand for all labelled rows of their class in idf, votes and prior. Without
+    examples every score is 0.
     """
     spark = docs.sparkSession
     scratch_root(spark)
@@ -152,78 +232,39 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids of 12 bytes
     sample = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("t")).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
-    # copies of a text are one example, or a group of them would make all its words look telling
-    counted = written(_count_terms(sample.select("doc_id", "toxic", "t").dropDuplicates(["toxic", "t"])), "toxicity-examples")
-    n = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    each = {y: total.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)}
-    shares = counted.select("toxic", F.explode("terms.term").alias("term")).groupBy("term").agg(F.sum(F.lit(1) - F.col("toxic")).alias("a"), F.sum("toxic").alias("b"))
-    p1, p0 = F.col("b") / max(1, n1), F.col("a") / max(1, n0)
-    pooled = (F.col("a") + F.col("b")) / max(1, n0 + n1)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / max(1, n0) + 1 / max(1, n1)))
-    strong = shares.where((F.col("b") >= 2) & (p1 - p0 >= min_z * error) & (p1 >= MIN_LIFT * p0) & (pooled < 1)).withColumn("df", F.col("a") * each[0] + F.col("b") * each[1])
-    every = n0 * each[0] + n1 * each[1]
-    idf = {r["term"]: math.log(1 + every / r["df"]) for r in strong.orderBy("term").collect()}
-    held = counted.select("doc_id", "toxic", F.filter("terms", lambda x: x["term"].isin(*idf) if idf else F.lit(False)).alias("terms")) if len(idf) <= 200 else None
-    if held is None:
-        kept = F.broadcast(strong.select("term"))
-        held = counted.select("doc_id", "toxic", F.explode_outer("terms").alias("x")).select("doc_id", "toxic", "x.term", "x.n").join(kept.withColumn("k", F.lit(1)), "term", "left").groupBy("doc_id", "toxic").agg(F.collect_list(F.when(F.col("k") == 1, F.struct("term", "n"))).alias("terms"))
-    index = Index(idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.0, 0.0, neighbours, {t: i for i, t in enumerate(idf)})
-    rows = []
-    empty = np.zeros(2)
-    for r in held.collect():
-        v = index.vector({x["term"]: x["n"] for x in r["terms"]})
-        if v:
-            # examples led by one term stand side by side, which makes the bounds of blocks tight
-            rows.append((max(v, key=lambda x: x[1])[0], r["toxic"], r["doc_id"], v))
-        else:
-            empty[r["toxic"]] += each[r["toxic"]]
-    rows.sort(key=lambda r: r[:3])
-    index.ids = np.array([r[2] for r in rows], np.int64)
-    index.labels = np.array([r[1] for r in rows], float)
-    index.weights = np.array([each[r[1]] for r in rows], float)
-    index.prior = float(index.labels @ index.weights / index.weights.sum()) if rows else 0.0
-    index.base = float(empty[1] / empty.sum()) if empty.sum() else 0.0
-    index.fill([r[3] for r in rows])
-    return index
+    sample = sample.groupBy("toxic", "t").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", F.xxhash64("t").alias("h"), "t")
+    counted = written(_count_terms(sample).withColumn("n", F.size("terms")), "toxicity-examples")
+    until = F.sum("n").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    kept = counted.withColumn("until", until).where(F.col("until") <= terms_per_class)
+    found = kept.select("doc_id", "toxic", "h", "terms", "counts").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("h", "ascending")]).combine_chunks()
+    labels_of = found.column("toxic").to_numpy().astype(float)
+    n = {y: max(1, int((labels_of == y).sum())) for y in (0, 1)}
+    flat = lambda c: pc.list_flatten(found.column(c)).to_numpy()
+    stands_for = np.where(labels_of == 1, total.get(1, 0) / n[1], total.get(0, 0) / n[0])
+    return build(found.column("doc_id").to_numpy(), labels_of, stands_for, flat("terms").view(np.uint64), flat("counts"), pc.list_value_length(found.column("terms")).to_numpy(), neighbours)
 
 
 def toxicity_scores(docs: DataFrame, index: Index, text: str = "text", keep: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1), predicted (1 if score >= threshold), neighbour (nearest example's id) and cosine.
 
-    Each whole text is scored by itself; null and empty texts have no kept term. The new columns are named
-    toxic_score, toxic_predicted, toxic_neighbour and toxic_cosine, numbered on where docs has such names; with keep
-    only the columns of docs come back, and only rows that are not predicted.
+    Each whole text is scored by itself; a text without a term that an example has gets the prior, no neighbour and
+    cosine 0, as null and empty texts do. The new columns are named toxic_score, toxic_predicted, toxic_neighbour and
+    toxic_cosine, with underscores before them where docs has such a name in any case; with keep only the columns of
+    docs come back, and only rows that are not predicted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = ["toxic_score", "toxic_predicted", "toxic_neighbour", "toxic_cosine"]
-    while set(names) & set(docs.columns):
-        names = [f"{x}_" for x in names]
+    names = [free_name(docs, x) for x in ("toxic_score", "toxic_predicted", "toxic_neighbour", "toxic_cosine")]
     own = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             for part in slices(batch, text):
-                named, codes, ends = terms(pc.fill_null(part.column(own.index(text)), ""))
-                kept = np.array([t in index.code for t in named] or [False])
-                hit = np.flatnonzero(kept[codes]) if len(codes) else np.zeros(0, np.int64)
-                doc, term = np.searchsorted(ends, hit, "right"), codes[hit]
-                score, seen = np.full(len(part), index.base), {}
-                near: list[int | None] = [None] * len(part)
-                cosine = np.zeros(len(part))
-                cut = np.flatnonzero(np.diff(doc)) + 1
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
-                    if b > a:
-                        d, key = int(doc[a]), np.sort(term[a:b]).tobytes()
-                        if key not in seen:
-                            t, n = np.unique(term[a:b], return_counts=True)
-                            seen[key] = index.score(index.vector({named[i]: k for i, k in zip(t.tolist(), n.tolist(), strict=True)}))
-                        score[d], near[d], cosine[d] = seen[key]
+                score, near, cosine = index.score(*terms(pc.fill_null(part.column(own.index(text)), "")))
                 if keep:
                     yield pa.RecordBatch.from_arrays(part.filter(pa.array(score < threshold)).columns, names=own)
                 else:
-                    more = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(near, pa.int64()), pa.array(cosine)]
+                    more = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(near, pa.int64(), mask=near < 0), pa.array(cosine)]
                     yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*own, *names])
 
     if keep:

@@ -185,35 +185,61 @@ def test_host_rates_shrink(spark):
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(0)
     v, n = 60, 1500
-    index = toxicity.Index({f"t{i}": 1.0 + i % 7 for i in range(v)}, np.arange(n), rng.integers(0, 2, n).astype(float), np.ones(n), 0.5, 0.1, 15, {f"t{i}": i for i in range(v)})
     share = 1 / np.arange(1, v + 1)
-    vectors = sorted((index.vector({f"t{int(j)}": 1 + int(j) % 3 for j in rng.choice(v, rng.integers(1, 8), replace=False, p=share / share.sum())}) for _ in range(n)), key=lambda x: max(x, key=lambda p: p[1])[0])
-    index.fill(vectors)
-    dense = np.zeros((n, v))
-    for i, x in enumerate(vectors):
-        for t, w in x:
-            dense[i, t] = w
-    for _ in range(200):
-        q = index.vector({f"t{int(j)}": 1 for j in rng.choice(v, rng.integers(1, 9), replace=False)})
-        score = np.round(dense @ np.array([dict(q).get(t, 0.0) for t in range(v)]), 8)
-        want = np.sort(score[score > 0])[::-1][:15]
-        examples, cosines = index.nearest(q, 15)
-        assert np.allclose(cosines, want, atol=1e-7) and np.allclose(score[examples], cosines, atol=1e-7)
+    draw = lambda: np.sort(rng.choice(v, rng.integers(0, 8), replace=False, p=share / share.sum())).astype(np.uint64) + np.uint64(5)
+    own = [draw() for _ in range(n)]
+    sizes = np.array([len(x) for x in own])
+    index = toxicity.build(np.arange(n), rng.integers(0, 2, n).astype(float), np.ones(n), np.concatenate(own), rng.integers(1, 4, sizes.sum()), sizes)
+    assert index.first[-1] == len(index.cell_block) < len(index.example) == sizes.sum()
+    dense = np.zeros((n, len(index.codes)))
+    for t in range(len(index.codes)):
+        for c in range(index.first[t], index.first[t + 1]):
+            at = slice(index.cell_begin[c], index.cell_begin[c + 1])
+            dense[index.example[at], t] = index.weight[at]
+            assert index.cell_max[c] == index.weight[at].max() and set(index.example[at] // toxicity.BLOCK) == {index.cell_block[c]}
+    assert np.allclose(np.linalg.norm(dense, axis=1), (sizes > 0)[index.ids])
+    queries = [draw() for _ in range(200)]
+    ends = np.cumsum([len(q) for q in queries])
+    doc, term, w = index.vectors(np.concatenate(queries), ends)
+    examples, cosines = index.nearest(doc, term, w, 200)
+    for i in range(200):
+        q = np.zeros(len(index.codes))
+        q[term[doc == i]] = w[doc == i]
+        score = np.round(dense @ q, 9)
+        want = np.lexsort((np.arange(n), -score))[: index.neighbours]
+        want = want[score[want] > 0]
+        assert examples[i][: len(want)].tolist() == want.tolist() and (examples[i][len(want) :] == -1).all()
+        assert np.allclose(cosines[i][: len(want)], score[want], atol=2e-9)
+
+
+def test_blocks_below_the_bound_are_not_read(monkeypatch):
+    # each block of examples has a term of its own, so a document with that term needs its block alone
+    n = 20 * toxicity.BLOCK
+    index = toxicity.build(np.arange(n), np.zeros(n), np.ones(n), np.arange(n, dtype=np.uint64) // np.uint64(toxicity.BLOCK), np.ones(n, np.int64), np.ones(n, np.int64))
+    read = []
+    scores_of = toxicity.Index._scores
+    monkeypatch.setattr(toxicity.Index, "_scores", lambda self, at, cell, own, use: read.append(int(use.sum())) or scores_of(self, at, cell, own, use))
+    examples, cosines = index.nearest(*index.vectors(np.array([3], np.uint64), np.array([1])), 1)
+    assert sum(read) <= toxicity.FIRST_BLOCKS and examples[0].tolist() == list(range(3 * toxicity.BLOCK, 3 * toxicity.BLOCK + index.neighbours)) and np.allclose(cosines, 1)
 
 
 def test_toxicity_scores(spark, docs, none):
     rng = np.random.default_rng(2)
-    made = [(i, words(rng, 30) + (" you absolute grobnik, vexmar" if i % 3 == 0 else ""), "s") for i in range(400)]
+    made = [(i, words(rng, 30) + (" you absolute grobnik, vexmar" if i % 5 == 0 else ""), "s") for i in range(400)]
     texts = frame(spark, made)
-    labels = spark.createDataFrame([(i, int(i % 3 == 0), "q") for i in range(400)] + [(None, 1, "q"), (7, None, "q"), (9_999, 1, "q")], "doc_id bigint, toxic int, t string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), "q") for i in range(400)] + [(None, 1, "q"), (7, None, "q"), (9_999, 1, "q")], "doc_id bigint, toxic int, t string")
     index = toxicity.fit(texts, labels)
-    assert {"grobnik", "vexmar"} <= set(index.idf)
+    weights = dict(zip(index.codes.tolist(), index.scale.tolist(), strict=True))
+    assert max(weights, key=weights.get) in {xxhash.xxh64_intdigest(w) for w in ("grobnik", "vexmar", "you", "absolute")}
+    # no term is left out
+    assert len(index.codes) == len({w.strip(",") for i, t, _ in made for w in t.split() if zlib.crc32(str(i).encode()) % 4 != 2})
     got = toxicity.toxicity_scores(texts, index).collect()
-    assert all(r["toxic_predicted"] == int(r["doc_id"] % 3 == 0) and 0 <= r["toxic_score"] <= 1 for r in got)
-    odd = toxicity.toxicity_scores(docs.withColumn("toxic_score", F.lit(1)), index)
-    assert odd.count() == docs.count() and "_toxic_score" not in odd.columns and "toxic_score_" in odd.columns
+    assert all(r["toxic_predicted"] == int(r["doc_id"] % 5 == 0) and 0 <= r["toxic_score"] <= 1 for r in got)
+    odd = toxicity.toxicity_scores(docs.withColumn("Toxic_Score", F.lit(1)), index)
+    assert odd.count() == docs.count() and odd.select("Toxic_Score").first()[0] == 1 and "_toxic_score" in odd.columns
+    assert {r["_toxic_score"] for r in odd.where("trim(coalesce(text, '')) = ''").collect()} == {index.prior}
     kept = toxicity.toxicity_scores(texts, index, keep=True)
-    assert kept.columns == texts.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(400) if i % 3}
+    assert kept.columns == texts.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(400) if i % 5}
     assert toxicity.toxicity_scores(none, index).count() == 0
     blank = toxicity.fit(none, labels.limit(0))
     assert {r["toxic_score"] for r in toxicity.toxicity_scores(docs, blank).collect()} == {0.0}
@@ -223,8 +249,19 @@ def test_held_out_rows_are_never_examples(spark):
     rng = np.random.default_rng(2)
     texts = frame(spark, [(i, words(rng, 10) + " grobnik", "s") for i in range(300)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, toxic int")
-    index = toxicity.fit(texts, labels, min_z=-1.0)
-    assert not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in index.ids.tolist())
+    index = toxicity.fit(texts, labels)
+    assert len(index.ids) > 150 and not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in index.ids.tolist())
+
+
+def test_texts_of_one_id_are_examples_of_their_own_at_any_size(spark):
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, toxic int")
+    for n in (2, 400):
+        texts = frame(spark, [(1, "alpha " * 3, "s"), (1, " ".join(f"t{i}" for i in range(n)), "s"), (1, "alpha " * 3, "s"), (3, "beta gamma", "s")])
+        index = toxicity.fit(texts, labels)
+        assert sorted(index.ids.tolist()) == [1, 1, 3] and len(index.codes) == n + 3
+        assert sorted(index.weights.tolist()) == [0.5, 0.5, 1.0]
+    few = toxicity.fit(texts, labels, terms_per_class=10)
+    assert sorted(few.ids.tolist()) in ([1, 3], [3])
 
 
 # 6

@@ -81,6 +81,52 @@ def test_toxicity_is_held_out(spark):
     assert wins > 0.75 and sum(p for y, _, p in seen if not y) <= 0.02 * len(clean)
 
 
+def brute_scores(texts, labels):
+    """Toxicity by id from dense vectors of all labelled rows that are not held out."""
+    plain = lambda t: Counter(w for w in (x.strip(toxicity._TRIM) for x in re.findall(WORD, (t or "").lower())) if w)
+    own = {}
+    for i, y in sorted(labels.items()):
+        if i in texts and zlib.crc32(str(i).encode()) % 4 != 2:
+            own.setdefault((y, texts[i] or ""), i)
+    examples = [(i, y, plain(t)) for (y, t), i in own.items()]
+    assert all(sum(y == k for _, y, _ in examples) <= toxicity.EXAMPLES_PER_CLASS for k in (0, 1))
+    seen = Counter(y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2)
+    stands = np.array([seen[y] / sum(k == y for _, k, _ in examples) for _, y, _ in examples])
+    toxic = np.array([float(y) for _, y, _ in examples])
+    vocabulary = {w: j for j, w in enumerate(sorted({w for _, _, c in examples for w in c}))}
+    has = np.zeros((len(examples), len(vocabulary)), bool)
+    tf = np.zeros(has.shape)
+    for row, (_, _, c) in enumerate(examples):
+        for w, n in c.items():
+            has[row, vocabulary[w]], tf[row, vocabulary[w]] = True, 1 + np.log(n)
+    share = toxic.mean()
+    n = has.sum(0)
+    chi = np.maximum(0, has.T @ toxic - n * share - 0.5) ** 2 / (n * share * (1 - share))
+    scale = np.log(1 + stands.sum() / (has.T @ stands)) * (1 + chi)
+    unit = tf * scale
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    prior = float(toxic @ stands / stands.sum())
+    out = {}
+    for i, t in texts.items():
+        q = np.zeros(len(vocabulary))
+        for w, k in plain(t).items():
+            if w in vocabulary:
+                q[vocabulary[w]] = (1 + np.log(k)) * scale[vocabulary[w]]
+        cosine = unit @ q / (np.linalg.norm(q) or 1)
+        near = np.argsort(-cosine, kind="stable")[: toxicity.NEIGHBOURS]
+        votes = cosine[near] ** 2 * stands[near] / stands.mean()
+        out[i] = (votes @ toxic[near] + toxicity.PRIOR_WEIGHT * prior) / (votes.sum() + toxicity.PRIOR_WEIGHT)
+    return out
+
+
+def test_toxicity_equals_dense_cosine(spark, data, result, texts):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    want = brute_scores({i: r["text"] for i, r in texts.items()}, labels)
+    got = {r["doc_id"]: r["score"] for r in result("op5_toxicity")}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+    assert len(set(got.values())) > 100
+
+
 def test_leaks(spark, data, result, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     plain = lambda t: " ".join(w for w in (x.strip(".,") for x in re.findall(WORD, (t or "").lower())) if w)
@@ -131,6 +177,28 @@ def test_mixing(result, texts):
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
 
 
+def brute_near_firsts(texts):
+    """The smallest id of each class of texts linked at a Jaccard similarity of 0.8 over five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ordered = sorted(sets)
+    for a, i in enumerate(ordered):
+        for j in ordered[a + 1 :]:
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= 0.8 * len(sets[i] | sets[j]):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    return {root(i) for i in ordered}
+
+
 def test_pipeline_stages(spark, data, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "mixing", "token_ids"]
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -144,16 +212,10 @@ def test_pipeline_stages(spark, data, tmp_path):
             assert docs.columns == names
     ids = lambda rows: Counter(r["doc_id"] for r in rows)
 
-    index = toxicity.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
-    plain = lambda t: (w.strip(toxicity._TRIM) for w in re.findall(WORD, (t or "").lower()))
-    assert ids(after["toxicity"]) == ids(r for r in before if index.score(index.vector(Counter(plain(r["text"]))))[0] < toxicity.THRESHOLD)
+    score = brute_scores({r["doc_id"]: r["text"] for r in before}, {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()})
+    assert ids(after["toxicity"]) == ids(r for r in before if score[r["doc_id"]] < toxicity.THRESHOLD)
 
-    prints = {r["doc_id"]: brute_print(r["text"]) for r in after["toxicity"]}
-    label = brute_classes(prints.values())
-    least = {}
-    for i in sorted(prints, reverse=True):
-        least[label[prints[i]]] = i
-    assert ids(after["simhash"]) == Counter(least.values())
+    assert ids(after["simhash"]) == Counter(brute_near_firsts({r["doc_id"]: r["text"] for r in after["toxicity"]}))
 
     items = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     squeezed = lambda t: " ".join(w for w in (x.strip(".,") for x in re.findall(WORD, (t or "").lower())) if w)

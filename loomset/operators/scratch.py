@@ -5,20 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; below a temporary folder only where that is unset (tests, local mode)."""
+    """A fresh path below spark.checkpoint.dir; below a temporary folder only where that is unset on a local master."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="loomset-"))
     return f"{root.rstrip('/')}/loomset-{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Let checkpoint() write to the shared folder."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the scratch folder and read from there: its lineage ends, and nothing evaluates it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomset.operators.scratch import scratch
+
 #: The tables of a dump with their columns; s string, i bigint, f double.
 SCHEMAS = {
     "album": (("id", "s"), ("name", "s"), ("uri", "s")),
@@ -25,69 +30,75 @@ ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 _INSERT = r"^[\r\n]*INSERT INTO `([^`]+)` VALUES "
 
 
+#: A cell, a string or a bare word up to the next comma or bracket, with the comma or the end of its list after it; what
+#: stands between lists is skipped. No such mark after a string: another cell follows, which spoils the list's length.
+_CELL = re.compile(r"(?:'([^'\\]*(?:\\.[^'\\]*)*)'|(?!')([^,)]*))(?:(,)|(\))[^(]*\(?)?", re.S)
+_ESCAPE = re.compile(r"\\(.)", re.S)
+
+
 def tuples(payload: str) -> Iterator[list[str | None]]:
     """The value lists of a VALUES payload; NULL is None, other bare words stay as text, a torn last list is dropped."""
-    at, n = 0, len(payload)
-    while (at := payload.find("(", at)) >= 0:
-        cells: list[str | None] = []
-        at += 1
-        done = False
-        while not done:
-            if at >= n:
-                return
-            if payload[at] == "'":
-                parts, at = [], at + 1
-                while True:
-                    quote, slash = payload.find("'", at), payload.find("\\", at)
-                    if quote < 0 or slash == n - 1:
-                        return
-                    if 0 <= slash < quote:
-                        parts += [payload[at:slash], ESCAPES.get(payload[slash + 1], payload[slash + 1])]
-                        at = slash + 2
-                    else:
-                        parts.append(payload[at:quote])
-                        at = quote + 1
-                        break
-                cells.append("".join(parts))
-            else:
-                end = min((i for i in (payload.find(",", at), payload.find(")", at)) if i >= 0), default=n)
-                word = payload[at:end].strip()
-                cells.append(None if word == "NULL" else word)
-                at = end
-            # anything but a comma or the end of the list begins a further cell, which spoils the list's length
-            if at < n and payload[at] in ",)":
-                done = payload[at] == ")"
-                at += 1
-        yield cells
-
-
-@F.udtf(returnType=T.StructType([T.StructField("cells", T.ArrayType(T.StringType()))]))
-class ParseValues:
-    """Table function of a VALUES payload: one row of cells a list."""
-
-    def eval(self, payload: str):
-        for cells in tuples(payload or ""):
-            yield (cells,)
+    start, n = payload.find("("), len(payload)
+    if start < 0:
+        return
+    cells: list[str | None] = []
+    for found in iter(_CELL.scanner(payload, start + 1).match, None):  # stops at a string without an end
+        text, word, comma, close = found.groups()
+        if text is None:
+            word = word.strip()
+            cells.append(None if word == "NULL" else word)
+        else:
+            cells.append(_ESCAPE.sub(lambda m: ESCAPES.get(m[1], m[1]), text) if "\\" in text else text)
+        if close:
+            yield cells
+            cells = []
+        elif not comma and found.end() == n:
+            return
+
+
+def parsed(payloads: DataFrame) -> DataFrame:
+    """(name, cells) of payloads (name, payload): a row for each value list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lists = tuples(payload or "")
+                while part := list(itertools.islice(lists, 20_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part, pa.list_(pa.string()))], names=["name", "cells"])
+
+    return payloads.select(F.col("name").cast("string").alias("name"), "payload").mapInArrow(run, "name string, cells array<string>")
 
 
 def statements(spark: SparkSession, path: str, terminated: bool | None = None, limit_bytes: int | None = None) -> DataFrame:
-    """(value, at): the statements of a dump, cut at ; and line end, in a splittable scan; invalid UTF-8 is replaced.
+    """(value): the statements of a dump file, cut at ; and line end, in a splittable scan; invalid UTF-8 is replaced.
 
-    A last statement without its terminator is dropped. limit_bytes keeps the statements that begin before that byte,
-    for a trial run over one file.
+    A last statement without its terminator is dropped, and only that: others equal to it stay. limit_bytes takes the
+    first so many bytes alone, for a trial run: they are copied to the scratch folder as a stream, whatever the file's size.
     """
-    raw = spark.read.option("lineSep", ";\n").text(path)
-    rows = raw.select(F.call_function("make_valid_utf8", F.col("value")).alias("value"))
+    if limit_bytes is not None:
+        path, terminated = _prefix(spark, path, limit_bytes), None
+    rows = spark.read.option("lineSep", ";\n").text(path)
     if terminated is None:
         terminated = _ends_with(spark, path, b";\n")
-    if limit_bytes is not None:
-        files = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, limit_bytes).cast("string").alias("content"))
-        parts = F.split("content", ";\n")
-        return files.select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("value"))
     if not terminated:
-        tail = _last_statement(spark, path)
-        rows = rows.where(F.col("value") != tail)
-    return rows
+        tail = F.col("value").cast("binary") == F.lit(bytearray(_last_statement(spark, path)))
+        # equal statements cannot be told apart, so one of them less is the last one less
+        rows = rows.where(~tail).union(rows.where(tail).withColumn("n", F.row_number().over(Window.partitionBy("value").orderBy("value"))).where("n > 1").select("value"))
+    return rows.select(F.call_function("make_valid_utf8", F.col("value")).alias("value"))
+
+
+def _prefix(spark: SparkSession, path: str, n: int) -> str:
+    """A copy of a file's first n bytes."""
+    fs, p, size = _file(spark, path)
+    out = f"{scratch(spark, 'dump-prefix')}/part.sql"
+    target = spark._jvm.org.apache.hadoop.fs.Path(out)
+    source, sink = fs.open(p), target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, sink, 0, min(n, size))
+    finally:
+        source.close()
+        sink.close()
+    return out
 
 
 def _file(spark: SparkSession, path: str):
@@ -111,13 +122,13 @@ def _ends_with(spark: SparkSession, path: str, end: bytes) -> bool:
     return _tail(spark, path, len(end)) == end
 
 
-def _last_statement(spark: SparkSession, path: str, step: int = 1 << 20) -> str:
+def _last_statement(spark: SparkSession, path: str, step: int = 1 << 20) -> bytes:
     size = _file(spark, path)[2]
     n = step
     while True:
         found = _tail(spark, path, n)
         if b";\n" in found or n >= size:
-            return found.rpartition(b";\n")[2].decode("utf-8", "replace")
+            return found.rpartition(b";\n")[2]
         n *= 4
 
 
@@ -134,13 +145,14 @@ def chosen_tables(tables: list[str] | None = None, preset: str | None = None) ->
 def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, preset: str | None = None, limit_bytes: int | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """({table: rows}, dropped) of a dump: typed rows by table, and (table, n) of value lists of a wrong length.
 
-    '' and text that is no number are null in numeric columns. One scan is cut into statements once for all tables.
+    '' and text that is no number are null in numeric columns. The dump is parsed once, into a scratch table by name, of
+    which each table reads its own part.
     """
     names = chosen_tables(tables, preset)
     found = statements(spark, path, limit_bytes=limit_bytes).select(F.regexp_extract("value", _INSERT, 1).alias("name"), F.regexp_replace("value", _INSERT, "").alias("payload")).where(F.col("name").isin(*names))
-    spark.udtf.register("loomset_parse_values", ParseValues)
-    cells = _lateral(found)
-    cells = cells.persist()
+    place = scratch(spark, "dump-cells")
+    parsed(found).write.partitionBy("name").parquet(place)
+    cells = spark.read.schema("cells array<string>, name string").parquet(place)
     typed = {}
     for name in names:
         columns = SCHEMAS[name]
@@ -151,11 +163,6 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, p
     return typed, dropped
 
 
-def _lateral(found: DataFrame) -> DataFrame:
-    found.createOrReplaceTempView("loomset_dump_statements")
-    return found.sparkSession.sql("SELECT s.name, v.cells FROM loomset_dump_statements s, LATERAL loomset_parse_values(s.payload) v")
-
-
 def _typed(c, kind: str):
     return c if kind == "s" else F.trim(c).try_cast(_TYPES[kind])
 

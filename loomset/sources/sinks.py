@@ -1,39 +1,61 @@
-"""Sinks: compressed tables, ordered tables, runs and their promotion, history, pointers, column rewrites."""
+"""Sinks: compressed tables, ordered tables, versions behind a pointer, runs and their promotion, history, column rewrites."""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: In a table's folder: the file that names the current version, and what versions' folders begin with.
+POINTER, VERSION = "_current", "_version-"
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def write_table(df: DataFrame, path: str, order_by: str | None = None, mode: str = "errorifexists") -> None:
-    """Zstandard Parquet; with order_by in ranges of that column, each file sorted."""
+def write_table(df: DataFrame, path: str, order_by: str | None = None, mode: str = "errorifexists", row_group_bytes: int | None = None) -> None:
+    """Zstandard Parquet; with order_by in ranges of that column, each file sorted; row_group_bytes sizes its row groups."""
     if order_by:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartitionByRange(n, order_by).sortWithinPartitions(order_by)
-    df.write.mode(mode).option("compression", "zstd").parquet(path)
+    out = df.write.mode(mode).option("compression", "zstd")
+    if row_group_bytes:
+        out = out.option("parquet.block.size", row_group_bytes)
+    out.parquet(path)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file under a temporary name, then renamed over path."""
+    """A small text file under a temporary name, then moved over path in one step: path always holds a whole text."""
     fs, target = _fs(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    jvm = spark._jvm
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} could not be written")
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(part), fs.makeQualified(target), options)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if there is none."""
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def write_history(spark: SparkSession, path: str, history: list[dict]) -> None:
@@ -41,28 +63,56 @@ def write_history(spark: SparkSession, path: str, history: list[dict]) -> None:
     write_text(spark, path, json.dumps(history))
 
 
-def promote(spark: SparkSession, run: str, target: str, confirm: bool = False) -> None:
-    """Copy a run's table to the place that is served; only on demand is an existing one replaced."""
-    fs, p = _fs(spark, target)
-    if fs.exists(p) and not confirm:
-        raise FileExistsError(f"{target} exists; confirm to replace it")
-    spark.read.parquet(run).write.mode("overwrite").option("compression", "zstd").parquet(target)
+def table_path(spark: SparkSession, path: str) -> str | None:
+    """Where the rows of the table at path are: its current version, or path itself if it is a plain folder; None: no table."""
+    if name := read_text(spark, f"{path}/{POINTER}"):
+        return f"{path}/{name}"
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return path if any(n[0] not in "_." for n in names) or "_SUCCESS" in names else None
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that write_table() or replace_table() left at path."""
+    found = table_path(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(found)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside path, then rename: df may read from path itself."""
+    """Make df the table at path, from which df may itself be read.
+
+    The rows are written as a new version in the folder, then the pointer is moved to it in one step. A crash before
+    that leaves the table as it was, one after it the new table; versions but the last two go.
+    """
     spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    part, old = f"{path}.{uuid.uuid4().hex}.part", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.option("compression", "zstd").parquet(part)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(target):
-        fs.rename(target, hadoop(old))
-    fs.rename(hadoop(part), target)
-    fs.delete(hadoop(old), True)
+    fs, folder = _fs(spark, path)
+    old = read_text(spark, f"{path}/{POINTER}")
+    name = f"{VERSION}{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    write_text(spark, f"{path}/{POINTER}", name)
+    for s in fs.listStatus(folder):
+        own = s.getPath().getName()
+        if own not in (POINTER, name, old) and not own.endswith(".part"):
+            fs.delete(s.getPath(), True)
+
+
+def promote(spark: SparkSession, run: str, target: str, confirm: bool = False) -> None:
+    """Copy a run's table to the place that is served; only on demand is an existing one replaced."""
+    if table_path(spark, target) is not None and not confirm:
+        raise FileExistsError(f"{target} exists; confirm to replace it")
+    replace_table(read_table(spark, run), target)
 
 
 def rewrite_column(spark: SparkSession, path: str, column: str, value: Column, order_by: str) -> None:
     """Replace one column of a table in place, keeping its columns' order and its rows in the order of a key."""
-    df = spark.read.parquet(path)
+    df = read_table(spark, path)
     replace_table(df.select(*(value.alias(c) if c == column else F.col(c) for c in df.columns)).orderBy(order_by), path)
+
+
+def export_vectors(table: DataFrame, path: str) -> None:
+    """The vectors (ix, v) of a training table as float32, in ranges of ix; nothing of the optimizer's state."""
+    write_table(table.select("ix", F.col("v").cast("array<float>").alias("v")), path, order_by="ix", mode="overwrite")

@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomset.operators.cache import upserted
-from loomset.sources.sinks import replace_table
+from loomset.sources.sinks import read_table, replace_table, table_path
 
 
 def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: str = "id", at: str = "fetched_at") -> StreamingQuery:
-    """Keep the table at path at the latest row of each key. A batch that runs again changes nothing."""
+    """Keep the table at path (see sinks.read_table) at the latest row of each key. A batch that runs again changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
+        old = read_table(spark, path) if table_path(spark, path) is not None else batch.limit(0)
         replace_table(upserted(old, batch.select(*old.columns), key, at), path)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -35,6 +35,19 @@ def test_tuples_round_trip():
         assert list(dump.tuples(",".join("(" + ",".join(map(code, r)) + ")" for r in rows))) == rows
 
 
+def test_the_tokenizer_is_linear():
+    import time
+
+    row = "(123,'a name of some length','uri:x:0123456789',NULL,4.5)"
+    took = []
+    for n in (2_000, 20_000):
+        text = ",".join([row] * n)
+        begin = time.process_time()
+        assert sum(1 for _ in dump.tuples(text)) == n
+        took.append((time.process_time() - begin) / n)
+    assert took[1] < 3 * took[0]
+
+
 def test_dump(spark, tmp_path):
     path = tmp_path / "d.sql"
     path.write_bytes(DUMP.replace("ok'", "ok\xff'").encode("latin-1"))
@@ -48,6 +61,15 @@ def test_dump(spark, tmp_path):
     assert [r["id"] for r in got["album"].collect()] == ["c2"] and dropped.first()["n"] == 1
     path.write_text(DUMP)
     assert dump.read_dump(spark, str(path), limit_bytes=200)[0]["track"].count() == 0
+    # a whole statement equal to the torn tail stays
+    same = "INSERT INTO `album` VALUES ('d1','n','u')"
+    for text, n in ((f"{same};\n{same};\n{same}", 2), (same, 0), (f"{same};\n", 1), (f"{same};\n{same};\n{same};\n", 3)):
+        path.write_text(text)
+        assert dump.read_dump(spark, str(path), tables=["album"])[0]["album"].count() == n
+    path.write_bytes(f"{same};\nINSERT INTO `album` VALUES ('d2','".encode() + b"\xff\xfe','u')")
+    assert [r["id"] for r in dump.read_dump(spark, str(path), tables=["album"])[0]["album"].collect()] == ["d1"]
+    path.write_text(f"{same};\n" * 5)
+    assert dump.read_dump(spark, str(path), tables=["album"], limit_bytes=2 * len(same) + 8)[0]["album"].count() == 2
 
 
 def test_table_choice():
@@ -73,7 +95,7 @@ def test_sinks(spark, tmp_path):
     df = spark.range(100).withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
     sinks.write_table(df.orderBy(F.col("id").desc()), path, order_by="id")
     sinks.rewrite_column(spark, path, "name", F.upper("name"), "id")
-    assert [tuple(r) for r in spark.read.parquet(path).orderBy("id").limit(2).collect()] == [(0, "N0"), (1, "N1")]
+    assert [tuple(r) for r in sinks.read_table(spark, path).orderBy("id").limit(2).collect()] == [(0, "N0"), (1, "N1")]
     sinks.promote(spark, path, str(tmp_path / "served"))
     with pytest.raises(FileExistsError):
         sinks.promote(spark, path, str(tmp_path / "served"))
@@ -83,6 +105,36 @@ def test_sinks(spark, tmp_path):
     assert tables.verify_file(str(tmp_path / "h.json"), 14, md5=hashlib.md5(b'[{"epoch": 0}]').hexdigest()) and not tables.verify_file(str(tmp_path / "h.json"), 13)
 
 
+def test_a_crash_while_a_table_is_replaced_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3), path)
+    good = sinks.write_text
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    monkeypatch.setattr(sinks, "write_text", crash)
+    with pytest.raises(RuntimeError):
+        sinks.replace_table(spark.range(5), path)
+    assert sinks.read_table(spark, path).count() == 3
+    monkeypatch.setattr(sinks, "write_text", good)
+    sinks.replace_table(sinks.read_table(spark, path).union(spark.range(3, 5)), path)
+    assert sinks.read_table(spark, path).count() == 5
+    # a first version that was never pointed to is no table
+    monkeypatch.setattr(sinks, "write_text", crash)
+    with pytest.raises(RuntimeError):
+        sinks.replace_table(spark.range(5), str(tmp_path / "u"))
+    assert sinks.table_path(spark, str(tmp_path / "u")) is None
+
+
+def test_a_text_is_moved_over_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    for text in ("one", "two"):
+        sinks.write_text(spark, path, text)
+        assert sinks.read_text(spark, path) == text
+    assert sinks.read_text(spark, str(tmp_path / "none")) is None
+
+
 def test_npy(spark, tmp_path):
     m = np.arange(12, dtype=np.float32).reshape(4, 3)
     np.save(tmp_path / "m.npy", m)
@@ -96,7 +148,7 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
         q.awaitTermination(60)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "3", 2), ("b", "2", 1)}
+    assert {tuple(r) for r in sinks.read_table(spark, str(tmp_path / "out")).collect()} == {("a", "3", 2), ("b", "2", 1)}
 
 
 def test_service(spark, tmp_path):

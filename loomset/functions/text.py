@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that mark an edition inside brackets, and after a dash or colon.
-EDITION_WORDS = ("deluxe", "remaster", "expanded", "anniversary", "edition", "version", "bonus", "reissue", "mono", "stereo", "explicit", "clean", "special", "collector")
-SUFFIX_WORDS = ("deluxe", "remastered", "remaster", "expanded", "anniversary", "special")
+#: Notes of an edition inside brackets, and after a dash or colon up to the line's end, which has to be the
+#: title's (an ASCII word end follows the word, since \\b takes any Unicode letter for a word character here).
+EDITION_PATTERN = r"\s*[\(\[][^\)\]]*(deluxe|remaster|expanded|anniversary|edition|version|bonus|reissue|mono|stereo|explicit|clean|special|collector)[^\)\]]*[\)\]]"
+SUFFIX_PATTERN = r"\s*[-–:]\s*(deluxe|remastered|remaster|expanded|anniversary|special)(?![A-Za-z0-9_])[^\n]*\z"
 #: Fixed value: the form of natural ids.
 ID_PATTERN = "^[0-9A-Za-z]{22}$"
+#: The address below which cards link to pages; a parameter wherever it is used.
+CARD_URL = "https://open.example.org"
 #: An image's key is a path's last segment less its first 16 characters, of this form.
 HASH_SKIP, HASH_PATTERN = 16, "^[0-9a-f]{24}$"
 
@@ -36,15 +40,29 @@ def _folded_udf(s: pd.Series) -> pd.Series:
     return s.map(_folded, na_action="ignore")
 
 
+def _letters(change: Callable[[str], str]) -> tuple[str, str, str]:
+    """(pattern of texts, from, to): characters below U+0250 that change() maps one to one, each by itself."""
+    single = [c for c in map(chr, range(0x80, 0x250)) if len(change(c)) == 1]
+    moved = [c for c in single if change(c) != c]
+    # none of them is a mark, so neighbours do not matter
+    return f"^[\\x00-\\x7f{''.join(single)}]*$", "".join(moved), "".join(map(change, moved))
+
+
+def _changed(c: Column, change: Callable[[str], str], udf: Callable[[Column], Column]) -> Column:
+    """change() of texts: in the JVM where all characters map one to one, else in Python."""
+    pattern, old, new = _letters(change)
+    plain = c.rlike(pattern)
+    return F.when(plain, F.translate(c, old, new)).otherwise(udf(F.when(~plain, c)))
+
 
 def strip_accents(c: Column) -> Column:
     """Drop combining marks after canonical decomposition; null stays null."""
-    return _bare_udf(c)
+    return _changed(c, _bare, _bare_udf)
 
 
 def fold(c: Column) -> Column:
     """Compatibility-decompose, drop combining characters, lower-case: the form in which searches compare."""
-    return _folded_udf(c)
+    return F.lower(_changed(c, _folded, _folded_udf))
 
 
 def fold_text(s: str) -> str:
@@ -57,9 +75,8 @@ def title_norm(name: Column, ampersand: bool = True) -> Column:
     c = F.lower(strip_accents(name))
     if ampersand:
         c = F.replace(c, F.lit("&"), F.lit("and"))
-    c = F.regexp_replace(c, rf"\s*[\(\[][^\)\]]*({'|'.join(EDITION_WORDS)})[^\)\]]*[\)\]]", "")
-    # an ASCII word end, since \b takes any Unicode letter for a word character here
-    c = F.regexp_replace(c, rf"\s*[-–:]\s*({'|'.join(SUFFIX_WORDS)})(?![A-Za-z0-9_]).*$", "")
+    c = F.regexp_replace(c, EDITION_PATTERN, "")
+    c = F.regexp_replace(c, SUFFIX_PATTERN, "")
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N} ]", ""))
 
 
@@ -100,6 +117,16 @@ def haystack(*parts: Column) -> Column:
     return fold(F.concat_ws("  ", *(F.coalesce(p, F.lit("")) for p in parts)))
 
 
+def grouped_digits(n: Column, mark: str = ".") -> Column:
+    """A whole number as text with a mark between groups of three digits."""
+    return F.regexp_replace(n.cast("bigint").cast("string"), r"(?<=[0-9])(?=([0-9]{3})+$)", mark)
+
+
+def card_url(kind: str, own_id: Column, base: str = CARD_URL) -> Column:
+    """The address of a card's page: base/kind/id; null without an id."""
+    return F.concat(F.lit(f"{base}/{kind}/"), own_id)
+
+
 def id_list(text: str, limit: int = 60) -> list[str]:
     """Ids of a comma-separated list, stripped, valid ones only, each once in order, at most limit."""
     import re

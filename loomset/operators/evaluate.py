@@ -12,7 +12,9 @@ from loomset.operators.search import match_title
 from loomset.operators.train import triple_loss
 
 #: Popularity strata, lower bounds inclusive.
-STRATA = ((0, "a. <5"), (5, "b. 5-19"), (20, "c. 20-99"), (100, "d. 100-999"), (1000, "e. >=1000"))
+STRATA = ((0, "a. <10"), (10, "b. 10-49"), (50, "c. 50-199"), (200, "d. 200-999"), (1000, "e. >=1000"))
+#: The final evaluation's lengths of answers, and how many probes it takes.
+FINAL_KS, FINAL_PROBES = (10, 50, 100), 5_000
 
 
 def holdout_split(pairs: DataFrame, holdout: int, seed: int = 7, collection: str = "collection_ix") -> tuple[DataFrame, DataFrame]:
@@ -82,13 +84,25 @@ def most_popular(freq: DataFrame, k: int, item: str = "item") -> DataFrame:
 
 
 def popularity_baseline(tests: DataFrame, freq: DataFrame, k: int, item: str = "item") -> DataFrame:
-    """(hits, targets, recall) if every probe is answered with the k most popular items other than its seed."""
-    order = F.row_number().over(Window.orderBy(F.col("freq").desc(), item))
-    top = most_popular(freq, k + 1, item).withColumn("place", order).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", item))), lambda x: x[item]).alias("all"))
-    tops = [r for r in top.first()["all"]]  # k + 1 items
-    answer = F.slice(F.array_except(F.array(*map(F.lit, tops)), F.array(F.col("seed"))), 1, k)
-    found = tests.select("seed", F.explode("targets").alias("target")).withColumn("hit", F.array_contains(answer, F.col("target")).cast("int"))
-    return recall(found)
+    """(hits, targets, recall) if every probe is answered with the same k most popular items."""
+    tops = [r[item] for r in most_popular(freq, k, item).collect()]  # k items
+    return recall(tests.select("seed", F.explode("targets").alias("target")).withColumn("hit", F.col("target").isin(tops).cast("int")))
+
+
+def final_evaluation(tests: DataFrame, vectors: DataFrame, freq: DataFrame, ks: tuple[int, ...] = FINAL_KS, sample: int = FINAL_PROBES, seed: int = 12345, item: str = "item") -> DataFrame:
+    """(k, hits, pop_hits, targets, recall, pop_recall, lift) of each k over a fixed sample of the probes.
+
+    The sample is the first so many probes by a hash of query and seed, so runs of different lengths are compared on the
+    same probes; with no more probes than that it is all of them. Neighbours are searched once, for the largest k.
+    """
+    kept = tests.orderBy(F.xxhash64(F.lit(seed), "query"), "query").limit(sample)
+    tops = [r[item] for r in most_popular(freq, max(ks), item).collect()]  # the largest k items
+    found = kept.join(neighbours(kept, vectors, max(ks)), "seed").select("top", F.explode("targets").alias("target"))
+    place, popular = F.array_position("top", F.col("target")), F.array_position(F.array(*map(F.lit, tops)), F.col("target"))
+    by = found.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), place.alias("place"), popular.alias("popular")).groupBy("k")
+    hits = lambda c: F.count_if((F.col(c) > 0) & (F.col(c) <= F.col("k")))
+    counted = by.agg(hits("place").alias("hits"), hits("popular").alias("pop_hits"), F.count("*").alias("targets"))
+    return counted.select(F.col("k").cast("long").alias("k"), "hits", "pop_hits", "targets", (F.col("hits") / F.col("targets")).alias("recall"), (F.col("pop_hits") / F.col("targets")).alias("pop_recall"), (F.col("hits") / F.greatest("pop_hits", F.lit(1))).alias("lift"))
 
 
 def popularity_ranks(freq: DataFrame, item: str = "item") -> DataFrame:

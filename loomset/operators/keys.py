@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.operators.scratch import ensure_checkpoints
+from loomset.operators.scratch import materialized
 
 
 def contiguous_index(df: DataFrame, key: str, name: str, partitions: int | None = None) -> DataFrame:
     """df with `name`, 0 .. n-1 in the order of key (unique; null last).
 
-    Rows are dealt by ranges of the key and numbered within each range; ranges before add their sizes. Only the sizes,
-    one row a range, meet in one task. The dealt rows are checkpointed so that both passes see the same ranges.
+    Rows are dealt by ranges of the key, sorted within each and written once with their place in their range; ranges
+    before add their sizes. Only the sizes, one row a range, meet in one task.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, F.col(key).asc_nulls_last()).withColumn("__part", F.spark_partition_id())
-    ensure_checkpoints(df.sparkSession)
-    dealt = dealt.checkpoint()
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    order = F.col(key).asc_nulls_last()
+    dealt = materialized(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "keys")
+    part = F.shiftright("__at", 33)  # the upper bits number the range, the lower 33 the row in it
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("__part", before.alias("__before")))  # one row a range
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_last()))
-    return dealt.join(offsets, "__part").withColumn(name, (F.col("__before") + inside - 1).cast("long")).select(*df.columns, name)
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(offsets, part == F.col("__part")).select(*df.columns, place.cast("long").alias(name))
 
 
 def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:

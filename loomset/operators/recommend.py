@@ -35,6 +35,13 @@ def zscore(c: Column, over: Window) -> Column:
     return F.when(s > 1e-8, (c - F.avg(c).over(over)) / s).otherwise(F.lit(0.0))
 
 
+def zscores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with the z-score over all rows of each named column: the means and deviations are one row joined back."""
+    stats = df.agg(*(f(c).alias(f"__{k}_{c}") for c in set(columns.values()) for k, f in (("avg", F.avg), ("std", F.stddev_pop))))
+    joined = df.join(F.broadcast(stats))  # one row
+    return joined.select(*df.columns, *(F.when(F.col(f"__std_{c}") > 1e-8, (F.col(c) - F.col(f"__avg_{c}")) / F.col(f"__std_{c}")).otherwise(F.lit(0.0)).alias(n) for n, c in columns.items() if n not in df.columns))
+
+
 def popularity_filter(df: DataFrame, min_pop: int, max_pop: int | None) -> DataFrame:
     """Rows with pop in a range; a minimum of 0 and a maximum of None demand nothing."""
     if min_pop > 0:

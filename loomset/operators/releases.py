@@ -114,6 +114,16 @@ def indexed_pairs(edges: DataFrame, releases: DataFrame, collections: DataFrame,
     return star.select("collection_ix", "release_ix", "creator_ix", F.col("n_tracks").cast("smallint").alias("n_tracks"), F.col("length").cast("int").alias("length"))
 
 
+def creator_pairs(pairs: DataFrame) -> DataFrame:
+    """(collection_ix, item, n_tracks): the edge list summed by main creator; pairs without one are left out."""
+    return pairs.where("creator_ix is not null").groupBy("collection_ix", F.col("creator_ix").alias("item")).agg(F.sum("n_tracks").alias("n_tracks"))
+
+
+def index_summary(index: DataFrame) -> DataFrame:
+    """One row: rows of a serving table, rows with a popularity and rows with a creator."""
+    return index.agg(F.count("*").alias("n"), F.count_if(F.col("pop") > 0).alias("with_pop"), F.count_if(F.col("creator_ix").isNotNull()).alias("with_creator"))
+
+
 def release_index(releases: DataFrame, creators: DataFrame, pairs: DataFrame) -> DataFrame:
     """Serving rows of releases: with the creator's key and name, and pop, the number of different collections."""
     pop = pairs.groupBy("release_ix").agg(F.count_distinct("collection_ix").alias("pop"))

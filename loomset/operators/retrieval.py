@@ -2,69 +2,83 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.functions.vectors import dot, doubles
+from loomset.operators.scratch import materialized
 
-#: Queries go out in blocks of so many; a block of 64 dimensions takes 2 MB.
-BLOCK_QUERIES = 4_096
+#: Queries go out in blocks of so many (2 MB at 64 dimensions), and so many blocks at once.
+BLOCK_QUERIES, WAVE_BLOCKS = 4_096, 16
 
 
-def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK_QUERIES) -> DataFrame:
+def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK_QUERIES, wave: int = WAVE_BLOCKS) -> DataFrame:
     """(query, ix, score, place): the k items of the largest inner product with each query, ties to the smaller ix.
 
-    items: (ix, v array<double>), queries: (query, v). Each block of queries is broadcast, every partition of items
-    multiplies it and passes on its own k best, and a window keeps the k best of those: k rows a partition and query
-    meet, never all scores. An item whose ix is the query is left out with exclude_self.
+    items: (ix, v array<double>), queries: (query, v). A wave of blocks of queries is broadcast, every partition of items
+    multiplies them in one scan and passes on its own k best, and a window keeps the k best of those: k rows a partition
+    and query meet, never all scores. With more queries than a wave holds, each wave's answers are written to the
+    scratch folder before the next one leaves, so the driver and each task hold one wave. An item whose ix is the query
+    is left out with exclude_self.
     """
     spark = items.sparkSession
-    rows = queries.select("query", doubles(F.col("v")).alias("v"))
-    parts, buffer = [], []
-
-    def add() -> None:
-        ids = np.array([r["query"] for r in buffer], np.int64)
-        held = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in buffer], float)))
-        buffer.clear()
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = held.value
-            best: list[pd.DataFrame] = []
-            for batch in batches:
-                if not len(batch):
-                    continue
-                own = batch["ix"].to_numpy()
-                scores = matrix @ np.stack(batch["v"].to_numpy()).T
+    own = items.select("ix", doubles(F.col("v")).alias("v"))
+    rows = queries.select("query", doubles(F.col("v")).alias("v")).toLocalIterator()
+    found: list[DataFrame] = []
+    held = _wave(rows, block, wave)
+    while held:
+        following = _wave(rows, block, wave)
+        top, shared = _answers(own, held, k, exclude_self)
+        if following or found:
+            top = materialized(top, "neighbours")
+            shared.unpersist()
+        found.append(top)
+        held = following
+    if not found:
+        return spark.createDataFrame([], "query bigint, ix bigint, score double, place int")
+    return reduce(DataFrame.union, found)
+
+
+def _wave(rows: Iterator, block: int, wave: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The next blocks (queries, vectors) of an iterator, wave at most."""
+    out = []
+    while len(out) < wave and (part := list(itertools.islice(rows, block))):
+        out.append((np.array([r["query"] for r in part], np.int64), np.array([r["v"] for r in part], float)))
+    return out
+
+
+def _answers(items: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
+    """(answers, broadcast) of blocks of queries."""
+    held = items.sparkSession.sparkContext.broadcast(blocks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list[pd.DataFrame]] = [[] for _ in held.value]
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, vectors = batch["ix"].to_numpy(), np.stack(batch["v"].to_numpy()).T
+            order, n = np.argsort(own, kind="stable"), min(k, len(own))
+            for i, (ids, matrix) in enumerate(held.value):
+                scores = matrix @ vectors
                 if exclude_self:
                     scores[ids[:, None] == own[None, :]] = -np.inf
-                n = min(k, len(own))
-                order = np.argsort(own, kind="stable")
                 top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :n]]
-                best.append(pd.DataFrame({"query": np.repeat(ids, n), "ix": own[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()}))
-                if len(best) > 8:
-                    best = [_best(pd.concat(best), k)]
-            if best:
-                out = _best(pd.concat(best), k)
+                best[i].append(pd.DataFrame({"query": np.repeat(ids, n), "ix": own[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()}))
+                if len(best[i]) > 8:
+                    best[i] = [_best(pd.concat(best[i]), k)]
+        for parts in best:
+            if parts:
+                out = _best(pd.concat(parts), k)
                 yield out[np.isfinite(out["score"])]
 
-        parts.append(items.select("ix", doubles(F.col("v")).alias("v")).mapInPandas(run, "query bigint, ix bigint, score double"))
-
-    for r in rows.toLocalIterator():  # one block of queries at a time is on the driver
-        buffer.append(r)
-        if len(buffer) == block:
-            add()
-    if buffer:
-        add()
-    if not parts:
-        return spark.createDataFrame([], "query bigint, ix bigint, score double, place int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    return _ranked(found, k)
+    return _ranked(items.mapInPandas(run, "query bigint, ix bigint, score double"), k), held
 
 
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -1,9 +1,10 @@
-"""Pairwise-ranking embeddings: bulk-synchronous epochs over anchor blocks with one shared item table."""
+"""Pairwise-ranking embeddings: bulk-synchronous epochs over anchor slots, with the item table broadcast or joined."""
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -13,9 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomset.functions.vectors import dot, neg_log_sigmoid
+from loomset.operators.scratch import materialized
+from loomset.sources.sinks import read_text, write_text
 
-#: The item table is broadcast only up to so many bytes; a larger one goes to the anchors by joins.
+#: The item table is broadcast as float32 up to so many bytes; beyond, its vectors are joined to the triples.
 BROADCAST_BYTES = 512_000_000
+#: Probes on which an epoch is scored, and how many neighbours they get. The defaults.
+EVAL_PROBES, EVAL_K = 2_000, 10
 
 
 @dataclass(frozen=True)
@@ -43,13 +48,28 @@ def negative_cdf(freq: DataFrame, power: float = 0.75, item: str = "item") -> Da
     The running sum goes by ranges of items, so no task sees all of them.
     """
     weight = F.pow(F.greatest("freq", F.lit(1)).cast("double"), F.lit(power))
+    own = Window.partitionBy("r").orderBy(item)
     ranged = freq.select(item, weight.alias("w")).withColumn("r", F.floor(F.col(item) / 65_536))
-    sums = ranged.groupBy("r").agg(F.sum("w").alias("s"))
+    ranged = ranged.withColumn("inside", F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranged = ranged.withColumn("earlier", F.coalesce(F.lag("inside").over(own), F.lit(0.0)))
+    # a range ends where its last running sum does, so that each item begins exactly where the one before it ends
+    sums = ranged.groupBy("r").agg(F.max("inside").alias("s"))
     total = F.sum("s").over(Window.partitionBy())
     before = sums.select("r", total.alias("total"), F.coalesce(F.sum("s").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    inside = F.sum("w").over(Window.partitionBy("r").orderBy(item).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranged.withColumn("inside", inside).join(F.broadcast(before), "r")
-    return out.select(item, (F.col("w") / F.col("total")).alias("p"), ((F.col("before") + F.col("inside") - F.col("w")) / F.col("total")).alias("cdf_prev"), ((F.col("before") + F.col("inside")) / F.col("total")).alias("cdf"))
+    out = ranged.join(F.broadcast(before), "r")  # one row for 65,536 items
+    until = lambda c: (F.col("before") + F.col(c)) / F.col("total")
+    return out.select(item, (F.col("w") / F.col("total")).alias("p"), until("earlier").alias("cdf_prev"), until("inside").alias("cdf"))
+
+
+def drawn_items(draws: DataFrame, cdf: DataFrame, item: str = "item", buckets: int = 1 << 20) -> DataFrame:
+    """draws (u in (0, 1], others) with the item whose share of negative_cdf() holds u.
+
+    Both sides meet by equal slices of (0, 1]: an item stands in every slice that its share touches, a draw in one.
+    """
+    slices = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1))
+    spread = cdf.select(item, "cdf_prev", "cdf", F.explode(F.sequence(slices(F.col("cdf_prev")), slices(F.col("cdf")))).alias("__slice"))
+    held = (F.col("u") > F.col("cdf_prev")) & (F.col("u") <= F.col("cdf"))
+    return draws.withColumn("__slice", slices(F.col("u"))).join(spread, "__slice").where(held).select(*draws.columns, item)
 
 
 def anchors(adj: DataFrame) -> DataFrame:
@@ -83,61 +103,86 @@ def initial_table(spark: SparkSession, n_items: int, config: TrainConfig) -> Dat
     return spark.range(n_items).mapInPandas(run, "ix bigint, v array<double>, m1 array<double>, m2 array<double>, t int")
 
 
-def gradients(slots: DataFrame, table: DataFrame, cdf: DataFrame, config: TrainConfig, epoch: int) -> DataFrame:
+def drawn(slots: DataFrame, config: TrainConfig, step: int) -> DataFrame:
+    """(anchor, pos, us): each slot's positive, and config.negatives numbers in (0, 1] that name its negatives.
+
+    All come from hashes of the seed, the step and the slot, so a task that runs again draws the same.
+    """
+    uniform = lambda j: (F.shiftrightunsigned(F.xxhash64(F.lit(config.seed), F.lit(step), "anchor", "at", "items", j), 11) + 1) * F.lit(2.0**-53)
+    pos = positive(F.col("items"), F.col("at"), uniform(F.lit(-1)) - F.lit(2.0**-53))
+    return slots.select("anchor", pos.alias("pos"), F.transform(F.sequence(F.lit(0), F.lit(config.negatives - 1)), uniform).alias("us"))
+
+
+def _summed(a: np.ndarray, p: np.ndarray, q: np.ndarray, va: np.ndarray, vp: np.ndarray, vq: np.ndarray) -> pd.DataFrame:
+    """(ix, grad, n, loss) of triples by item; n and loss stand on the first row."""
+    n, k, dim = vq.shape
+    margin = (va * vp).sum(1)[:, None] - np.einsum("nd,nkd->nk", va, vq)
+    loss = np.logaddexp(0, -margin)
+    slope = -1 / (1 + np.exp(np.clip(margin, -500, 500))) / k
+    whole = slope.sum(1)[:, None]
+    rows = np.concatenate([a, p, q.ravel()])
+    parts = np.concatenate([whole * vp - np.einsum("nk,nkd->nd", slope, vq), whole * va, (-slope[:, :, None] * va[:, None, :]).reshape(-1, dim)])
+    ix, inverse = np.unique(rows, return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    grad = np.add.reduceat(parts[order], np.searchsorted(inverse[order], np.arange(len(ix))), axis=0)
+    share, count = np.zeros(len(ix)), np.zeros(len(ix), np.int64)
+    share[0], count[0] = loss.mean(1).sum(), n
+    return pd.DataFrame({"ix": ix, "grad": list(grad), "n": count, "loss": share})
+
+
+def gradients(slots: DataFrame, table: DataFrame, cdf: DataFrame, config: TrainConfig, step: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(ix, grad, n, loss): summed gradients of one step over anchor slots (items, at, anchor), by item.
 
-    Each Arrow batch draws one positive and config.negatives negatives an anchor from a generator seeded by its first
-    rows, and adds up its own gradients, so one row an item and batch is shuffled. The table and the cdf are broadcast as
-    arrays; check_broadcast() bounds them.
+    Up to broadcast_bytes of float32 vectors the table is broadcast; beyond, vectors are joined to the triples, which
+    gives the same sums. Each Arrow batch adds up its own gradients, so one row an item and batch is shuffled.
     """
-    spark = slots.sparkSession
-    size = check_broadcast(table, config.dim)
-    weights, bounds = np.zeros((size, config.dim)), np.zeros(size)
-    for r in table.select("ix", "v").toLocalIterator():
-        weights[r["ix"]] = r["v"]
-    for r in cdf.select("item", "cdf").toLocalIterator():
-        bounds[r["item"]] = r["cdf"]
-    held = spark.sparkContext.broadcast((weights, np.maximum.accumulate(bounds)))
+    n = (table.agg(F.max("ix")).first()[0] or -1) + 1
+    held = table.select("ix", F.col("v").cast("array<float>").alias("v"))
+    make = _by_broadcast if n * config.dim * 4 <= broadcast_bytes else _by_join
+    found = make(drawn(slots, config, step), held, cdf, n)
+    dims = [F.sum(F.get("grad", F.lit(i))).alias(f"g{i}") for i in range(config.dim)]
+    return found.groupBy("ix").agg(*dims, F.sum("n").alias("n"), F.sum("loss").alias("loss")).select("ix", F.array(*(f"g{i}" for i in range(config.dim))).alias("grad"), "n", "loss")
+
+
+_GRADIENTS = "ix bigint, grad array<double>, n bigint, loss double"
+
+
+def _by_broadcast(triples: DataFrame, table: DataFrame, cdf: DataFrame, n: int) -> DataFrame:
+    rows, shares = table.toArrow(), cdf.select("item", "cdf").toArrow()
+    vectors = np.stack(rows.column("v").to_numpy()) if len(rows) else np.zeros((0, 1), np.float32)
+    weights, bounds = np.zeros((n, vectors.shape[1]), np.float32), np.zeros(n)
+    weights[rows.column("ix").to_numpy()] = vectors
+    bounds[shares.column("item").to_numpy()] = shares.column("cdf").to_numpy()
+    held = triples.sparkSession.sparkContext.broadcast((weights, np.maximum.accumulate(bounds)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bounds = held.value
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            rng = np.random.default_rng([config.seed, epoch, n, int(batch["anchor"].iloc[0]), int(batch["at"].sum())])
-            sizes = batch["items"].map(len).to_numpy()
-            place = (batch["at"].to_numpy() + 1 + (rng.random(n) * (sizes - 1)).astype(np.int64)) % sizes
-            a = batch["anchor"].to_numpy()
-            p = np.array([items[i] for items, i in zip(batch["items"], place, strict=True)])
-            q = np.minimum(np.searchsorted(bounds, rng.random((n, config.negatives))), len(bounds) - 1)
-            va, vp, vq = weights[a], weights[p], weights[q]
-            margin = (va * vp).sum(1)[:, None] - np.einsum("nd,nkd->nk", va, vq)
-            loss = np.logaddexp(0, -margin)
-            slope = -1 / (1 + np.exp(np.clip(margin, -500, 500))) / config.negatives
-            whole = slope.sum(1)[:, None]
-            rows = np.concatenate([a, p, q.ravel()])
-            parts = np.concatenate([whole * vp - np.einsum("nk,nkd->nd", slope, vq), whole * va, (-slope[:, :, None] * va[:, None, :]).reshape(-1, config.dim)])
-            ix, inverse = np.unique(rows, return_inverse=True)
-            grad = np.zeros((len(ix), config.dim))
-            np.add.at(grad, inverse, parts)
-            share = np.zeros(len(ix))
-            share[0] = loss.mean(1).sum()
-            count = np.zeros(len(ix), np.int64)
-            count[0] = n
-            yield pd.DataFrame({"ix": ix, "grad": list(grad), "n": count, "loss": share})
-
-    found = slots.mapInPandas(run, "ix bigint, grad array<double>, n bigint, loss double")
-    dims = [F.sum(F.get("grad", F.lit(i))).alias(f"g{i}") for i in range(config.dim)]
-    return found.groupBy("ix").agg(*dims, F.sum("n").alias("n"), F.sum("loss").alias("loss")).select("ix", F.array(*(f"g{i}" for i in range(config.dim))).alias("grad"), "n", "loss")
+            if len(batch):
+                a, p = batch["anchor"].to_numpy(), batch["pos"].to_numpy()
+                q = np.minimum(np.searchsorted(bounds, np.stack(batch["us"].to_numpy())), len(bounds) - 1)
+                yield _summed(a, p, q, *(weights[x].astype(float) for x in (a, p, q)))
 
+    return triples.mapInPandas(run, _GRADIENTS)
 
-def check_broadcast(table: DataFrame, dim: int) -> int:
-    """The number of items of a table whose vectors may be broadcast; raises beyond BROADCAST_BYTES."""
-    n = (table.agg(F.max("ix")).first()[0] or -1) + 1
-    if n * dim * 8 > BROADCAST_BYTES:
-        raise ValueError(f"{n} items of {dim} dimensions exceed {BROADCAST_BYTES} bytes; use triple_loss-style joins")
-    return n
+
+def _by_join(triples: DataFrame, table: DataFrame, cdf: DataFrame, n: int) -> DataFrame:
+    # written once, so that a slot keeps its number
+    slots = materialized(triples.withColumn("slot", F.monotonically_increasing_id()), "slots")
+    draws = slots.select("slot", F.posexplode("us").alias("j", "u"))
+    side = lambda name: table.select(F.col("ix").alias(name), F.col("v").alias(f"v_{name}"))
+    q = drawn_items(draws, cdf).join(side("item"), "item").groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("j", "item", "v_item"))).alias("q"))  # config.negatives rows a slot
+    full = slots.select("slot", "anchor", "pos").join(side("anchor"), "anchor").join(side("pos"), "pos").join(q, "slot")
+    flat = full.select("anchor", "pos", "v_anchor", "v_pos", F.transform("q", lambda x: x["item"]).alias("q"), F.flatten(F.transform("q", lambda x: x["v_item"])).alias("v_q"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                a, p, q = batch["anchor"].to_numpy(), batch["pos"].to_numpy(), np.stack(batch["q"].to_numpy())
+                va, vp, vq = (np.stack(batch[c].to_numpy()).astype(float) for c in ("v_anchor", "v_pos", "v_q"))
+                yield _summed(a, p, q, va, vp, vq.reshape(*q.shape, -1))
+
+    return flat.mapInPandas(run, _GRADIENTS)
 
 
 def adam_step(table: DataFrame, grads: DataFrame, config: TrainConfig, anchors_seen: int) -> DataFrame:
@@ -154,36 +199,48 @@ def adam_step(table: DataFrame, grads: DataFrame, config: TrainConfig, anchors_s
     return out.select("ix", F.when(F.col("hit"), moved).otherwise(F.col("v")).alias("v"), "m1", "m2", "t")
 
 
-def train(adj: DataFrame, freq: DataFrame, n_items: int, config: TrainConfig, run_dir: str, evaluate=None, resume: bool = False) -> tuple[DataFrame, list[dict]]:
+def train(adj: DataFrame, freq: DataFrame, n_items: int, config: TrainConfig, run_dir: str, evaluate=None, resume: bool = False, held: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, list[dict]]:
     """Train on lists (collection, items); returns the best table (ix, v) and the history of epochs.
 
-    State is written below run_dir after every step as Parquet, with a JSON row of settings for the checks of resume.
-    evaluate(table) -> float, larger is better (default: minus the epoch's loss); training stops after config.patience
-    epochs without a gain of config.min_gain and the best epoch's table is what comes back.
+    State is written below run_dir after every step as Parquet, with settings and history in meta.json, which is moved
+    into place whole. An epoch's score, larger is better, is evaluate(table) if given; else the recall at EVAL_K of the
+    first EVAL_PROBES of held (probes of held-out collections) by a hash; without either minus the epoch's loss. Training
+    stops after config.patience epochs without a gain of config.min_gain, and the best epoch's table is what comes back;
+    all epochs' tables stay. resume goes on from the last epoch: other items or dimensions, or no epoch left to run, are
+    errors, another number of negatives is a warning.
     """
     spark = adj.sparkSession
-    cdf = negative_cdf(freq, config.power).persist()
-    slots = anchors(adj).withColumn("step", F.pmod(F.xxhash64("anchor", "at", F.hash("items")), F.lit(config.steps_per_epoch))).persist()
+    if evaluate is None and held is not None:
+        from loomset.operators.evaluate import recall_evaluator
+
+        evaluate = recall_evaluator(held.orderBy(F.xxhash64(F.lit(config.seed), "query"), "query").limit(EVAL_PROBES), EVAL_K)
+    cdf = materialized(negative_cdf(freq, config.power), "cdf")
+    slots = materialized(anchors(adj).withColumn("step", F.pmod(F.xxhash64("anchor", "at", F.hash("items")), F.lit(config.steps_per_epoch))), "anchors")
     settings = {"n_items": n_items, "dim": config.dim, "negatives": config.negatives}
     history: list[dict] = []
     if resume:
-        meta = json.loads(spark.read.text(f"{run_dir}/meta").first()[0])
-        if {k: meta[k] for k in settings} != settings:
+        text = read_text(spark, f"{run_dir}/meta.json")
+        if text is None:
+            raise ValueError(f"no checkpoint at {run_dir}")
+        meta = json.loads(text)
+        if any(meta[k] != settings[k] for k in ("n_items", "dim")):
             raise ValueError(f"the checkpoint has {meta}, not {settings}")
         history = meta["history"]
-        path = f"{run_dir}/epoch-{len(history) - 1}"
-        table = spark.read.parquet(path)
+        if len(history) >= config.epochs:
+            raise ValueError(f"the checkpoint has {len(history)} epochs; none of {config.epochs} is left to run")
+        if meta["negatives"] != config.negatives:
+            warnings.warn(f"the checkpoint was trained with {meta['negatives']} negatives and goes on with {config.negatives}", stacklevel=2)
+        table = spark.read.parquet(f"{run_dir}/epoch-{len(history) - 1}")
     else:
-        path = f"{run_dir}/init"
-        initial_table(spark, n_items, config).write.mode("overwrite").parquet(path)
-        table = spark.read.parquet(path)
+        initial_table(spark, n_items, config).write.mode("overwrite").parquet(f"{run_dir}/init")
+        table = spark.read.parquet(f"{run_dir}/init")
     best = max(range(len(history)), key=lambda i: history[i]["score"], default=None)
     for epoch in range(len(history), config.epochs):
-        loss, seen = 0.0, 0
+        loss, seen, path = 0.0, 0, ""
         for step in range(config.steps_per_epoch):
             own = slots.where(F.col("step") == step)
             path = f"{run_dir}/grads-{epoch}-{step}"
-            gradients(own, table, cdf, config, epoch * config.steps_per_epoch + step).write.mode("overwrite").parquet(path)
+            gradients(own, table, cdf, config, epoch * config.steps_per_epoch + step, broadcast_bytes).write.mode("overwrite").parquet(path)
             grads = spark.read.parquet(path)
             part = grads.agg(F.sum("loss"), F.sum("n")).first()
             if not part[1]:
@@ -200,8 +257,7 @@ def train(adj: DataFrame, freq: DataFrame, n_items: int, config: TrainConfig, ru
         history.append({"epoch": epoch, "loss": mean, "anchors": seen, "score": score})
         if best is None or score > history[best]["score"] + config.min_gain:
             best = epoch
-        line = json.dumps(settings | {"config": asdict(config), "history": history, "best": best})
-        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{run_dir}/meta")
+        write_text(spark, f"{run_dir}/meta.json", json.dumps(settings | {"config": asdict(config), "history": history, "best": best}))
         if epoch - best >= config.patience:
             break
     return spark.read.parquet(f"{run_dir}/epoch-{best}").select("ix", "v"), history

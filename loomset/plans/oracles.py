@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from loomset.functions.text import EDITION_WORDS, SUFFIX_WORDS
-
 _ROLES = """
 track AS (SELECT p_partkey AS id, p_name AS name, CAST(p_size AS BIGINT) * 60000 AS duration, p_brand || '|' || p_type AS release_id FROM part),
 track_creator AS (SELECT DISTINCT l_partkey AS track_id, l_suppkey AS creator_id FROM lineitem),
@@ -73,14 +71,14 @@ found AS (
 freq AS (SELECT i.ix AS item, count(p.item) AS freq FROM items i LEFT JOIN (SELECT item FROM vec_pairs WHERE collection_ix % 10 <> 0) p ON p.item = i.ix GROUP BY 1)
 """
 
-_STRATUM = "CASE WHEN freq < 5 THEN 'a. <5' WHEN freq < 20 THEN 'b. 5-19' WHEN freq < 100 THEN 'c. 20-99' WHEN freq < 1000 THEN 'd. 100-999' ELSE 'e. >=1000' END"
+_STRATUM = "CASE WHEN freq < 10 THEN 'a. <10' WHEN freq < 50 THEN 'b. 10-49' WHEN freq < 200 THEN 'c. 50-199' WHEN freq < 1000 THEN 'd. 200-999' ELSE 'e. >=1000' END"
 
 
 def _norm(column: str) -> str:
     return (
         f"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(strip_accents({column})), '&', 'and'), "
-        rf"'\s*[\(\[][^\)\]]*({'|'.join(EDITION_WORDS)})[^\)\]]*[\)\]]', '', 'g'), "
-        rf"'\s*[-–:]\s*({'|'.join(SUFFIX_WORDS)})\b.*$', '', 'g'), '[^\p{{L}}\p{{N}} ]', '', 'g'))"
+        rf"'\s*[\(\[][^\)\]]*(deluxe|remaster|expanded|anniversary|edition|version|bonus|reissue|mono|stereo|explicit|clean|special|collector)[^\)\]]*[\)\]]', '', 'g'), "
+        rf"'\s*[-–:]\s*(deluxe|remastered|remaster|expanded|anniversary|special)\b.*$', '', 'g'), '[^\p{{L}}\p{{N}} ]', '', 'g'))"
     )
 
 
@@ -142,7 +140,7 @@ SELECT release_id, creator_id FROM n QUALIFY row_number() OVER (PARTITION BY rel
     "album_pairs_summary": f"WITH {_ROLES}, {_PAIRS} SELECT count(*) AS pairs, count(DISTINCT release_id) AS releases, count(DISTINCT collection_id) AS collections, round(avg(n_tracks), 2) AS mean, quantile_cont(n_tracks, 0.5) AS p50, quantile_cont(n_tracks, 0.9) AS p90, max(n_tracks) AS max FROM all_pairs",
     "n_tracks_buckets": f"""WITH {_ROLES}, {_PAIRS} SELECT CASE WHEN n_tracks = 1 THEN '1' WHEN n_tracks = 2 THEN '2' WHEN n_tracks <= 5 THEN '3-5' WHEN n_tracks <= 10 THEN '6-10' ELSE '>10' END AS bucket,
 count(*) AS n, CAST(sum(n_tracks) AS BIGINT) AS total, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS pct FROM all_pairs GROUP BY 1""",
-    "long_tail_counts": f"WITH {_ROLES}, f AS (SELECT track_id, count(DISTINCT collection_id) AS n FROM track_collection GROUP BY 1) SELECT " + ", ".join(f"count(*) FILTER (n >= {s}) AS ge{s}" for s in (1, 3, 5, 10, 20, 50)) + " FROM f",
+    "long_tail_counts": f"WITH {_ROLES}, {_PAIRS}, f AS (SELECT release_id, count(*) AS n FROM all_pairs GROUP BY 1) SELECT " + ", ".join(f"count(*) FILTER (n >= {s}) AS ge{s}" for s in (1, 3, 5, 10, 20, 50)) + " FROM f",
     "album_lookup": f"WITH {_FLOW} SELECT * FROM releases",
     "artist_lookup": f"WITH {_FLOW} SELECT * FROM creators",
     "playlist_lookup": f"WITH {_FLOW} SELECT * FROM collections",
@@ -151,9 +149,9 @@ count(*) AS n, CAST(sum(n_tracks) AS BIGINT) AS total, round(100.0::DOUBLE * cou
     "artist_index": f"WITH {_FLOW} SELECT c.creator_ix, c.creator_id, c.name AS creator, CAST(coalesce(p.pop, 0) AS INTEGER) AS pop FROM creators c LEFT JOIN (SELECT creator_ix, sum(pop) AS pop FROM release_index WHERE creator_ix IS NOT NULL GROUP BY 1) p USING (creator_ix)",
     "largest_dedup_groups": f"WITH {_VARIANTS} SELECT c.name AS creator, g.creator_id, g.title_key, g.variants FROM groups g JOIN creator c ON c.id = g.creator_id ORDER BY variants DESC, g.creator_id, title_key LIMIT 15",
     "dedup_group_summary": f"WITH {_VARIANTS} SELECT count(*) AS groups, CAST(sum(variants) AS BIGINT) AS releases, round(avg(variants), 3) AS mean, quantile_cont(variants, 0.5) AS p50, quantile_cont(variants, 0.99) AS p99, max(variants) AS max, CAST(sum(CASE WHEN variants > 1 THEN variants - 1 ELSE 0 END) AS BIGINT) AS redundant FROM groups",
-    "title_norm": f"""WITH t AS (SELECT doc_id, substr(text, 1, 60) || ' & (Deluxe Edition)' AS title FROM documents), n AS (SELECT doc_id, title, {_norm('title')} AS title_norm FROM t)
+    "title_norm": f"""WITH t AS (SELECT doc_id, text || ' & (Deluxe Edition)' AS title FROM documents), n AS (SELECT doc_id, title, {_norm('title')} AS title_norm FROM t)
 SELECT doc_id, title_norm, CASE WHEN length(title) - length(replace(title, '?', '')) >= 2 OR title_norm = '' THEN 'ID:' || doc_id ELSE (doc_id % 10) || '|' || title_norm END AS title_key FROM n""",
-    "latin1_repair": """WITH t AS (SELECT doc_id, substr(text, 1, 40) || ' 宇宙' AS official FROM documents),
+    "latin1_repair": """WITH t AS (SELECT doc_id, text || ' 宇宙' AS official FROM documents),
 b AS (SELECT doc_id, official, regexp_replace(official, '[^\\x00-\\xFF]', '?', 'g') AS m, CASE WHEN doc_id % 3 = 0 THEN 'another' ELSE regexp_replace(official, '[^\\x00-\\xFF]', '?', 'g') END AS name FROM t),
 r AS (SELECT doc_id, CASE WHEN official <> name AND m = name THEN official ELSE name END AS name FROM b) SELECT doc_id, name, contains(name, '?') AS broken FROM r""",
     "fold_search": """WITH h AS (SELECT doc_id AS ix, n_chars AS pop, lower(strip_accents(coalesce(source, '') || '  ' || coalesce(text, ''))) AS hay FROM documents)
@@ -161,7 +159,7 @@ SELECT ix, pop FROM h WHERE contains(hay, 'des') AND contains(hay, 'entre') AND
     "probe_match_fallback": f"""WITH {_ROLES}, r AS (SELECT r.id, r.name, split_part(r.id, '|', 1) AS owner, s.n_tracks FROM release r JOIN sizes s ON s.release_id = r.id),
 p AS (SELECT owner, split_part(name, ' ', 1) AS word FROM r ORDER BY owner, name LIMIT 1)
 SELECT r.id, r.name, r.n_tracks, CAST(CASE WHEN r.name = p.word THEN 0 ELSE 1 END AS BIGINT) AS tier FROM r JOIN p ON p.owner = r.owner WHERE starts_with(r.name, p.word) ORDER BY tier, n_tracks DESC, id LIMIT 1""",
-    "id_validation": "SELECT doc_id, coalesce(regexp_matches(substr(regexp_replace(text, '[ .,]', '', 'g'), 1, 22), '^[0-9A-Za-z]{22}$'), false) AS valid FROM documents",
+    "id_validation": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\n.,]+'), lambda x: regexp_matches(x, '^[0-9A-Za-z]{22}$'))) AS valid FROM documents",
     "url_hash_extract": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(md5(CAST(doc_id AS VARCHAR)), 1, 24) END AS image_key FROM documents",
     "json_props": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.title'), '') AS title FROM events",
     "top_neighbours": f"""WITH {_ITEMS}, s AS (SELECT q.ix AS query, i.ix, list_dot_product(q.v, i.v) AS score FROM items q JOIN items i ON i.ix <> q.ix)
@@ -184,21 +182,27 @@ SELECT c % 10 = 0 AS held, count(*) AS pairs, count(DISTINCT c) AS collections F
     "recall_by_target_stratum": f"WITH {_PROBES} SELECT {_STRATUM} AS stratum, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS targets, round(sum(hit) / count(*)::DOUBLE, 6) AS recall FROM found JOIN freq ON freq.item = found.target GROUP BY 1",
     "popularity_bias": f"WITH {_PROBES}, r AS (SELECT item, row_number() OVER (ORDER BY freq DESC, item) - 1 AS rank FROM freq) SELECT round(avg(rank), 6) AS mean_rank, round(100.0 * avg(rank) / (SELECT count(*) FROM items), 6) AS percentile FROM probes p JOIN top t ON t.seed = p.seed JOIN r ON r.item = t.item",
     "same_artist_share": f"WITH {_PROBES} SELECT round(avg(CASE WHEN a.creator = b.creator THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share, count(*) AS n FROM probes p JOIN top t ON t.seed = p.seed JOIN items a ON a.ix = p.seed JOIN items b ON b.ix = t.item",
-    "popularity_baseline_lift": f"""WITH {_PROBES}, ranked AS (SELECT item, row_number() OVER (ORDER BY freq DESC, item) AS r FROM freq QUALIFY r <= 11),
-answers AS (SELECT s.seed, r.item, row_number() OVER (PARTITION BY s.seed ORDER BY r.r) AS p FROM (SELECT DISTINCT seed FROM probes) s JOIN ranked r ON r.item <> s.seed),
-base AS (SELECT count(*) AS n FROM found f JOIN answers a ON a.seed = f.seed AND a.item = f.target AND a.p <= 10)
+    "popularity_baseline_lift": f"""WITH {_PROBES}, ranked AS (SELECT item, row_number() OVER (ORDER BY freq DESC, item) AS r FROM freq QUALIFY r <= 10),
+base AS (SELECT count(*) AS n FROM found f JOIN ranked r ON r.item = f.target)
 SELECT CAST(sum(hit) AS BIGINT) AS hits, any_value(n) AS pop_hits, count(*) AS targets, round(sum(hit) / greatest(any_value(n), 1)::DOUBLE, 6) AS lift FROM found, base""",
+    "final_evaluation": f"""WITH {_PROBES}, popular AS (SELECT item, row_number() OVER (ORDER BY freq DESC, item) AS r FROM freq QUALIFY r <= 100),
+every AS (SELECT f.target, n.place, p.r FROM (SELECT p.seed, unnest(p.targets) AS target FROM probes p) f LEFT JOIN near n ON n.seed = f.seed AND n.item = f.target LEFT JOIN popular p ON p.item = f.target),
+ks AS (SELECT unnest([10, 50, 100])::BIGINT AS k)
+SELECT k, count(*) FILTER (place <= k) AS hits, count(*) FILTER (r <= k) AS pop_hits, count(*) AS targets, round(count(*) FILTER (place <= k) / count(*)::DOUBLE, 6) AS recall,
+round(count(*) FILTER (r <= k) / count(*)::DOUBLE, 6) AS pop_recall, round(count(*) FILTER (place <= k) / greatest(count(*) FILTER (r <= k), 1)::DOUBLE, 6) AS lift FROM every, ks GROUP BY k""",
+    "artist_pairs": f"WITH {_FLOW} SELECT collection_ix, creator_ix AS item, CAST(sum(n_tracks) AS BIGINT) AS n_tracks FROM star WHERE creator_ix IS NOT NULL GROUP BY 1, 2",
+    "index_summary": f"WITH {_FLOW} SELECT count(*) AS n, count(*) FILTER (pop > 0) AS with_pop, count(*) FILTER (creator_ix IS NOT NULL) AS with_creator FROM release_index",
     "neg_sampling_cdf": f"""WITH {_ROLES}, f AS (SELECT track_id AS item, pow(greatest(count(*), 1)::DOUBLE, 0.75) AS w FROM track_collection GROUP BY 1),
 s AS (SELECT item, w, sum(w) OVER (ORDER BY item) AS c, sum(w) OVER () AS t FROM f) SELECT item, round(w / t, 9) AS p, round((c - w) / t, 9) AS cdf_prev, round(c / t, 9) AS cdf FROM s""",
     "neg_sampling_lookup": f"""WITH {_ROLES}, f AS (SELECT track_id AS item, pow(greatest(count(*), 1)::DOUBLE, 0.75) AS w FROM track_collection GROUP BY 1),
 s AS (SELECT item, (sum(w) OVER (ORDER BY item) - w) / sum(w) OVER () AS a, sum(w) OVER (ORDER BY item) / sum(w) OVER () AS b FROM f), d AS (SELECT range AS draw, (range + 0.5) / 64 AS u FROM range(64))
-SELECT draw, item FROM d JOIN s ON u > a AND u <= b WHERE item < 2000""",
+SELECT draw, item FROM d JOIN s ON u > a AND u <= b """,
     "cache_latest_ttl": """WITH e AS (SELECT user_id AS id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS value, CAST(floor(epoch(ts)) AS BIGINT) * 1000000 + event_id AS fetched_at FROM events),
 k AS (SELECT * FROM e WHERE id % 2 = 0 OR value <> 'view' OR value = 'view'), l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC) = 1)
 SELECT id, value, fetched_at FROM l WHERE value <> '' OR 1704067200::BIGINT * 1000000 - fetched_at < 20 * 86400 * 1000000::BIGINT""",
     "cache_stats": "SELECT count(*) AS n, count(nullif(CASE WHEN event_type = 'error' THEN '' ELSE event_type END, '')) AS found FROM events",
     "work_list": f"WITH {_ITEMS}, t AS (SELECT ix AS id, pop FROM items ORDER BY pop DESC, ix LIMIT 100) SELECT id, pop FROM t WHERE id % 3 <> 0",
-    "bpr_step_loss": f"""WITH {_ITEMS}, t AS (SELECT range AS a, (range * 7 + 1) % 400 AS p, (range * 13 + 5) % 400 AS n FROM range(200)),
+    "bpr_step_loss": f"""WITH {_ITEMS}, t AS (SELECT ix AS a, (ix * 7 + 1) % c AS p, (ix * 13 + 5) % c AS n FROM items, (SELECT count(*) AS c FROM items)),
 m AS (SELECT list_dot_product(a.v, p.v) - list_dot_product(a.v, n.v) AS x FROM t JOIN items a ON a.ix = t.a JOIN items p ON p.ix = t.p JOIN items n ON n.ix = t.n)
 SELECT round(avg(ln(1 + exp(-x))), 6) AS loss, count(*) AS n FROM m""",
     "dump_tokenizer": "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer",

@@ -17,6 +17,7 @@ from loomset.operators import retrieval as N
 from loomset.operators import search as S
 from loomset.operators import train as T
 from loomset.operators.keys import contiguous_index
+from loomset.operators.scratch import materialized, scratch
 from loomset.sources.tables import sample_tables, table
 
 #: The cut that takes part of the sample's releases at every scale.
@@ -73,15 +74,15 @@ def n_tracks_buckets(spark, d):
 
 
 def long_tail_counts(spark, d):
-    links = _t(spark, d).track_collection.groupBy("track_id").agg(F.count_distinct("collection_id").alias("n"))
-    return P.tail_counts(links, "n")
+    t = _t(spark, d)
+    return P.tail_counts(R.collection_releases(t.track, t.track_collection).groupBy("release_id").agg(F.count("*").alias("n")), "n")
 
 
 def _flow(spark, d):
     t = _t(spark, d)
     kept = R.kept_releases(t.track, R.MIN_MINUTES)
-    edges = R.collection_releases(t.track, t.track_collection, kept)
-    creators = R.main_creators(t.track, t.track_creator, kept)
+    edges = materialized(R.collection_releases(t.track, t.track_collection, kept), "edges")
+    creators = materialized(R.main_creators(t.track, t.track_creator, kept), "main-creators")
     keys = R.title_keys(t.release, creators)
     releases = R.release_lookup(edges, kept, t.release, creators, keys)
     return t, edges, releases
@@ -139,13 +140,13 @@ def dedup_group_summary(spark, d):
 
 
 def title_norm(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text").withColumn("title", F.concat(F.substring("text", 1, 60), F.lit(" & (Deluxe Edition)")))
+    docs = table(spark, d, "documents", "doc_id", "text").withColumn("title", F.concat("text", F.lit(" & (Deluxe Edition)")))
     normed = docs.select("doc_id", "title", X.title_norm(F.col("title")).alias("title_norm"))
     return normed.select("doc_id", "title_norm", X.dedup_key(F.col("title"), F.col("title_norm"), F.col("doc_id"), F.col("doc_id") % 10).alias("title_key"))
 
 
 def latin1_repair(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text").withColumn("official", F.concat(F.substring("text", 1, 40), F.lit(" 宇宙")))
+    docs = table(spark, d, "documents", "doc_id", "text").withColumn("official", F.concat("text", F.lit(" 宇宙")))
     broken = docs.select("doc_id", "official", F.when(F.col("doc_id") % 3 == 0, F.lit("another")).otherwise(X.mangle(F.col("official"))).alias("name"))
     fixed = X.repaired(F.col("name"), F.col("official"))
     return broken.select("doc_id", fixed.alias("name"), F.contains(fixed, F.lit("?")).alias("broken"))
@@ -165,8 +166,9 @@ def probe_match_fallback(spark, d):
 
 
 def id_validation(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text").withColumn("id", F.substring(F.regexp_replace("text", "[ .,]", ""), 1, 22))
-    return docs.select("doc_id", X.valid_id(F.col("id")).alias("valid"))
+    """How many words of each text have the form of an id."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.size(F.filter(F.split("text", "[ \\n.,]+"), X.valid_id)).cast("long").alias("valid"))
 
 
 def url_hash_extract(spark, d):
@@ -180,44 +182,49 @@ def json_props(spark, d):
     return ev.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"), F.coalesce(F.get_json_object("props", "$.title"), F.lit("")).alias("title"))
 
 
+def _vectors(spark, d):
+    return table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("ix"), V.normalized(V.doubles(F.col("embedding"))).alias("v"))
+
+
 def _items(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("ix"), F.col("label").cast("long").alias("creator"), V.normalized(V.doubles(F.col("embedding"))).alias("v"))
     pop = _t(spark, d).track_collection.groupBy(F.col("track_id").alias("ix")).agg(F.count_distinct("collection_id").alias("pop"))
     return e.join(pop, "ix", "left").fillna(0, ["pop"])
 
 
-def _creators(spark, d):
-    """A creator stands where the item of its number does."""
-    return _items(spark, d).select(F.col("ix").alias("creator"), "v")
+def _served(spark, d):
+    """(items, creators) as a service holds them: written once. A creator stands where the item of its number does."""
+    items = materialized(_items(spark, d), "items")
+    return items, items.select(F.col("ix").alias("creator"), "v")
 
 
 def top_neighbours(spark, d):
-    items = _items(spark, d)
+    items = _served(spark, d)[0]
     return _round(N.top_by_block(items, items.select(F.col("ix").alias("query"), "v"), 8)).select("query", "ix", "score", F.col("place").cast("long").alias("place"))
 
 
 def cosine_topn_union(spark, d):
-    items = _items(spark, d)
+    items = _served(spark, d)[0]
     seeds = items.where(F.col("ix").isin(3, 17, 42)).select(F.col("ix").alias("query"), "v")
     return N.top_by_block(items.where(~F.col("ix").isin(3, 17, 42)), seeds, 50).select("ix").distinct()
 
 
 def recommend(spark, d):
-    out = M.recommend(_items(spark, d), _creators(spark, d), [3, 17, 42], M.Params(k=20, n_candidates=50))
+    out = M.recommend(*_served(spark, d), [3, 17, 42], M.Params(k=20, n_candidates=50))
     return _round(out).select("ix", "creator", "pop", "score", "cos_album", "cos_artist", "spread", "cons", "worst", "dup", "pop_boost", F.col("rank_album").cast("long").alias("rank_album"), F.col("place").cast("long").alias("place"), F.col("shift").cast("long").alias("shift"))
 
 
 def recommend_filtered(spark, d):
     p = M.Params(k=10, n_candidates=40, exclude_same_artist=True, min_pop=25, max_pop=40, w_artist=0.0)
-    return _round(M.recommend(_items(spark, d), _creators(spark, d), [5, 5, 11], p)).select("ix", "creator", "pop", "score", "cos_album", "spread", "dup")
+    return _round(M.recommend(*_served(spark, d), [5, 5, 11], p)).select("ix", "creator", "pop", "score", "cos_album", "spread", "dup")
 
 
 def analogy_add(spark, d):
-    return _round(A.analogy(_items(spark, d), [(1, "+"), (2, "+"), (9, "+")], min_pop=20, limit=5))
+    return _round(A.analogy(_served(spark, d)[0], [(1, "+"), (2, "+"), (9, "+")], min_pop=20, limit=5))
 
 
 def analogy_sub_mul(spark, d):
-    return _round(A.analogy(_items(spark, d), [(4, "*"), (8, "-"), (6, "*")], min_pop=20, max_pop=45, limit=5))
+    return _round(A.analogy(_served(spark, d)[0], [(4, "*"), (8, "-"), (6, "*")], min_pop=20, max_pop=45, limit=5))
 
 
 def popularity_hump(spark, d):
@@ -225,7 +232,8 @@ def popularity_hump(spark, d):
 
 
 def zscore(spark, d):
-    return _round(_items(spark, d).select("ix", M.zscore(F.col("pop").cast("double"), Window.partitionBy()).alias("z"), M.zscore(F.lit(1.0) + F.col("pop") * 0, Window.partitionBy()).alias("flat")))
+    items = _items(spark, d).select("ix", F.col("pop").cast("double").alias("pop"), F.lit(1.0).alias("one"))
+    return _round(M.zscores(items, {"z": "pop", "flat": "one"}).select("ix", "z", "flat"))
 
 
 def _vec_pairs(spark, d):
@@ -249,11 +257,11 @@ def holdout_split_seeded(spark, d):
 
 
 def _evaluation(spark, d, k=10):
-    pairs = _vec_pairs(spark, d)
+    pairs = materialized(_vec_pairs(spark, d), "pairs")
     train, held = pairs.where("collection_ix % 10 <> 0"), pairs.where("collection_ix % 10 = 0")
     n = table(spark, d, "embeddings").count()
     tests = E.probes(held.groupBy("collection_ix").agg(F.sort_array(F.collect_list("item")).alias("items")))
-    items = _items(spark, d).select("ix", "v")
+    items = materialized(_vectors(spark, d), "vectors")
     return tests, E.neighbours(tests, items, k), E.item_frequency(train, n), n
 
 
@@ -289,6 +297,22 @@ def popularity_baseline_lift(spark, d):
     return _round(both.select("hits", "pop_hits", "targets", (F.col("hits") / F.greatest("pop_hits", F.lit(1))).alias("lift")))
 
 
+def final_evaluation(spark, d):
+    """Recall at 10, 50 and 100 with popularity's recall and the lift over it."""
+    tests, _, freq, _ = _evaluation(spark, d)
+    return _round(E.final_evaluation(tests, _vectors(spark, d), freq))
+
+
+def artist_pairs(spark, d):
+    """Tracks by collection and creator: the second model's pairs."""
+    return R.creator_pairs(_star(spark, d)[2])
+
+
+def index_summary(spark, d):
+    """Rows of the serving table, those with a popularity and those with a creator."""
+    return R.index_summary(R.release_index(*_star(spark, d)))
+
+
 def neg_sampling_cdf(spark, d):
     freq = _t(spark, d).track_collection.groupBy(F.col("track_id").alias("item")).agg(F.count("*").alias("freq"))
     return _round(T.negative_cdf(freq), 9)
@@ -298,7 +322,7 @@ def neg_sampling_lookup(spark, d):
     freq = _t(spark, d).track_collection.groupBy(F.col("track_id").alias("item")).agg(F.count("*").alias("freq"))
     cdf = T.negative_cdf(freq)
     draws = spark.range(64).select(F.col("id").alias("draw"), ((F.col("id") + 0.5) / 64).alias("u"))
-    return draws.join(cdf, (F.col("u") > F.col("cdf_prev")) & (F.col("u") <= F.col("cdf"))).select("draw", "item")
+    return T.drawn_items(draws, cdf).select("draw", "item")
 
 
 def cache_latest_ttl(spark, d):
@@ -319,15 +343,15 @@ def work_list(spark, d):
 
 
 def bpr_step_loss(spark, d):
-    vectors = _items(spark, d).select("ix", "v")
-    triples = spark.range(200).select(F.col("id").alias("anchor"), ((F.col("id") * 7 + 1) % 400).alias("pos"), ((F.col("id") * 13 + 5) % 400).alias("neg"))
+    """Each item once as an anchor, with fixed other items of the table."""
+    vectors = _vectors(spark, d)
+    n = table(spark, d, "embeddings").count()
+    triples = table(spark, d, "embeddings", "vec_id").select(F.col("vec_id").alias("anchor"), ((F.col("vec_id") * 7 + 1) % n).alias("pos"), ((F.col("vec_id") * 13 + 5) % n).alias("neg"))
     return _round(T.triple_loss(triples, vectors))
 
 
 def bpr_train(spark, d):
     """Two short epochs on the sample; the loss must fall below ln 2."""
-    from loomset.operators.scratch import scratch
-
     pairs = _vec_pairs(spark, d)
     n = table(spark, d, "embeddings").count()
     adj = pairs.groupBy("collection_ix").agg(F.sort_array(F.collect_list("item")).alias("items"))
@@ -338,14 +362,12 @@ def bpr_train(spark, d):
 
 def dump_tokenizer(spark, d):
     """Customers written as a dump's statements and read back."""
-    from loomset.sources.dump import ParseValues
+    from loomset.sources.dump import parsed
 
     rows = table(spark, d, "customer", "c_custkey", "c_name", "c_acctbal")
     payload = F.concat(F.lit("("), F.col("c_custkey"), F.lit(",'"), F.replace("c_name", F.lit("'"), F.lit("\\'")), F.lit("',"), F.col("c_acctbal"), F.lit(")"))
-    lines = rows.groupBy((F.col("c_custkey") % 50).alias("g")).agg(F.array_join(F.sort_array(F.collect_list(payload)), ",").alias("payload"))
-    spark.udtf.register("loomset_parse_values", ParseValues)
-    lines.createOrReplaceTempView("loomset_payloads")
-    cells = spark.sql("SELECT v.cells FROM loomset_payloads p, LATERAL loomset_parse_values(p.payload) v")
+    lines = rows.groupBy(F.floor(F.col("c_custkey") / 1000).alias("name")).agg(F.array_join(F.sort_array(F.collect_list(payload)), ",").alias("payload"))
+    cells = parsed(lines)
     return cells.select(F.get("cells", F.lit(0)).try_cast("bigint").alias("id"), F.get("cells", F.lit(1)).alias("name"), F.get("cells", F.lit(2)).try_cast("double").alias("balance"))
 
 

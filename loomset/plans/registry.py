@@ -16,7 +16,7 @@ _ALL = (
     q.probe_match_fallback, q.id_validation, q.url_hash_extract, q.json_props, q.top_neighbours, q.cosine_topn_union, q.recommend,
     q.recommend_filtered, q.analogy_add, q.analogy_sub_mul, q.popularity_hump, q.zscore, q.csr_adjacency, q.holdout_split,
     q.holdout_split_seeded, q.recall_at_k, q.recall_by_seed_stratum, q.recall_by_target_stratum, q.popularity_bias, q.same_artist_share,
-    q.popularity_baseline_lift, q.neg_sampling_cdf, q.neg_sampling_lookup, q.cache_latest_ttl, q.cache_stats, q.work_list,
+    q.popularity_baseline_lift, q.final_evaluation, q.artist_pairs, q.index_summary, q.neg_sampling_cdf, q.neg_sampling_lookup, q.cache_latest_ttl, q.cache_stats, q.work_list,
     q.bpr_step_loss, q.bpr_train, q.dump_tokenizer, q.contiguous_keys, q.windowed_events,
 )
 

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.functions.text import haystack, id_list
+from loomset.functions.text import CARD_URL, card_url, haystack, id_list
 from loomset.functions.vectors import doubles, normalized
 from loomset.operators.analogy import MAX_TERMS, MIN_POP, analogy
 from loomset.operators.cache import cache_stats, resolve
@@ -84,8 +84,8 @@ class Service:
     creator_id, creator, pop), vectors: (ix, v) of each. Loading checks that keys run from 0 and have a vector each.
     """
 
-    def __init__(self, releases: DataFrame, creators: DataFrame, release_vectors: DataFrame, creator_vectors: DataFrame, params: ParamsFile):
-        self.params = params
+    def __init__(self, releases: DataFrame, creators: DataFrame, release_vectors: DataFrame, creator_vectors: DataFrame, params: ParamsFile, card_base: str = CARD_URL):
+        self.params, self.card_base = params, card_base
         self.n_releases = assert_contiguous(releases, "release_ix")
         self.n_creators = assert_contiguous(creators, "creator_ix")
         for name, vectors, n in (("release", release_vectors, self.n_releases), ("creator", creator_vectors, self.n_creators)):
@@ -98,8 +98,12 @@ class Service:
         self.creator_items = unit(creator_vectors).join(creators.select(F.col("creator_ix").alias("ix"), "pop"), "ix").persist()
 
     def release_card(self, df: DataFrame) -> DataFrame:
-        """Rows as cards: minutes to one digit."""
-        return df.select("release_ix", "release", "creator", "release_id", "pop", "n_tracks", F.round("minutes", 1).alias("minutes"), *(c for c in df.columns if c not in (*self.releases.columns, "ix", "v")))
+        """Rows as cards: minutes to one digit, and the page's address below card_base."""
+        return df.select("release_ix", "release", "creator", "release_id", "pop", "n_tracks", F.round("minutes", 1).alias("minutes"), card_url("album", F.col("release_id"), self.card_base).alias("url"), *(c for c in df.columns if c not in (*self.releases.columns, "ix", "v")))
+
+    def creator_card(self, df: DataFrame) -> DataFrame:
+        """Rows of creators as cards, with the page's address below card_base."""
+        return df.drop("hay").withColumn("url", card_url("artist", F.col("creator_id"), self.card_base))
 
     def search(self, request: SearchRequest) -> DataFrame:
         """Releases whose creator and title hold every term, the most popular first."""
@@ -107,7 +111,7 @@ class Service:
 
     def search_creators(self, request: SearchRequest) -> DataFrame:
         """Creators whose name holds every term, the most popular first."""
-        return search(self.creators, request.q, limit=request.limit, min_pop=request.min_pop, max_pop=request.max_pop, key="creator_ix").drop("hay")
+        return self.creator_card(search(self.creators, request.q, limit=request.limit, min_pop=request.min_pop, max_pop=request.max_pop, key="creator_ix"))
 
     def config(self) -> dict:
         """The active parameters and where they come from."""
@@ -142,7 +146,7 @@ class Service:
     def creator_arithmetic(self, request: ArithmeticRequest) -> DataFrame:
         """The creator nearest to the terms' vector."""
         found = self._arithmetic(self.creator_items.select("ix", "pop", "v"), self.n_creators, request)
-        return self.creators.drop("hay").join(F.broadcast(found.select("ix", "score")), F.col("creator_ix") == F.col("ix")).drop("ix")
+        return self.creator_card(self.creators).join(F.broadcast(found.select("ix", "score")), F.col("creator_ix") == F.col("ix")).drop("ix")
 
     def release(self, ix: int) -> DataFrame:
         """One release's card."""
@@ -154,7 +158,7 @@ class Service:
         """One creator's card."""
         if not 0 <= ix < self.n_creators:
             raise NotFound(f"creator {ix}")
-        return self.creators.where(F.col("creator_ix") == ix).drop("hay")
+        return self.creator_card(self.creators.where(F.col("creator_ix") == ix))
 
 
 def lookup(ids: str, cache: DataFrame, fetch: Callable, now: int, **how) -> tuple[DataFrame, DataFrame]:

@@ -162,7 +162,7 @@ def test_holdout_is_disjoint_and_stable(spark):
 
 
 def test_strata_have_inclusive_lower_bounds(spark):
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in (0, 4, 5, 19, 20, 99, 100, 999, 1000)], "f bigint").select(evaluate.stratum(F.col("f"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in (0, 9, 10, 49, 50, 199, 200, 999, 1000)], "f bigint").select(evaluate.stratum(F.col("f"))).collect()]
     assert [g[0] for g in got] == list("aabbccdde")
 
 
@@ -197,6 +197,23 @@ def test_training_learns_planted_blocks(spark):
     assert len(more) == 4 and more[:3] == history
     with pytest.raises(ValueError, match="checkpoint"):
         train.train(adj, freq, 31, config, folder, resume=True)
+    with pytest.raises(ValueError, match="left to run"):
+        train.train(adj, freq, 30, config, folder, resume=True)
+    with pytest.warns(UserWarning, match="negatives"):
+        train.train(adj, freq, 30, train.TrainConfig(dim=8, negatives=2, epochs=5, steps_per_epoch=1), folder, resume=True)
+
+
+def test_training_by_joins_equals_training_by_broadcast(spark):
+    rng = np.random.default_rng(3)
+    lists = [(i, sorted(int(x) for x in rng.choice(12, 4, replace=False))) for i in range(40)]
+    adj = spark.createDataFrame(lists, "collection_ix bigint, items array<bigint>")
+    freq = adj.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("freq"))
+    config = train.TrainConfig(dim=4, negatives=3, learning_rate=0.1, epochs=2, steps_per_epoch=2)
+    held = evaluate.probes(adj.where("collection_ix < 10"))
+    tables, histories = zip(*(train.train(adj, freq, 12, config, scratch(spark, "both"), held=held, broadcast_bytes=n) for n in (1 << 20, 0)), strict=True)
+    v = [np.array([r["v"] for r in t.orderBy("ix").collect()]) for t in tables]
+    assert np.allclose(*v, atol=1e-9) and [h["anchors"] for h in histories[0]] == [160, 160]
+    assert all(math.isclose(a["loss"], b["loss"], rel_tol=1e-9) and a["score"] == b["score"] and 0 <= a["score"] <= 1 for a, b in zip(*histories, strict=True))
 
 
 def test_evaluators_and_probes(spark):
@@ -219,6 +236,50 @@ def test_sampling_shares(spark):
 ID = "0123456789abcdefghij{:02d}"
 
 
+def test_draws_find_the_items_whose_shares_hold_them(spark):
+    rng = np.random.default_rng(4)
+    freq = rng.integers(0, 50, 500)
+    freq[7] = 90_000  # one item with most of the shares
+    cdf = train.negative_cdf(spark.createDataFrame([(i * 300, int(n)) for i, n in enumerate(freq)], "item bigint, freq bigint"), 1.0)
+    u = [*((np.arange(200) + 0.5) / 200), 1.0]
+    got = {r["u"]: r["item"] for r in train.drawn_items(spark.createDataFrame([(float(x),) for x in u], "u double"), cdf, buckets=64).collect()}
+    share = np.cumsum(np.maximum(freq, 1)) / np.maximum(freq, 1).sum()
+    assert [got[float(x)] for x in u] == [int(np.searchsorted(share, x - 1e-12)) * 300 for x in u]
+    rows = cdf.orderBy("item").collect()
+    assert rows[0]["cdf_prev"] == 0 and all(a["cdf"] == b["cdf_prev"] for a, b in zip(rows, rows[1:]))
+
+
+def test_final_evaluation(spark):
+    items, _, v, *_ = catalogue(spark, n=40)
+    tests = spark.createDataFrame([(i, i, [(i + 1) % 40, (i + 2) % 40]) for i in range(20)], "query bigint, seed bigint, targets array<bigint>")
+    freq = spark.createDataFrame([(i, 100 - i) for i in range(40)], "item bigint, freq bigint")
+    for sample in (5_000, 8):
+        got = {r["k"]: r for r in evaluate.final_evaluation(tests, items.select("ix", "v"), freq, (3, 10), sample).collect()}
+        if sample == 5_000:
+            for k in (3, 10):
+                near = [set(np.lexsort((np.arange(40), -np.where(np.arange(40) == i, -9, v @ v[i])))[:k].tolist()) for i in range(20)]
+                hits = sum(len(near[i] & {i + 1, i + 2}) for i in range(20))
+                popular = sum(t < k for i in range(20) for t in (i + 1, i + 2))
+                assert (got[k]["hits"], got[k]["pop_hits"], got[k]["targets"]) == (hits, popular, 40)
+        else:
+            assert got[3]["targets"] == 16
+
+
+def test_creator_pairs_and_summary(spark):
+    pairs = spark.createDataFrame([(0, 1, 5, 2), (0, 2, 5, 3), (0, 3, None, 9), (1, 1, 6, 1)], "collection_ix bigint, release_ix bigint, creator_ix bigint, n_tracks smallint")
+    assert {tuple(r) for r in releases.creator_pairs(pairs).collect()} == {(0, 5, 5), (1, 6, 1)}
+    index = spark.createDataFrame([(0, 3, 1), (1, 0, None)], "release_ix bigint, pop int, creator_ix bigint")
+    assert tuple(releases.index_summary(index).first()) == (2, 1, 1)
+
+
+def test_grouped_digits_and_card_urls(spark):
+    from loomset.functions import text
+
+    df = spark.createDataFrame([(0, "a"), (999, None), (1000, "b"), (-1234567, "c")], "n bigint, i string")
+    got = df.select(text.grouped_digits(F.col("n")), text.card_url("album", F.col("i"), "https://x.example.org")).collect()
+    assert [tuple(r) for r in got] == [("0", "https://x.example.org/album/a"), ("999", None), ("1.000", "https://x.example.org/album/b"), ("-1.234.567", "https://x.example.org/album/c")]
+
+
 def test_cache_lifetimes_and_upserts(spark):
     old = spark.createDataFrame([(ID.format(1), "v", "", 10), (ID.format(2), "", "", 10), (ID.format(3), "", "", 100)], "id string, value string, title string, fetched_at bigint")
     assert {r["id"][-1] for r in cache.valid_rows(old, 120, lifetime=50).collect()} == {"1", "3"}

@@ -20,10 +20,12 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="loomset-"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(root)
@@ -121,6 +123,27 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
     pa.default_memory_pool().release_unused()
 
 
+def split_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", least_hot: int = 10_000, most_hot: int = 1_000_000) -> DataFrame:
+    """rows joined (inner or left) to keyed, which has one row a key, without meeting a frequent key's rows in one task.
+
+    Keys of more than least_hot rows, or of more than a most_hot-th of all rows, are most_hot at most; what keyed has of
+    them is broadcast. Only the rows of other keys are shuffled. Rows of a null key meet nothing and are not shuffled.
+    rows are read several times: they should be a written table.
+    """
+    many = max(least_hot, rows.count() // most_hot)
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > many).select(key).checkpoint()
+    known = rows.where(F.col(key).isNotNull())
+    if hot.isEmpty():
+        out = known.join(keyed, key, how)
+    else:
+        small = keyed.join(F.broadcast(hot), key, "left_semi")
+        warm = known.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(small), key, how)
+        out = known.join(F.broadcast(hot), key, "left_anti").join(keyed, key, how).unionByName(warm)
+    if how == "left":
+        out = out.unionByName(rows.where(F.col(key).isNull()).join(keyed.limit(0), key, "left"))
+    return out
+
+
 def broadcast_or_shuffle(small: DataFrame, max_rows: int) -> DataFrame:
     """Mark a side for broadcasting only if a count proves it within max_rows; else it is joined by shuffle."""
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import SPACE, broadcast_or_shuffle, scratch_root, text_of, written
+from loomset.llm.common import SPACE, broadcast_or_shuffle, scratch_root, split_join, text_of, written
 
 #: The kinds in the order of ties; the last is what the contextual method adds.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -22,17 +22,17 @@ PATTERNS = {
 }
 #: Texts without a match of these have none of the kind.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: A slot, the shape of an unseen identifier: a word with at least so many digits.
-SLOT_DIGITS, SLOT_CHARS = 3, 6
-_SLOT = rf"(?:(?<![^{SPACE}])|\G)(?:[^{SPACE}0-9]*+[0-9]){{{SLOT_DIGITS}}}[^{SPACE}]*+"
+#: A slot, the shape of an unseen identifier: a word with a digit, of so many characters without what _EDGE names around it.
+SLOT_CHARS = 4
+_SLOT = rf"(?:(?<![^{SPACE}])|\G)[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
 _EDGE = r"[\"'(\[{<>}\])=:;,.!?*#|]"
-#: Characters of context on either side.
-CONTEXT = 80
 ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.6
 MIN_SCORE = 0.8
-_SPANS = "array<struct<start:int,kind:int,end:int,text:string,left:string,right:string>>"
+_SPANS = "array<struct<start:int,kind:int,end:int,text:string,before:string,earlier:string,after:string>>"
+#: Running sums go by runs of so many numbers, so that long arrays are not copied for each number.
+_RUN = 128
 
 
 def _digits(m: Column) -> Column:
@@ -54,24 +54,55 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(n: Column) -> Column:
+    """Running sums of an array of numbers, each with the number itself: by runs, and over the runs' own sums."""
+    add = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"] + x).alias("all"))
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+    sums = lambda x: F.aggregate(x, start, add, lambda a: a["all"])
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _RUN).cast("int")), lambda i: sums(F.slice(n, i * _RUN + 1, F.lit(_RUN))))
+    whole = _let(runs, lambda r: _let(sums(F.transform(r, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(r, lambda x, i: F.transform(x, lambda v: v + F.when(i > 0, F.get(ends, i - 1)).otherwise(0))))))
+    return F.when(F.size(n) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
+def _last_word(text: Column) -> Column:
+    """The last word of a text whose white space is spaces only."""
+    return F.substring_index(F.rtrim(text), " ", -1)
+
+
 def _matches(t: Column, pattern: str, kind: int) -> Column:
-    """All matches with their places in code points, and the text left and right of each.
+    """All matches with their places in code points, the two words before each and the word after it.
 
-    Splitting by a pattern gives the text between its matches, so places are running sums of lengths.
+    Splitting by a pattern gives the text between its matches, so places are running sums of lengths. The words around
+    are whole, however long, and may be matches themselves; letters or marks glued to a match belong to no word around.
     """
     found = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern, -1).alias("gap"))
 
-    def step(x: Column) -> Column:
-        def one(a: Column, i: Column) -> Column:
-            begin = a["at"] + F.length(F.get(x["gap"], i))
-            end = begin + F.length(F.get(x["m"], i))
-            left, right = F.right(F.get(x["gap"], i), F.lit(CONTEXT)), F.left(F.get(x["gap"], i + 1), F.lit(CONTEXT))
-            return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(x["m"], i).alias("text"), left.alias("left"), right.alias("right"))).alias("out"))
+    def spans(x: Column) -> Column:
+        m, gap = x["m"], F.transform(x["gap"], lambda g: F.translate(g, "\t\n\x0b\x0c\r", "     "))
+        part = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+        def one(g: Column, ends: Column) -> Column:
+            def span(text: Column, i: Column) -> Column:
+                back = F.concat(part(g, i - 2), part(m, i - 2), part(g, i - 1), part(m, i - 1), part(g, i))
+                left = F.left(back, F.length(back) - F.when(F.endswith(back, F.lit(" ")), 0).otherwise(F.length(F.substring_index(back, " ", -1))))
+                on = F.concat(part(g, i + 1), part(m, i + 1))
+                right = F.when(F.startswith(on, F.lit(" ")), on).otherwise(F.substr(on, F.length(F.substring_index(on, " ", 1)) + 1))
+                before = _last_word(left)
+                rest = F.left(F.rtrim(left), F.length(F.rtrim(left)) - F.length(before))
+                end = F.get(ends, i)
+                return F.struct((end - F.length(text)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), text.alias("text"), before.alias("before"), _last_word(rest).alias("earlier"), F.substring_index(F.ltrim(right), " ", 1).alias("after"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-        return F.aggregate(F.when(F.size(x["m"]) > 0, F.sequence(F.lit(0), F.size(x["m"]) - 1)).otherwise(F.array().cast("array<int>")), start, one, lambda a: a["out"])
+            return F.transform(m, span)
 
-    return F.element_at(F.transform(F.array(found), step), 1)
+        lengths = F.transform(m, lambda y, i: F.length(y) + F.length(F.get(x["gap"], i)))
+        return _let(gap, lambda g: _let(_running(lengths), lambda ends: one(g, ends)))
+
+    return _let(found, spans)
 
 
 def _valid(spans: Column, kind: str) -> Column:
@@ -85,8 +116,8 @@ def _none() -> Column:
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, base, slots): the base spans of every whole text and its slots; row numbers rows in a written table.
 
-    base: valid matches of the four kinds, by start and kind. slots: words with SLOT_DIGITS digits, trimmed of quotes
-    and punctuation, with their context; seed tells whether one overlaps a base span.
+    base: valid matches of the four kinds, by start and kind. slots: the base spans, which are seeds, and words with a
+    digit that overlap none, trimmed of quotes and punctuation, with the words around them.
     """
     t = F.col("t")
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("t"))
@@ -96,32 +127,35 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     base = F.array_sort(F.concat(*(F.transform(k, bare) for k in KINDS[:4])))
 
+    def slot(s: Column, start: Column, end: Column, core: Column, seed: bool) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), F.lower(core).alias("text"), *(F.lower(s[k]).alias(k) for k in ("before", "earlier", "after")), F.lit(seed).alias("seed"))
+
     def trimmed(s: Column) -> Column:
         head = F.length(s["text"]) - F.length(F.regexp_replace(s["text"], f"^{_EDGE}+", ""))
         core = F.regexp_replace(s["text"], rf"^{_EDGE}+|{_EDGE}+$", "")
-        return F.struct((s["start"] + head).alias("start"), (s["start"] + head + F.length(core)).alias("end"), F.lower(core).alias("text"), F.lower(s["left"]).alias("left"), F.lower(s["right"]).alias("right"))
+        return slot(s, s["start"] + head, s["start"] + head + F.length(core), core, False)
 
-    based = raw.select("row", "doc_id", base.alias("base"), F.filter(F.transform("raw", trimmed), lambda s: F.length(s["text"]) >= SLOT_CHARS).alias("raw"))
+    seeds = F.concat(*(F.transform(k, lambda s: slot(s, s["start"], s["end"], s["text"], True)) for k in KINDS[:4]))
     overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    slots = F.transform("raw", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["left"].alias("left"), s["right"].alias("right"), overlaps(s).alias("seed")))
-    return written(based.select("row", "doc_id", "base", slots.alias("slots")), "pii-spans")
+    based = raw.select("row", "doc_id", base.alias("base"), seeds.alias("seeds"), F.filter(F.transform("raw", trimmed), lambda s: F.length(s["text"]) >= SLOT_CHARS).alias("raw"))
+    return written(based.select("row", "doc_id", "base", F.concat("seeds", F.filter("raw", lambda s: ~overlaps(s))).alias("slots")), "pii-spans")
 
 
-def _contexts(left: Column, right: Column) -> Column:
+def _contexts(before: Column, earlier: Column, after: Column) -> Column:
     """Lexical patterns of a slot: the word before, the two words before, the word after; digits are all alike."""
-    word = f"[^{SPACE}]+"
-    one = F.regexp_extract(left, rf"({word})[{SPACE}]*\z", 1)
-    two = F.regexp_extract(left, rf"({word}[{SPACE}]+{word})[{SPACE}]*\z", 1)
-    after = F.regexp_extract(right, rf"\A[{SPACE}]*({word})", 1)
-    shape = lambda c: F.regexp_replace(F.regexp_replace(c, f"[{SPACE}]+", " "), "[0-9]", "0")
-    named = F.array(*(F.when(c != "", F.concat(F.lit(tag), shape(c))) for tag, c in (("1:", one), ("2:", two), ("3:", after))))
+    shape = lambda c: F.regexp_replace(c, "[0-9]", "0")
+    named = F.array(
+        F.when(before != "", F.concat(F.lit("1:"), shape(before))),
+        F.when((before != "") & (earlier != ""), F.concat(F.lit("2:"), shape(earlier), F.lit(" "), shape(before))),
+        F.when(after != "", F.concat(F.lit("3:"), shape(after))),
+    )
     return F.filter(named, lambda x: x.isNotNull())
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) of distinct edges (pattern, instance, seed): confidences and scores after some rounds.
 
-    A pattern's confidence is its instances' score over their number plus one, if that score reaches MIN_SUPPORT. A seed
+    A pattern is the word before, the two words before or the word after an instance. Its confidence is its instances' score over their number plus one, if that score reaches MIN_SUPPORT. A seed
     scores 1; another instance scores as unlikely as it is that all its patterns above MIN_CONFIDENCE err.
     """
     instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
@@ -140,16 +174,18 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(row, doc_id, base, spans): one row for each row of docs; spans are arrays of struct<start, kind, end>.
 
     base holds the base kinds (KINDS numbers them). spans adds slots that overlap no base span, whose instance scores
-    MIN_SCORE or more and that stand in a pattern of MIN_CONFIDENCE or more. Null texts are empty and have no span.
+    MIN_SCORE or more and that stand in a pattern of MIN_CONFIDENCE or more. A slot is a word with a digit, of SLOT_CHARS
+    characters or more; identifiers without a digit are not looked for. Null texts are empty and have no span.
     """
     scratch_root(docs.sparkSession)
     rows = find_spans(docs, doc_id, text)
-    slots = rows.select("row", F.explode("slots").alias("s")).select("row", "s.*").withColumn("pattern", F.explode(_contexts(F.col("left"), F.col("right"))))
+    slots = rows.select("row", F.explode("slots").alias("s")).select("row", "s.*").withColumn("pattern", F.explode(_contexts(F.col("before"), F.col("earlier"), F.col("after"))))
     slots = written(slots.select("row", "start", "end", "seed", "pattern", F.xxhash64("text").alias("instance")), "pii-slots")
     edges = slots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).checkpoint()
     patterns, instances = score_patterns(edges)
     good = instances.where(F.col("score") >= MIN_SCORE).select("instance")
-    new = slots.where("not seed").join(broadcast_or_shuffle(patterns.select("pattern"), 100_000), "pattern", "left_semi").join(good, "instance", "left_semi")
+    new = slots.where("not seed").join(broadcast_or_shuffle(patterns.select("pattern"), 100_000), "pattern", "left_semi")
+    new = split_join(written(new, "pii-new"), good, "instance")
     new = new.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     both = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return rows.select("row", "doc_id", "base").join(new, "row", "left").select("row", "doc_id", "base", both.alias("spans"))

@@ -9,15 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import broadcast_or_shuffle, scratch_root, written
+from loomset.llm.common import scratch_root, written
 
 #: (verdict, host and path) of the production rules; fixed values.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DEFAULT = "allow"
+#: Listed keys of one cascade; more are split by their hashes into as many cascades as it takes, one pass over the pages each.
 MAX_KEYS = 20_000_000
 MAX_LEVELS = 48
 _HALF_RATE_BITS = 1.44
@@ -88,13 +88,10 @@ def build_cascade(universe: DataFrame) -> Cascade:
     """A cascade over a universe of keys (h bigint, listed boolean), each once.
 
     The first level's rate is the share of listed keys, the others' a half, so all levels together are in proportion to
-    the listed keys. More than MAX_KEYS of them are refused: split the list by a prefix of the hash then. Raises if a
-    listed and another key have one hash, for then no cascade can tell them apart.
+    the listed keys. Raises if a listed and another key have one hash, for then no cascade can tell them apart.
     """
     spark = universe.sparkSession
     counts = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
-    if counts.get(True, 0) > MAX_KEYS:
-        raise ValueError(f"{counts[True]} listed keys; a cascade holds {MAX_KEYS}")
     levels: list[Level] = []
     shared = []
 
@@ -145,7 +142,32 @@ def _after_scheme(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
+def _marked(keyed: DataFrame, universe: DataFrame, part: int, parts: int) -> DataFrame:
+    """keyed with marks (array<int>) filled in for the hashes of one part: 0 not listed, 1 allowed, 2 blocked."""
+    spark = keyed.sparkSession
+    own = universe.where(F.pmod("h", F.lit(parts)) == part)
+    listed = build_cascade(own.select("h", "listed"))
+    blocked = build_cascade(own.where("listed").select("h", F.col("block").alias("listed")))
+    held = spark.sparkContext.broadcast((listed, blocked))
+    hashes_at, marks_at = keyed.columns.index("hashes"), keyed.columns.index("marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, blocked = held.value
+        for batch in batches:
+            h = batch.column(hashes_at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            marks = batch.column(marks_at).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            mine = np.flatnonzero(h % parts == part)
+            hit = mine[listed.contains(h[mine])]
+            marks[hit] = 1 + blocked.contains(h[hit])
+            offsets = batch.column(marks_at).offsets.to_numpy()
+            columns = list(batch.columns)
+            columns[marks_at] = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(marks))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return keyed.mapInArrow(run, keyed.schema)
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT, max_keys: int = MAX_KEYS) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages.
 
     rules: (verdict, rule), rule being a host and a path that starts with /, each once; null rows are left out. A rule
@@ -164,31 +186,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     ends = [(F.substring_index("host", ".", -n), size, labels >= n) for n, size in sorted(shapes)]
     made = F.array(*(F.when(fits & (F.length("path") >= size), F.struct((-F.length(end) - size).alias("a"), (-F.length(end)).alias("b"), F.concat(end, F.left("path", F.lit(size))).alias("key"))) for end, size, fits in ends)) if ends else F.array().cast("array<struct<a:int,b:int,key:string>>")
     keyed = named.withColumn("keys", F.transform(F.sort_array(F.filter(made, lambda x: x.isNotNull())), lambda x: x["key"]))
-    universe = keyed.select(F.explode("keys").alias("key")).distinct().join(broadcast_or_shuffle(rules.withColumnRenamed("rule", "key"), 100_000), "key", "left")
-    universe = written(universe.union(rules.select("rule", "verdict")).groupBy("key").agg(F.max("verdict").alias("verdict")).select(F.xxhash64("key").alias("h"), F.col("verdict").isNotNull().alias("listed"), (F.col("verdict") == "block").alias("block")), "url-keys")
-    listed = build_cascade(universe.select("h", "listed"))
-    blocked = build_cascade(universe.where("listed").select("h", F.col("block").alias("listed")))
-    held = spark.sparkContext.broadcast((listed, blocked))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, blocked = held.value
-        for batch in batches:
-            lists, hashes = batch.column(3), batch.column(4)
-            h = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = np.flatnonzero(listed.contains(h))
-            row = np.searchsorted(lists.offsets.to_numpy() - lists.offsets.to_numpy()[0], hit, "right") - 1
-            row, first = np.unique(row, return_index=True)  # keys are in order, so the first fits best
-            at = np.full(len(batch), -1)
-            at[row] = hit[first]
-            bad = np.zeros(len(batch), bool)
-            bad[row] = blocked.contains(h[hit[first]])
-            none = pa.array(at < 0)
-            rule = lists.flatten().take(pa.array(at, mask=at < 0))
-            verdict = pa.array(np.where(bad, "block", "allow").tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rule, pc.if_else(none, default, verdict)], names=["page_id", "host", "path", "rule", "verdict"])
-
-    kind = named.schema["page_id"].dataType.simpleString()
-    return keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    universe = keyed.select(F.explode("keys").alias("key"), F.lit(None).cast("string").alias("verdict")).union(rules.select("rule", "verdict"))
+    universe = written(universe.groupBy("key").agg(F.max("verdict").alias("verdict")).select(F.xxhash64("key").alias("h"), F.col("verdict").isNotNull().alias("listed"), (F.col("verdict") == "block").alias("block")), "url-keys")
+    parts = max(1, math.ceil(rules.count() / max_keys))
+    marked = keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))).withColumn("marks", F.transform("keys", lambda _: F.lit(0)))
+    for part in range(parts):
+        marked = _marked(marked if part == 0 else written(marked, "url-marks"), universe, part, parts)
+    # keys are in order, so the first listed one fits best
+    first = F.array_position(F.transform("marks", lambda m: m > 0), F.lit(True)).cast("int")
+    rule = F.when(first > 0, F.get("keys", first - 1))
+    return marked.select("page_id", "host", "path", rule.alias("rule"), F.when(first > 0, F.when(F.get("marks", first - 1) == 2, "block").otherwise("allow")).otherwise(default).alias("verdict"))
 
 
 def rules_frame(spark, rules=RULES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import SPACE, broadcast_or_shuffle, scratch_root, text_of, words_expr, written
+from loomset.llm.common import SPACE, scratch_root, split_join, text_of, words_expr, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -81,5 +81,9 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     rows = written(text_features(docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("__text")), "__text").withColumn("base_failed", base_failure()), "quality")
     verdicts = host_verdicts(rows, "host", "base_failed", max_rate).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), "rejected")
-    joined = rows.join(broadcast_or_shuffle(verdicts, 200_000), F.col("host").eqNullSafe(F.col("h")))
+    if verdicts.limit(200_001).count() <= 200_000:
+        joined = rows.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("h")))
+    else:  # the null host under a name that is none
+        named = lambda c: F.coalesce(F.concat(F.lit("h"), c), F.lit("-")).alias("__host")
+        joined = split_join(rows.select("*", named(F.col("host"))), verdicts.select(named(F.col("h")), "host_rate", "rejected"), "__host")
     return joined.select(*rows.columns, "host_rate", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))

@@ -13,20 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import SPACE, scratch_root, slices, text_of, word_lists, written
-
-#: Notices of licences; fixed values.
-TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-}
+from loomset.llm.common import SPACE, scratch_root, slices, split_join, text_of, word_lists, written
+from loomset.llm.license_texts import SPDX, TEMPLATES
+
 MIN_COSINE = 0.8
 #: A file whose units with a licence hold so much of its words is a licence file.
 FILE_SHARE = 0.5
@@ -50,6 +39,8 @@ class Templates:
         #: squared of a template's squares cannot reach min_cosine with it (Cauchy-Schwarz), nor can any part of it.
         self.words = {w: i for i, w in enumerate(sorted(df))}
         self.squares = np.array([[v.get(w, 0.0) ** 2 for v in self.vectors] for w in self.words])
+        self.lengths = [sum(c.values()) for c in counts]
+        self.by_identifier = {n.lower(): n for n in templates}
 
     def may_match(self, words) -> bool:
         """Whether a text of these words can reach min_cosine with some template."""
@@ -61,6 +52,35 @@ class Templates:
         norm = math.sqrt(sum(x * x for x in own.values()))
         return {w: x / norm for w, x in own.items()}
 
+    def windows(self, words: list[str]) -> list[tuple[int, int]]:
+        """(begin, end) of the stretches of a text's words, as long as a template, that may reach min_cosine with it.
+
+        A stretch is left out if its words together have less than min_cosine squared of the template's squares; of
+        stretches that begin at neighbouring words the one with most of them is taken.
+        """
+        known = np.array([self.words.get(w, -1) for w in words], np.int64)
+        squares = np.where(known[:, None] >= 0, self.squares[known], 0.0)
+        total = np.concatenate((np.zeros((1, squares.shape[1])), np.cumsum(squares, axis=0)))
+        found = set()
+        for t, n in enumerate(self.lengths):
+            if n >= len(words):
+                continue
+            held = total[n:, t] - total[:-n, t]
+            at = np.flatnonzero(held >= self.min_cosine**2 - 1e-9)
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                if len(run):
+                    begin = int(run[np.argmax(held[run])])
+                    found.add((begin, begin + n))
+        return sorted(found)
+
+    def identified(self, text: str) -> str | None:
+        """The licence of the first line with an SPDX identifier of a template."""
+        for name in re.findall(SPDX, text):
+            known = self.by_identifier.get(re.sub("(-only|-or-later|[+])$", "", name.lower()))
+            if known:
+                return known
+        return None
+
     def best(self, words: list[str]) -> tuple[float, str | None]:
         """(cosine, licence) of the nearest template, of equal ones the first by name; below min_cosine: no licence."""
         if not words:
@@ -71,6 +91,11 @@ class Templates:
         return (cosine, self.names[-at]) if cosine >= self.min_cosine else (0.0, None)
 
 
+def _plain(text: str) -> list[str]:
+    """The words of a text, in lower case without punctuation around them; pure punctuation goes."""
+    return [w for w in (x.strip(_TRIM) for x in _WORD.findall(text.lower())) if w]
+
+
 def _units(text: str) -> list[str]:
     """Headers of a text: its lines, its runs of lines without a blank one between, and the whole."""
     lines = text.split("\n")
@@ -86,7 +111,12 @@ def _units(text: str) -> list[str]:
 
 
 def own_licenses(files: DataFrame, templates: Templates | None = None) -> DataFrame:
-    """(id, path, license, cosine, is_file) of files (id, path, t): the best of each whole text's units."""
+    """(id, path, license, cosine, is_file) of files (id, path, t): the best of each whole text's units and windows.
+
+    A unit is a line, a run of lines without a blank one between, or the whole text; a window is a stretch of as many
+    words as a template has, wherever it stands. Of several with a licence the one of the largest cosine times its words
+    counts, for short notices stand in longer texts of other licences. An SPDX line comes first, with a cosine of 1.
+    """
     own = templates or Templates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,22 +131,30 @@ def own_licenses(files: DataFrame, templates: Templates | None = None) -> DataFr
                 pairs = np.unique(np.searchsorted(ends, hit, "right") * len(own.words) + known[hit])
                 cover = np.zeros((len(part), own.squares.shape[1]))
                 np.add.at(cover, pairs // len(own.words), own.squares[pairs % len(own.words)])
-                docs = np.flatnonzero(cover.max(axis=1) >= own.min_cosine**2 - 1e-9)
+                named = pc.match_substring(part.column(2), "SPDX-License-Identifier:").to_numpy(zero_copy_only=False)
+                docs = np.flatnonzero((cover.max(axis=1) >= own.min_cosine**2 - 1e-9) | named)
                 license: list[str | None] = [None] * len(part)
                 cosine, whole = np.zeros(len(part)), np.zeros(len(part), bool)
                 for d in docs.tolist():
                     lines = block = 0
-                    for unit in _units(part.column(2)[d].as_py()):
-                        words = [w for w in (x.strip(_TRIM) for x in _WORD.findall(unit.lower())) if w]
+                    text = part.column(2)[d].as_py()
+                    every = _plain(text)
+                    found = [(c * (b - a), c, name) for a, b in own.windows(every) for c, name in (own.best(every[a:b]),) if name]
+                    for unit in _units(text):
+                        words = _plain(unit)
                         if not own.may_match(words):
                             continue
                         c, name = own.best(words)
-                        if name and c > cosine[d]:
-                            cosine[d], license[d] = c, name
+                        if name:
+                            found.append((c * len(words), c, name))
                         if name and "\n" in unit:
                             block = max(block, len(words))
                         elif name:
                             lines += len(words)
+                    if found:
+                        _, cosine[d], license[d] = max(found, key=lambda f: (round(f[0], 6), f[1], f[2]))
+                    if named[d] and (name := own.identified(text)):
+                        cosine[d], license[d] = 1.0, name
                     whole[d] = license[d] is not None and max(lines, block) >= FILE_SHARE * int(ends[d] - (ends[d - 1] if d else 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(license, pa.string()), pa.array(cosine), pa.array(whole)], names=["id", "path", "license", "cosine", "is_file"])
 
@@ -147,6 +185,8 @@ def scan_licenses(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
     walked = lacking.withColumn("dir", F.explode(F.array_distinct(above))).join(dirs, "dir")
     near = walked.groupBy("at").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "from", "from_cosine")).alias("near"))
-    joined = rows.withColumn("at", F.when(F.col("license").isNull(), parent)).join(near, "at", "left")
+    placed = rows.withColumn("at", F.when(F.col("license").isNull(), parent))
+    near = near.checkpoint()
+    joined = placed.join(F.broadcast(near), "at", "left") if near.limit(200_001).count() <= 200_000 else split_join(placed, near, "at", "left")
     mine = F.col("license").isNotNull()
     return joined.select("id", "path", F.coalesce("license", "near.from").alias("license"), F.when(mine, F.col("cosine")).otherwise(F.col("near.from_cosine")).alias("cosine"), F.when(mine, "own").when(F.col("near").isNotNull(), "inherited").alias("origin"), F.when(mine, parent).otherwise(F.col("near.dir")).alias("origin_dir"))

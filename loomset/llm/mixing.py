@@ -16,8 +16,8 @@ BLOCK_WORDS = 256
 MAX_REPEATS = 3
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
-#: Output shards over which the slots are drawn.
-SHARDS = 1024
+#: Slots of an output shard, and shards at least.
+SHARD_SLOTS, LEAST_SHARDS = 1 << 17, 64
 _CHUNK_ROWS, _LEAST_CHUNKS = 20_000, 256
 #: Row keys with their numbers of copies are broadcast up to so many rows (12 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -89,21 +89,45 @@ def source_plan(size: int, target: float, block: int, key: int) -> tuple[int, in
     return blocks, passes * blocks + slots, rest - upto(slots - 1)
 
 
-def _slots(targets: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+def shard_counts(slots: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray]:
+    """By output shard how many slots each source has there: all shards are of one size, or one slot more.
+
+    Each shard's counts are a multinomial draw of its size by the share of what every source has left; what a source
+    has not left is drawn again among the others, and the last shards take the rest. So the sums are exactly slots.
+    """
+    rng, left = np.random.default_rng(seed), slots.astype(np.int64)
+    total = int(left.sum())
+    for shard in range(shards):
+        missing = total // shards + (shard < total % shards)
+        counts = np.zeros(len(left), np.int64)
+        while missing:
+            open_ = left - counts
+            counts += np.minimum(rng.multinomial(missing, open_ / open_.sum()), open_)
+            missing = total // shards + (shard < total % shards) - int(counts.sum())
+        left = left - counts
+        yield counts
+
+
+def _slots(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
     """(source, shard, slot, block, words): the slots of all output shards; words: null for a whole block.
 
-    Each source's number of slots is fixed by its target; over the shards they are drawn as a multinomial, which is how
-    independent multinomial draws of sources by shard fall when the totals are given.
+    The source counts of all shards are drawn in one task, which holds one number a source and gives a row for each
+    shard and source in it; slots are mapped to blocks shard by shard.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for source, key, size, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks, slots, last = source_plan(size, target, block, key)
-                counts = np.random.default_rng([seed, key & (1 << 63) - 1]).multinomial(slots, np.full(shards, 1 / shards))
-                own = np.flatnonzero(counts)
-                k = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * k, pa.string()), pa.array([key] * k, pa.int64()), pa.array([blocks] * k, pa.int64()), pa.array([slots] * k, pa.int64()), pa.array([last] * k, pa.int64()), pa.array(own.astype(np.int32)), pa.array((np.cumsum(counts) - counts)[own]), pa.array(counts[own].astype(np.int64))], names=["source", "key", "blocks", "slots", "last", "shard", "first", "n"])
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0] is None, r[0] or ""))
+        if not rows:
+            return
+        names, keys = pa.array([r[0] for r in rows], pa.string()), np.array([r[1] for r in rows], np.int64)
+        plan = np.array([source_plan(size, target, block, key) for _, key, size, target in rows], np.int64)
+        shards = max(LEAST_SHARDS, math.ceil(int(plan[:, 1].sum()) / shard_slots))
+        first = np.zeros(len(rows), np.int64)
+        for shard, counts in enumerate(shard_counts(plan[:, 1], shards, seed)):
+            own = np.flatnonzero(counts)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(keys[own]), pa.array(plan[own, 0]), pa.array(plan[own, 1]), pa.array(plan[own, 2]), pa.array(np.full(len(own), shard, np.int32)), pa.array(first[own]), pa.array(counts[own])], names=["source", "key", "blocks", "slots", "last", "shard", "first", "n"])
+            first += counts
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,16 +139,16 @@ def _slots(targets: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out), batch.column(5)], names=["source", "shard", "slot", "block", "words"])
 
     keyed = targets.where("source_size > 0").select("source", F.xxhash64(F.col("source"), F.lit(seed)).alias("key"), "source_size", "target")
-    drawn = keyed.mapInArrow(draw, "source string, key bigint, blocks bigint, slots bigint, last bigint, shard int, first bigint, n bigint")
+    drawn = keyed.coalesce(1).mapInArrow(draw, "source string, key bigint, blocks bigint, slots bigint, last bigint, shard int, first bigint, n bigint")
     spread = drawn.repartition("source", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     named = spread.select("source", "shard", "slot", "blocks", "key", F.when(F.col("slot") == F.col("slots") - 1, F.col("last")).alias("words"))
     return named.mapInArrow(place, "source string, shard int, slot bigint, block bigint, words bigint")
 
 
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as (rows, slots, targets).
 
-    rows: (doc_id, row_key, source, chunk, rank, size, first): each document's words lie from first on among its source's
+    A token of the blocks is a word. rows: (doc_id, row_key, source, chunk, rank, size, first): each document's words lie from first on among its source's
     words. slots: (source, shard, slot, block, words). targets: (source, source_size, target).
     Null texts and texts without words have size 0 and are never taken; null is a source of its own, after the others.
     Repeated rows count each. The same rows give the same mix, however they are partitioned.
@@ -140,12 +164,12 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))
     rows = ranked.join(begins, same).select("doc_id", "row_key", "source", "chunk", "rank", "size", (F.col("begin") + F.col("before")).alias("first"))
     targets = capped_targets(totals.groupBy("source").agg(F.sum("n").alias("source_size")), weights, cap).checkpoint()
-    return rows, _slots(targets, block, shards, seed), targets
+    return rows, _slots(targets, block, shard_slots, seed), targets
 
 
-def taken_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+def taken_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
     """(doc_id, row_key, size, source_size, target, taken) for each row of docs: the words the mix takes, repeats counted."""
-    rows, slots, targets = mixture(docs, doc_id, text, source, weights, cap, block, shards, seed)
+    rows, slots, targets = mixture(docs, doc_id, text, source, weights, cap, block, shard_slots, seed)
     use = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"), F.min("words").alias("words"))
     places = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block)))
     pieces = rows.withColumn("block", F.explode_outer(places))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm import golay
-from loomset.llm.common import broadcast_or_shuffle, free_name, row_key, scratch_root, slices, text_of, without_keys, word_lists, written
+from loomset.llm.common import broadcast_or_shuffle, free_name, row_key, scratch_root, slices, split_join, text_of, without_keys, word_lists, written
 from loomset.llm.components import connected_components
 
 SEED = 42
@@ -146,7 +146,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, max_distance:
     label = connected_components(fingerprint_links(prints, max_distance)).withColumnRenamed("node", "fp")
     named = prints.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "label").select("fp", "label", "component_id"), "fp")
+    return split_join(rows, written(named.join(least, "label").select("fp", "label", "component_id"), "simhash-classes"), "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -166,7 +166,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     A row without an id stays only if no row of its class has one. Columns are those of docs. Texts are shuffled only
     if more than broadcast_rows row keys go.
     """
-    return one_of_each(docs, _classes(docs, doc_id, text, 3, MAX_DISTANCE), doc_id, text, broadcast_rows)
+    return one_of_each(docs, written(_classes(docs, doc_id, text, 3, MAX_DISTANCE), "simhash-found"), doc_id, text, broadcast_rows)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame:
@@ -174,7 +174,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str, broad
     # the first row of each fingerprint and then of each class, so that no join meets all rows of a class
     own = found.groupBy("fp").agg(F.first("label").alias("label"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("own")).checkpoint()
     first = own.join(own.groupBy("label").agg(F.min("own").alias("first")), "label").select("fp", F.col("first.row_key").alias("first"))
-    keyed = written(found.join(first, "fp").groupBy("row_key").agg(F.first(F.col("row_key") == F.col("first")).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "simhash-drop")
+    keyed = written(split_join(found, first, "fp").groupBy("row_key").agg(F.first(F.col("row_key") == F.col("first")).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "simhash-drop")
     left = without_keys(docs, keyed.where("not stays").select("row_key"), doc_id, text, broadcast_rows)
     again = keyed.where("stays").select("row_key")
     if again.isEmpty():

@@ -30,6 +30,7 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat formatting of all conversations and a hostile one, read back from the formatted text and its segments."""
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
     made = chat.format_conversations(turns.union(extra))
@@ -47,27 +48,32 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base kinds of personal data in every text, and the spans that bootstrapped contexts add."""
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     counts = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page's url by Bloom filter cascades."""
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule features of every text and verdicts by document and host."""
     found = quality.quality_verdicts(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, its own or inherited; paths are source/lang/doc_id."""
     docs = _table(spark, sf_dir, "documents")
     named = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"))
     return licenses.scan_licenses(named).select(F.col("id").alias("doc_id"), "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "origin_dir")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by its nearest labelled examples."""
     docs = _table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), index)
@@ -75,21 +81,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document leaks, with its longest overlap."""
     found = decontaminate.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "overlap", "matched")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as packed ids in files, read back by document."""
     out = scratch_path(spark, "token-ids")
     token_ids.write_token_ids(_table(spark, sf_dir, "documents"), out, tokenizer_path(), VOCABULARY, END_ID)
     return token_ids.read_token_ids(spark, out, with_ids=False)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and their classes within three bits."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of sources takes of every document."""
     return mixing.taken_words(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomset.llm import chat, decontaminate, golay, licenses, mixing, pii, quality, simhash, token_ids, toxicity, url_filter
+from loomset.llm import chat, common, decontaminate, golay, licenses, mixing, pii, quality, simhash, token_ids, toxicity, url_filter
 from loomset.llm.common import scratch_path, word_lists
 from loomset.llm.queries import END_ID, HOSTILE, VOCABULARY, tokenizer_path
 
@@ -51,6 +51,15 @@ def none(spark):
     return frame(spark, [])
 
 
+def test_split_join_equals_a_join(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(int(k) if k else None, i) for i, k in enumerate([*([3] * 500), *([7] * 90), *rng.integers(0, 60, 300)])], "k bigint, i bigint")
+    keyed = spark.createDataFrame([(k, f"v{k}") for k in (1, 2, 3, 5, 8, 13, 99)], "k bigint, v string")
+    for how in ("inner", "left"):
+        for hot in (50, 10_000):
+            assert sorted(map(str, common.split_join(rows, keyed, "k", how, hot).collect())) == sorted(map(str, rows.join(keyed, "k", how).collect()))
+
+
 def test_words_are_runs_without_ascii_space(rows):
     texts = [t or "" for _, t, _ in rows]
     assert word_lists(pa.array(texts)).to_pylist() == [re.findall(WORD, t) for t in texts]
@@ -117,6 +126,42 @@ def test_contexts_find_unseen_identifiers(spark, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_recall_of_planted_identifiers_in_several_contexts(spark):
+    rng = np.random.default_rng(18)
+    contexts = ["contact ref {} today", "my account number {} was", "call\tme\non {}, please", "user {} logged in", "<id>: {} </id>"]
+    bases = [lambda i: f"jo.hn{i}@mail.example.com", lambda i: f"+1 (017) 555-77{10 + i}", lambda i: f"10.0.{i}.7", lambda i: "john.doe@example.org"]
+    unseen = [lambda i: f"AB-{i}817-X", lambda i: f"user_{i}", lambda i: f"\"k{i}zz9\"", lambda i: f"{i}{'x' * 120}"]
+    rows, want = [], {}
+    for c, context in enumerate(contexts):
+        for i in range(16):
+            rows.append(f"{words(rng, 5)} {context.format(bases[i % 4](i + 20 * c))} {words(rng, 5)}")
+        for i in range(4):
+            own = unseen[i](i + 30 + 7 * c)
+            rows.append(f"{words(rng, 5)} {context.format(own)} {words(rng, 3)}")
+            want[len(rows) - 1] = own.strip('"')
+    first = len(rows)
+    rows += [f"{words(rng, 6)} {int(rng.integers(10, 10**9))} {words(rng, 6)} v{i}.2 {words(rng, 2)}" for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, [(i, t, "s") for i, t in enumerate(rows)])).collect()}
+    added = {i: [rows[i][s["start"] : s["end"]] for s in got[i]["spans"] if s["kind"] == 4] for i in got}
+    assert np.mean([own in added[i] for i, own in want.items()]) >= 0.9
+    assert not any(added[i] for i in range(first, len(rows)))
+    for i in range(first):
+        assert {tuple(s) for s in got[i]["base"]} == set(brute_spans(rows[i]))
+
+
+def test_an_identifier_beside_another_keeps_its_context(spark):
+    rng = np.random.default_rng(19)
+    rows = [f"{words(rng, 4)} order 1234 by user{i}@mail.example.com now {words(rng, 4)}" for i in range(12)] + [f"{words(rng, 4)} order 1234 by agent-77q now {words(rng, 4)}"]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, [(i, t, "s") for i, t in enumerate(rows)])).collect()}
+    assert "agent-77q" in [rows[12][s["start"] : s["end"]] for s in got[12]["spans"] if s["kind"] == 4]
+
+
+def test_a_text_of_very_many_matches(spark):
+    text = " ".join(f"x{i}.y 1.2.3.{i % 256}" for i in range(6_000))
+    got = pii.personal_data(frame(spark, [(1, text, "s")])).first()
+    assert [tuple(s) for s in got["base"]] == brute_spans(text)
+
+
 # 3
 
 
@@ -144,6 +189,17 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(df, url_filter.rules_frame(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_rules_beyond_one_cascade(spark):
+    rng = np.random.default_rng(7)
+    hosts = [f"h{i}.example" for i in range(60)]
+    rules = [("block" if i % 3 else "allow", f"{h}/{'p/' * (i % 2)}") for i, h in enumerate(hosts)]
+    urls = [f"http://{'www.' * int(rng.integers(0, 2))}{hosts[int(rng.integers(0, 60))]}/{'p/' * int(rng.integers(0, 2))}q" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    frame_ = url_filter.rules_frame(spark, rules)
+    one, many = ({tuple(r) for r in url_filter.judge_urls(df, frame_, max_keys=n).collect()} for n in (1000, 13))
+    assert one == many and {r[4] for r in one} == {"allow", "block"} and {r[3] for r in one} > {None}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 30_000))
@@ -291,6 +347,38 @@ def test_leaks_with_substitutions(spark, docs, none):
     assert decontaminate.benchmark_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_all_lengths_and_allowed_substitutions_are_found(spark):
+    rng = np.random.default_rng(21)
+    items, docs, share = [], [], {}
+    for n in (9, 10, 11, 13, 16, 20, 40):
+        for k in range(n // 5 + 1):
+            for _ in range(25):
+                own = words(rng, n).split()
+                items.append((len(items), " ".join(own)))
+                for i in rng.choice(n, k, replace=False):
+                    own[i] = "zzz"
+                docs.append((len(docs), f"{words(rng, 12)} {' '.join(own)} {words(rng, 12)}"))
+                share[len(docs) - 1] = (n, k)
+    found = decontaminate.benchmark_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    good = {r["doc_id"] for r in found if r["doc_id"] == r["item_id"] and r["overlap"] >= share[r["doc_id"]][0]}
+    recall = {nk: np.mean([i in good for i in share if share[i] == nk]) for nk in set(share.values())}
+    assert min(recall.values()) >= 0.9 and np.mean(list(recall.values())) > 0.99, recall
+    # and nothing else is: brute force over all stretches of all pairs
+    hashes = lambda t: decontaminate.tokens(pa.array([t]))[0].view(np.int64)
+    other = {(r["doc_id"], r["item_id"]) for r in found if r["doc_id"] != r["item_id"]}
+    for d, i in other:
+        own, item = hashes(docs[d][1]), hashes(items[i][1])
+        assert max(decontaminate.best_overlap(own, item, k)[1] for k in range(-len(item), len(own))) >= min(13, len(item))
+
+
+def test_repetitive_texts_and_items_meet_in_one_row(spark):
+    item = "na " * 150
+    docs = spark.createDataFrame([(1, "na " * 5_000), (2, "batman " + "na " * 12), (3, "na nu " * 400), (4, "na " * 6)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (2, "na nu " * 30)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["matched"]) for r in decontaminate.benchmark_leaks(docs, bench).collect()}
+    assert got == {(1, 1): (150, 150), (2, 1): (13, 12), (3, 2): (60, 60)}
+
+
 def test_a_stretch_is_the_best_overlap():
     item = np.arange(1, 31)
     own = np.concatenate([np.full(7, 99), item, np.full(4, 98)])
@@ -324,7 +412,7 @@ def test_a_stretch_bears_a_fifth_of_substitutions_anywhere(spark):
 
 def test_license_scan(spark, none):
     rng = np.random.default_rng(6)
-    mit = licenses.TEMPLATES["MIT"][1]
+    mit = "Copyright (c) 2020 The Authors\n\n" + licenses.TEMPLATES["MIT"][3]
     files = [
         ("p/LICENSE", mit), ("p/a.py", words(rng, 20)), ("p/q/b.py", "Licensed under CC BY-NC 4.0.\n" + words(rng, 20)), ("p/q/r/c.py", words(rng, 5)), ("z/x.py", words(rng, 5)), ("p/q/COPYING.txt", "x\n\nReleased under the MIT License.\n"),
         (None, "Released under the MIT License."), ("top.py", None), ("p/q/b2.py", "licensed under license licence"), ("p/long.py", words(rng, 20_000) + "\nThis work is licensed under the GNU General Public License, version 3.\n" + words(rng, 900)),
@@ -338,6 +426,26 @@ def test_license_scan(spark, none):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_notices_inside_lines_and_full_texts_are_found(spark):
+    rng = np.random.default_rng(9)
+    full = {n: max(t, key=len) for n, t in licenses.TEMPLATES.items()}
+    inside = [(n, f"{words(rng, 40)} {t} {words(rng, 30)}") for n, texts in licenses.TEMPLATES.items() for t in texts if len(t.split()) >= 5]
+    others = [("MIT", "# SPDX-License-Identifier: MIT"), ("GPL-2.0", words(rng, 9) + "\n// SPDX-License-Identifier: GPL-2.0-or-later\n"), (None, "SPDX-License-Identifier: Unknown-1"), (None, "the license is granted to any person under the terms and conditions of the agreement " * 4)]
+    cases = [*((n, f"Copyright 2021 someone else\n\n{t}\n") for n, t in full.items()), *inside, *others]
+    df = spark.createDataFrame([(i, None, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, path string, text string")
+    got = {r["id"]: (r["license"], r["cosine"]) for r in licenses.scan_licenses(df).collect()}
+    assert [(cases[i][0], got[i]) for i in got if got[i][0] != cases[i][0]] == []
+    # no stretch of a template's length that reaches the cosine lies outside the runs that windows() looks at
+    t = licenses.Templates()
+    for _, text in cases[len(full) : len(full) + 12]:
+        w = licenses._plain(text)
+        seen = t.windows(w)
+        for n in sorted(set(t.lengths)):
+            for a in range(len(w) - n):
+                if t.best(w[a : a + n])[1]:
+                    assert any(b < a + n and e > a for b, e in seen)
+
+
 def test_the_bound_loses_no_template_match():
     t = licenses.Templates()
     for texts in licenses.TEMPLATES.values():
@@ -495,13 +603,24 @@ def brute_targets(sizes):
         full |= new
 
 
+def test_shard_counts_are_multinomial_and_sum_to_the_slots():
+    slots = np.array([50_000, 20_000, 0, 1, 30_000])
+    drawn = np.array(list(mixing.shard_counts(slots, 1_000, 3)))
+    assert (drawn.sum(0) == slots).all() and set(drawn.sum(1)) <= {100, 101}
+    # but for the last shards, the spread of a shard's counts is that of a multinomial draw
+    share = slots / slots.sum()
+    assert np.allclose(drawn[:500, [0, 1, 4]].mean(0), 100 * share[[0, 1, 4]], atol=1.5)
+    assert np.allclose(drawn[:500, [0, 1, 4]].var(0), (100 * share * (1 - share))[[0, 1, 4]], rtol=0.3)
+    assert not list(mixing.shard_counts(np.zeros(3, np.int64), 2, 1))[0].any()
+
+
 def test_mixture_meets_its_targets(spark, docs, rows, none):
     rng = np.random.default_rng(12)
     made = [(i, words(rng, int(rng.integers(0, 400))), f"s{int(rng.integers(0, 6)) if i % 3 else 0}") for i in range(300)]
     made += [(400, words(rng, 7), "tiny"), (401, None, "empty"), (402, words(rng, 50), None), (402, words(rng, 50), None), (403, words(rng, 6000), "s1"), (404, "a b", "é")]
     for given in (made, rows):
         df = frame(spark, given)
-        got = [tuple(r) for r in mixing.taken_words(df, block=32, shards=16).select("doc_id", "size", "source_size", "target", "taken").collect()]
+        got = [tuple(r) for r in mixing.taken_words(df, block=32, shard_slots=16).select("doc_id", "size", "source_size", "target", "taken").collect()]
         assert Counter((g[0], g[1]) for g in got) == Counter((i, len(re.findall(WORD, t or ""))) for i, t, _ in given)
         assert all(0 <= g[4] <= 3 * g[1] for g in got)
         sizes = Counter()
@@ -510,9 +629,19 @@ def test_mixture_meets_its_targets(spark, docs, rows, none):
         want = brute_targets(sizes)
         assert sorted({(g[2], round(g[3], 6)) for g in got}) == sorted({(sizes[s], round(x, 6)) for s, x in want.items()})
         assert abs(sum(g[4] for g in got) - sum(sizes.values())) <= len(sizes)
-        assert sorted(got, key=str) == sorted((tuple(r) for r in mixing.taken_words(df.repartition(3), block=32, shards=16).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
-    _, slots, _ = mixing.mixture(frame(spark, made), block=32, shards=16)
-    assert slots.select("source", "slot").distinct().count() == slots.count() and slots.select("shard").distinct().count() == 16
+        assert sorted(got, key=str) == sorted((tuple(r) for r in mixing.taken_words(df.repartition(3), block=32, shard_slots=16).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
+    placed, slots, _ = mixing.mixture(frame(spark, made), block=32, shard_slots=16)
+    placed, slots = placed.collect(), slots.collect()
+    # shards are of one size, and each word is taken as often as its block's slots say
+    by_shard = Counter(r["shard"] for r in slots)
+    assert len({(r["source"], r["slot"]) for r in slots}) == len(slots) and max(by_shard.values()) - min(by_shard.values()) <= 1
+    assert len(by_shard) == min(len(slots), max(mixing.LEAST_SHARDS, -(-len(slots) // 16)))
+    of_word = Counter()
+    for r in slots:
+        for i in range(32 if r["words"] is None else r["words"]):
+            of_word[r["source"], r["block"] * 32 + i] += 1
+    brute = Counter((r["doc_id"], r["size"], sum(of_word[r["source"], r["first"] + i] for i in range(r["size"]))) for r in placed)
+    assert brute == Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.taken_words(frame(spark, made), block=32, shard_slots=16).collect())
     copies = mixing.mixed_documents(docs)
     assert copies.columns == docs.columns and copies.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 6
     assert mixing.taken_words(none).count() == 0

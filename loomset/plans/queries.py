@@ -35,45 +35,54 @@ def _t(spark: SparkSession, d: str) -> R.Tables:
 
 
 def cardinalities(spark, d):
+    """Rows of each raw table."""
     t = sample_tables(spark, d)
     return P.cardinalities(releases=t.release, creators=t.creator, tracks=t.track, collections=t.collection, links=t.track_collection)
 
 
 def playlist_length_quantiles(spark, d):
+    """Mean, quantiles and maximum of collection lengths."""
     return P.quantiles(R.collection_lengths(_t(spark, d).track_collection), "length", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999})
 
 
 def playlist_length_buckets_share(spark, d):
+    """Collections and their rows by bucket of length, with the share of all rows."""
     return P.shares(R.collection_lengths(_t(spark, d).track_collection), "length", P.LENGTH_BUCKETS, weighted=True)
 
 
 def album_minutes_cut(spark, d):
+    """Releases above the cuts of total minutes."""
     m = F.col("minutes")
     return R.release_sizes(_t(spark, d).track).agg(F.count("*").alias("n"), F.count_if(m >= R.MIN_MINUTES).alias("kept_20"), F.count_if(m >= SAMPLE_CUT).alias("kept_300"), V.half_up(F.lit(100.0) * F.count_if(m >= SAMPLE_CUT) / F.count("*"), 2).alias("pct_300"))
 
 
 def main_artist(spark, d):
+    """The main creator of each release."""
     t = _t(spark, d)
     return R.main_creators(t.track, t.track_creator)
 
 
 def album_pairs(spark, d):
+    """Different tracks by collection and release above the cut."""
     t = _t(spark, d)
     return R.collection_releases(t.track, t.track_collection, R.kept_releases(t.track, SAMPLE_CUT))
 
 
 def album_pairs_summary(spark, d):
+    """Number, means and quantiles of the pairs of collection and release."""
     t = _t(spark, d)
     pairs = R.collection_releases(t.track, t.track_collection)
     return pairs.agg(F.count("*").alias("pairs"), F.count_distinct("release_id").alias("releases"), F.count_distinct("collection_id").alias("collections"), V.half_up(F.avg("n_tracks"), 2).alias("mean"), F.percentile("n_tracks", 0.5).alias("p50"), F.percentile("n_tracks", 0.9).alias("p90"), F.max("n_tracks").alias("max"))
 
 
 def n_tracks_buckets(spark, d):
+    """Pairs by bucket of their number of tracks, with their share."""
     t = _t(spark, d)
     return P.shares(R.collection_releases(t.track, t.track_collection), "n_tracks", P.TRACK_BUCKETS, weighted=False)
 
 
 def long_tail_counts(spark, d):
+    """How many releases stand in so many collections."""
     t = _t(spark, d)
     return P.tail_counts(R.collection_releases(t.track, t.track_collection).groupBy("release_id").agg(F.count("*").alias("n")), "n")
 
@@ -89,15 +98,18 @@ def _flow(spark, d):
 
 
 def album_lookup(spark, d):
+    """Releases under contiguous keys, with creator, size and cluster of variants."""
     return _flow(spark, d)[2]
 
 
 def artist_lookup(spark, d):
+    """Main creators under contiguous keys."""
     t, _, releases = _flow(spark, d)
     return R.creator_lookup(releases, t.creator)
 
 
 def playlist_lookup(spark, d):
+    """Collections under contiguous keys, with their length."""
     t, edges, _ = _flow(spark, d)
     return R.collection_lookup(edges, t.collection, R.collection_lengths(t.track_collection))
 
@@ -110,14 +122,17 @@ def _star(spark, d):
 
 
 def pairs_star(spark, d):
+    """The edge list under contiguous keys."""
     return _star(spark, d)[2]
 
 
 def album_index(spark, d):
+    """Serving rows of releases."""
     return R.release_index(*_star(spark, d))
 
 
 def artist_index(spark, d):
+    """Serving rows of creators."""
     releases, creators, pairs = _star(spark, d)
     return R.creator_index(creators, R.release_index(releases, creators, pairs))
 
@@ -131,21 +146,25 @@ def _variants(spark, d):
 
 
 def largest_dedup_groups(spark, d):
+    """The largest groups of variants of a title."""
     return P.largest_groups(*_variants(spark, d))
 
 
 def dedup_group_summary(spark, d):
+    """Number, means and quantiles of the groups of variants."""
     v = F.col("variants")
     return P.variant_groups(_variants(spark, d)[0]).agg(F.count("*").alias("groups"), F.sum(v).alias("releases"), V.half_up(F.avg(v), 3).alias("mean"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.99).alias("p99"), F.max(v).alias("max"), F.sum(F.when(v > 1, v - 1).otherwise(0)).alias("redundant"))
 
 
 def title_norm(spark, d):
+    """Normalized titles and their keys, of whole texts."""
     docs = table(spark, d, "documents", "doc_id", "text").withColumn("title", F.concat("text", F.lit(" & (Deluxe Edition)")))
     normed = docs.select("doc_id", "title", X.title_norm(F.col("title")).alias("title_norm"))
     return normed.select("doc_id", "title_norm", X.dedup_key(F.col("title"), F.col("title_norm"), F.col("doc_id"), F.col("doc_id") % 10).alias("title_key"))
 
 
 def latin1_repair(spark, d):
+    """Mangled names, repaired where the official one proves them."""
     docs = table(spark, d, "documents", "doc_id", "text").withColumn("official", F.concat("text", F.lit(" 宇宙")))
     broken = docs.select("doc_id", "official", F.when(F.col("doc_id") % 3 == 0, F.lit("another")).otherwise(X.mangle(F.col("official"))).alias("name"))
     fixed = X.repaired(F.col("name"), F.col("official"))
@@ -153,12 +172,14 @@ def latin1_repair(spark, d):
 
 
 def fold_search(spark, d):
+    """The most popular texts that hold all folded terms."""
     docs = table(spark, d, "documents", "doc_id", "text", "source", "n_chars")
     hay = docs.select(F.col("doc_id").alias("ix"), F.col("n_chars").alias("pop"), X.haystack(F.col("source"), F.col("text")).alias("hay"))
     return S.search(hay, "DES éntre", limit=20, min_pop=100, max_pop=5000).select("ix", "pop")
 
 
 def probe_match_fallback(spark, d):
+    """A title by exact match, else by its beginning."""
     t = _t(spark, d)
     rows = t.release.select("id", "name", F.substring_index("id", "|", 1).alias("owner")).join(R.release_sizes(t.track).withColumnRenamed("release_id", "id"), "id")
     first = rows.agg(F.min(F.struct("owner", "name")).alias("m")).first()["m"]
@@ -172,12 +193,14 @@ def id_validation(spark, d):
 
 
 def url_hash_extract(spark, d):
+    """Image keys of addresses."""
     docs = table(spark, d, "documents", "doc_id")
     url = F.concat(F.lit("https://cdn.example.com/image/ab67616d00001e02"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 24), F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.lit("")))
     return docs.select("doc_id", X.image_key(url).alias("image_key"))
 
 
 def json_props(spark, d):
+    """Fields of JSON bodies, empty where they are missing."""
     ev = table(spark, d, "events", "event_id", "props")
     return ev.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"), F.coalesce(F.get_json_object("props", "$.title"), F.lit("")).alias("title"))
 
@@ -199,39 +222,47 @@ def _served(spark, d):
 
 
 def top_neighbours(spark, d):
+    """The eight nearest items of each item."""
     items = _served(spark, d)[0]
     return _round(N.top_by_block(items, items.select(F.col("ix").alias("query"), "v"), 8)).select("query", "ix", "score", F.col("place").cast("long").alias("place"))
 
 
 def cosine_topn_union(spark, d):
+    """Union of the nearest items of several seeds."""
     items = _served(spark, d)[0]
     seeds = items.where(F.col("ix").isin(3, 17, 42)).select(F.col("ix").alias("query"), "v")
     return N.top_by_block(items.where(~F.col("ix").isin(3, 17, 42)), seeds, 50).select("ix").distinct()
 
 
 def recommend(spark, d):
+    """Two-stage recommendation from three seeds with all parts of the scores."""
     out = M.recommend(*_served(spark, d), [3, 17, 42], M.Params(k=20, n_candidates=50))
     return _round(out).select("ix", "creator", "pop", "score", "cos_album", "cos_artist", "spread", "cons", "worst", "dup", "pop_boost", F.col("rank_album").cast("long").alias("rank_album"), F.col("place").cast("long").alias("place"), F.col("shift").cast("long").alias("shift"))
 
 
 def recommend_filtered(spark, d):
+    """Recommendation with a repeated seed, popularity bounds and without the seeds' creators."""
     p = M.Params(k=10, n_candidates=40, exclude_same_artist=True, min_pop=25, max_pop=40, w_artist=0.0)
     return _round(M.recommend(*_served(spark, d), [5, 5, 11], p)).select("ix", "creator", "pop", "score", "cos_album", "spread", "dup")
 
 
 def analogy_add(spark, d):
+    """The nearest items to a sum of vectors."""
     return _round(A.analogy(_served(spark, d)[0], [(1, "+"), (2, "+"), (9, "+")], min_pop=20, limit=5))
 
 
 def analogy_sub_mul(spark, d):
+    """The nearest items to a difference times a vector."""
     return _round(A.analogy(_served(spark, d)[0], [(4, "*"), (8, "-"), (6, "*")], min_pop=20, max_pop=45, limit=5))
 
 
 def popularity_hump(spark, d):
+    """The popularity term of each item."""
     return _round(_items(spark, d).select("ix", V.hump(F.col("pop"), 30.0, 1.0).alias("boost")))
 
 
 def zscore(spark, d):
+    """Population z-scores of popularity, and of a constant."""
     items = _items(spark, d).select("ix", F.col("pop").cast("double").alias("pop"), F.lit(1.0).alias("one"))
     return _round(M.zscores(items, {"z": "pop", "flat": "one"}).select("ix", "z", "flat"))
 
@@ -243,15 +274,18 @@ def _vec_pairs(spark, d):
 
 
 def csr_adjacency(spark, d):
+    """Lists of items by collection, and where their slots begin."""
     return E.adjacency(_vec_pairs(spark, d)).select("collection_ix", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "start")
 
 
 def holdout_split(spark, d):
+    """Pairs and collections of both sides of a split by collection."""
     pairs = _vec_pairs(spark, d)
     return pairs.withColumn("held", F.col("collection_ix") % 10 == 0).groupBy("held").agg(F.count("*").alias("pairs"), F.count_distinct("collection_ix").alias("collections"))
 
 
 def holdout_split_seeded(spark, d):
+    """Collections of both sides of a seeded split."""
     train, held = E.holdout_split(_vec_pairs(spark, d), 100)
     return train.agg(F.lit("train").alias("part"), F.count_distinct("collection_ix").alias("collections")).union(held.agg(F.lit("held"), F.count_distinct("collection_ix")))
 
@@ -266,31 +300,37 @@ def _evaluation(spark, d, k=10):
 
 
 def recall_at_k(spark, d):
+    """Recall of held-out items among the seeds' neighbours."""
     tests, top, _, _ = _evaluation(spark, d)
     return _round(E.recall(E.hits(tests, top)))
 
 
 def recall_by_seed_stratum(spark, d):
+    """Recall by the popularity of the seed."""
     tests, top, freq, _ = _evaluation(spark, d)
     return _round(E.recall_by_stratum(E.hits(tests, top), freq, "seed"))
 
 
 def recall_by_target_stratum(spark, d):
+    """Recall by the popularity of the target."""
     tests, top, freq, _ = _evaluation(spark, d)
     return _round(E.recall_by_stratum(E.hits(tests, top), freq, "target"))
 
 
 def popularity_bias(spark, d):
+    """Mean popularity rank of the neighbours."""
     tests, top, freq, n = _evaluation(spark, d)
     return _round(E.popularity_bias(tests.select("seed").join(top, "seed"), E.popularity_ranks(freq), n))
 
 
 def same_artist_share(spark, d):
+    """Share of neighbours with the seed's creator."""
     tests, top, _, _ = _evaluation(spark, d)
     return _round(E.same_creator_share(tests.select("seed").join(top, "seed"), _items(spark, d).select(F.col("ix").alias("item"), "creator")))
 
 
 def popularity_baseline_lift(spark, d):
+    """Hits against those of the most popular items."""
     tests, top, freq, _ = _evaluation(spark, d)
     own, base = E.recall(E.hits(tests, top)), E.popularity_baseline(tests, freq, 10)
     both = own.select("hits", "targets").join(base.select(F.col("hits").alias("pop_hits")))  # one row each
@@ -314,11 +354,13 @@ def index_summary(spark, d):
 
 
 def neg_sampling_cdf(spark, d):
+    """Sampling shares of negatives and their running sums."""
     freq = _t(spark, d).track_collection.groupBy(F.col("track_id").alias("item")).agg(F.count("*").alias("freq"))
     return _round(T.negative_cdf(freq), 9)
 
 
 def neg_sampling_lookup(spark, d):
+    """The items of 64 evenly spaced draws."""
     freq = _t(spark, d).track_collection.groupBy(F.col("track_id").alias("item")).agg(F.count("*").alias("freq"))
     cdf = T.negative_cdf(freq)
     draws = spark.range(64).select(F.col("id").alias("draw"), ((F.col("id") + 0.5) / 64).alias("u"))
@@ -326,6 +368,7 @@ def neg_sampling_lookup(spark, d):
 
 
 def cache_latest_ttl(spark, d):
+    """Latest cache rows that still hold."""
     ev = table(spark, d, "events", "event_id", "ts", "user_id", "event_type")
     rows = ev.select(F.col("user_id").alias("id"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("value"), (F.unix_timestamp("ts") * 1_000_000 + F.col("event_id")).alias("fetched_at"))
     latest = C.upserted(rows.where("id % 2 = 0 or value <> 'view'"), rows.where("value = 'view'"))
@@ -333,11 +376,13 @@ def cache_latest_ttl(spark, d):
 
 
 def cache_stats(spark, d):
+    """Rows of a cache, and those with a value."""
     ev = table(spark, d, "events", "event_type").select(F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("value"))
     return C.cache_stats(ev)
 
 
 def work_list(spark, d):
+    """The most popular ids that are not known yet."""
     items = _items(spark, d).select(F.col("ix").alias("id"), "pop")
     return C.work_list(items, items.where("id % 3 = 0").select("id"), 100, check=False)
 
@@ -372,10 +417,12 @@ def dump_tokenizer(spark, d):
 
 
 def contiguous_keys(spark, d):
+    """Contiguous keys of all orders."""
     return contiguous_index(table(spark, d, "orders", "o_orderkey"), "o_orderkey", "ix")
 
 
 def windowed_events(spark, d):
+    """Events by day and type."""
     from loomset.streaming.upsert import windowed_counts
 
     return _round(windowed_counts(table(spark, d, "events", "ts", "event_type", "value")), 4)

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import broadcast_or_shuffle, row_key, scratch_root, slices, text_of, without_keys, word_lists, written
 
-#: The positions that each mask keeps; it ignores the others, so substitutions there do not matter.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 2, 5, 7, 8))
+#: The positions that each mask keeps; it ignores the others, so substitutions there do not matter. Wherever a fifth of
+#: 9 to 14 words differ, some mask falls on equal words; of the patterns of 15 words 0.998 have one.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 2, 5, 7, 8), (0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 6, 8), (0, 1, 2, 3, 4, 7))
 MIN_OVERLAP = 13
 MIN_IDENTITY = 0.8
-#: log2 of the bits of the hash bitmap that the documents' side tests first; its size is fixed, whatever the benchmark.
-BITMAP_BITS = 24
+#: log2 of the bits of the hash bitmap that the documents' side tests first: 1,024 bits a seed, between these bounds (128 KB
+#: and 32 MB). With 10 million seeds 0.001 of other places pass, beyond more and more, which the join then drops.
+LEAST_BITS, MOST_BITS = 20, 28
 _TRIM = ".,;:!?\"'()[]{}|*#%$&<>-_=/\\`~@^+"
 
 
@@ -58,9 +60,25 @@ def _masks(short: tuple[int, ...]) -> list[tuple[int, ...]]:
     return [*MASKS, *(tuple(range(n)) for n in short)]
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of the bitmap."""
-    return (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64), (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+def _bits(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of a bitmap of 2 ** bits: the hash's highest, lowest and middle bits."""
+    mask = np.uint64((1 << bits) - 1)
+    return [x.astype(np.int64) for x in (h >> np.uint64(64 - bits), h & mask, h >> np.uint64(20) & mask)]
+
+
+def _set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of all seeds' hashes as 64-bit words: at most 2 ** (bits - 6) rows reach the driver."""
+    mask = F.lit((1 << bits) - 1)
+    places = seeds.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 20).bitwiseAND(mask))).alias("bit"))
+    found = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
+    packed = np.zeros(1 << bits - 6, np.int64)
+    packed[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return packed.view(np.uint64)
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -92,23 +110,25 @@ def _seeds(items: DataFrame, short: tuple[int, ...]) -> DataFrame:
     return items.mapInArrow(run, "hash bigint, item bigint, at int")
 
 
-def _regions(docs: DataFrame, bitmap, short: tuple[int, ...], reach: int) -> DataFrame:
+def _regions(docs: DataFrame, bitmap, bits: int, short: tuple[int, ...], reach: int) -> DataFrame:
     """The stretches of documents around places whose seed hash is in the bitmap.
 
-    (doc_id, row_key, start, tokens, hit, hit_at): reach tokens more on either side; hit_at counts in the document.
+    (doc_id, row_key, start, tokens, hits): reach tokens more on either side; hits has each different hash with all its
+    places, which count in the document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, masks = bitmap.value, _masks(short)
+        held, masks = bitmap.value, _masks(short)
         for batch in batches:
             for part in slices(batch, "t"):
                 h, ends = tokens(part.column(2))
                 at, found = [], []
                 for number, mask in enumerate(masks):
                     own = _seed_hashes(h, mask, number)
-                    a, b = _bits(own)
-                    near = np.flatnonzero(bits[a])
-                    near = near[bits[b[near]]]
+                    first, *more = _bits(own, bits)
+                    near = np.flatnonzero(_set(held, first))
+                    for x in more:
+                        near = near[_set(held, x[near])]
                     doc = np.searchsorted(ends, near, "right")
                     inside = near + mask[-1] < ends[np.minimum(doc, len(ends) - 1)]
                     at.append(near[inside])
@@ -120,7 +140,7 @@ def _regions(docs: DataFrame, bitmap, short: tuple[int, ...], reach: int) -> Dat
                 place, hit = place[order], hit[order]
                 doc = np.searchsorted(ends, place, "right")
                 cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(place) > reach)) + 1
-                rows: dict[str, list] = {k: [] for k in ("i", "start", "tokens", "hit", "hit_at")}
+                rows: dict[str, list] = {k: [] for k in ("i", "start", "tokens", "hits")}
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True):
                     d = int(doc[a])
                     first, last = int(ends[d - 1]) if d else 0, int(ends[d])
@@ -128,12 +148,14 @@ def _regions(docs: DataFrame, bitmap, short: tuple[int, ...], reach: int) -> Dat
                     rows["i"].append(d)
                     rows["start"].append(lo - first)
                     rows["tokens"].append(h[lo:hi].view(np.int64))
-                    rows["hit"].append(hit[a:b])
-                    rows["hit_at"].append((place[a:b] - first).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows["i"])), part.column(1).take(pa.array(rows["i"])), pa.array(rows["start"], pa.int32()), pa.array(rows["tokens"], pa.list_(pa.int64())), pa.array(rows["hit"], pa.list_(pa.int64())), pa.array(rows["hit_at"], pa.list_(pa.int32()))], names=["doc_id", "row_key", "start", "tokens", "hit", "hit_at"])
+                    by = np.argsort(hit[a:b], kind="stable")
+                    own, at = hit[a:b][by], (place[a:b][by] - first).astype(np.int32)
+                    cuts = np.flatnonzero(np.diff(own)) + 1
+                    rows["hits"].append([{"hash": h_, "at": x} for h_, x in zip(own[np.concatenate(([0], cuts))].tolist(), np.split(at, cuts), strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows["i"])), part.column(1).take(pa.array(rows["i"])), pa.array(rows["start"], pa.int32()), pa.array(rows["tokens"], pa.list_(pa.int64())), pa.array(rows["hits"], pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.list_(pa.int32()))])))], names=["doc_id", "row_key", "start", "tokens", "hits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key bigint, start int, tokens array<bigint>, hit array<bigint>, hit_at array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row_key bigint, start int, tokens array<bigint>, hits array<struct<hash:bigint,at:array<int>>>")
 
 
 def best_overlap(own: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -157,15 +179,24 @@ def best_overlap(own: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return lo + int(begin[end]), int(length[end]), int(found.max())
 
 
+def best_of_diagonals(own: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
+    """best_overlap() of the best of several diagonals: the longest, then the one with most matches, then the first."""
+    found = [best_overlap(own, item, d) for d in sorted(set(diagonals))]
+    return max(found, key=lambda f: (f[1], f[2], -f[0]))
+
+
 def _verified(pairs: DataFrame, doc_kind: str, min_overlap: int) -> DataFrame:
+    """(doc_id, row_key, item, start, overlap, matched) of the regions that leak their item: one row each of both goes in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, key, start, own, item, other, diagonal in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, length, matches = best_overlap(np.array(own, np.int64), np.array(other, np.int64), diagonal)
+            for doc, key, start, own, item, other, hits, at in zip(*(c.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns), strict=True):
+                diagonals = np.unique(np.concatenate([np.subtract.outer(np.asarray(h), np.asarray(a)).ravel() for h, a in zip(hits, at, strict=True)])) - start
+                found, length, matches = best_of_diagonals(np.asarray(own, np.int64), np.asarray(other, np.int64), diagonals.tolist())
                 whole = len(other) <= max(m[-1] for m in MASKS)
                 if length >= min(min_overlap, len(other)) and (matches == length or not whole):
-                    out.append((doc, key, item, start + at, length, matches))
+                    out.append((doc, key, item, start + found, length, matches))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row_key", "item", "start", "overlap", "matched"])
@@ -179,8 +210,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     Words are compared in lower case without punctuation around them. A leak is a stretch of at least min_overlap words
     (all words of a shorter item) that differs by substitutions in a fifth of its words at most. start counts words.
     Found if a mask of MASKS falls on equal words somewhere in the stretch, as any run of six equal words does; items
-    shorter than nine words only if all are equal. Null or empty texts and items leak nothing; repeated rows of docs
-    give one row; an empty benchmark or corpus gives an empty result.
+    shorter than nine words only if all are equal. Of one region the longest stretch of all diagonals with a hit counts,
+    of a document's regions the one with most matches. Null or empty texts and items leak nothing; repeated rows of docs
+    give one row; an empty benchmark or corpus gives an empty result. A region of a repetitive text meets a repetitive
+    item in one row, whatever the number of their common seeds.
     """
     spark = docs.sparkSession
     scratch_root(spark)
@@ -189,18 +222,16 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     lengths = items.agg(F.max(F.size("tokens")), F.array_sort(F.collect_set(F.when(F.size("tokens") <= max(m[-1] for m in MASKS), F.size("tokens"))))).first()
     reach, short = lengths[0] or 0, tuple(lengths[1] or ())
     seeds = written(_seeds(different, short), "decontam-seeds")
-    places = seeds.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - BITMAP_BITS), F.col("hash").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)))).alias("bit"))
-    words = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    packed = np.zeros(1 << BITMAP_BITS - 6, np.int64)
-    found = words.toPandas()  # at most 2 ** (BITMAP_BITS - 6) rows, whatever the benchmark
-    packed[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    bitmap = spark.sparkContext.broadcast(np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool))
+    bits = min(MOST_BITS, max(LEAST_BITS, (1024 * seeds.count()).bit_length()))
+    bitmap = spark.sparkContext.broadcast(_bitmap(seeds, bits))
     named = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), text_of(text).alias("t"))
-    regions = written(_regions(named, bitmap, short, reach), "decontam-regions")
-    hits = regions.select("row_key", "start", F.explode(F.arrays_zip("hit", "hit_at")).alias("h")).select("row_key", "start", F.col("h.hit").alias("hash"), F.col("h.hit_at").alias("hit_at"))
-    lines = hits.join(broadcast_or_shuffle(seeds, 1_000_000), "hash").select("row_key", "start", "item", (F.col("hit_at") - F.col("start") - F.col("at")).alias("diagonal")).distinct()
+    regions = written(_regions(named, bitmap, bits, short, reach), "decontam-regions")
+    # a seed that comes often in a region or an item is one row of each side with the list of its places
+    hits = regions.select("row_key", "start", F.explode("hits").alias("h")).select("row_key", "start", F.col("h.hash").alias("hash"), F.col("h.at").alias("hits"))
+    places = seeds.groupBy("hash", "item").agg(F.collect_list("at").alias("at"))
+    lines = hits.join(broadcast_or_shuffle(places, 1_000_000), "hash").groupBy("row_key", "start", "item").agg(F.collect_list("hits").alias("hits"), F.collect_list("at").alias("at"))
     full = regions.dropDuplicates(["row_key", "start"]).select("doc_id", "row_key", "start", "tokens")
-    pairs = lines.join(full, ["row_key", "start"]).join(broadcast_or_shuffle(different, 100_000), "item").select("doc_id", "row_key", "start", "tokens", "item", "item_tokens", "diagonal")
+    pairs = lines.join(full, ["row_key", "start"]).join(broadcast_or_shuffle(different, 100_000), "item").select("doc_id", "row_key", "start", "tokens", "item", "item_tokens", "hits", "at")
     best = _verified(pairs, named.schema["doc_id"].dataType.simpleString(), min_overlap).groupBy("row_key", "item").agg(F.max(F.struct("matched", -F.col("overlap"), -F.col("start"), "doc_id")).alias("b"))
     return best.join(items.select("item", "item_id").distinct(), "item").select("b.doc_id", "row_key", "item_id", (-F.col("b.col3")).alias("start"), (-F.col("b.col2")).alias("overlap"), "b.matched")
 

@@ -161,7 +161,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     patterns = None
     for _ in range(rounds):
-        known = edges.join(instances, "instance")
+        known = split_join(edges, instances, "instance")
         patterns = known.groupBy("pattern").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
         patterns = patterns.where(F.col("s") >= MIN_SUPPORT).select("pattern", (F.col("s") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE).checkpoint()
         votes = edges.join(broadcast_or_shuffle(patterns, 100_000), "pattern", "left")

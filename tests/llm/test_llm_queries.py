@@ -248,3 +248,13 @@ def test_pipeline_stages(spark, data, tmp_path):
 
     assert ids(after["token_ids"]) == ids(after["mixing"])
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, data).collect()) == Counter(tuple(r) for r in after["token_ids"])
+
+
+def test_pipeline_of_empty_tables(spark, data, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    # documents without labels and items are neither toxic nor leaks
+    few = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 5")
+    kept = [stage(spark, few, str(tmp_path)) for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:3]]
+    assert all(k.columns == few.columns and k.count() == few.count() for k in kept)

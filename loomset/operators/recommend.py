@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.functions.vectors import dot, doubles, hump
-from loomset.operators.retrieval import top_by_block
+from loomset.operators.retrieval import top_of_vectors
 
 
 @dataclass(frozen=True)
@@ -56,9 +56,7 @@ def scored_candidates(items: DataFrame, creators: DataFrame, seeds: list[int], p
     item without a creator adds no creator cosine and never counts as a repetition. The repetitions of a creator before
     an item in the preliminary order are its row number among that creator's candidates, so no loop is needed.
     """
-    spark = items.sparkSession
-    wanted = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "place int, ix bigint")
-    vectors = items.select("ix", F.col("creator").alias("s_creator"), doubles(F.col("v")).alias("s_v")).join(F.broadcast(wanted.select("ix").distinct()), "ix")
+    vectors = items.where(F.col("ix").isin(seeds)).select("ix", F.col("creator").alias("s_creator"), doubles(F.col("v")).alias("s_v"))
     known = {r["ix"]: r for r in vectors.collect()}  # one row a seed
     missing = [s for s in seeds if s not in known]
     if missing:
@@ -67,8 +65,7 @@ def scored_candidates(items: DataFrame, creators: DataFrame, seeds: list[int], p
     valid = popularity_filter(items.where(~F.col("ix").isin(seeds)), p.min_pop, p.max_pop)
     if p.exclude_same_artist and owners:
         valid = valid.where(F.col("creator").isNull() | ~F.col("creator").isin(owners))
-    queries = spark.createDataFrame([(s, known[s]["s_v"]) for s in sorted(known)], "query bigint, v array<double>")
-    pool = top_by_block(valid.select("ix", "v"), queries, p.n_candidates).select("ix").distinct()
+    pool = top_of_vectors(valid.select("ix", "v"), {s: known[s]["s_v"] for s in sorted(known)}, p.n_candidates).select("ix").distinct()
     cand = valid.join(F.broadcast(pool) if p.n_candidates * len(known) <= 100_000 else pool, "ix")
 
     own_creator = {r["creator"]: r["v"] for r in creators.where(F.col("creator").isin(owners)).select("creator", doubles(F.col("v")).alias("v")).collect()} if owners else {}

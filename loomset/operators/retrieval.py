@@ -46,6 +46,12 @@ def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: boo
     return reduce(DataFrame.union, found)
 
 
+def top_of_vectors(items: DataFrame, queries: dict[int, list[float]], k: int) -> DataFrame:
+    """top_by_block() of a few queries (ix: vector) that the driver holds: one scan of items."""
+    block = (np.array(list(queries), np.int64), np.array(list(queries.values()), float))
+    return _answers(items.select("ix", doubles(F.col("v")).alias("v")), [block], k, True)[0]
+
+
 def _wave(rows: Iterator, block: int, wave: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The next blocks (queries, vectors) of an iterator, wave at most."""
     out = []

@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of all word definitions here, as a Java regex class body.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of an Arrow batch where the session leaves Spark's default, which is made for rows without long texts.
+BATCH_ROWS = 2_000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset on a local master.
+
+    As every operator begins here, the session's Arrow batches are also bounded to BATCH_ROWS, unless it has set its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not sc.master.startswith("local"):

@@ -173,7 +173,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str, broad
     """One row of docs for each label of found (doc_id, row_key, fp, label by row), as drop_near_duplicates() chooses it."""
     # the first row of each fingerprint and then of each class, so that no join meets all rows of a class
     own = found.groupBy("fp").agg(F.first("label").alias("label"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("own")).checkpoint()
-    first = own.join(own.groupBy("label").agg(F.min("own").alias("first")), "label").select("fp", F.col("first.row_key").alias("first"))
+    first = split_join(own, own.groupBy("label").agg(F.min("own").alias("first")), "label").select("fp", F.col("first.row_key").alias("first"))
     keyed = written(split_join(found, first, "fp").groupBy("row_key").agg(F.first(F.col("row_key") == F.col("first")).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "simhash-drop")
     left = without_keys(docs, keyed.where("not stays").select("row_key"), doc_id, text, broadcast_rows)
     again = keyed.where("stays").select("row_key")

@@ -28,7 +28,7 @@ FIRST_BLOCKS = 4
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.3
 #: Documents are scored in groups whose scores with all examples take so many numbers.
-_SCORES = 100_000
+_SCORES = 40_000
 _TRIM = ".,;:!?\"'()[]{}|*#%$&<>-_=/\\`~@^+"
 
 
@@ -191,7 +191,7 @@ def build(ids: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, hashes: n
     start = np.flatnonzero(np.diff(t, prepend=-1) | np.diff(block, prepend=-1))
     return Index(
         codes, scale, math.log(1 + whole), ids[order], labels[order], stands_for[order], float(labels @ stands_for / whole) if n else 0.0, neighbours,
-        np.searchsorted(t[start], np.arange(len(codes) + 1)), block[start], np.maximum.reduceat(weight, start) if len(start) else weight, np.append(start, len(t)), example, weight,
+        np.searchsorted(t[start], np.arange(len(codes) + 1)), block[start].astype(np.int32), np.maximum.reduceat(weight, start) if len(start) else weight, np.append(start, len(t)), example.astype(np.int32), weight,
     )
 
 

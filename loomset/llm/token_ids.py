@@ -22,9 +22,9 @@ from loomset.llm.common import slices, text_of, word_lists
 #: A file: magic, header length (4 bytes), JSON header, then the sections that it names (offset, bytes), little-endian.
 MAGIC = b"PKTOKEN1"
 BLOCK_IDS = 4096
-SHARD_IDS = 8_000_000
+SHARD_IDS = 3_000_000
 #: What a worker remembers of words and their ids.
-MEMO_BYTES = 80_000_000
+MEMO_BYTES = 64_000_000
 
 
 def width_of(vocabulary: int) -> int:

@@ -40,29 +40,20 @@ def _folded_udf(s: pd.Series) -> pd.Series:
     return s.map(_folded, na_action="ignore")
 
 
-def _letters(change: Callable[[str], str]) -> tuple[str, str, str]:
-    """(pattern of texts, from, to): characters below U+0250 that change() maps one to one, each by itself."""
-    single = [c for c in map(chr, range(0x80, 0x250)) if len(change(c)) == 1]
-    moved = [c for c in single if change(c) != c]
-    # none of them is a mark, so neighbours do not matter
-    return f"^[\\x00-\\x7f{''.join(single)}]*$", "".join(moved), "".join(map(change, moved))
-
-
-def _changed(c: Column, change: Callable[[str], str], udf: Callable[[Column], Column]) -> Column:
-    """change() of texts: in the JVM where all characters map one to one, else in Python."""
-    pattern, old, new = _letters(change)
-    plain = c.rlike(pattern)
-    return F.when(plain, F.translate(c, old, new)).otherwise(udf(F.when(~plain, c)))
+def _changed(c: Column, udf: Callable[[Column], Column]) -> Column:
+    """A change that leaves ASCII as it is: only texts with other characters go to Python."""
+    plain = c.rlike("^[\\x00-\\x7f]*$")
+    return F.when(plain, c).otherwise(udf(F.when(~plain, c)))
 
 
 def strip_accents(c: Column) -> Column:
     """Drop combining marks after canonical decomposition; null stays null."""
-    return _changed(c, _bare, _bare_udf)
+    return _changed(c, _bare_udf)
 
 
 def fold(c: Column) -> Column:
     """Compatibility-decompose, drop combining characters, lower-case: the form in which searches compare."""
-    return F.lower(_changed(c, _folded, _folded_udf))
+    return F.lower(_changed(c, _folded_udf))
 
 
 def fold_text(s: str) -> str:

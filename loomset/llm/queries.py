@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import chat, decontaminate, licenses, mixing, pii, quality, simhash, token_ids, toxicity, url_filter
+from loomset.llm import chat, cover_tree, decontaminate, divergence, licenses, merkle, mixing, pii, quality, simhash, token_ids, toxicity, url_filter
 from loomset.llm.common import scratch_path
 
 #: Size of the vocabulary of word_bpe_49k.json and the id that ends a document.
@@ -103,6 +103,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9 or more."""
+    return cover_tree.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; every row's proof is read back and folded from its leaf, one in seven with a false length."""
+    docs = _table(spark, sf_dir, "documents")
+    false = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False)).cast("int")
+    claimed = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + false, F.col("text"))
+    path = scratch_path(spark, "merkle")
+    merkle.write_manifest(docs, path, claimed=claimed)
+    found = merkle.read_proofs(spark, path).withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("left"), F.col("right")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the terms of each source differ from those of other sources and of its language."""
+    return divergence.source_divergences(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
@@ -114,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_merkle": op12_merkle,
+    "op13_divergence": op13_divergence,
 }
 
 _OP1_SQL = """
@@ -182,4 +206,94 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed JOIN hosts ON source IS NOT DISTINCT FROM host CROSS JOIN prior
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1_SQL, "op3_url_filter": _OP3_SQL, "op4_quality": _OP4_SQL}
+_OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.r AS u, b.r AS w FROM usable a JOIN usable b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT r AS u, r AS w FROM v UNION SELECT reach.u, links.w FROM reach JOIN links ON reach.w = links.u
+), least AS (
+  SELECT u, min(vec_id) AS component_id FROM reach JOIN v ON reach.w = v.r GROUP BY u
+), n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN least ON r = least.u LEFT JOIN n ON r = n.u
+"""
+
+_OP12_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT doc_id, list_reduce(
+    list_concat([4294967295], flatten([list_concat([256 + ascii(c)], [-1, -1, -1, -1, -1, -1, -1, -1]) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x - 256) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END) AS c
+  FROM (SELECT DISTINCT CAST(doc_id AS BIGINT) AS doc_id FROM documents WHERE doc_id IS NOT NULL)
+), fields AS (
+  SELECT documents.doc_id, lang, n_chars, coalesce(xor(c, 4294967295) % 7 = 0, false) AS false_length,
+    coalesce(strlen(CAST(documents.doc_id AS VARCHAR)) || ':' || documents.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents LEFT JOIN crc ON documents.doc_id = crc.doc_id
+), digests AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN false_length THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) ELSE sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) END AS claimed
+  FROM fields
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM digests
+), nodes AS MATERIALIZED (
+  SELECT 0 AS level, lang, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY level, lang, pos // 2, n
+), tops AS MATERIALIZED (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), above AS MATERIALIZED (
+  SELECT 0 AS level, pos, n, subroot AS h FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY level, pos // 2, n
+), lower_folds AS (
+  SELECT 0 AS level, doc_id, leaf, lang, pos AS place, pos, n, claimed AS own, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.level + 1, f.doc_id, f.leaf, f.lang, f.place, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || own ELSE own || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+  FROM lower_folds f LEFT JOIN nodes s ON s.level = f.level AND s.lang IS NOT DISTINCT FROM f.lang AND s.pos = xor(f.pos, 1::BIGINT) WHERE f.n > 1
+), upper_folds AS (
+  SELECT 0 AS level, doc_id, leaf, f.lang, place, subroot, t.pos, t.n, own, proof FROM lower_folds f JOIN tops t ON t.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+  UNION ALL
+  SELECT f.level + 1, f.doc_id, f.leaf, f.lang, f.place, f.subroot, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || own ELSE own || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+  FROM upper_folds f LEFT JOIN above s ON s.level = f.level AND s.pos = xor(f.pos, 1::BIGINT) WHERE f.n > 1
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM above WHERE n = 1) AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = (SELECT h FROM above WHERE n = 1) AS verified
+FROM upper_folds WHERE n = 1
+"""
+
+_OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), terms AS MATERIALIZED (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), units AS (
+  SELECT DISTINCT lang, source, false AS whole FROM docs UNION ALL SELECT DISTINCT lang, '', true FROM docs
+), counts AS (
+  SELECT lang, source, false AS whole, term, count(*) AS n FROM terms GROUP BY lang, source, term
+  UNION ALL SELECT lang, '', true, term, count(*) FROM terms GROUP BY lang, term
+), filled AS (
+  SELECT lang, source, whole, term, coalesce(n, 0) AS n FROM units JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, whole, term)
+), p AS MATERIALIZED (
+  SELECT lang, source, whole, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source, whole) + 2 * v) AS p FROM filled JOIN v USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source WHERE NOT a.whole AND NOT b.whole GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM units a JOIN units b ON a.lang = b.lang AND a.source <> b.source AND NOT a.whole AND NOT b.whole
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT a.lang, a.source, 'term', a.term, CAST((a.p - q.p) * (a.p - q.p) // (a.p + q.p) AS BIGINT)
+  FROM p a JOIN p q ON a.lang = q.lang AND a.term = q.term AND NOT a.whole AND q.whole WHERE a.n > 0 AND a.p > q.p
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _OP1_SQL, "op3_url_filter": _OP3_SQL, "op4_quality": _OP4_SQL, "op11_embedding_dedup": _OP11_SQL, "op12_merkle": _OP12_SQL, "op13_divergence": _OP13_SQL}

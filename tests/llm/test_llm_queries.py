@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_token_ids": "doc_id start n_tokens ids_crc32",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_mixing": "doc_id size source_size target taken",
+    "op11_embedding_dedup": "vec_id n_links component_id kept",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_divergence": "lang source part item value rank",
 }
 
 

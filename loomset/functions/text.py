@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Notes of an edition inside brackets, and after a dash or colon up to the line's end, which has to be the
-#: title's (an ASCII word end follows the word, since \\b takes any Unicode letter for a word character here).
-EDITION_PATTERN = r"\s*[\(\[][^\)\]]*(deluxe|remaster|expanded|anniversary|edition|version|bonus|reissue|mono|stereo|explicit|clean|special|collector)[^\)\]]*[\)\]]"
-SUFFIX_PATTERN = r"\s*[-–:]\s*(deluxe|remastered|remaster|expanded|anniversary|special)(?![A-Za-z0-9_])[^\n]*\z"
+#: Words of an edition's notes inside brackets ...
+EDITION_WORDS = "deluxe|remaster|expanded|anniversary|edition|version|bonus|reissue|mono|stereo|explicit|clean|special|collector"
+#: ... and after a dash or colon up to the line's end, which has to be the title's (an ASCII word end follows the word,
+#: since \b takes any Unicode letter for a word character here).
+SUFFIX_WORDS = "deluxe|remastered|remaster|expanded|anniversary|special"
+_WORD_END = "(?![A-Za-z0-9_])"
+#: What regular expressions here take for white space.
+_BLANK = " \t\n\x0b\f\r"
 #: Fixed value: the form of natural ids.
 ID_PATTERN = "^[0-9A-Za-z]{22}$"
 #: The address below which cards link to pages; a parameter wherever it is used.
@@ -22,26 +28,45 @@ CARD_URL = "https://open.example.org"
 HASH_SKIP, HASH_PATTERN = 16, "^[0-9a-f]{24}$"
 
 
-def _bare(s: str) -> str:
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c)[0] != "M"))
+@functools.cache
+def _combining() -> str:
+    """A pattern of all characters of a combining class other than 0."""
+    ranges: list[list[int]] = []
+    for c in filter(lambda c: unicodedata.combining(chr(c)), range(0x110000)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]+"
 
 
-def _folded(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
+def bare_texts(texts: pa.Array) -> pa.Array:
+    """Texts without marks, composed again. Without marks, only Korean syllables compose, so texts without such are done."""
+    bare = pc.replace_substring_regex(pc.utf8_normalize(texts, form="NFD"), r"\p{M}+", "")
+    korean = pc.fill_null(pc.match_substring_regex(bare, r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}]"), False)
+    if not pc.any(korean).as_py():
+        return bare
+    composed = [unicodedata.normalize("NFC", s) for s in bare.filter(korean).to_pylist()]
+    return pc.replace_with_mask(bare, korean, pa.array(composed, bare.type))
+
 
+def folded_texts(texts: pa.Array) -> pa.Array:
+    """Compatibility-decomposed texts without combining characters."""
+    return pc.replace_substring_regex(pc.utf8_normalize(texts, form="NFKD"), _combining(), "")
 
-@F.pandas_udf(T.StringType())
-def _bare_udf(s: pd.Series) -> pd.Series:
-    return s.map(_bare, na_action="ignore")
 
+@F.arrow_udf(T.StringType())
+def _bare_udf(texts: pa.Array) -> pa.Array:
+    return bare_texts(texts)
 
-@F.pandas_udf(T.StringType())
-def _folded_udf(s: pd.Series) -> pd.Series:
-    return s.map(_folded, na_action="ignore")
 
+@F.arrow_udf(T.StringType())
+def _folded_udf(texts: pa.Array) -> pa.Array:
+    return folded_texts(texts)
 
-def _changed(c: Column, udf: Callable[[Column], Column]) -> Column:
-    """A change that leaves ASCII as it is: only texts with other characters go to Python."""
+
+def _changed(c: Column, udf) -> Column:
+    """A change that leaves ASCII as it is: only texts with other characters go to Python, where Arrow changes a batch at once."""
     plain = c.rlike("^[\\x00-\\x7f]*$")
     return F.when(plain, c).otherwise(udf(F.when(~plain, c)))
 
@@ -58,7 +83,40 @@ def fold(c: Column) -> Column:
 
 def fold_text(s: str) -> str:
     """fold() of one string on the driver, for a query's terms."""
-    return _folded(s)
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def without_editions(c: Column) -> Column:
+    """c without bracketed notes of an edition and the white space before them, in time linear in its length.
+
+    A note runs from the first opening bracket after the closing one before it to the next closing one.
+    """
+
+    def cut(piece: Column) -> Column:
+        note = piece.rlike(r"[)\]]\z") & piece.rlike(rf"(?s)\A[^(\[]*+[(\[].*?(?:{EDITION_WORDS})")
+        return F.when(note, F.rtrim(F.regexp_extract(piece, r"\A[^(\[]*+", 0), F.lit(_BLANK))).otherwise(piece)
+
+    return _once(c, lambda c: F.when(c.rlike(r"[)\]]"), F.array_join(F.transform(F.split(c, r"(?<=[)\]])"), cut), "")).otherwise(c))
+
+
+def without_suffix(c: Column) -> Column:
+    """c without the note of an edition that its last line has from a dash or colon on, in time linear in its length."""
+    word = rf"(?:{SUFFIX_WORDS}){_WORD_END}"
+
+    def cut(c: Column, last: Column) -> Column:
+        before = F.rtrim(F.left(c, F.length(c) - F.length(last)), F.lit(_BLANK))
+        # the dash may end an earlier line, the word begin the last one
+        carried = last.rlike(rf"\A\s*+{word}") & before.rlike(r"[-–:]\z")
+        own = F.length(c) - F.length(last) + F.length(F.regexp_extract(last, rf"\A(.*?)[-–:]\s*+{word}", 1))
+        kept = F.when(carried, F.left(before, F.length(before) - 1)).otherwise(F.left(c, own))
+        return F.when(carried | last.rlike(rf"[-–:]\s*+{word}"), F.rtrim(kept, F.lit(_BLANK))).otherwise(c)
+
+    return _once(c, lambda c: _once(F.substring_index(c, "\n", -1), lambda last: cut(c, last)))
 
 
 def title_norm(name: Column, ampersand: bool = True) -> Column:
@@ -66,8 +124,7 @@ def title_norm(name: Column, ampersand: bool = True) -> Column:
     c = F.lower(strip_accents(name))
     if ampersand:
         c = F.replace(c, F.lit("&"), F.lit("and"))
-    c = F.regexp_replace(c, EDITION_PATTERN, "")
-    c = F.regexp_replace(c, SUFFIX_PATTERN, "")
+    c = without_suffix(without_editions(c))
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N} ]", ""))
 
 

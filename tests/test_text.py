@@ -1,7 +1,13 @@
 from __future__ import annotations
 
+import re
+import time
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from pyspark.sql import functions as F
 
 from loomset.functions import text as X
@@ -29,6 +35,37 @@ def test_title_norm(spark):
     assert _one(spark, "a & b", lambda c: X.title_norm(c, ampersand=False)) == "a  b"
 
 
+def test_arrow_forms_equal_unicodedata_over_all_characters(spark):
+    known = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    texts = known + ["e\u0301\u0323 q\u0323\u0307", "각 \u1100\u1161\u11a8", "\u1112\u1175\u11c2x"] + [a + "\u0301" + b for a, b in zip(known[::97], known[1::97], strict=False)]
+    bare = [unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c)[0] != "M")) for s in texts]
+    assert X.bare_texts(pa.array([*texts, None])).to_pylist() == [*bare, None]
+    folded = ["".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)) for s in texts]
+    assert X.folded_texts(pa.array([*texts, None])).to_pylist() == [*folded, None]
+
+
+EDITION = rf"[ \t\n\x0b\f\r]*[\(\[][^\)\]]*({X.EDITION_WORDS})[^\)\]]*[\)\]]"
+SUFFIX = rf"[ \t\n\x0b\f\r]*[-–:][ \t\n\x0b\f\r]*({X.SUFFIX_WORDS})(?![A-Za-z0-9_])[^\n]*\Z"
+
+
+def test_linear_passes_equal_the_patterns(spark):
+    rng = np.random.default_rng(1)
+    parts = ["(", "[", ")", "]", " ", "  ", "\n", "\t", "-", "–", ":", "deluxe", "remastered", "edition", "a", "special_", "é", "(live)", " - deluxe", "[bonus]"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(X.without_editions(F.col("t")), X.without_suffix(F.col("t"))).collect()]
+    assert got == [(re.sub(EDITION, "", t), re.sub(SUFFIX, "", t)) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["(" * 20_000, " " * 20_000 + "x", "(deluxe " * 20_000, "- " * 20_000, ("- deluxe " * 20_000) + "\nx", " -" * 20_000, "é" + ") " * 20_000, "- deluxe\n" * 20_000])
+def test_long_titles_take_linear_time(spark, text):
+    df = spark.createDataFrame([(text,)], "t string").select(X.title_norm(F.col("t")).alias("n"))
+    df.collect()
+    begin = time.perf_counter()
+    df.collect()
+    assert time.perf_counter() - begin < 1.5
+
+
 def test_dedup_key(spark):
     rows = spark.createDataFrame([("???", "x", "1", "o"), ("a?", "a", "2", "o"), ("!!!", "", "3", "o")], "name string, norm string, id string, owner string")
     got = [r[0] for r in rows.select(X.dedup_key(F.col("name"), F.col("norm"), F.col("id"), F.col("owner"))).collect()]

@@ -1,102 +1,253 @@
-"""Exact nearest neighbours by inner product: blocks of queries against every partition of the catalogue."""
+"""Exact nearest neighbours by inner product: blocks of queries meet the blocks of items that bounds cannot rule out."""
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.functions.vectors import dot, doubles
 from loomset.operators.scratch import materialized
 
-#: Queries go out in blocks of so many (2 MB at 64 dimensions), and so many blocks at once.
-BLOCK_QUERIES, WAVE_BLOCKS = 4_096, 16
+#: Up to so many items (a count proves it; 32 MB at 64 dimensions) are broadcast to the queries.
+BROADCAST_ROWS = 1 << 16
+#: Rows of a block at least; there are MOST_BLOCKS and one a centre at most, so that what bounds need of blocks is bounded.
+BLOCK_ROWS, MOST_BLOCKS, CENTRES = 4_096, 4_096, 256
+#: Blocks of queries that meet an item block in one task.
+GROUP_BLOCKS = 16
+_SCORES = "query bigint, ix bigint, score double"
 
 
-def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK_QUERIES, wave: int = WAVE_BLOCKS) -> DataFrame:
+def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, ix, score, place): the k items of the largest inner product with each query, ties to the smaller ix.
 
-    items: (ix, v array<double>), queries: (query, v). A wave of blocks of queries is broadcast, every partition of items
-    multiplies them in one scan and passes on its own k best, and a window keeps the k best of those: k rows a partition
-    and query meet, never all scores. With more queries than a wave holds, each wave's answers are written to the
-    scratch folder before the next one leaves, so the driver and each task hold one wave. An item whose ix is the query
-    is left out with exclude_self.
+    items: (ix, v array<double>), queries: (query, v), each key once. Up to broadcast_rows items go to the queries, whose
+    batches answer for themselves: nothing is shuffled. Beyond, items and queries are dealt to blocks around centres. A
+    block of queries first meets the item block of its own centre; its k-th best score there rules out, query by query,
+    every block whose centre and radius (q.c + |q| r) cannot reach it. The pairs of blocks that are left meet in tasks of
+    bounded size. No query passes through the driver. An item whose ix is the query is left out with exclude_self.
     """
-    spark = items.sparkSession
-    own = items.select("ix", doubles(F.col("v")).alias("v"))
-    rows = queries.select("query", doubles(F.col("v")).alias("v")).toLocalIterator()
-    found: list[DataFrame] = []
-    held = _wave(rows, block, wave)
-    while held:
-        following = _wave(rows, block, wave)
-        top, shared = _answers(own, held, k, exclude_self)
-        if following or found:
-            top = materialized(top, "neighbours")
-            shared.unpersist()
-        found.append(top)
-        held = following
-    if not found:
-        return spark.createDataFrame([], "query bigint, ix bigint, score double, place int")
-    return reduce(DataFrame.union, found)
+    own = items.select(F.col("ix").cast("bigint").alias("ix"), doubles(F.col("v")).alias("v"))
+    asked = queries.select(F.col("query").cast("bigint").alias("query"), doubles(F.col("v")).alias("v"))
+    few = own.limit(broadcast_rows + 1).toArrow()  # bounded; tells whether there are more
+    if len(few) <= broadcast_rows:
+        return _by_broadcast(few, asked, k, exclude_self)
+    blocks, kept = item_blocks(own, block_rows)
+    first = _first_answers(blocks, kept, asked, k, exclude_self)
+    pairs = block_pairs(blocks, kept, first)
+    return _ranked(_unpacked(first).unionByName(_later_answers(blocks, pairs, k, exclude_self)), k)
 
 
 def top_of_vectors(items: DataFrame, queries: dict[int, list[float]], k: int) -> DataFrame:
-    """top_by_block() of a few queries (ix: vector) that the driver holds: one scan of items."""
-    block = (np.array(list(queries), np.int64), np.array(list(queries.values()), float))
-    return _answers(items.select("ix", doubles(F.col("v")).alias("v")), [block], k, True)[0]
+    """top_by_block() of a few queries (ix: vector) that the driver holds: one scan of items, k rows a batch and query."""
+    ids, matrix = np.array(list(queries), np.int64), np.array(list(queries.values()), float)
+    held = items.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = held.value
+        for batch in batches:
+            if len(batch):
+                yield _scores(*_best(ids, matrix, *_arrays(batch), k, True)[:3])
+
+    return _ranked(items.select(F.col("ix").cast("bigint").alias("ix"), doubles(F.col("v")).alias("v")).mapInArrow(run, _SCORES), k)
+
+
+def top_in_plan(items: DataFrame, query: list[float], k: int) -> DataFrame:
+    """(ix, score): the k best items for one vector, as one expression over the scan: for a single small query."""
+    v = F.array(*map(F.lit, map(float, query)))
+    return items.select("ix", dot(doubles(F.col("v")), v).alias("score")).orderBy(F.col("score").desc(), "ix").limit(k)
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and vectors as a matrix, of (key, v)."""
+    v = batch.column(1)
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return batch.column(0).to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1 if len(batch) else 1)
 
 
-def _wave(rows: Iterator, block: int, wave: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The next blocks (queries, vectors) of an iterator, wave at most."""
+def _scores(query: np.ndarray, ix: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ix), pa.array(score)], names=["query", "ix", "score"])
+
+
+def _best(ids: np.ndarray, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, least: np.ndarray | None = None, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, ix, score, place) of the k best of own for each query, of at least `least` if given; in runs of queries."""
     out = []
-    while len(out) < wave and (part := list(itertools.islice(rows, block))):
-        out.append((np.array([r["query"] for r in part], np.int64), np.array([r["v"] for r in part], float)))
-    return out
+    for a in range(0, len(ids), rows):
+        scores = queries[a : a + rows] @ vectors.T
+        if exclude_self:
+            at = np.searchsorted(own, ids[a : a + rows]) if (np.diff(own) > 0).all() else None
+            if at is None:
+                scores[ids[a : a + rows, None] == own[None, :]] = -np.inf
+            else:
+                same = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == ids[a : a + rows])
+                scores[same, at[same]] = -np.inf
+        n = min(k, len(own))
+        cut = np.partition(scores, len(own) - n, axis=1)[:, len(own) - n]
+        if least is not None:
+            cut = np.maximum(cut, least[a : a + rows])
+        r, c = np.nonzero(scores >= cut[:, None])
+        s = scores[r, c]
+        order = np.lexsort((own[c], -s, r))
+        order = order[np.isfinite(s[order])]
+        r, c, s = r[order], c[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        top = place <= k
+        out.append((ids[a : a + rows][r[top]], own[c[top]], s[top], place[top].astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (ids[:0], own[:0], np.zeros(0), np.zeros(0, np.int32))
+
+
+def _by_broadcast(few: pa.Table, asked: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    own, vectors = _arrays(few)
+    order = np.argsort(own)
+    held = asked.sparkSession.sparkContext.broadcast((own[order], vectors[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, vectors = held.value
+        for batch in batches:
+            if len(batch) and len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(*_arrays(batch), own, vectors, k, exclude_self)], names=["query", "ix", "score", "place"])
 
+    return asked.mapInArrow(run, f"{_SCORES}, place int")
 
-def _answers(items: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
-    """(answers, broadcast) of blocks of queries."""
-    held = items.sparkSession.sparkContext.broadcast(blocks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[pd.DataFrame]] = [[] for _ in held.value]
+_BLOCK = "block int, own binary, v binary"
+
+
+def _packed(key: str) -> Callable[[pa.Table], pa.Table]:
+    """Of the rows (key, v, block) of one block: one row (block, own, v), in the order of the key."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, v = _arrays(table.select([key, "v"]))
+        order = np.argsort(own, kind="stable")
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "own": [own[order].tobytes()], "v": [v[order].tobytes()]})
+
+    return run
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(row["own"], np.int64)
+    return own, np.frombuffer(row["v"], np.float64).reshape(len(own), -1)
+
+
+def _dealt(rows: DataFrame, key: str, centres: np.ndarray, block_rows: int) -> DataFrame:
+    """Blocks (block, own, v) of rows (key, v): those nearest to one centre, dealt to several blocks by a hash if they are many."""
+    held = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = held.value
+        half = (c * c).sum(axis=1) / 2
         for batch in batches:
-            if not len(batch):
-                continue
-            own, vectors = batch["ix"].to_numpy(), np.stack(batch["v"].to_numpy()).T
-            order, n = np.argsort(own, kind="stable"), min(k, len(own))
-            for i, (ids, matrix) in enumerate(held.value):
-                scores = matrix @ vectors
-                if exclude_self:
-                    scores[ids[:, None] == own[None, :]] = -np.inf
-                top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :n]]
-                best[i].append(pd.DataFrame({"query": np.repeat(ids, n), "ix": own[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()}))
-                if len(best[i]) > 8:
-                    best[i] = [_best(pd.concat(best[i]), k)]
-        for parts in best:
-            if parts:
-                out = _best(pd.concat(parts), k)
-                yield out[np.isfinite(out["score"])]
-
-    return _ranked(items.mapInPandas(run, "query bigint, ix bigint, score double"), k), held
-
-
-def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    return frame.sort_values(["query", "score", "ix"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(_arrays(batch)[1] @ c.T - half, axis=1), pa.int32())], names=[key, "v", "cell"])
+
+    placed = materialized(rows.mapInArrow(near, f"{key} bigint, v array<double>, cell int"), "cells")
+    counts = sorted(tuple(r) for r in placed.groupBy("cell").count().collect())  # one row a centre
+    size = max(block_rows, -(-sum(n for _, n in counts) // MOST_BLOCKS))
+    plan, block = [], 0
+    for cell, n in counts:
+        plan.append((cell, block, -(-n // size)))
+        block += plan[-1][2]
+    where = F.broadcast(rows.sparkSession.createDataFrame(plan, "cell int, first int, blocks int"))  # one row a centre
+    numbered = placed.join(where, "cell").select(key, "v", (F.col("first") + F.pmod(F.xxhash64(key), "blocks")).cast("int").alias("block"))
+    return numbered.groupBy("block").applyInArrow(_packed(key), _BLOCK)
+
+
+def item_blocks(own: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(blocks, (block, centre, radius)): items in blocks, and around what each lies. Centres begin as a bounded sample."""
+    sample = np.array([r["v"] for r in own.orderBy(F.xxhash64("ix"), "ix").select("v").limit(CENTRES).collect()], float)
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                v = _read(row)[1]
+                middle = v.mean(axis=0)
+                radius = float(np.sqrt(((v - middle) ** 2).sum(axis=1).max()))
+                yield pa.RecordBatch.from_pylist([{**row, "middle": middle.tolist(), "radius": radius * (1 + 1e-12)}], schema=pa.schema([("block", pa.int32()), ("own", pa.binary()), ("v", pa.binary()), ("middle", pa.list_(pa.float64())), ("radius", pa.float64())]))
+
+    blocks = materialized(_dealt(own, "ix", sample, block_rows).mapInArrow(bounds, f"{_BLOCK}, middle array<double>, radius double"), "item-blocks")
+    kept = blocks.select("block", "middle", "radius").orderBy("block").collect()  # MOST_BLOCKS + CENTRES rows at most
+    return blocks, (np.array([r["block"] for r in kept]), np.array([r["middle"] for r in kept]), np.array([r["radius"] for r in kept]))
+
+
+_FIRST = "block int, own binary, v binary, home int, least binary, query binary, ix binary, score binary"
+
+
+def _first_answers(blocks: DataFrame, kept: tuple, asked: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Blocks of queries with their answers from one item block each, and the k-th best score of each query there."""
+    # a query's centre is the nearest block of items, so its answers from there are good ones
+    numbers, middles, _ = kept
+    groups = _dealt(asked.withColumnRenamed("query", "ix"), "ix", middles, BLOCK_ROWS)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (middles * middles).sum(axis=1) / 2
+        for batch in batches:
+            found = [int(numbers[np.argmax(_read(row)[1].mean(axis=0) @ middles.T - half)]) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["block", "own", "v", "home"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, v = _read(row)
+                query, ix, score, place = _best(ids, v, *_read({"own": row["items"], "v": row["vectors"]}), k, exclude_self)
+                least = np.full(len(ids), -np.inf)
+                full = place == k
+                least[np.searchsorted(ids, query[full])] = score[full]
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "own": row["own"], "v": row["v"], "home": row["home"], "least": least.tobytes(), "query": query.tobytes(), "ix": ix.tobytes(), "score": score.tobytes()}], schema=pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in _FIRST.split(", ")]))
+
+    met = groups.mapInArrow(home, f"{_BLOCK}, home int").join(blocks.select(F.col("block").alias("home"), F.col("own").alias("items"), F.col("v").alias("vectors")), "home")
+    return materialized(met.select("block", "own", "v", "home", "items", "vectors").mapInArrow(answer, _FIRST), "first-answers")
+
+
+def _unpacked(first: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _scores(np.frombuffer(row["query"], np.int64), np.frombuffer(row["ix"], np.int64), np.frombuffer(row["score"], np.float64))
+
+    return first.select("query", "ix", "score").mapInArrow(run, _SCORES)
+
+
+_PAIR = "item_block int, query_group int, own binary, v binary, least binary"
+
+
+def block_pairs(blocks: DataFrame, kept: tuple, first: DataFrame) -> DataFrame:
+    """(item_block, query_group, own, v, least): of each block of queries, those that an item block may still answer better."""
+    numbers, middles, radii = kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, v = _read(row)
+                least = np.frombuffer(row["least"], np.float64)
+                length = np.sqrt((v * v).sum(axis=1))
+                reach = v @ middles.T + length[:, None] * radii
+                # rounding of sums may not rule a block out
+                may = reach + 1e-9 * (1 + length[:, None] * (radii + np.abs(middles).sum(axis=1))) >= least[:, None]
+                may[:, numbers == row["home"]] = False
+                for j in np.flatnonzero(may.any(axis=0)):
+                    m = may[:, j]
+                    yield pa.RecordBatch.from_pylist([{"item_block": int(numbers[j]), "query_group": row["block"] // GROUP_BLOCKS, "own": ids[m].tobytes(), "v": v[m].tobytes(), "least": least[m].tobytes()}], schema=pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in _PAIR.split(", ")]))
+
+    return materialized(first.select("block", "own", "v", "home", "least").mapInArrow(run, _PAIR), "block-pairs")
+
+
+def _later_answers(blocks: DataFrame, pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Answers of the pairs of blocks that are left: an item block meets GROUP_BLOCKS blocks of queries at most in a task."""
+    sides = pairs.select("item_block", "query_group").distinct().join(blocks.select(F.col("block").alias("item_block"), "own", "v"), "item_block")
+    both = pairs.unionByName(sides.withColumn("least", F.lit(None).cast("binary")))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        items = _read(next(r for r in rows if r["least"] is None))
+        out = [_scores(*_best(*_read(r), *items, k, exclude_self, np.frombuffer(r["least"], np.float64))[:3]) for r in rows if r["least"] is not None]
+        return pa.Table.from_batches(out)
+
+    return both.groupBy("item_block", "query_group").applyInArrow(run, _SCORES)
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "ix"))
     return scores.withColumn("place", place).where(F.col("place") <= k).select("query", "ix", "score", "place")
-
-
-def top_in_plan(items: DataFrame, query: list[float], k: int) -> DataFrame:
-    """(ix, score): the k best items for one vector, as one expression over the scan: for a single small query."""
-    v = F.array(*map(F.lit, map(float, query)))
-    return items.select("ix", dot(doubles(F.col("v")), v).alias("score")).orderBy(F.col("score").desc(), "ix").limit(k)

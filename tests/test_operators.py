@@ -121,7 +121,7 @@ def test_recommendation_edges(spark):
 def test_top_by_block_is_exact(spark):
     items, _, v, *_ = catalogue(spark, n=300)
     queries = items.where("ix < 25").select(F.col("ix").alias("query"), "v")
-    got = retrieval.top_by_block(items.repartition(5).select("ix", "v"), queries, 7, block=10).collect()
+    got = retrieval.top_by_block(items.repartition(5).select("ix", "v"), queries, 7).collect()
     for q in range(25):
         s = v @ v[q]
         s[q] = -9
@@ -130,6 +130,30 @@ def test_top_by_block_is_exact(spark):
     assert [r["ix"] for r in retrieval.top_in_plan(items, v[4].tolist(), 3).collect()] == np.argsort(-(v @ v[4]))[:3].tolist()
 
 
+@pytest.mark.parametrize("k", [1, 9])
+def test_blocks_that_cannot_reach_are_skipped(spark, monkeypatch, k):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 8)) * 3
+    v = np.concatenate([m + 0.1 * rng.normal(size=(60, 8)) for m in middle])
+    v[7] = v[2_000]  # a tie
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "ix bigint, v array<double>").repartition(6)
+    asked = frame.where("ix % 3 <> 1").select(F.col("ix").alias("query"), "v").union(spark.createDataFrame([(-5, [0.0] * 8), (-6, (-v[3]).tolist())], "query bigint, v array<double>"))
+    monkeypatch.setattr(retrieval, "CENTRES", 64)
+    monkeypatch.setattr(retrieval, "GROUP_BLOCKS", 2)
+    pairs, make = [], retrieval.block_pairs
+    monkeypatch.setattr(retrieval, "block_pairs", lambda *a: pairs.append((make(*a), len(a[1][0]))) or pairs[-1][0])
+    got = sorted(map(tuple, retrieval.top_by_block(frame, asked, k, broadcast_rows=100, block_rows=32).collect()))
+    want = []
+    for q, x in [(i, v[i]) for i in range(len(v)) if i % 3 != 1] + [(-5, np.zeros(8)), (-6, -v[3])]:
+        s = v @ x
+        if q >= 0:
+            s[q] = -np.inf
+        want += [(q, i, float(s[i]), place + 1) for place, i in enumerate(np.lexsort((np.arange(len(v)), -s))[:k].tolist())]
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
+    met = sum(len(r["own"]) // 8 for r in pairs[0][0].select("own").collect())
+    assert 0 < met < 1_600 * pairs[0][1] / 3  # pairs of a query and a block, of all such
+
+
 def test_arithmetic(spark):
     items, _, v, _, _, pop = catalogue(spark)
     target = (v[1] - v[2]) * v[3]

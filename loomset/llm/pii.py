@@ -25,12 +25,17 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-
 #: A slot, the shape of an unseen identifier: a word with a digit, of so many characters without what _EDGE names around it.
 SLOT_CHARS = 4
 _SLOT = rf"(?:(?<![^{SPACE}])|\G)[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
-_EDGE = r"[\"'(\[{<>}\])=:;,.!?*#|]"
-ROUNDS = 3
+_EDGE = r"[\"'(\[{<>}\])=:;,.!?*#|$%&]"
+#: A label glued to its value, as in name="value" or name:value; what follows is no address.
+_GLUED = r"^[\p{L}_-]++[\"']?[=:]++[\"'(\[{<]*+(?=[^/\"'=:])"
+#: Slots of this shape are seeds beside the base spans: keys and digests in hexadecimal, with letters and digits.
+SECRET = r"^(?=[^0-9]*[0-9])(?=[^a-f]*[a-f])[0-9a-f]{32,}$"
+ROUNDS = 5
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.6
 MIN_SCORE = 0.8
 _SPANS = "array<struct<start:int,kind:int,end:int,text:string,before:string,earlier:string,after:string>>"
+_JUDGED = _SPANS.replace("after:string", "after:string,ok:boolean")
 #: Running sums go by runs of so many numbers, so that long arrays are not copied for each number.
 _RUN = 128
 
@@ -105,49 +110,72 @@ def _matches(t: Column, pattern: str, kind: int) -> Column:
     return _let(found, spans)
 
 
-def _valid(spans: Column, kind: str) -> Column:
-    return F.filter(spans, lambda s: VALID[kind](s["text"]))
+def _judged(spans: Column, kind: str) -> Column:
+    """The spans, each with whether it passes its kind's checks."""
+    return F.transform(spans, lambda s: s.withField("ok", VALID[kind](s["text"])))
 
 
-def _none() -> Column:
-    return F.array().cast(_SPANS)
+def _number_of(kind: str) -> Callable[[Column], Column]:
+    """Whether a match has the length of its kind, passed or not; shorter runs of digits are no cards."""
+    return lambda s: s["ok"] | (F.length(_digits(s["text"])) >= 14 if kind == "card" else F.lit(True))
+
+
+def _none(kind: str = _SPANS) -> Column:
+    return F.array().cast(kind)
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, base, slots): the base spans of every whole text and its slots; row numbers rows in a written table.
 
     base: valid matches of the four kinds, by start and kind. slots: the base spans, which are seeds, and words with a
-    digit that overlap none, trimmed of quotes and punctuation, with the words around them.
+    digit that overlap neither a base span nor a number that failed a check of its kind, trimmed of quotes, punctuation and
+    a label glued to them, with the words around them. Of these, the ones of the shape SECRET are seeds too.
     """
     t = F.col("t")
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("t"))
     guard = {k: F.contains(t, F.lit(g)) if k == "email" else t.rlike(g) for k, g in GUARDS.items()}
-    kinds = {k: F.when(guard[k], _valid(_matches(t, PATTERNS[k], i), k)).otherwise(_none()) for i, k in enumerate(KINDS[:4])}
+    kinds = {k: F.when(guard[k], _judged(_matches(t, PATTERNS[k], i), k)).otherwise(_none(_JUDGED)) for i, k in enumerate(KINDS[:4])}
     raw = named.select("row", "doc_id", *(c.alias(k) for k, c in kinds.items()), F.when(t.rlike("[0-9]"), _matches(t, _SLOT, 4)).otherwise(_none()).alias("raw"))
     bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    base = F.array_sort(F.concat(*(F.transform(k, bare) for k in KINDS[:4])))
+    base = F.array_sort(F.concat(*(F.transform(F.filter(k, lambda s: s["ok"]), bare) for k in KINDS[:4])))
+    taken = F.concat(*(F.transform(F.filter(k, _number_of(k)), bare) for k in KINDS[:4]))
 
-    def slot(s: Column, start: Column, end: Column, core: Column, seed: bool) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), F.lower(core).alias("text"), *(F.lower(s[k]).alias(k) for k in ("before", "earlier", "after")), F.lit(seed).alias("seed"))
+    def slot(s: Column, start: Column, end: Column, core: Column, before: Column, of_base: bool) -> Column:
+        return F.struct(
+            start.alias("start"), end.alias("end"), F.lower(core).alias("text"), F.lower(before).alias("before"), *(F.lower(s[k]).alias(k) for k in ("earlier", "after")),
+            (F.lit(of_base) | F.lower(core).rlike(SECRET)).alias("seed"), F.lit(of_base).alias("of_base"),
+        )
 
     def trimmed(s: Column) -> Column:
         head = F.length(s["text"]) - F.length(F.regexp_replace(s["text"], f"^{_EDGE}+", ""))
         core = F.regexp_replace(s["text"], rf"^{_EDGE}+|{_EDGE}+$", "")
-        return slot(s, s["start"] + head, s["start"] + head + F.length(core), core, False)
-
-    seeds = F.concat(*(F.transform(k, lambda s: slot(s, s["start"], s["end"], s["text"], True)) for k in KINDS[:4]))
-    overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    based = raw.select("row", "doc_id", base.alias("base"), seeds.alias("seeds"), F.filter(F.transform("raw", trimmed), lambda s: F.length(s["text"]) >= SLOT_CHARS).alias("raw"))
+        label = F.regexp_extract(core, _GLUED, 0)
+        glued = F.length(label) > 0
+        value = F.substr(core, F.length(label) + 1)
+        start = s["start"] + head + F.length(label)
+        return slot(s, start, start + F.length(value), value, F.when(glued, label).otherwise(s["before"]), False)
+
+    seeds = F.concat(*(F.transform(F.filter(k, lambda s: s["ok"]), lambda s: slot(s, s["start"], s["end"], s["text"], s["before"], True)) for k in KINDS[:4]))
+    overlaps = lambda s: F.exists("taken", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    based = raw.select("row", "doc_id", base.alias("base"), taken.alias("taken"), seeds.alias("seeds"), F.filter(F.transform("raw", trimmed), lambda s: F.length(s["text"]) >= SLOT_CHARS).alias("raw"))
     return written(based.select("row", "doc_id", "base", F.concat("seeds", F.filter("raw", lambda s: ~overlaps(s))).alias("slots")), "pii-spans")
 
 
 def _contexts(before: Column, earlier: Column, after: Column) -> Column:
-    """Lexical patterns of a slot: the word before, the two words before, the word after; digits are all alike."""
+    """Lexical patterns of a slot: the word before, the two words before, the word after, and its label; digits are all alike.
+
+    A label ends in a colon or equals sign, glued or as a word of its own, whatever quotes stand around: token="x",
+    "token": x and token = x have one label.
+    """
+    mark = r"[\"']?[=:]++[\"'(\[{<]*+$"
+    labelled = F.when(before.rlike(r"^[=:]++[\"'(\[{<]*+$"), earlier).when(before.rlike(mark), F.regexp_replace(before, mark, ""))
+    label = F.regexp_replace(labelled, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")
     shape = lambda c: F.regexp_replace(c, "[0-9]", "0")
     named = F.array(
         F.when(before != "", F.concat(F.lit("1:"), shape(before))),
         F.when((before != "") & (earlier != ""), F.concat(F.lit("2:"), shape(earlier), F.lit(" "), shape(before))),
         F.when(after != "", F.concat(F.lit("3:"), shape(after))),
+        F.when(label != "", F.concat(F.lit("4:"), shape(label))),
     )
     return F.filter(named, lambda x: x.isNotNull())
 
@@ -155,8 +183,8 @@ def _contexts(before: Column, earlier: Column, after: Column) -> Column:
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) of distinct edges (pattern, instance, seed): confidences and scores after some rounds.
 
-    A pattern is the word before, the two words before or the word after an instance. Its confidence is its instances' score over their number plus one, if that score reaches MIN_SUPPORT. A seed
-    scores 1; another instance scores as unlikely as it is that all its patterns above MIN_CONFIDENCE err.
+    A pattern is the word before, the two words before, the word after or the label of an instance. Its confidence is its
+    instances' score over their number plus one, if that score reaches MIN_SUPPORT. A seed scores 1; another instance scores as unlikely as it is that all its patterns above MIN_CONFIDENCE err.
     """
     instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     patterns = None
@@ -174,17 +202,18 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(row, doc_id, base, spans): one row for each row of docs; spans are arrays of struct<start, kind, end>.
 
     base holds the base kinds (KINDS numbers them). spans adds slots that overlap no base span, whose instance scores
-    MIN_SCORE or more and that stand in a pattern of MIN_CONFIDENCE or more. A slot is a word with a digit, of SLOT_CHARS
-    characters or more; identifiers without a digit are not looked for. Null texts are empty and have no span.
+    MIN_SCORE or more and that stand in a pattern of MIN_CONFIDENCE or more; seeds of the shape SECRET too only there. A
+    slot is a word with a digit, of SLOT_CHARS characters or more; identifiers without a digit are not looked for, and
+    numbers that failed a check of a base kind are none. Null texts are empty and have no span.
     """
     scratch_root(docs.sparkSession)
     rows = find_spans(docs, doc_id, text)
     slots = rows.select("row", F.explode("slots").alias("s")).select("row", "s.*").withColumn("pattern", F.explode(_contexts(F.col("before"), F.col("earlier"), F.col("after"))))
-    slots = written(slots.select("row", "start", "end", "seed", "pattern", F.xxhash64("text").alias("instance")), "pii-slots")
+    slots = written(slots.select("row", "start", "end", "seed", "of_base", "pattern", F.xxhash64("text").alias("instance")), "pii-slots")
     edges = slots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).checkpoint()
     patterns, instances = score_patterns(edges)
     good = instances.where(F.col("score") >= MIN_SCORE).select("instance")
-    new = slots.where("not seed").join(broadcast_or_shuffle(patterns.select("pattern"), 100_000), "pattern", "left_semi")
+    new = slots.where("not of_base").join(broadcast_or_shuffle(patterns.select("pattern"), 100_000), "pattern", "left_semi")
     new = split_join(written(new, "pii-new"), good, "instance")
     new = new.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     both = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))

@@ -55,6 +55,16 @@ def test_query_equals_its_sql(spark, data, name):
     assert_same(queries.QUERIES[name](spark, data), connect(data), queries.ORACLE_SQL[name])
 
 
+def test_personal_data_beyond_the_base_kinds(spark):
+    """Over sf0.01: nine tenths of its planted tokens are found, and no number that fails a check of its kind is taken."""
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    planted = {(k, m.start(1), m.end(1)) for k, t in rows.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t, re.IGNORECASE)}
+    found = {(r["doc_id"], int(a), int(b)) for r in queries.op2_pii(spark, "/root/testdata/sf0.01").collect() for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "id"}
+    assert planted and len(planted & found) >= 0.9 * len(planted)
+    assert len(found - planted) <= 0.1 * len(found)
+    assert not [x for x in found if re.fullmatch(r"[0-9 .()+-]{14,}", rows[x[0]][x[1] : x[2]])]
+
+
 def test_personal_data(result, texts):
     names = ("email", "ip", "card", "phone")
     got = result("op2_pii")

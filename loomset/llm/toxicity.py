@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,11 +160,13 @@ def _best_of(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> np
     return out
 
 
-def build(ids: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, neighbours: int = NEIGHBOURS) -> Index:
+def build(ids: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, neighbours: int = NEIGHBOURS, weigh_labels: bool = True) -> Index:
     """The index of examples: hashes and counts are their terms one after another, sizes[i] of them example i's.
 
     A term weighs (1 + ln count) x idf x (1 + chi square), where chi square (2 x 2, with continuity correction) tells
-    how much more often the term comes in toxic examples; it is 0 where it does not. No term is left out.
+    how much more often the term comes in toxic examples; it is 0 where it does not. No term is left out. The last factor
+    departs from plain TF-IDF: a few dozen telling terms then make most of a toxic example's length, and a text is near to
+    it by them. Without weigh_labels terms weigh plain TF-IDF; README has the figures of both.
     """
     n = len(ids)
     codes, term = np.unique(hashes, return_inverse=True)
@@ -175,7 +177,7 @@ def build(ids: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, hashes: n
     chi = excess**2 / np.maximum(1e-12, every * share * (1 - share))
     whole = stands_for.sum()
     idf = np.log(1 + whole / np.bincount(term, stands_for[row], minlength=len(codes)))
-    scale = idf * (1 + chi)
+    scale = idf * (1 + chi) if weigh_labels else idf
     w = (1 + np.log(counts)) * scale[term]
     w = w / np.sqrt(np.bincount(row, w * w, minlength=n))[row]
     # examples of one most common term (most often those of a language), and then of one leading term, stand side by
@@ -215,11 +217,12 @@ def _count_terms(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, toxic int, h bigint, terms array<bigint>, counts array<bigint>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = EXAMPLES_PER_CLASS, terms_per_class: int = TERMS_PER_CLASS, neighbours: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = EXAMPLES_PER_CLASS, terms_per_class: int = TERMS_PER_CLASS, neighbours: int = NEIGHBOURS, weigh_labels: bool = True) -> Index:
     """Fit on the labelled rows that are not held out, in the order of a hash of their ids.
 
-    Of each class per_class rows at most are drawn, and those whose terms exceed terms_per_class in all are left out:
-    this bounds what the driver and each task hold, whatever the tables. Rows with a null id or label are left out; of
+    Of each class per_class rows at most are drawn, and of those, in that order, each that still fits into
+    terms_per_class different terms in all; a row that does not fit is left out by itself: this bounds what the driver and
+    each task hold, whatever the tables. doc_id must be whole numbers, or a text id is an error under ANSI. Rows with a null id or label are left out; of
     several labels of one id the largest holds; copies of a text in a class are one example, different texts of one id
     are examples of their own. Examples stand for all labelled rows of their class in idf, votes and prior. Without
     examples every score is 0.
@@ -234,14 +237,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     sample = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("t")).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
     sample = sample.groupBy("toxic", "t").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", F.xxhash64("t").alias("h"), "t")
     counted = written(_count_terms(sample).withColumn("n", F.size("terms")), "toxicity-examples")
-    until = F.sum("n").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
-    kept = counted.withColumn("until", until).where(F.col("until") <= terms_per_class)
+    fits = []
+    for y in (0, 1):
+        room = terms_per_class
+        for r in counted.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "h").select("doc_id", "toxic", "h", "n").limit(per_class).collect():
+            if r["n"] <= room:
+                room -= r["n"]
+                fits.append((r["doc_id"], r["toxic"], r["h"]))
+    # 2 * per_class keys at most
+    kept = counted.join(F.broadcast(spark.createDataFrame(fits, "doc_id bigint, toxic int, h bigint")), ["doc_id", "toxic", "h"], "left_semi")
     found = kept.select("doc_id", "toxic", "h", "terms", "counts").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("h", "ascending")]).combine_chunks()
     labels_of = found.column("toxic").to_numpy().astype(float)
     n = {y: max(1, int((labels_of == y).sum())) for y in (0, 1)}
     flat = lambda c: pc.list_flatten(found.column(c)).to_numpy()
     stands_for = np.where(labels_of == 1, total.get(1, 0) / n[1], total.get(0, 0) / n[0])
-    return build(found.column("doc_id").to_numpy(), labels_of, stands_for, flat("terms").view(np.uint64), flat("counts"), pc.list_value_length(found.column("terms")).to_numpy(), neighbours)
+    return build(found.column("doc_id").to_numpy(), labels_of, stands_for, flat("terms").view(np.uint64), flat("counts"), pc.list_value_length(found.column("terms")).to_numpy(), neighbours, weigh_labels)
 
 
 def toxicity_scores(docs: DataFrame, index: Index, text: str = "text", keep: bool = False, threshold: float = THRESHOLD) -> DataFrame:

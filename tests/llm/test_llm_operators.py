@@ -317,7 +317,7 @@ def test_texts_of_one_id_are_examples_of_their_own_at_any_size(spark):
         assert sorted(index.ids.tolist()) == [1, 1, 3] and len(index.codes) == n + 3
         assert sorted(index.weights.tolist()) == [0.5, 0.5, 1.0]
     few = toxicity.fit(texts, labels, terms_per_class=10)
-    assert sorted(few.ids.tolist()) in ([1, 3], [3])
+    assert sorted(few.ids.tolist()) == [1, 3]  # the long text is left out by itself
 
 
 # 6

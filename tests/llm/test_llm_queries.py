@@ -94,8 +94,8 @@ def test_toxicity_is_held_out(spark):
     assert wins > 0.75 and sum(p for y, _, p in seen if not y) <= 0.02 * len(clean)
 
 
-def brute_scores(texts, labels):
-    """Toxicity by id from dense vectors of all labelled rows that are not held out."""
+def brute_scores(texts, labels, weigh_labels=True):
+    """Toxicity by id from dense vectors of all labelled rows that are not held out; without weigh_labels plain TF-IDF."""
     plain = lambda t: Counter(w for w in (x.strip(toxicity._TRIM) for x in re.findall(WORD, (t or "").lower())) if w)
     own = {}
     for i, y in sorted(labels.items()):
@@ -115,7 +115,7 @@ def brute_scores(texts, labels):
     share = toxic.mean()
     n = has.sum(0)
     chi = np.maximum(0, has.T @ toxic - n * share - 0.5) ** 2 / (n * share * (1 - share))
-    scale = np.log(1 + stands.sum() / (has.T @ stands)) * (1 + chi)
+    scale = np.log(1 + stands.sum() / (has.T @ stands)) * (1 + chi * weigh_labels)
     unit = tf * scale
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     prior = float(toxic @ stands / stands.sum())
@@ -140,6 +140,13 @@ def test_toxicity_equals_dense_cosine(spark, data, result, texts):
     assert len(set(got.values())) > 100
 
 
+def test_plain_tf_idf_equals_dense_cosine(spark, data, texts):
+    docs, table = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    want = brute_scores({i: r["text"] for i, r in texts.items()}, {r["doc_id"]: r["toxic"] for r in table.collect()}, weigh_labels=False)
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.toxicity_scores(docs, toxicity.fit(docs, table, weigh_labels=False)).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
 def test_leaks(spark, data, result, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     plain = lambda t: " ".join(w for w in (x.strip(".,") for x in re.findall(WORD, (t or "").lower())) if w)

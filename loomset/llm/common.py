@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ SPACE = r"\x20\x09-\x0D"
 BATCH_ROWS = 2_000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN: dict[str, str] = {}
+#: Of the GNU C library; others have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -112,11 +115,15 @@ def word_lists(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), flat.filter(pa.array(full)))
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
-    """Cut a batch into runs of rows whose texts hold about so many bytes; a longer text stands alone.
+def give_back() -> None:
+    """Return what Arrow and the C library have freed to the system, or workers that live on would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
-    After the last run, memory that Arrow has freed goes back, or workers that live on would keep their peak.
-    """
+
+def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
+    """Cut a batch into runs of rows whose texts hold about so many bytes; a longer text stands alone. Then give_back()."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, total, begin = [], 0, 0
     for i, n in enumerate(sizes):
@@ -128,7 +135,7 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
         ends.append((begin, len(sizes)))
     for a, b in ends:
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def split_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", least_hot: int = 10_000, most_hot: int = 1_000_000) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.llm.common import broadcast_or_shuffle, scratch_root, slices, split_join, text_of, written
+from loomset.llm.common import broadcast_or_shuffle, give_back, scratch_root, slices, split_join, text_of, written
 
 #: A term counts in a group (language) if so many of its documents have it.
 LEAST_DOCUMENTS = 10
@@ -106,7 +106,7 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     rows = 0
     if held:
         yield from added().to_batches(max_chunksize=20_000)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:

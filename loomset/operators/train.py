@@ -136,7 +136,8 @@ def gradients(slots: DataFrame, table: DataFrame, cdf: DataFrame, config: TrainC
     Up to broadcast_bytes of float32 vectors the table is broadcast; beyond, vectors are joined to the triples, which
     gives the same sums. Each Arrow batch adds up its own gradients, so one row an item and batch is shuffled.
     """
-    n = (table.agg(F.max("ix")).first()[0] or -1) + 1
+    last = table.agg(F.max("ix")).first()[0]
+    n = 0 if last is None else last + 1
     held = table.select("ix", F.col("v").cast("array<float>").alias("v"))
     make = _by_broadcast if n * config.dim * 4 <= broadcast_bytes else _by_join
     found = make(drawn(slots, config, step), held, cdf, n)

@@ -26,6 +26,13 @@ ID_PATTERN = "^[0-9A-Za-z]{22}$"
 CARD_URL = "https://open.example.org"
 #: An image's key is a path's last segment less its first 16 characters, of this form.
 HASH_SKIP, HASH_PATTERN = 16, "^[0-9a-f]{24}$"
+#: What stands before an image's key, by kind and size.
+IMAGE_SIZES = {
+    "album": {"xs": "ab67616d00004851", "sm": "ab67616d00001e02", "md": "ab67616d0000b273", "lg": "ab67616d000082c1"},
+    "artist": {"sm": "ab6761610000f178", "md": "ab67616100005174", "lg": "ab6761610000e5eb"},
+}
+#: The address below which images lie; a parameter wherever it is used.
+IMAGE_URL = "https://images.example.org/image"
 
 
 @functools.cache
@@ -175,6 +182,13 @@ def card_url(kind: str, own_id: Column, base: str = CARD_URL) -> Column:
     return F.concat(F.lit(f"{base}/{kind}/"), own_id)
 
 
+def image_url(kind: str, key: Column, size: str, base: str = IMAGE_URL) -> Column:
+    """The address of an image of a kind in a size; null without a key. Unknown kinds and sizes are errors."""
+    if size not in IMAGE_SIZES.get(kind, {}):
+        raise ValueError(f"no images of {kind} in size {size}")
+    return F.concat(F.lit(f"{base}/{IMAGE_SIZES[kind][size]}"), F.when(key != "", key))
+
+
 def id_list(text: str, limit: int = 60) -> list[str]:
     """Ids of a comma-separated list, stripped, valid ones only, each once in order, at most limit."""
     import re

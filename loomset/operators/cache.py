@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.functions.text import image_key, mangle, valid_id
+from loomset.operators.keys import contiguous_index
+from loomset.sources.sinks import read_table, read_text, replace_table, table_path, write_text
 
 #: Seconds for which a miss holds; fetchers at once; rows of a batch; seconds of back-off, doubling.
 MISS_SECONDS = 30 * 24 * 3600
@@ -45,19 +48,25 @@ def first_seen(ids: DataFrame, key: str = "id", place: str = "place") -> DataFra
     return ids.groupBy(key).agg(F.min(place).alias(place)).orderBy(place)
 
 
-def fetched(ids: DataFrame, fetch: Callable[[str], tuple[str, dict] | None], now: int, key: str = "id", sleep: Callable[[float], None] = time.sleep, attempts: int = 8) -> DataFrame:
+def fetched(ids: DataFrame, fetch: Callable[[str], tuple[str, dict] | None], now: int, key: str = "id", sleep: Callable[[float], None] = time.sleep, attempts: int = 8, rate: float | None = None) -> DataFrame:
     """(id, value, title, fetched_at) of different ids by an injected fetch in at most FETCHERS tasks.
 
-    fetch(id) gives (value, {"title": ...}), ("", {}) for a definite miss, or None for a passing failure, after which the
+    rate bounds the requests a second of all tasks together: each keeps to its share. fetch(id) gives (value, {"title": ...}), ("", {}) for a definite miss, or None for a passing failure, after which the
     task waits twice as long, up to a bound, and tries again; ids that keep failing are left out.
     """
 
+    gap = FETCHERS / rate if rate else 0.0
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        due = time.monotonic() + gap
         for batch in batches:
             for begin in range(0, len(batch), BATCH):
                 rows, wait = [], BACKOFF[0]
                 for i in batch["id"].iloc[begin : begin + BATCH]:
                     for _ in range(attempts):
+                        if gap:
+                            sleep(max(0.0, due - time.monotonic()))
+                            due = max(due, time.monotonic()) + gap
                         if (found := fetch(i)) is not None:
                             rows.append((i, found[0], found[1].get("title") or "", now))
                             wait = BACKOFF[0]
@@ -67,7 +76,36 @@ def fetched(ids: DataFrame, fetch: Callable[[str], tuple[str, dict] | None], now
                 yield pd.DataFrame(rows, columns=["id", "value", "title", "fetched_at"])
 
     different = ids.select(F.col(key).alias("id")).distinct().repartition(FETCHERS, "id")
-    return different.mapInPandas(run, "id string, value string, title string, fetched_at bigint")
+    return different.mapInPandas(run, _ANSWERS)
+
+
+_ANSWERS = "id string, value string, title string, fetched_at bigint"
+
+
+def fetch_all(candidates: DataFrame, fetch: Callable[[str], tuple[str, dict] | None], path: str, now: int, key: str = "id", pop: str = "pop", batch: int = BATCH, **how) -> DataFrame:
+    """The answers (see fetched()) of all candidates, the most popular first, committed below path after every `batch` ids.
+
+    The first call writes the list of work; a later one, after a job that died, takes that list and goes on behind the
+    last committed batch, so at most one batch is asked again. Ids that kept failing are in no answer; the next work list
+    has them. A candidate in several rows is asked once, at its most popular place.
+    """
+    spark = candidates.sparkSession
+    work, done = f"{path}/work", f"{path}/done"
+    if table_path(spark, work) is None:
+        order = candidates.groupBy(F.col(key).alias("id")).agg(F.max(pop).alias("pop")).select("id", F.struct(-F.coalesce("pop", F.lit(0)), "id").alias("order"))
+        placed = contiguous_index(order, "order", "place").select("id", "place")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        replace_table(placed.repartitionByRange(n, "place").sortWithinPartitions("place"), work)
+    listed = read_table(spark, work)
+    batches = math.ceil(listed.count() / batch)
+    for number in range(int(read_text(spark, done) or 0), batches):
+        own = listed.where((F.col("place") >= number * batch) & (F.col("place") < (number + 1) * batch)).select("id")
+        # one file a batch: its rows are few by definition
+        fetched(own, fetch, now, **how).repartition(1).write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
+        write_text(spark, done, str(number + 1))
+    if not batches:
+        return spark.createDataFrame([], _ANSWERS)
+    return spark.read.schema(f"{_ANSWERS}, batch int").parquet(f"{path}/answers").drop("batch")
 
 
 def resolve(ids: DataFrame, cache: DataFrame, fetch: Callable[[str], tuple[str, dict] | None], now: int, **how) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +30,47 @@ def quantiles(df: DataFrame, column: str, points: dict[str, float], digits: int
     return df.agg(F.count("*").alias("n"), half_up(F.avg(c), digits).alias("mean"), *(F.percentile(c, p).alias(name) for name, p in points.items()), F.max(c).alias("max"))
 
 
+def wide_quantiles(df: DataFrame, column: str, points: dict[str, float], bins: int = 4_096) -> DataFrame:
+    """One row of exact interpolated quantiles of a column with any number of different values; null and NaN do not count.
+
+    Passes narrow the range in which each wanted rank lies: one counts rows by bins of equal width with their least and
+    most value, the next looks into a rank's bin alone, until one value is left. A pass collects at most `bins` rows a
+    rank, so memory does not follow the data. df is read by each pass: it should be a written table. No rows: nulls.
+    """
+    x = F.col("x")
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    finite = F.abs(x) < math.inf
+    n, low, high, least, most = rows.agg(F.count("*"), F.count_if(x == -math.inf), F.count_if(x == math.inf), F.min(F.when(finite, x)), F.max(F.when(finite, x))).first()
+    ranks = {f(p * (n - 1)) for p in points.values() for f in (math.floor, math.ceil)} if n else set()
+    # by rank: least and most value of its range, rows before the range
+    at = {r: (-math.inf, -math.inf, 0) if r < low else (math.inf, math.inf, 0) if r >= n - high else (least, most, low) for r in ranks}
+    while ranges := sorted({v for v in at.values() if v[0] < v[1]}):
+        parts = []
+        for i, (a, b, _) in enumerate(ranges):
+            scale = 1.0 if math.isfinite(b - a) else 0.5
+            share = (x * scale - a * scale) / F.lit(b * scale - a * scale)
+            parts.append(F.when(x.between(a, b), F.struct(F.lit(i).alias("i"), F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin"))))
+        counted = defaultdict(list)
+        for r in rows.groupBy(F.coalesce(*parts).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("z")).where("b is not null").select("b.*", "n", "a", "z").collect():
+            counted[ranges[r["i"]]].append((r["bin"], r["n"], r["a"], r["z"]))
+        for rank, own in at.items():
+            before = own[2]
+            for _, size, a, z in sorted(counted.get(own, ())):
+                if rank < before + size:
+                    at[rank] = (a, z, before)
+                    break
+                before += size
+
+    def value(p: float) -> float | None:
+        if not n:
+            return None
+        place = p * (n - 1)
+        a, z = at[math.floor(place)][0], at[math.ceil(place)][0]
+        return a if a == z else a * (math.ceil(place) - place) + z * (place - math.floor(place))
+
+    return df.sparkSession.createDataFrame([tuple(value(p) for p in points.values())], ", ".join(f"`{name}` double" for name in points))
+
+
 def bucket(c: Column, bounds: tuple) -> Column:
     """The label of the first bound that c does not exceed."""
     out = None

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from loomset.functions.vectors import dot, neg_log_sigmoid
 from loomset.operators.scratch import materialized
-from loomset.sources.sinks import read_text, write_text
+from loomset.sources.sinks import names_in, read_text, remove, write_text
 
 #: The item table is broadcast as float32 up to so many bytes; beyond, its vectors are joined to the triples.
 BROADCAST_BYTES = 512_000_000
 #: Probes on which an epoch is scored, and how many neighbours they get. The defaults.
 EVAL_PROBES, EVAL_K = 2_000, 10
+#: What the folders of a run begin with.
+_OWN_FOLDERS = ("init", "epoch-", "step-", "grads-")
 
 
 @dataclass(frozen=True)
@@ -200,14 +202,15 @@ def adam_step(table: DataFrame, grads: DataFrame, config: TrainConfig, anchors_s
     return out.select("ix", F.when(F.col("hit"), moved).otherwise(F.col("v")).alias("v"), "m1", "m2", "t")
 
 
-def train(adj: DataFrame, freq: DataFrame, n_items: int, config: TrainConfig, run_dir: str, evaluate=None, resume: bool = False, held: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, list[dict]]:
+def train(adj: DataFrame, freq: DataFrame, n_items: int, config: TrainConfig, run_dir: str, evaluate=None, resume: bool = False, held: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, keep_all: bool = False) -> tuple[DataFrame, list[dict]]:
     """Train on lists (collection, items); returns the best table (ix, v) and the history of epochs.
 
     State is written below run_dir after every step as Parquet, with settings and history in meta.json, which is moved
     into place whole. An epoch's score, larger is better, is evaluate(table) if given; else the recall at EVAL_K of the
     first EVAL_PROBES of held (probes of held-out collections) by a hash; without either minus the epoch's loss. Training
-    stops after config.patience epochs without a gain of config.min_gain, and the best epoch's table is what comes back;
-    all epochs' tables stay. resume goes on from the last epoch: other items or dimensions, or no epoch left to run, are
+    stops after config.patience epochs without a gain of config.min_gain, and the best epoch's table is what comes back.
+    Gradients and tables of steps go once the next table is written, tables of epochs but the best and the last once
+    meta.json names these, unless keep_all. resume goes on from the last epoch: other items or dimensions, or no epoch left to run, are
     errors, another number of negatives is a warning.
     """
     spark = adj.sparkSession
@@ -240,16 +243,20 @@ def train(adj: DataFrame, freq: DataFrame, n_items: int, config: TrainConfig, ru
         loss, seen, path = 0.0, 0, ""
         for step in range(config.steps_per_epoch):
             own = slots.where(F.col("step") == step)
-            path = f"{run_dir}/grads-{epoch}-{step}"
-            gradients(own, table, cdf, config, epoch * config.steps_per_epoch + step, broadcast_bytes).write.mode("overwrite").parquet(path)
-            grads = spark.read.parquet(path)
+            sums = f"{run_dir}/grads-{epoch}-{step}"
+            gradients(own, table, cdf, config, epoch * config.steps_per_epoch + step, broadcast_bytes).write.mode("overwrite").parquet(sums)
+            grads = spark.read.parquet(sums)
             part = grads.agg(F.sum("loss"), F.sum("n")).first()
             if not part[1]:
+                remove(spark, sums)
                 continue
+            before = path
             loss, seen = loss + part[0], seen + part[1]
             path = f"{run_dir}/epoch-{epoch}" if step == config.steps_per_epoch - 1 else f"{run_dir}/step-{epoch}-{step}"
             adam_step(table, grads, config, part[1]).write.mode("overwrite").parquet(path)
             table = spark.read.parquet(path)
+            if not keep_all:
+                remove(spark, sums, *([before] if before else []))
         if not path.endswith(f"epoch-{epoch}"):
             table.write.mode("overwrite").parquet(f"{run_dir}/epoch-{epoch}")
             table = spark.read.parquet(f"{run_dir}/epoch-{epoch}")
@@ -259,6 +266,9 @@ def train(adj: DataFrame, freq: DataFrame, n_items: int, config: TrainConfig, ru
         if best is None or score > history[best]["score"] + config.min_gain:
             best = epoch
         write_text(spark, f"{run_dir}/meta.json", json.dumps(settings | {"config": asdict(config), "history": history, "best": best}))
+        if not keep_all:
+            kept = {f"epoch-{best}", f"epoch-{epoch}"}
+            remove(spark, *(f"{run_dir}/{name}" for name in names_in(spark, run_dir) if name.startswith(_OWN_FOLDERS) and name not in kept))
         if epoch - best >= config.patience:
             break
     return spark.read.parquet(f"{run_dir}/epoch-{best}").select("ix", "v"), history

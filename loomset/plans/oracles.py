@@ -156,6 +156,9 @@ b AS (SELECT doc_id, official, regexp_replace(official, '[^\\x00-\\xFF]', '?', '
 r AS (SELECT doc_id, CASE WHEN official <> name AND m = name THEN official ELSE name END AS name FROM b) SELECT doc_id, name, contains(name, '?') AS broken FROM r""",
     "fold_search": """WITH h AS (SELECT doc_id AS ix, n_chars AS pop, lower(strip_accents(coalesce(source, '') || '  ' || coalesce(text, ''))) AS hay FROM documents)
 SELECT ix, pop FROM h WHERE contains(hay, 'des') AND contains(hay, 'entre') AND pop BETWEEN 100 AND 5000 ORDER BY pop DESC, ix LIMIT 20""",
+    "gram_search": """WITH h AS (SELECT doc_id AS ix, n_chars AS pop, lower(strip_accents(coalesce(source, '') || '  ' || coalesce(text, ''))) AS hay FROM documents)
+SELECT ix, pop FROM h WHERE contains(hay, 'des') AND contains(hay, 'entre') AND pop BETWEEN 100 AND 5000 ORDER BY pop DESC, ix LIMIT 20""",
+    "price_quantiles": "SELECT round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.01), 4) AS p1, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS p50, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.9), 4) AS p90, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.999), 4) AS p999 FROM lineitem",
     "probe_match_fallback": f"""WITH {_ROLES}, r AS (SELECT r.id, r.name, split_part(r.id, '|', 1) AS owner, s.n_tracks FROM release r JOIN sizes s ON s.release_id = r.id),
 p AS (SELECT owner, split_part(name, ' ', 1) AS word FROM r ORDER BY owner, name LIMIT 1)
 SELECT r.id, r.name, r.n_tracks, CAST(CASE WHEN r.name = p.word THEN 0 ELSE 1 END AS BIGINT) AS tier FROM r JOIN p ON p.owner = r.owner WHERE starts_with(r.name, p.word) ORDER BY tier, n_tracks DESC, id LIMIT 1""",
@@ -206,6 +209,9 @@ SELECT id, value, fetched_at FROM l WHERE value <> '' OR 1704067200::BIGINT * 10
 m AS (SELECT list_dot_product(a.v, p.v) - list_dot_product(a.v, n.v) AS x FROM t JOIN items a ON a.ix = t.a JOIN items p ON p.ix = t.p JOIN items n ON n.ix = t.n)
 SELECT round(avg(ln(1 + exp(-x))), 6) AS loss, count(*) AS n FROM m""",
     "dump_tokenizer": "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer",
+    "dump_scan": """SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_name || chr(65533) ELSE '''' || s_name || '\\;' END AS name FROM supplier""",
+    "read_through": """SELECT lpad(CAST(c_custkey AS VARCHAR), 22, '0') AS id, CASE WHEN c_custkey % 4 = 0 THEN 'held' ELSE 'got ' || c_custkey END AS value FROM customer
+WHERE c_custkey % 4 = 0 OR c_custkey % 4 <> 1 AND c_custkey % 5 <> 0""",
     "contiguous_keys": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ix FROM orders",
     "windowed_events": "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

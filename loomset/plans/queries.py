@@ -178,6 +178,21 @@ def fold_search(spark, d):
     return S.search(hay, "DES éntre", limit=20, min_pop=100, max_pop=5000).select("ix", "pop")
 
 
+def gram_search(spark, d):
+    """The most popular texts that hold all folded terms, found by a stored index of trigrams."""
+    docs = table(spark, d, "documents", "doc_id", "text", "source", "n_chars")
+    hay = materialized(docs.select(F.col("doc_id").alias("ix"), F.col("n_chars").alias("pop"), X.haystack(F.col("source"), F.col("text")).alias("hay")), "hay")
+    path = scratch(spark, "grams")
+    S.write_gram_index(hay, path)
+    return S.indexed_search(hay, path, "DES éntre", limit=20, min_pop=100, max_pop=5000).select("ix", "pop")
+
+
+def price_quantiles(spark, d):
+    """Exact quantiles of a column of many different values, by narrowing passes."""
+    prices = table(spark, d, "lineitem", "l_extendedprice")
+    return _round(P.wide_quantiles(prices, "l_extendedprice", {"p1": 0.01, "p50": 0.5, "p90": 0.9, "p999": 0.999}), 4)
+
+
 def probe_match_fallback(spark, d):
     """A title by exact match, else by its beginning."""
     t = _t(spark, d)
@@ -416,6 +431,38 @@ def dump_tokenizer(spark, d):
     return cells.select(F.get("cells", F.lit(0)).try_cast("bigint").alias("id"), F.get("cells", F.lit(1)).alias("name"), F.get("cells", F.lit(2)).try_cast("double").alias("balance"))
 
 
+def dump_scan(spark, d):
+    """Suppliers among other statements of a dump on disk, routed, tokenized and typed; broken UTF-8 is replaced."""
+    from loomset.sources.dump import read_dump
+
+    rows = table(spark, d, "supplier", "s_suppkey", "s_name", "s_acctbal")
+    # a lone lead byte in every third name
+    own = F.concat(F.lit("\\'"), F.col("s_name"), F.lit("\\\\;"))
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.encode("s_name", "utf-8"), F.unhex(F.lit("C3")))).otherwise(F.encode(own, "utf-8"))
+    text = lambda s: F.encode(F.lit(s), "utf-8")
+    value = F.concat(text("INSERT INTO `artist` VALUES ('"), F.encode(F.col("s_suppkey").cast("string"), "utf-8"), text("','"), name, text("','u')"))
+    other = F.concat(text("INSERT INTO `elsewhere` VALUES ("), F.encode(F.col("s_suppkey").cast("string"), "utf-8"), text(")"))
+    path = scratch(spark, "dump")
+    lines = rows.select(F.explode(F.array(value, other, text("-- a comment"))).alias("value"))
+    lines.select(F.col("value").cast("string")).write.option("lineSep", ";\n").text(path)
+    found, _ = read_dump(spark, path, tables=["artist"], terminated=True)
+    return found["artist"].select("id", "name")
+
+
+def read_through(spark, d):
+    """Answers from a cache, and from a fetch for ids that it has not or whose misses are too old."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 22, "0")
+    ids = table(spark, d, "customer", "c_custkey").select(key.alias("id"), "c_custkey")
+    part = F.col("c_custkey") % 4
+    value, age = F.when(part == 0, "held").otherwise(""), F.when(part == 2, C.MISS_SECONDS + 1).otherwise(5)
+    cache = ids.where(part < 3).select("id", value.alias("value"), F.lit("").alias("title"), (F.lit(NOW) - age).cast("long").alias("fetched_at"))
+
+    def fetch(i: str) -> tuple[str, dict]:
+        return ("", {}) if int(i) % 5 == 0 else (f"got {int(i)}", {})
+
+    return C.resolve(ids.select("id"), cache, fetch, NOW)[0]
+
+
 def contiguous_keys(spark, d):
     """Contiguous keys of all orders."""
     return contiguous_index(table(spark, d, "orders", "o_orderkey"), "o_orderkey", "ix")

@@ -142,14 +142,15 @@ def chosen_tables(tables: list[str] | None = None, preset: str | None = None) ->
     return names
 
 
-def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, preset: str | None = None, limit_bytes: int | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, preset: str | None = None, limit_bytes: int | None = None, terminated: bool | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """({table: rows}, dropped) of a dump: typed rows by table, and (table, n) of value lists of a wrong length.
 
-    '' and text that is no number are null in numeric columns. The dump is parsed once, into a scratch table by name, of
+    '' and text that is no number are null in numeric columns. path may be a folder of files that all end with their
+    terminator if terminated says so. The dump is parsed once, into a scratch table by name, of
     which each table reads its own part.
     """
     names = chosen_tables(tables, preset)
-    found = statements(spark, path, limit_bytes=limit_bytes).select(F.regexp_extract("value", _INSERT, 1).alias("name"), F.regexp_replace("value", _INSERT, "").alias("payload")).where(F.col("name").isin(*names))
+    found = statements(spark, path, terminated, limit_bytes).select(F.regexp_extract("value", _INSERT, 1).alias("name"), F.regexp_replace("value", _INSERT, "").alias("payload")).where(F.col("name").isin(*names))
     place = scratch(spark, "dump-cells")
     parsed(found).write.partitionBy("name").parquet(place)
     cells = spark.read.schema("cells array<string>, name string").parquet(place)

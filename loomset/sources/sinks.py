@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: In a table's folder: the file that names the current version, and what versions' folders begin with.
 POINTER, VERSION = "_current", "_version-"
+#: In the folder of a table dealt by buckets of its key: the file that names each bucket's folder.
+BUCKETS = "_buckets.json"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -58,6 +62,19 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders or files; what is not there is no error."""
+    for path in paths:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def write_history(spark: SparkSession, path: str, history: list[dict]) -> None:
     """The history of a training run as JSON."""
     write_text(spark, path, json.dumps(history))
@@ -65,6 +82,8 @@ def write_history(spark: SparkSession, path: str, history: list[dict]) -> None:
 
 def table_path(spark: SparkSession, path: str) -> str | None:
     """Where the rows of the table at path are: its current version, or path itself if it is a plain folder; None: no table."""
+    if read_text(spark, f"{path}/{BUCKETS}"):
+        return path
     if name := read_text(spark, f"{path}/{POINTER}"):
         return f"{path}/{name}"
     fs, p = _fs(spark, path)
@@ -75,7 +94,9 @@ def table_path(spark: SparkSession, path: str) -> str | None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table that write_table() or replace_table() left at path."""
+    """The table that write_table(), replace_table() or upsert_buckets() left at path."""
+    if held := read_text(spark, f"{path}/{BUCKETS}"):
+        return _buckets(spark, path, json.loads(held))
     found = table_path(spark, path)
     if found is None:
         raise FileNotFoundError(f"no table at {path}")
@@ -100,6 +121,37 @@ def replace_table(df: DataFrame, path: str) -> None:
             fs.delete(s.getPath(), True)
 
 
+def _buckets(spark: SparkSession, path: str, held: dict, only: list[int] | None = None) -> DataFrame:
+    folders = [f"{path}/{f}" for b, f in held["folders"].items() if only is None or int(b) in only]
+    schema = T.StructType.fromJson(held["schema"])
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def upsert_buckets(batch: DataFrame, path: str, key: str, merged: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 256) -> list[int]:
+    """Merge a batch into the table at path, which is dealt by hashes of its key; returns the buckets that were rewritten.
+
+    merged(old, batch) gets the old rows of the batch's buckets alone. Their new rows are written first, then the file
+    that names all buckets' folders is replaced in one step, so a crash leaves the old table and a batch that runs again
+    changes nothing. The number of buckets is fixed by the first batch; old folders of rewritten buckets go.
+    """
+    spark = batch.sparkSession
+    text = read_text(spark, f"{path}/{BUCKETS}")
+    held = json.loads(text) if text else {"n": buckets, "schema": json.loads(batch.schema.json()), "folders": {}}
+    number = F.pmod(F.xxhash64(key), F.lit(held["n"])).cast("int")
+    hit = sorted(r[0] for r in batch.select(number).distinct().collect())  # one number a bucket
+    if not hit:
+        return []
+    old = _buckets(spark, path, held, hit)
+    name = f"{VERSION}{time.time_ns():020d}-{uuid.uuid4().hex}"
+    new = merged(old, batch.select(*old.columns)).withColumn("__bucket", number)
+    new.repartition("__bucket").write.partitionBy("__bucket").option("compression", "zstd").parquet(f"{path}/{name}")
+    gone = [f"{path}/{held['folders'][str(b)]}" for b in hit if str(b) in held["folders"]]
+    held["folders"] |= {str(b): f"{name}/__bucket={b}" for b in hit}
+    write_text(spark, f"{path}/{BUCKETS}", json.dumps(held))
+    remove(spark, *gone)
+    return hit
+
+
 def promote(spark: SparkSession, run: str, target: str, confirm: bool = False) -> None:
     """Copy a run's table to the place that is served; only on demand is an existing one replaced."""
     if table_path(spark, target) is not None and not confirm:

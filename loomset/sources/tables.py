@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +36,49 @@ def sample_tables(spark: SparkSession, folder: str) -> Tables:
     )
 
 
-def vectors_from_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(ix, v) of the rows of .npy matrices, each file read by one task and numbered from 0."""
+def _opened(path: str):
+    full = path if "://" in path else path.replace(":/", ":///", 1)
+    store, place = pafs.FileSystem.from_uri(full)
+    return store.open_input_file(place)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def vectors_from_npy(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """(ix, v) of the rows of .npy matrices, each file numbered from 0, read by ranges of rows of about range_bytes.
+
+    Only headers are read to find the ranges, so a file may be of any size; both memory orders will do. Files lie in a
+    store that pyarrow.fs knows. What is no matrix of numbers is an error; a matrix without rows gives none.
+    """
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                with _opened(name) as f:
+                    version = np.lib.format.read_magic(f)
+                    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+                    shape, by_column, kind = read(f)
+                    start = f.tell()
+                if len(shape) != 2 or kind.kind not in "fiu":
+                    raise ValueError(f"{name} holds {kind} in {len(shape)} dimensions, no matrix of numbers")
+                step = max(1, range_bytes // max(1, shape[1] * kind.itemsize))
+                first = np.arange(0, shape[0], step)
+                yield pd.DataFrame({"path": name, "start": start, "n": shape[0], "dim": shape[1], "kind": kind.str, "by_column": by_column, "a": first, "b": np.minimum(first + step, shape[0])})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                matrix = np.load(io.BytesIO(content))
-                for a in range(0, len(matrix), 10_000):
-                    part = matrix[a : a + 10_000]
-                    yield pd.DataFrame({"ix": np.arange(a, a + len(part)), "v": list(part.astype(np.float32))})
+            for r in batch.itertuples():
+                kind = np.dtype(r.kind)
+                # runs of bytes in the file: one for a range of rows, one a column where columns lie together
+                runs = [(r.a + c * r.n, r.b - r.a) for c in range(r.dim)] if r.by_column else [(r.a * r.dim, (r.b - r.a) * r.dim)]
+                with _opened(r.path) as f:
+                    parts = [np.frombuffer(f.read_at(n * kind.itemsize, r.start + at * kind.itemsize), kind) for at, n in runs]
+                part = np.stack(parts, 1) if r.by_column and parts else (parts[0] if parts else np.zeros(0, kind)).reshape(r.b - r.a, r.dim)
+                for i in range(0, len(part), 10_000):
+                    piece = part[i : i + 10_000].astype(np.float32)
+                    yield pd.DataFrame({"ix": np.arange(r.a + i, r.a + i + len(piece)), "v": list(piece)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "ix bigint, v array<float>")
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only: contents are not read here
+    found = files.mapInPandas(ranges, "path string, start bigint, n bigint, dim bigint, kind string, by_column boolean, a bigint, b bigint")
+    return found.repartition(spark.sparkContext.defaultParallelism).mapInPandas(rows, "ix bigint, v array<float>")
 
 
 def verify_file(path: str, size: int | None = None, md5: str | None = None, sha256: str | None = None) -> bool:

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomset.operators.cache import upserted
-from loomset.sources.sinks import read_table, replace_table, table_path
+from loomset.sources.sinks import upsert_buckets
 
 
-def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: str = "id", at: str = "fetched_at") -> StreamingQuery:
-    """Keep the table at path (see sinks.read_table) at the latest row of each key. A batch that runs again changes nothing."""
+def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: str = "id", at: str = "fetched_at", buckets: int = 256) -> StreamingQuery:
+    """Keep the table at path (see sinks.read_table) at the latest row of each key; a batch rewrites its keys' buckets alone.
+
+    A batch that runs again changes nothing. With keys as many as buckets in a batch, most of the table is rewritten, so
+    the number of buckets should grow with the table.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        old = read_table(spark, path) if table_path(spark, path) is not None else batch.limit(0)
-        replace_table(upserted(old, batch.select(*old.columns), key, at), path)
+        upsert_buckets(batch, path, key, lambda old, new: upserted(old, new, key, at), buckets)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

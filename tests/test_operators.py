@@ -337,3 +337,119 @@ def test_answers_and_name_repair(spark):
     names = spark.createDataFrame([("a", 1, "??"), ("b", 2, "ok")], "id string, ix int, name string")
     fixed = cache.repaired_names(names, spark.createDataFrame([("a", "日本"), ("b", "other")], "id string, title string"))
     assert [tuple(r) for r in fixed.orderBy("id").collect()] == [("a", 1, "日本"), ("b", 2, "ok")]
+
+
+def test_batches_of_answers_outlive_a_job_that_dies(spark, tmp_path):
+    log, stop = tmp_path / "asked", tmp_path / "stop"
+    stop.touch()
+
+    def fetch(i):
+        import os
+
+        n = int(i[-2:])
+        if n == 13 and os.path.exists(stop):
+            raise RuntimeError("the job dies")
+        with open(log, "a") as f:
+            f.write(f"{n}\n")
+        return None if n == 17 else ("", {}) if n % 2 else (f"v{n}", {})
+
+    ids = spark.createDataFrame([(ID.format(i), 100 - i) for i in range(20)] + [(ID.format(0), 1), (ID.format(19), None)], "id string, pop bigint")
+    how = {"batch": 5, "sleep": lambda s: None, "attempts": 1}
+    with pytest.raises(Exception, match="the job dies"):
+        cache.fetch_all(ids, fetch, str(tmp_path / "run"), 9, **how)
+    first = [int(x) for x in log.read_text().split()]
+    assert sorted(x for x in first if x < 10) == list(range(10)) and not [x for x in first if x > 14]
+    stop.unlink()
+    # the list of work stays that of the first call
+    got = cache.fetch_all(ids.limit(0), fetch, str(tmp_path / "run"), 9, **how)
+    assert {r["id"][-2:]: r["value"] for r in got.collect()} == {f"{i:02d}": "" if i % 2 else f"v{i}" for i in range(20) if i != 17}
+    every = [int(x) for x in log.read_text().split()]
+    assert all(every.count(i) == 1 for i in (*range(10), *range(15, 20))) and len(got.columns) == 4
+    assert cache.fetch_all(ids, fetch, str(tmp_path / "run"), 9, **how).count() == 19 and len(log.read_text().split()) == len(every)
+    assert cache.fetch_all(ids.limit(0), fetch, str(tmp_path / "none"), 9).count() == 0
+
+
+def test_requests_keep_to_one_rate(spark):
+    import time
+
+    ids = spark.createDataFrame([(ID.format(i),) for i in range(40)], "id string")
+    fetch = lambda i: (str(time.time()), {})
+    at = sorted(float(r["value"]) for r in cache.fetched(ids, fetch, 0, rate=40.0).collect())
+    # no more than the tasks' first requests come at once
+    assert len(at) == 40 and all(b - a > 0.3 for a, b in zip(at, at[cache.FETCHERS :]))
+
+
+@pytest.mark.parametrize("values", [
+    [1.0], [2.0, 1.0], [5.0] * 9, [-1e308, 1e308, 0.0, 5e-324, -5e-324], [0.0, 5e-324], [math.inf, -math.inf, 1.0, 2.0, math.inf],
+    [1.0, None, math.nan, 3.0], list(np.random.default_rng(1).normal(size=5_000)), list(10.0 ** np.random.default_rng(2).uniform(-60, 60, 500)), [], [None],
+])
+def test_quantiles_by_narrowing(spark, values):
+    df = spark.createDataFrame([(None if x is None else float(x),) for x in values], "x double").cache()
+    points = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = profile.wide_quantiles(df, "x", points, bins=16).first()
+    want = df.where("not isnan(x)").agg(*(F.percentile("x", p).alias(name) for name, p in points.items())).first()
+    assert [r if r is None else float(r) for r in got] == pytest.approx(list(want), rel=1e-12) if any(x is not None for x in values) else list(got) == list(want)
+
+
+def test_gram_search_equals_the_scan(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcé日 x"), rng.integers(1, 7))) for _ in range(60)]
+    rows = [(i, int(rng.integers(0, 50)), None if i == 3 else "" if i == 4 else " ".join(rng.choice(words, rng.integers(1, 6)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "ix bigint, pop int, text string").select("ix", "pop", F.lower("text").alias("hay"))
+    from loomset.functions.text import fold
+
+    df = df.withColumn("hay", fold(F.col("hay"))).cache()
+    path = str(tmp_path / "grams")
+    search.write_gram_index(df, path)
+    tested = []
+    for _ in range(25):
+        query = " ".join(rng.choice(words, 2))
+        want = search.search(df, query, limit=400).collect()
+        assert search.indexed_search(df, path, query, limit=400).collect() == want
+        if (found := search.gram_candidates(spark, path, query)) is not None:
+            n = found[0].count()
+            assert len(want) <= n <= found[1]
+            tested.append(n)
+    assert tested and np.mean(tested) < 100
+    print(f"of 400 rows {np.mean(tested):.0f} were tested on average")
+    assert search.indexed_search(df, path, "zzzz").count() == 0 and search.indexed_search(df, path, " ").count() == 0
+    search.write_gram_index(df.limit(0), str(tmp_path / "empty"))
+    assert search.indexed_search(df, str(tmp_path / "empty"), "abc").count() == 0
+
+
+def test_grams_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        df = spark.range(1).select(F.repeat(F.lit("ab cd é "), n // 8).alias("t"))
+        begin = time.perf_counter()
+        assert df.select(F.size(search.grams(F.col("t")))).first()[0] == 8
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 30 * max(took[0], 0.1)
+
+
+def test_a_run_keeps_its_best_and_last_epoch(spark, tmp_path):
+    lists = [(i, [i % 6, (i + 1) % 6, (i + 2) % 6]) for i in range(30)]
+    adj = spark.createDataFrame(lists, "collection_ix bigint, items array<bigint>")
+    freq = spark.createDataFrame([(i, 15) for i in range(6)], "item bigint, freq bigint")
+    config = train.TrainConfig(dim=2, negatives=2, epochs=3, steps_per_epoch=2)
+    scores = iter([0.1, 0.9, 0.2])
+    best, _ = train.train(adj, freq, 6, config, str(tmp_path / "run"), evaluate=lambda _: next(scores))
+    assert {p.name for p in (tmp_path / "run").iterdir() if not p.name.startswith(".")} == {"meta.json", "epoch-1", "epoch-2"}
+    assert best.count() == 6
+    scores = iter([0.1, 0.2, 0.3])
+    train.train(adj, freq, 6, config, str(tmp_path / "all"), evaluate=lambda _: next(scores), keep_all=True)
+    assert {"init", "epoch-0", "epoch-1", "epoch-2", "step-1-0", "grads-2-1"} <= {p.name for p in (tmp_path / "all").iterdir()}
+
+
+def test_image_addresses(spark):
+    from loomset.functions import text
+
+    df = spark.createDataFrame([("0123456789abcdef01234567",), (None,), ("",)], "k string")
+    got = [r[0] for r in df.select(text.image_url("artist", F.col("k"), "md", "https://x.example.org/i")).collect()]
+    assert got == ["https://x.example.org/i/ab676161000051740123456789abcdef01234567", None, None]
+    assert df.select(text.image_key(text.image_url("album", F.col("k"), "lg"))).first()[0] == "0123456789abcdef01234567"
+    for bad in (("album", "xl"), ("artist", "xs"), ("track", "sm")):
+        with pytest.raises(ValueError, match="size"):
+            text.image_url(bad[0], F.col("k"), bad[1])

@@ -135,11 +135,48 @@ def test_a_text_is_moved_over_the_old_one(spark, tmp_path):
     assert sinks.read_text(spark, str(tmp_path / "none")) is None
 
 
-def test_npy(spark, tmp_path):
-    m = np.arange(12, dtype=np.float32).reshape(4, 3)
+@pytest.mark.parametrize("dtype", ["<f4", "<f8", ">f4", "<i2"])
+def test_npy(spark, tmp_path, dtype):
+    m = np.arange(3_000).reshape(1_000, 3).astype(dtype)
     np.save(tmp_path / "m.npy", m)
-    got = tables.vectors_from_npy(spark, str(tmp_path / "m.npy")).orderBy("ix").collect()
-    assert [r["v"] for r in got] == m.tolist()
+    np.save(tmp_path / "t.npy", np.asfortranarray(m))
+    np.save(tmp_path / "none.npy", m[:0])
+    for name, size in (("m", 1 << 20), ("m", 100), ("t", 100), ("none", 100)):
+        got = tables.vectors_from_npy(spark, str(tmp_path / f"{name}.npy"), size)
+        rows = got.orderBy("ix").collect()
+        assert [r["ix"] for r in rows] == list(range(len(rows))) and [r["v"] for r in rows] == (m if name != "none" else m[:0]).tolist()
+        if name == "m":
+            parts = got.select(F.spark_partition_id().alias("p")).distinct().count()
+            assert parts == 1 if size == 1 << 20 else parts > 1
+    np.save(tmp_path / "flat.npy", m.ravel())
+    with pytest.raises(Exception, match="no matrix"):
+        tables.vectors_from_npy(spark, str(tmp_path / "flat.npy")).collect()
+
+
+def test_an_upsert_rewrites_its_buckets_alone(spark, tmp_path, monkeypatch):
+    from loomset.operators.cache import upserted
+
+    path = str(tmp_path / "t")
+    merged = lambda old, new: upserted(old, new, "id", "fetched_at")
+    rows = lambda ids, v: spark.createDataFrame([(f"k{i}", v, 1) for i in ids], "id string, value string, fetched_at bigint")
+    files = lambda: {p for p in (tmp_path / "t").rglob("*.parquet")}
+    assert len(sinks.upsert_buckets(rows(range(500), "a"), path, "id", merged, buckets=32)) == 32
+    before = files()
+    hit = sinks.upsert_buckets(rows((7, 900), "b"), path, "id", merged)
+    assert len(hit) <= 2 and len(files() - before) == len(hit) and len(before - files()) == len(hit)
+    table = {r["id"]: r["value"] for r in sinks.read_table(spark, path).collect()}
+    assert len(table) == 501 and table["k7"] == table["k900"] == "b" and table["k8"] == "a"
+    assert sinks.upsert_buckets(rows((), "c"), path, "id", merged) == []
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(sinks, "write_text", crash)
+        sinks.upsert_buckets(rows((8,), "d"), path, "id", merged)
+    assert {r["id"]: r["value"] for r in sinks.read_table(spark, path).collect()} == table
+    sinks.promote(spark, path, str(tmp_path / "served"))
+    assert sinks.read_table(spark, str(tmp_path / "served")).count() == 501
 
 
 def test_stream_upsert(spark, tmp_path):

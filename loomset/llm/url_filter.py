@@ -20,6 +20,9 @@ DEFAULT = "allow"
 #: Listed keys of one cascade; more are split by their hashes into as many cascades as it takes, one pass over the pages each.
 MAX_KEYS = 20_000_000
 MAX_LEVELS = 48
+#: Keys that share their 64-bit hash with a key of another kind are held as they are, at most so many: with 20 million
+#: listed and 10^12 other keys about one pair is expected.
+MAX_CLASHES = 1_000_000
 _HALF_RATE_BITS = 1.44
 
 
@@ -142,23 +145,54 @@ def _after_scheme(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
 
 
-def _marked(keyed: DataFrame, universe: DataFrame, part: int, parts: int) -> DataFrame:
+def key_hash(key: Column) -> Column:
+    """The 64-bit hash by which keys are told apart."""
+    return F.xxhash64(key)
+
+
+def _clashes(universe: DataFrame, named: DataFrame) -> dict[int, dict[str, int]]:
+    """{hash: {key: mark}} of hashes that keys of different marks share; named (key, verdict) has the keys in clear."""
+    shared = universe.groupBy("h").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select("h")
+    hashes = [r["h"] for r in shared.limit(MAX_CLASHES + 1).collect()]
+    if not hashes:
+        return {}
+    own = named.where(key_hash(F.col("key")).isin(hashes)) if len(hashes) <= 1_000 else named.join(F.broadcast(shared), key_hash(F.col("key")) == F.col("h"), "left_semi")
+    rows = own.groupBy("key").agg(F.max("verdict").alias("verdict")).select(key_hash(F.col("key")).alias("h"), "key", _mark().alias("mark")).limit(MAX_CLASHES + 1).collect()
+    if max(len(rows), len(hashes)) > MAX_CLASHES:
+        raise ValueError(f"more than {MAX_CLASHES} keys share a hash with another kind")
+    out: dict[int, dict[str, int]] = {}
+    for r in rows:
+        out.setdefault(r["h"], {})[r["key"]] = r["mark"]
+    return out
+
+
+def _mark() -> Column:
+    return F.when(F.col("verdict").isNull(), 0).when(F.col("verdict") == "block", 2).otherwise(1)
+
+
+def _marked(keyed: DataFrame, universe: DataFrame, clashes: dict[int, dict[str, int]], part: int, parts: int) -> DataFrame:
     """keyed with marks (array<int>) filled in for the hashes of one part: 0 not listed, 1 allowed, 2 blocked."""
     spark = keyed.sparkSession
     own = universe.where(F.pmod("h", F.lit(parts)) == part)
-    listed = build_cascade(own.select("h", "listed"))
-    blocked = build_cascade(own.where("listed").select("h", F.col("block").alias("listed")))
-    held = spark.sparkContext.broadcast((listed, blocked))
-    hashes_at, marks_at = keyed.columns.index("hashes"), keyed.columns.index("marks")
+    if clashes:
+        own = own.join(F.broadcast(spark.createDataFrame([(h,) for h in clashes], "h bigint")), "h", "left_anti")
+    listed = build_cascade(own.select("h", (F.col("mark") > 0).alias("listed")))
+    blocked = build_cascade(own.where("mark > 0").select("h", (F.col("mark") == 2).alias("listed")))
+    held = spark.sparkContext.broadcast((listed, blocked, clashes))
+    keys_at, hashes_at, marks_at = (keyed.columns.index(c) for c in ("keys", "hashes", "marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, blocked = held.value
+        listed, blocked, clashes = held.value
+        shared = np.array(sorted(clashes), np.int64)
         for batch in batches:
             h = batch.column(hashes_at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             marks = batch.column(marks_at).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
             mine = np.flatnonzero(h % parts == part)
             hit = mine[listed.contains(h[mine])]
             marks[hit] = 1 + blocked.contains(h[hit])
+            if clash := mine[np.isin(h[mine], shared)].tolist() if len(shared) else []:
+                keys = batch.column(keys_at).flatten()
+                marks[clash] = [clashes[int(h[i])].get(keys[i].as_py(), 0) for i in clash]
             offsets = batch.column(marks_at).offsets.to_numpy()
             columns = list(batch.columns)
             columns[marks_at] = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(marks))
@@ -174,7 +208,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     fits its host and all subdomains if the path starts with the rule's; the longest wins, of equal ones that with the
     longer host. Pages that no rule fits have rule null and the default verdict, for then they are on no list. Null and
     broken urls have an empty host and path. Keys of a url are its host's endings with its path's beginnings, in the
-    shapes (labels, path length) that the rules have.
+    shapes (labels, path length) that the rules have. Keys of different kinds under one 64-bit hash are told apart by
+    their text.
     """
     spark = pages.sparkSession
     scratch_root(spark)
@@ -186,12 +221,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     ends = [(F.substring_index("host", ".", -n), size, labels >= n) for n, size in sorted(shapes)]
     made = F.array(*(F.when(fits & (F.length("path") >= size), F.struct((-F.length(end) - size).alias("a"), (-F.length(end)).alias("b"), F.concat(end, F.left("path", F.lit(size))).alias("key"))) for end, size, fits in ends)) if ends else F.array().cast("array<struct<a:int,b:int,key:string>>")
     keyed = named.withColumn("keys", F.transform(F.sort_array(F.filter(made, lambda x: x.isNotNull())), lambda x: x["key"]))
-    universe = keyed.select(F.explode("keys").alias("key"), F.lit(None).cast("string").alias("verdict")).union(rules.select("rule", "verdict"))
-    universe = written(universe.groupBy("key").agg(F.max("verdict").alias("verdict")).select(F.xxhash64("key").alias("h"), F.col("verdict").isNotNull().alias("listed"), (F.col("verdict") == "block").alias("block")), "url-keys")
+    clear = keyed.select(F.explode("keys").alias("key"), F.lit(None).cast("string").alias("verdict")).union(rules.select("rule", "verdict"))
+    universe = written(clear.groupBy("key").agg(F.max("verdict").alias("verdict")).select(key_hash(F.col("key")).alias("h"), _mark().alias("mark")), "url-keys")
+    clashes = _clashes(universe, clear)
     parts = max(1, math.ceil(rules.count() / max_keys))
-    marked = keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))).withColumn("marks", F.transform("keys", lambda _: F.lit(0)))
+    marked = keyed.withColumn("hashes", F.transform("keys", key_hash)).withColumn("marks", F.transform("keys", lambda _: F.lit(0)))
     for part in range(parts):
-        marked = _marked(marked if part == 0 else written(marked, "url-marks"), universe, part, parts)
+        marked = _marked(marked if part == 0 else written(marked, "url-marks"), universe, clashes, part, parts)
     # keys are in order, so the first listed one fits best
     first = F.array_position(F.transform("marks", lambda m: m > 0), F.lit(True)).cast("int")
     rule = F.when(first > 0, F.get("keys", first - 1))

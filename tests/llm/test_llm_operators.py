@@ -200,6 +200,22 @@ def test_rules_beyond_one_cascade(spark):
     assert one == many and {r[4] for r in one} == {"allow", "block"} and {r[3] for r in one} > {None}
 
 
+@pytest.mark.parametrize("hashes", [3, 40])
+def test_keys_of_one_hash_are_told_apart(spark, monkeypatch, hashes):
+    rng = np.random.default_rng(8)
+    hosts = [f"h{i}.example" for i in range(30)]
+    frame_ = url_filter.rules_frame(spark, [("block" if i % 3 else "allow", f"{h}/{'p/' * (i % 2)}") for i, h in enumerate(hosts[:20])])
+    urls = [f"http://{'www.' * int(rng.integers(0, 2))}{hosts[int(rng.integers(0, 30))]}/{'p/' * int(rng.integers(0, 2))}q" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    want = {tuple(r) for r in url_filter.judge_urls(df, frame_).collect()}
+    monkeypatch.setattr(url_filter, "key_hash", lambda key: F.pmod(F.xxhash64(key), F.lit(hashes)))
+    for n in (1000, 7):
+        assert {tuple(r) for r in url_filter.judge_urls(df, frame_, max_keys=n).collect()} == want
+    monkeypatch.setattr(url_filter, "MAX_CLASHES", 2)
+    with pytest.raises(ValueError, match="share a hash"):
+        url_filter.judge_urls(df, frame_)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 30_000))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomset.llm.common import slices, text_of, word_lists
+from loomset.llm.common import give_back, slices, text_of, word_lists
 
 #: A file: magic, header length (4 bytes), JSON header, then the sections that it names (offset, bytes), little-endian.
 MAGIC = b"PKTOKEN1"
@@ -172,16 +172,6 @@ class Encoder:
         return np.insert(flat, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _open(uri: str):
     from pyarrow import fs
 
@@ -261,7 +251,7 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, vocabulary: int,
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("t")).withColumn("h", F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        own, shard = Encoder(tokenizer), TaskContext.get().partitionId()
         kept: list[tuple] = []
         count = itertools.count()
 
@@ -285,6 +275,8 @@ def write_token_ids(docs: DataFrame, out: str, tokenizer: str, vocabulary: int,
                     held = 0
         if kept:
             yield flush()
+        del own  # a worker that lives on would keep the tokenizer and its memo
+        give_back()
 
     # a key of (id, hash) deals even one very frequent id over several files' worth of ranges
     dealt = named.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "t")

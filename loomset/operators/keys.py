@@ -32,6 +32,36 @@ def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
     return joined.select(*df.columns, name)
 
 
+def shared_index(keys: dict[str, DataFrame], partitions: int | None = None) -> dict[str, DataFrame]:
+    """{name: (key, name)}: the keys of every table of one column (unique; null last) numbered 0 .. n-1 by themselves.
+
+    All keys, and nothing but keys, are dealt by ranges of (table, key), sorted and written in one pass; one row for each
+    range and table gives all offsets.
+    """
+    types = sorted({df.dtypes[0][1] for df in keys.values()})
+    rows = None
+    for kind, df in enumerate(keys.values()):
+        (column, own), = df.dtypes
+        typed = [(F.col(column) if t == own else F.lit(None).cast(t)).alias(f"k{i}") for i, t in enumerate(types)]
+        part = df.select(F.lit(kind).alias("kind"), *typed)
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return {}
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("kind"), *(F.col(f"k{i}").asc_nulls_last() for i in range(len(types)))]
+    dealt = materialized(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "keys")
+    part = F.shiftright("at", 33)
+    sizes = dealt.groupBy("kind", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(F.col("kind").alias("of"), "part", (before - F.col("first")).alias("shift"))
+    out = {}
+    for kind, (name, df) in enumerate(keys.items()):
+        (column, own), = df.dtypes
+        held = dealt.where(F.col("kind") == kind).join(F.broadcast(shifts.where(F.col("of") == kind)), part == F.col("part"))  # one row a range
+        out[name] = held.select(F.col(f"k{types.index(own)}").alias(column), (F.col("at") + F.col("shift")).alias(name))
+    return out
+
+
 def assert_contiguous(df: DataFrame, name: str) -> int:
     """The number of rows of df, whose `name` must be 0 .. n-1, each once."""
     n, least, most, different = df.agg(F.count("*"), F.min(name), F.max(name), F.count_distinct(name)).first()

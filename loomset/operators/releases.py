@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loomset.functions.text import dedup_key, title_norm
 from loomset.functions.vectors import half_up
-from loomset.operators.keys import contiguous_index, dense_index
+from loomset.operators.keys import contiguous_index, shared_index
+from loomset.operators.scratch import materialized
 
 MIN_MINUTES = 20.0
 MS_PER_MINUTE = 60000.0
@@ -87,24 +88,62 @@ def collection_releases(track: DataFrame, track_collection: DataFrame, kept: Dat
     return links.join(own.distinct(), "track_id").groupBy("collection_id", "release_id").agg(F.count("*").alias("n_tracks"))
 
 
-def release_lookup(edges: DataFrame, kept: DataFrame, release: DataFrame, creators: DataFrame, keys: DataFrame) -> DataFrame:
+def known_releases(edges: DataFrame, kept: DataFrame, release: DataFrame, creators: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(release_id, name, creator_id, n_tracks, minutes, title_key) of releases with an edge and a row.
+
+    Titles are keyed in passing unless title_keys() are given: null without a name or a main creator.
+    """
+    known = kept.join(edges.select("release_id"), "release_id", "left_semi").join(release.select(F.col("id").alias("release_id"), "name"), "release_id")
+    full = known.join(creators, "release_id", "left")
+    if keys is not None:
+        full = full.join(keys.select("release_id", "title_key"), "release_id", "left")
+    else:
+        key = dedup_key(F.col("name"), F.col("__norm"), F.col("release_id"), F.col("creator_id"))
+        full = full.withColumn("__norm", title_norm(F.col("name"))).withColumn("title_key", F.when((F.col("name") != "") & F.col("creator_id").isNotNull(), key))
+    return full.select("release_id", "name", "creator_id", "n_tracks", half_up(F.col("minutes"), 2).alias("minutes"), "title_key")
+
+
+def known_creators(releases: DataFrame, creator: DataFrame) -> DataFrame:
+    """(creator_id, name) of the main creators that have a row."""
+    return creator.select(F.col("id").alias("creator_id"), "name").join(releases.where("creator_id is not null").select("creator_id"), "creator_id", "left_semi")
+
+
+def known_collections(edges: DataFrame, collection: DataFrame) -> DataFrame:
+    """(collection_id, name) of the collections with an edge and a row."""
+    return collection.select(F.col("id").alias("collection_id"), "name").join(edges.select("collection_id"), "collection_id", "left_semi")
+
+
+def _numbered_releases(known: DataFrame, ix: dict[str, DataFrame]) -> DataFrame:
+    clusters = ix["cluster_ix"].withColumnRenamed("title_key", "__key")
+    full = known.join(ix["release_ix"], "release_id").join(clusters, F.col("title_key").eqNullSafe(F.col("__key")), "left")
+    return full.select("release_ix", "release_id", "name", "creator_id", "n_tracks", "minutes", "cluster_ix")
+
+
+def release_lookup(edges: DataFrame, kept: DataFrame, release: DataFrame, creators: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(release_ix, release_id, name, creator_id, n_tracks, minutes, cluster_ix) of releases with an edge and a row."""
-    known = edges.select("release_id").distinct().join(kept, "release_id").join(release.select(F.col("id").alias("release_id"), "name"), "release_id")
-    full = known.join(creators, "release_id", "left").join(keys.select("release_id", "title_key"), "release_id", "left")
-    full = full.select("release_id", "name", "creator_id", "n_tracks", half_up(F.col("minutes"), 2).alias("minutes"), "title_key")
-    return contiguous_index(dense_index(full, "title_key", "cluster_ix"), "release_id", "release_ix").select("release_ix", "release_id", "name", "creator_id", "n_tracks", "minutes", "cluster_ix")
+    known = materialized(known_releases(edges, kept, release, creators, keys), "releases")
+    return _numbered_releases(known, shared_index({"cluster_ix": known.select("title_key").distinct(), "release_ix": known.select("release_id")}))
 
 
 def creator_lookup(releases: DataFrame, creator: DataFrame) -> DataFrame:
-    """(creator_ix, creator_id, name) of the main creators that have a row."""
-    known = creator.select(F.col("id").alias("creator_id"), "name").join(releases.where("creator_id is not null").select("creator_id"), "creator_id", "left_semi")
-    return contiguous_index(known, "creator_id", "creator_ix").select("creator_ix", "creator_id", "name")
+    """(creator_ix, creator_id, name) of the main creators that have a row; of releases only creator_id is read."""
+    return contiguous_index(known_creators(releases, creator), "creator_id", "creator_ix").select("creator_ix", "creator_id", "name")
 
 
 def collection_lookup(edges: DataFrame, collection: DataFrame, lengths: DataFrame) -> DataFrame:
     """(collection_ix, collection_id, name, length) of the collections with an edge and a row."""
-    known = collection.select(F.col("id").alias("collection_id"), "name").join(edges.select("collection_id"), "collection_id", "left_semi").join(lengths, "collection_id")
-    return contiguous_index(known, "collection_id", "collection_ix").select("collection_ix", "collection_id", "name", "length")
+    return contiguous_index(known_collections(edges, collection), "collection_id", "collection_ix").join(lengths, "collection_id").select("collection_ix", "collection_id", "name", "length")
+
+
+def star_lookups(edges: DataFrame, kept: DataFrame, release: DataFrame, creators: DataFrame, creator: DataFrame, collection: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """release_lookup(), creator_lookup() and collection_lookup() at once: all their keys are numbered in one pass."""
+    known = materialized(known_releases(edges, kept, release, creators), "releases")
+    owners, listed = known_creators(known, creator), known_collections(edges, collection)
+    ix = shared_index({"cluster_ix": known.select("title_key").distinct(), "release_ix": known.select("release_id"), "creator_ix": owners.select("creator_id"), "collection_ix": listed.select("collection_id")})
+    named = creator.select(F.col("id").alias("creator_id"), "name").join(ix["creator_ix"], "creator_id")
+    sized = collection.select(F.col("id").alias("collection_id"), "name").join(ix["collection_ix"], "collection_id").join(lengths, "collection_id")
+    numbered = materialized(_numbered_releases(known, ix), "releases")  # the star and the indexes both read it
+    return numbered, named.select("creator_ix", "creator_id", "name"), sized.select("collection_ix", "collection_id", "name", "length")
 
 
 def indexed_pairs(edges: DataFrame, releases: DataFrame, collections: DataFrame, creators: DataFrame) -> DataFrame:

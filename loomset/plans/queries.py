@@ -89,35 +89,33 @@ def long_tail_counts(spark, d):
 
 def _flow(spark, d):
     t = _t(spark, d)
-    kept = R.kept_releases(t.track, R.MIN_MINUTES)
-    edges = materialized(R.collection_releases(t.track, t.track_collection, kept), "edges")
-    creators = materialized(R.main_creators(t.track, t.track_creator, kept), "main-creators")
-    keys = R.title_keys(t.release, creators)
-    releases = R.release_lookup(edges, kept, t.release, creators, keys)
-    return t, edges, releases
+    kept = materialized(R.kept_releases(t.track, R.MIN_MINUTES), "kept")
+    return t, kept, materialized(R.collection_releases(t.track, t.track_collection, kept), "edges")
 
 
 def album_lookup(spark, d):
     """Releases under contiguous keys, with creator, size and cluster of variants."""
-    return _flow(spark, d)[2]
+    t, kept, edges = _flow(spark, d)
+    return R.release_lookup(edges, kept, t.release, R.main_creators(t.track, t.track_creator, kept))
 
 
 def artist_lookup(spark, d):
     """Main creators under contiguous keys."""
-    t, _, releases = _flow(spark, d)
-    return R.creator_lookup(releases, t.creator)
+    t, kept, edges = _flow(spark, d)
+    known = edges.select("release_id").distinct().join(t.release, F.col("release_id") == F.col("id"), "left_semi")
+    return R.creator_lookup(R.main_creators(t.track, t.track_creator, known), t.creator)
 
 
 def playlist_lookup(spark, d):
     """Collections under contiguous keys, with their length."""
-    t, edges, _ = _flow(spark, d)
+    t, _, edges = _flow(spark, d)
     return R.collection_lookup(edges, t.collection, R.collection_lengths(t.track_collection))
 
 
 def _star(spark, d):
-    t, edges, releases = _flow(spark, d)
-    creators = R.creator_lookup(releases, t.creator)
-    collections = R.collection_lookup(edges, t.collection, R.collection_lengths(t.track_collection))
+    t, kept, edges = _flow(spark, d)
+    main = R.main_creators(t.track, t.track_creator, kept)
+    releases, creators, collections = R.star_lookups(edges, kept, t.release, main, t.creator, t.collection, R.collection_lengths(t.track_collection))
     return releases, creators, R.indexed_pairs(edges, releases, collections, creators)
 
 

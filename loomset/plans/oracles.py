@@ -123,7 +123,7 @@ WHERE ix NOT IN ({terms}) AND pop >= {low} {f'AND pop <= {high}' if high else ''
 
 _VARIANTS = f"""
 {_ROLES},
-named AS (SELECT t.id AS release_id, split_part(t.name, ' ', 1) AS title, o.creator_id FROM track t JOIN (SELECT track_id, min(creator_id) AS creator_id FROM track_creator GROUP BY 1) o ON o.track_id = t.id),
+named AS (SELECT t.id AS release_id, t.name AS title, o.creator_id FROM track t JOIN (SELECT track_id, min(creator_id) AS creator_id FROM track_creator GROUP BY 1) o ON o.track_id = t.id),
 keyed AS (SELECT release_id, creator_id, {_norm('title')} AS n, title FROM named),
 groups AS (SELECT creator_id, CASE WHEN length(title) - length(replace(title, '?', '')) >= 2 OR n = '' THEN 'ID:' || release_id ELSE n END AS title_key, count(*) AS variants FROM keyed GROUP BY 1, 2)
 """

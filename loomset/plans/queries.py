@@ -138,7 +138,7 @@ def artist_index(spark, d):
 def _variants(spark, d):
     """Parts of a brand as variants of a title: names that meet once numbers are gone."""
     t = _t(spark, d)
-    named = t.track.select(F.col("id"), F.substring_index("name", " ", 1).alias("name"))
+    named = t.track.select("id", "name")
     owners = t.track_creator.groupBy("track_id").agg(F.min("creator_id").alias("creator_id")).withColumnRenamed("track_id", "release_id")
     return R.title_keys(named, owners, with_owner=False), t.creator
 

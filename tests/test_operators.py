@@ -48,6 +48,22 @@ def test_flow_from_raw_tables_to_indexes(spark):
     assert [tuple(r) for r in releases.creator_index(creators, index).collect()] == [(0, "c1", "One", 3)]
 
 
+def test_shared_index(spark):
+    numbers = [(v,) for v in (70, 3, -5, 12, None)]
+    words = [(f"w{v:04d}",) for v in np.random.default_rng(3).permutation(900)]
+    tables = {
+        "a_ix": spark.createDataFrame(numbers, "a bigint"),
+        "b_ix": spark.createDataFrame(words, "b string"),
+        "c_ix": spark.createDataFrame([], "c string"),
+        "d_ix": spark.createDataFrame([("z",), ("w0001",)], "d string"),
+    }
+    got = {name: [tuple(r) for r in df.orderBy(name).collect()] for name, df in keys.shared_index(tables, 7).items()}
+    assert got["a_ix"] == [(-5, 0), (3, 1), (12, 2), (70, 3), (None, 4)]
+    assert got["b_ix"] == [(w, i) for i, w in enumerate(sorted(w for w, in words))]
+    assert got["c_ix"] == [] and got["d_ix"] == [("w0001", 0), ("z", 1)]
+    assert keys.shared_index({}) == {}
+
+
 def test_contiguous_and_dense_index(spark):
     rng = np.random.default_rng(0)
     values = [int(x) for x in rng.permutation(5000)]

@@ -89,13 +89,13 @@ def popularity_baseline(tests: DataFrame, freq: DataFrame, k: int, item: str = "
     return recall(tests.select("seed", F.explode("targets").alias("target")).withColumn("hit", F.col("target").isin(tops).cast("int")))
 
 
-def final_evaluation(tests: DataFrame, vectors: DataFrame, freq: DataFrame, ks: tuple[int, ...] = FINAL_KS, sample: int = FINAL_PROBES, seed: int = 12345, item: str = "item") -> DataFrame:
+def final_evaluation(tests: DataFrame, vectors: DataFrame, freq: DataFrame, ks: tuple[int, ...] = FINAL_KS, sample: int | None = FINAL_PROBES, seed: int = 12345, item: str = "item") -> DataFrame:
     """(k, hits, pop_hits, targets, recall, pop_recall, lift) of each k over a fixed sample of the probes.
 
     The sample is the first so many probes by a hash of query and seed, so runs of different lengths are compared on the
-    same probes; with no more probes than that it is all of them. Neighbours are searched once, for the largest k.
+    same probes; with no more probes than that, or with None, it is all of them. Neighbours are searched once, for the largest k.
     """
-    kept = tests.orderBy(F.xxhash64(F.lit(seed), "query"), "query").limit(sample)
+    kept = tests if sample is None else tests.orderBy(F.xxhash64(F.lit(seed), "query"), "query").limit(sample)
     tops = [r[item] for r in most_popular(freq, max(ks), item).collect()]  # the largest k items
     found = kept.join(neighbours(kept, vectors, max(ks)), "seed").select("top", F.explode("targets").alias("target"))
     place, popular = F.array_position("top", F.col("target")), F.array_position(F.array(*map(F.lit, tops)), F.col("target"))

@@ -16,8 +16,14 @@ from loomset.operators.scratch import materialized
 BROADCAST_ROWS = 1 << 16
 #: Rows of a block at least; there are MOST_BLOCKS and one a centre at most, so that what bounds need of blocks is bounded.
 BLOCK_ROWS, MOST_BLOCKS, CENTRES = 4_096, 4_096, 256
-#: Blocks of queries that meet an item block in one task.
+#: Blocks of queries, and of items, that meet in one task.
 GROUP_BLOCKS = 16
+#: Up to so many queries are sent to the items, which are then scanned once and not dealt to blocks.
+FEW_QUERIES = 1_024
+#: Scores that a task holds at once (16 MB), whatever the numbers of queries, items and blocks.
+SCORES_AT_ONCE = 1 << 21
+#: How far a score from a matrix product may lie from the sum in order, as a part of the vectors' lengths.
+_SLACK = 1e-12
 _SCORES = "query bigint, ix bigint, score double"
 
 
@@ -25,34 +31,44 @@ def top_by_block(items: DataFrame, queries: DataFrame, k: int, exclude_self: boo
     """(query, ix, score, place): the k items of the largest inner product with each query, ties to the smaller ix.
 
     items: (ix, v array<double>), queries: (query, v), each key once. Up to broadcast_rows items go to the queries, whose
-    batches answer for themselves: nothing is shuffled. Beyond, items and queries are dealt to blocks around centres. A
-    block of queries first meets the item block of its own centre; its k-th best score there rules out, query by query,
-    every block whose centre and radius (q.c + |q| r) cannot reach it. The pairs of blocks that are left meet in tasks of
-    bounded size. No query passes through the driver. An item whose ix is the query is left out with exclude_self.
+    batches answer for themselves: nothing is shuffled. Beyond, up to FEW_QUERIES queries go to the items, which are
+    scanned once. Else items and queries are dealt to blocks around centres. A block of queries first meets the item
+    block of its own centre; its k-th best score there rules out, query by query, every block whose centre and radius
+    (q.c + |q| r) cannot reach it. The pairs of blocks that are left meet in tasks of GROUP_BLOCKS blocks on either
+    side, so that a vector is sent once a task. Matrix products only find candidates: scores are sums in order, so that
+    copies of a vector tie exactly. An item whose ix is the query is left out with exclude_self.
     """
     own = items.select(F.col("ix").cast("bigint").alias("ix"), doubles(F.col("v")).alias("v"))
     asked = queries.select(F.col("query").cast("bigint").alias("query"), doubles(F.col("v")).alias("v"))
     few = own.limit(broadcast_rows + 1).toArrow()  # bounded; tells whether there are more
     if len(few) <= broadcast_rows:
         return _by_broadcast(few, asked, k, exclude_self)
-    blocks, kept = item_blocks(own, block_rows)
+    del few
+    wanted = asked.limit(FEW_QUERIES + 1).toArrow()  # bounded
+    if len(wanted) <= FEW_QUERIES:
+        return _by_scan(own, *_arrays(wanted), k, exclude_self)
+    blocks, kept = item_blocks(own, block_rows, k)
     first = _first_answers(blocks, kept, asked, k, exclude_self)
     pairs = block_pairs(blocks, kept, first)
-    return _ranked(_unpacked(first).unionByName(_later_answers(blocks, pairs, k, exclude_self)), k)
+    return _ranked(_unpacked(first).unionByName(_later_answers(blocks, first, pairs, k, exclude_self)), k)
 
 
 def top_of_vectors(items: DataFrame, queries: dict[int, list[float]], k: int) -> DataFrame:
     """top_by_block() of a few queries (ix: vector) that the driver holds: one scan of items, k rows a batch and query."""
     ids, matrix = np.array(list(queries), np.int64), np.array(list(queries.values()), float)
-    held = items.sparkSession.sparkContext.broadcast((ids, matrix))
+    return _by_scan(items.select(F.col("ix").cast("bigint").alias("ix"), doubles(F.col("v")).alias("v")), ids, matrix, k, True)
+
+
+def _by_scan(own: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
+    held = own.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = held.value
         for batch in batches:
-            if len(batch):
-                yield _scores(*_best(ids, matrix, *_arrays(batch), k, True)[:3])
+            if len(batch) and len(ids):
+                yield _scores(*_best(ids, matrix, *_arrays(batch), k, exclude_self)[:3])
 
-    return _ranked(items.select(F.col("ix").cast("bigint").alias("ix"), doubles(F.col("v")).alias("v")).mapInArrow(run, _SCORES), k)
+    return _ranked(own.mapInArrow(run, _SCORES), k)
 
 
 def top_in_plan(items: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -72,26 +88,53 @@ def _scores(query: np.ndarray, ix: np.ndarray, score: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ix), pa.array(score)], names=["query", "ix", "score"])
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, least: np.ndarray | None = None, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _firsts(own: np.ndarray, vectors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(own, vectors) in the order of own, without those that have n copies before them: they are among no n best."""
+    order = np.argsort(own, kind="stable")
+    own, vectors = own[order], np.ascontiguousarray(vectors[order])
+    if not len(own) or not vectors.shape[1]:
+        return own, vectors
+    which = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).reshape(-1), return_inverse=True)[1].reshape(-1)
+    by = np.argsort(which, kind="stable")
+    stays = np.ones(len(own), bool)
+    stays[by] = np.arange(len(by)) - np.searchsorted(which[by], which[by]) < n
+    return own[stays], vectors[stays]
+
+
+def _sums(a: np.ndarray, r: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of rows r of a with rows c of b, each summed in order, so that equal vectors give equal scores."""
+    out = np.zeros(len(r))
+    for d in range(a.shape[1]):
+        out += a[r, d] * b[c, d]
+    return out
+
+
+def _best(ids: np.ndarray, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, ix, score, place) of the k best of own for each query, of at least `least` if given; in runs of queries."""
     out = []
+    rows = max(1, min(512, SCORES_AT_ONCE // max(1, len(own))))
+    rising = (np.diff(own) > 0).all()
+    longest = np.sqrt((vectors * vectors).sum(axis=1)).max(initial=0.0)
     for a in range(0, len(ids), rows):
-        scores = queries[a : a + rows] @ vectors.T
+        some = queries[a : a + rows]
+        scores = some @ vectors.T
         if exclude_self:
-            at = np.searchsorted(own, ids[a : a + rows]) if (np.diff(own) > 0).all() else None
-            if at is None:
+            if not rising:
                 scores[ids[a : a + rows, None] == own[None, :]] = -np.inf
             else:
+                at = np.searchsorted(own, ids[a : a + rows])
                 same = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == ids[a : a + rows])
                 scores[same, at[same]] = -np.inf
         n = min(k, len(own))
         cut = np.partition(scores, len(own) - n, axis=1)[:, len(own) - n]
         if least is not None:
             cut = np.maximum(cut, least[a : a + rows])
-        r, c = np.nonzero(scores >= cut[:, None])
-        s = scores[r, c]
+        slack = _SLACK * np.sqrt((some * some).sum(axis=1)) * longest
+        r, c = np.nonzero(scores >= (cut - slack)[:, None])
+        sure = np.isfinite(scores[r, c])
+        r, c = r[sure], c[sure]
+        s = _sums(some, r, vectors, c)
         order = np.lexsort((own[c], -s, r))
-        order = order[np.isfinite(s[order])]
         r, c, s = r[order], c[order], s[order]
         place = np.arange(len(r)) - np.searchsorted(r, r) + 1
         top = place <= k
@@ -100,9 +143,7 @@ def _best(ids: np.ndarray, queries: np.ndarray, own: np.ndarray, vectors: np.nda
 
 
 def _by_broadcast(few: pa.Table, asked: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    own, vectors = _arrays(few)
-    order = np.argsort(own)
-    held = asked.sparkSession.sparkContext.broadcast((own[order], vectors[order]))
+    held = asked.sparkSession.sparkContext.broadcast(_firsts(*_arrays(few), k + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vectors = held.value
@@ -113,35 +154,48 @@ def _by_broadcast(few: pa.Table, asked: DataFrame, k: int, exclude_self: bool) -
     return asked.mapInArrow(run, f"{_SCORES}, place int")
 
 
-_BLOCK = "block int, own binary, v binary"
+_BLOCK = "block int, own binary, v binary, middle array<double>, radius double"
 
 
-def _packed(key: str) -> Callable[[pa.Table], pa.Table]:
-    """Of the rows (key, v, block) of one block: one row (block, own, v), in the order of the key."""
+def _schema(columns: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in columns.split(", ")])
+
+
+def _packed(key: str, copies: int | None) -> Callable[[pa.Table], pa.Table]:
+    """Of the rows (key, v, block) of one block: one row in the order of the key, with the block's middle and radius."""
 
     def run(table: pa.Table) -> pa.Table:
-        own, v = _arrays(table.select([key, "v"]))
-        order = np.argsort(own, kind="stable")
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "own": [own[order].tobytes()], "v": [v[order].tobytes()]})
+        own, v = _firsts(*_arrays(table.select([key, "v"])), copies or len(table))
+        middle = v.mean(axis=0)
+        radius = float(np.sqrt(((v - middle) ** 2).sum(axis=1).max())) * (1 + 1e-12)
+        return pa.Table.from_pylist([{"block": table["block"][0].as_py(), "own": own.tobytes(), "v": v.tobytes(), "middle": middle.tolist(), "radius": radius}], schema=_schema(_BLOCK))
 
     return run
 
 
-def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(row["own"], np.int64)
-    return own, np.frombuffer(row["v"], np.float64).reshape(len(own), -1)
+def _numbers(cell: pa.Scalar, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
+
 
+def _read(table: pa.Table | pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and vectors as a matrix, of a row with own and v, without copying them."""
+    own = _numbers(table.column("own")[i], np.int64)
+    return own, _numbers(table.column("v")[i]).reshape(len(own), -1)
 
-def _dealt(rows: DataFrame, key: str, centres: np.ndarray, block_rows: int) -> DataFrame:
-    """Blocks (block, own, v) of rows (key, v): those nearest to one centre, dealt to several blocks by a hash if they are many."""
+
+def _dealt(rows: DataFrame, key: str, centres: np.ndarray, block_rows: int, copies: int | None = None) -> DataFrame:
+    """Blocks of rows (key, v): those nearest to one centre, dealt to several blocks by a hash if they are many."""
     held = rows.sparkSession.sparkContext.broadcast(centres)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
         half = (c * c).sum(axis=1) / 2
+        step = max(1, SCORES_AT_ONCE // len(c))
         for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(_arrays(batch)[1] @ c.T - half, axis=1), pa.int32())], names=[key, "v", "cell"])
+            for a in range(0, len(batch), step):
+                part = batch.slice(a, step)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.argmax(_arrays(part)[1] @ c.T - half, axis=1), pa.int32())], names=[key, "v", "cell"])
 
     placed = materialized(rows.mapInArrow(near, f"{key} bigint, v array<double>, cell int"), "cells")
     counts = sorted(tuple(r) for r in placed.groupBy("cell").count().collect())  # one row a centre
@@ -152,22 +206,16 @@ def _dealt(rows: DataFrame, key: str, centres: np.ndarray, block_rows: int) -> D
         block += plan[-1][2]
     where = F.broadcast(rows.sparkSession.createDataFrame(plan, "cell int, first int, blocks int"))  # one row a centre
     numbered = placed.join(where, "cell").select(key, "v", (F.col("first") + F.pmod(F.xxhash64(key), "blocks")).cast("int").alias("block"))
-    return numbered.groupBy("block").applyInArrow(_packed(key), _BLOCK)
-
+    return numbered.groupBy("block").applyInArrow(_packed(key, copies), _BLOCK)
 
-def item_blocks(own: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(blocks, (block, centre, radius)): items in blocks, and around what each lies. Centres begin as a bounded sample."""
-    sample = np.array([r["v"] for r in own.orderBy(F.xxhash64("ix"), "ix").select("v").limit(CENTRES).collect()], float)
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                v = _read(row)[1]
-                middle = v.mean(axis=0)
-                radius = float(np.sqrt(((v - middle) ** 2).sum(axis=1).max()))
-                yield pa.RecordBatch.from_pylist([{**row, "middle": middle.tolist(), "radius": radius * (1 + 1e-12)}], schema=pa.schema([("block", pa.int32()), ("own", pa.binary()), ("v", pa.binary()), ("middle", pa.list_(pa.float64())), ("radius", pa.float64())]))
+def item_blocks(own: DataFrame, block_rows: int = BLOCK_ROWS, k: int | None = None) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(blocks, (block, centre, radius)): items in blocks, and around what each lies. Centres begin as a bounded sample.
 
-    blocks = materialized(_dealt(own, "ix", sample, block_rows).mapInArrow(bounds, f"{_BLOCK}, middle array<double>, radius double"), "item-blocks")
+    With k, a block holds of copies of a vector only the first that can be among the k best.
+    """
+    sample = np.array([r["v"] for r in own.orderBy(F.xxhash64("ix"), "ix").select("v").limit(CENTRES).collect()], float)
+    blocks = materialized(_dealt(own, "ix", sample, block_rows, None if k is None else k + 1), "item-blocks")
     kept = blocks.select("block", "middle", "radius").orderBy("block").collect()  # MOST_BLOCKS + CENTRES rows at most
     return blocks, (np.array([r["block"] for r in kept]), np.array([r["middle"] for r in kept]), np.array([r["radius"] for r in kept]))
 
@@ -179,73 +227,86 @@ def _first_answers(blocks: DataFrame, kept: tuple, asked: DataFrame, k: int, exc
     """Blocks of queries with their answers from one item block each, and the k-th best score of each query there."""
     # a query's centre is the nearest block of items, so its answers from there are good ones
     numbers, middles, _ = kept
-    groups = _dealt(asked.withColumnRenamed("query", "ix"), "ix", middles, BLOCK_ROWS)
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = (middles * middles).sum(axis=1) / 2
-        for batch in batches:
-            found = [int(numbers[np.argmax(_read(row)[1].mean(axis=0) @ middles.T - half)]) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["block", "own", "v", "home"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, v = _read(row)
-                query, ix, score, place = _best(ids, v, *_read({"own": row["items"], "v": row["vectors"]}), k, exclude_self)
-                least = np.full(len(ids), -np.inf)
-                full = place == k
-                least[np.searchsorted(ids, query[full])] = score[full]
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "own": row["own"], "v": row["v"], "home": row["home"], "least": least.tobytes(), "query": query.tobytes(), "ix": ix.tobytes(), "score": score.tobytes()}], schema=pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in _FIRST.split(", ")]))
-
-    met = groups.mapInArrow(home, f"{_BLOCK}, home int").join(blocks.select(F.col("block").alias("home"), F.col("own").alias("items"), F.col("v").alias("vectors")), "home")
-    return materialized(met.select("block", "own", "v", "home", "items", "vectors").mapInArrow(answer, _FIRST), "first-answers")
+    half = (middles * middles).sum(axis=1) / 2
+    groups = materialized(_dealt(asked.withColumnRenamed("query", "ix"), "ix", middles, BLOCK_ROWS), "query-blocks")
+    homes = [(r["block"], int(numbers[np.argmax(middles @ np.array(r["middle"]) - half)])) for r in groups.select("block", "middle").collect()]  # as many as blocks of items, and MOST_BLOCKS
+    home = F.broadcast(asked.sparkSession.createDataFrame(homes, "block int, home int"))
+    # a group is one block of queries and its block of items
+    asking = groups.join(home, "block").select("block", "own", "v", "home", F.lit(True).alias("asks"))
+    items = blocks.withColumnRenamed("block", "home").join(home, "home").select("block", "own", "v", "home", F.lit(False).alias("asks"))
+
+    def answer(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_pylist().index(True)
+        ids, v = _read(table, asks)
+        query, ix, score, place = _best(ids, v, *_read(table, 1 - asks), k, exclude_self)
+        least = np.full(len(ids), -np.inf)
+        full = place == k
+        least[np.searchsorted(ids, query[full])] = score[full]
+        row = {c: table[c][asks].as_py() for c in ("block", "own", "v", "home")}
+        return pa.Table.from_pylist([{**row, "least": least.tobytes(), "query": query.tobytes(), "ix": ix.tobytes(), "score": score.tobytes()}], schema=_schema(_FIRST))
+
+    return materialized(asking.unionByName(items).groupBy("block").applyInArrow(answer, _FIRST), "first-answers")
 
 
 def _unpacked(first: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _scores(np.frombuffer(row["query"], np.int64), np.frombuffer(row["ix"], np.int64), np.frombuffer(row["score"], np.float64))
+            for query, ix, score in zip(*batch.columns, strict=True):
+                yield _scores(_numbers(query, np.int64), _numbers(ix, np.int64), _numbers(score))
 
     return first.select("query", "ix", "score").mapInArrow(run, _SCORES)
 
 
-_PAIR = "item_block int, query_group int, own binary, v binary, least binary"
+_PAIR = "item_block int, query_block int, own binary"
 
 
 def block_pairs(blocks: DataFrame, kept: tuple, first: DataFrame) -> DataFrame:
-    """(item_block, query_group, own, v, least): of each block of queries, those that an item block may still answer better."""
+    """(item_block, query_block, own): of each block of queries, those that an item block may still answer better."""
     numbers, middles, radii = kept
+    lengths = np.abs(middles).sum(axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, v = _read(row)
-                least = np.frombuffer(row["least"], np.float64)
-                length = np.sqrt((v * v).sum(axis=1))
-                reach = v @ middles.T + length[:, None] * radii
-                # rounding of sums may not rule a block out
-                may = reach + 1e-9 * (1 + length[:, None] * (radii + np.abs(middles).sum(axis=1))) >= least[:, None]
-                may[:, numbers == row["home"]] = False
-                for j in np.flatnonzero(may.any(axis=0)):
-                    m = may[:, j]
-                    yield pa.RecordBatch.from_pylist([{"item_block": int(numbers[j]), "query_group": row["block"] // GROUP_BLOCKS, "own": ids[m].tobytes(), "v": v[m].tobytes(), "least": least[m].tobytes()}], schema=pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in _PAIR.split(", ")]))
-
-    return materialized(first.select("block", "own", "v", "home", "least").mapInArrow(run, _PAIR), "block-pairs")
-
-
-def _later_answers(blocks: DataFrame, pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """Answers of the pairs of blocks that are left: an item block meets GROUP_BLOCKS blocks of queries at most in a task."""
-    sides = pairs.select("item_block", "query_group").distinct().join(blocks.select(F.col("block").alias("item_block"), "own", "v"), "item_block")
-    both = pairs.unionByName(sides.withColumn("least", F.lit(None).cast("binary")))
+    def run(table: pa.Table) -> pa.Table:
+        ids, v = _read(table, 0)
+        least, home, block = _numbers(table["least"][0]), table["home"][0].as_py(), table["block"][0].as_py()
+        may, step = np.zeros((len(ids), len(numbers)), bool), max(1, SCORES_AT_ONCE // len(numbers))
+        for a in range(0, len(ids), step):
+            part = v[a : a + step]
+            length = np.sqrt((part * part).sum(axis=1))[:, None]
+            # rounding of sums may not rule a block out
+            may[a : a + step] = part @ middles.T + length * radii + 1e-9 * (1 + length * (radii + lengths)) >= least[a : a + step, None]
+        may[:, numbers == home] = False
+        met = np.flatnonzero(may.any(axis=0))
+        return pa.Table.from_pylist([{"item_block": int(numbers[j]), "query_block": block, "own": ids[may[:, j]].tobytes()} for j in met], schema=_schema(_PAIR))
+
+    return materialized(first.select("block", "own", "v", "home", "least").groupBy("block").applyInArrow(run, _PAIR), "block-pairs")
+
+
+def _later_answers(blocks: DataFrame, first: DataFrame, pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Answers of the pairs of blocks that are left: GROUP_BLOCKS blocks of items and of queries at most meet in a task."""
+    group = lambda c: F.floor(F.col(c) / GROUP_BLOCKS).cast("int")
+    placed = pairs.withColumns({"item_group": group("item_block"), "query_group": group("query_block")})
+    of_items = placed.select("item_block", "item_group", "query_group").distinct().join(blocks.select(F.col("block").alias("item_block"), "own", "v"), "item_block")
+    of_queries = placed.select("query_block", "item_group", "query_group").distinct().join(first.select(F.col("block").alias("query_block"), "own", "v", "least"), "query_block")
+    every = placed.unionByName(of_items, allowMissingColumns=True).unionByName(of_queries, allowMissingColumns=True)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        items = _read(next(r for r in rows if r["least"] is None))
-        out = [_scores(*_best(*_read(r), *items, k, exclude_self, np.frombuffer(r["least"], np.float64))[:3]) for r in rows if r["least"] is not None]
+        items, asking, met = {}, {}, []
+        for i, (item, query) in enumerate(zip(table["item_block"].to_pylist(), table["query_block"].to_pylist(), strict=True)):
+            if query is None:
+                items[item] = _read(table, i)
+            elif item is None:
+                asking[query] = (*_read(table, i), _numbers(table["least"][i]).copy())
+            else:
+                met.append((query, item, i))
+        out = []
+        for query, item, i in sorted(met):
+            ids, v, least = asking[query]
+            at = np.searchsorted(ids, _numbers(table["own"][i], np.int64))
+            found = _best(ids[at], v[at], *items[item], k, exclude_self, least[at])
+            out.append(_scores(*found[:3]))
         return pa.Table.from_batches(out)
 
-    return both.groupBy("item_block", "query_group").applyInArrow(run, _SCORES)
+    return every.groupBy("item_group", "query_group").applyInArrow(run, _SCORES)
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:

@@ -469,3 +469,33 @@ def test_image_addresses(spark):
     for bad in (("album", "xl"), ("artist", "xs"), ("track", "sm")):
         with pytest.raises(ValueError, match="size"):
             text.image_url(bad[0], F.col("k"), bad[1])
+
+
+def test_copies_tie_exactly_and_scores_are_few_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(9, 64))[rng.integers(0, 9, 700)]
+    ids = np.arange(700)
+    runs, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *x, **y: runs.append(a.size) or partition(a, *x, **y))
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 7_000)
+    for n in (700, 333, 5):
+        query, ix, _, _ = retrieval._best(ids, v, *retrieval._firsts(ids[:n], v[:n], 13), 12, True)
+        for q in range(700):
+            same = [i for i in range(n) if i != q and (v[i] == v[q]).all()][:12]
+            assert ix[query == q][: len(same)].tolist() == same
+    assert max(runs) <= 7_000
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_copies_are_counted_by_any_path(spark, monkeypatch, few):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(40, 64))[rng.integers(0, 40, 900)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "ix bigint, v array<double>").repartition(5)
+    for name, value in (("FEW_QUERIES", few), ("CENTRES", 8), ("GROUP_BLOCKS", 3)):
+        monkeypatch.setattr(retrieval, name, value)
+    got = retrieval.top_by_block(frame, frame.select(F.col("ix").alias("query"), "v"), 30, broadcast_rows=100, block_rows=64).collect()
+    assert len(got) == 900 * 30
+    for q in range(0, 900, 9):
+        s = sum(v[q, d] * v[:, d] for d in range(64))
+        s[q] = -np.inf
+        assert [r["ix"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["place"])] == np.lexsort((np.arange(900), -s))[:30].tolist()

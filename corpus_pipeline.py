@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return near_text.drop_near_texts(docs)
+    """One document of each class stays: linked by SimHash as in op9, or by a Jaccard similarity of 0.8 of whole shingle sets."""
+    return near_text.drop_near_texts(docs, simhash=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import broadcast_or_shuffle, give_back, row_key, scratch_root, slices, split_join, text_of, word_lists, written
 from loomset.llm.components import connected_components
-from loomset.llm.simhash import SEED, one_of_each
+from loomset.llm.simhash import SEED, fingerprint_links, fingerprints, one_of_each
 
 WIDTH = 5
 MIN_SIMILARITY = 0.8
@@ -74,8 +74,8 @@ def band_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, row_key, fp, chars, bands) by row; fp: the key of the text's words."""
+def _prints(docs: DataFrame, doc_id: str, text: str, simhash: bool = False) -> DataFrame:
+    """(doc_id, row_key, fp, chars, bands) by row; fp: the key of the text's words. With simhash, also its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +84,11 @@ def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 bands = pa.array(band_keys(h, offsets).view(np.int64).reshape(-1))
                 at = np.concatenate(([0], np.cumsum(np.diff(offsets) > 0))) * BANDS
                 chars = pc.binary_length(part.column(2)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), chars, pa.ListArray.from_arrays(pa.array(at, pa.int32()), bands)], names=["doc_id", "row_key", "fp", "chars", "bands"])
+                more = {"simhash": pa.array(fingerprints(part.column(2)).view(np.int64))} if simhash else {}
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), chars, pa.ListArray.from_arrays(pa.array(at, pa.int32()), bands), *more.values()], names=["doc_id", "row_key", "fp", "chars", "bands", *more])
 
     named = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), text_of(text).alias("t"))
-    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, row_key bigint, fp bigint, chars bigint, bands array<bigint>")
+    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, row_key bigint, fp bigint, chars bigint, bands array<bigint>{', simhash bigint' if simhash else ''}")
 
 
 def similar_pairs(first: list[np.ndarray], second: list[np.ndarray], least: float = MIN_SIMILARITY) -> list[tuple[int, int]]:
@@ -193,7 +194,19 @@ def may_link(docs: DataFrame, members: DataFrame, doc_id: str, text: str, broadc
     return written(met.select("fp").distinct(), "near-text-may")
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def _simhash_links(own: DataFrame) -> DataFrame:
+    """(u, v): every fp of (fp, simhash) with the least of its SimHash class, see simhash.near_duplicates()."""
+    prints = own.groupBy(F.col("simhash").alias("node")).agg(F.min("fp").alias("least")).checkpoint()
+    label = connected_components(fingerprint_links(prints.select(F.col("node").alias("fp"))))
+    named = written(prints.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-text-simhash")
+    # texts go by their SimHash first and then SimHashes by their class, so that no join meets all texts of a class
+    classes = named.groupBy("label").agg(F.min("least").alias("first"))
+    inner = split_join(written(own.select("fp", F.col("simhash").alias("node")), "near-text-own"), named.select("node", "least"), "node").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    outer = split_join(named.select("label", "least"), classes, "label").select(F.col("least").alias("u"), F.col("first").alias("v"))
+    return written(inner.union(outer).where("u <> v"), "near-text-simhash-links")
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, simhash: bool = False) -> DataFrame:
     """(doc_id, row_key, fp, label): one row for each row of docs; label: the least fp of its class.
 
     Texts of the same words are one vertex; vertices link if their sets of WIDTH-word shingles have a Jaccard similarity
@@ -201,10 +214,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", br
     every key it has. Where a key's members are then in several classes, those outside its largest class are strays; of
     the members of such keys, may_link() leaves those that may be similar to one of another class, and of these each
     stray is compared with all members of its keys, so no pair of candidates is left out but those that are in one class
-    already. All comparisons go by blocks of about CHUNK texts and CHUNK_CHARS characters, however many texts have a key. Texts without a word are one class.
+    already. With simhash, texts within three bits of each other's SimHash are linked too, whatever their shingles: the
+    classes of simhash.near_duplicates() are then parts of these. All comparisons go by blocks of about CHUNK texts and CHUNK_CHARS characters, however many texts have a key. Texts without a word are one class.
     """
     scratch_root(docs.sparkSession)
-    rows = written(_prints(docs, doc_id, text), "near-text")
+    rows = written(_prints(docs, doc_id, text, simhash), "near-text")
     own = rows.groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("chars").alias("chars"), F.first("bands").alias("bands"))
     keyed = written(own.select("fp", "row_key", "chars", F.explode("bands").alias("key")), "near-text-bands")
     shared = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.min_by("row_key", "fp").alias("least_row")).where("least < most").select("key", "least", "least_row").checkpoint()
@@ -213,6 +227,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", br
     star = members.where("fp <> least").groupBy("fp", F.col("least").alias("one")).agg(*(F.first(c).alias(n) for c, n in (("row_key", "row_key"), ("least_row", "one_row"), ("chars", "chars"))))
     sides = _blocks(star, broadcast_rows)
     links = written(_compared(docs, sides, doc_id, text, broadcast_rows), "near-text-links")
+    if simhash:
+        links = links.union(_simhash_links(rows.groupBy("fp").agg(F.first("simhash").alias("simhash"))))
 
     label = connected_components(links)
     label = label.where("node <> label").checkpoint()
@@ -238,6 +254,6 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", br
     return rows.select("doc_id", "row_key", "fp").join(broadcast_or_shuffle(label, broadcast_rows), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def drop_near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def drop_near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, simhash: bool = False) -> DataFrame:
     """One row of each class of near_classes(), as simhash.drop_near_duplicates() chooses it. Columns are those of docs."""
-    return one_of_each(docs, written(near_classes(docs, doc_id, text, broadcast_rows), "near-text-classes"), doc_id, text, broadcast_rows)
+    return one_of_each(docs, written(near_classes(docs, doc_id, text, broadcast_rows, simhash), "near-text-classes"), doc_id, text, broadcast_rows)

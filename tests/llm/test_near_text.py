@@ -135,3 +135,19 @@ def test_shingles_do_not_cross_texts():
     assert np.diff(offsets).tolist() == [2, 0, 1, 1, 1, 0, 1] and keys[1] == keys[5] == 0 and len(set(keys)) == 6
     alone = [near_text.shingles(pa.array([t], pa.string()))[0].tolist() for t in texts]
     assert h.tolist() == sum(alone, []) and alone[0] == alone[6] + alone[3]
+
+
+def test_stage_links_what_simhash_links(spark):
+    rng = np.random.default_rng(33)
+    texts = [words(rng, 300) for _ in range(6)]
+    # many changed words in a long repeated text: few bits differ, and few shingle sets are alike
+    long = " ".join(f"w{i % 40}" for i in range(4_000))
+    texts += [long, long + " " + " ".join(f"u{i}" for i in range(60))]
+    bits = (brute_print(texts[6]) ^ brute_print(texts[7])).bit_count()
+    sets = brute_sets(texts)
+    assert bits <= 3 and len(sets[6] & sets[7]) / len(sets[6] | sets[7]) < 0.8
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    # a copy of the second by shingles goes with the first, which is like it by SimHash only
+    docs = docs.union(frame(spark, [(8, texts[7] + " end", "s")]))
+    assert sorted(r["doc_id"] for r in near_text.drop_near_texts(docs).collect()) == list(range(8))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(7))

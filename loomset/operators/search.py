@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions.text import fold_text
 from loomset.operators.recommend import popularity_filter
+from loomset.operators.scratch import materialized
 
 #: Characters of a gram, grams looked up for each term, and candidates up to which they are broadcast.
 GRAM, PER_TERM, BROADCAST_CANDIDATES = 3, 2, 1_000_000
+#: Characters whose grams are taken at once; a longer text stands alone.
+_CHARS = 500_000
 
 
 def search(df: DataFrame, query: str, hay: str = "hay", limit: int = 20, min_pop: int = 0, max_pop: int | None = None, key: str = "ix") -> DataFrame:
@@ -32,6 +38,42 @@ def grams(hay: Column) -> Column:
     return F.array_distinct(F.get(bound, F.lit(0)))
 
 
+def _text_grams(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """(text, gram): the different grams of each text, as grams() has them."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    n = max(0, len(chars) - GRAM + 1)
+    code = np.zeros(n, np.int64)
+    for i in range(GRAM):
+        code = code << 21 | chars[i : i + n]
+    text = np.repeat(np.arange(len(texts)), sizes)[:n]
+    inside = np.arange(n) + GRAM <= np.cumsum(sizes)[text] if n else np.zeros(0, bool)
+    codes, which = np.unique(code[inside], return_inverse=True)
+    own = np.unique(text[inside] * max(1, len(codes)) + which)
+    names = pa.array(["".join(chr(c >> 21 * i & 0x1FFFFF) for i in reversed(range(GRAM))) for c in codes.tolist()], pa.string())
+    return own // max(1, len(codes)), names.take(pa.array(own % max(1, len(codes))))
+
+
+def _held_grams(df: DataFrame, hay: str, key: str) -> DataFrame:
+    """(gram, key): the different grams of each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, a = [t or "" for t in batch.column(1).to_pylist()], 0
+            while a < len(texts):
+                b, total = a + 1, len(texts[a])
+                while b < len(texts) and total + len(texts[b]) <= _CHARS:
+                    total, b = total + len(texts[b]), b + 1
+                row, gram = _text_grams(texts[a:b])
+                keys = batch.column(0).take(pa.array(row + a))
+                for i in range(0, len(row), 100_000):
+                    yield pa.RecordBatch.from_arrays([gram.slice(i, 100_000), keys.slice(i, 100_000)], names=["gram", "key"])
+                a = b
+
+    named = df.select(F.col(key).alias("key"), F.col(hay).alias("hay"))
+    return named.mapInArrow(run, f"gram string, key {named.schema['key'].dataType.simpleString()}")
+
+
 def write_gram_index(df: DataFrame, path: str, hay: str = "hay", key: str = "ix") -> None:
     """Write which rows hold which gram below path: (gram, key) in ranges of both, and (gram, n).
 
@@ -39,7 +81,8 @@ def write_gram_index(df: DataFrame, path: str, hay: str = "hay", key: str = "ix"
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = df.select(F.explode(grams(F.col(hay))).alias("gram"), F.col(key).alias("key"))
+    # ranges are found from a first pass over the grams, so they are written before
+    held = materialized(_held_grams(df, hay, key), "grams")
     held.repartitionByRange(n, "gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{path}/rows")
     spark.read.parquet(f"{path}/rows").groupBy("gram").agg(F.count("*").alias("n")).sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 

@@ -499,3 +499,12 @@ def test_copies_are_counted_by_any_path(spark, monkeypatch, few):
         s = sum(v[q, d] * v[:, d] for d in range(64))
         s[q] = -np.inf
         assert [r["ix"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["place"])] == np.lexsort((np.arange(900), -s))[:30].tolist()
+
+
+def test_grams_of_many_texts_are_those_of_each(spark, monkeypatch):
+    monkeypatch.setattr(search, "_CHARS", 12)
+    texts = ["", "ab", "abcabc", "\U0001f600\U0001f600xy", "x" * 50, None, "été été", "abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ix bigint, hay string").repartition(1)
+    held = search._held_grams(df, "hay", "ix").collect()
+    want = {(t[i : i + 3], k) for k, t in enumerate(texts) for i in range(len(t or "") - 2)}
+    assert {(r["gram"], r["key"]) for r in held} == want and len(held) == len(want)

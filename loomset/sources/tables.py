@@ -24,11 +24,13 @@ def sample_tables(spark: SparkSession, folder: str) -> Tables:
     """Parts as tracks of the release of their brand and type, suppliers as creators, customers as collections."""
     part = table(spark, folder, "part", "p_partkey", "p_name", "p_size", "p_brand", "p_type")
     release_id = F.concat("p_brand", F.lit("|"), "p_type")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = table(spark, folder, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, folder, "orders", "o_orderkey", "o_custkey")
     return Tables(
         part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size").cast("long") * 60000).alias("duration"), release_id.alias("release_id")),
-        lines.select(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("creator_id")).distinct(),
+        # dealt by number, so that Spark does not merge the parts: what a task holds follows the session's partitions
+        lines.select(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("creator_id")).repartition(n, "track_id", "creator_id").distinct(),
         table(spark, folder, "supplier", "s_suppkey", "s_name").toDF("id", "name"),
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("track_id"), F.col("o_custkey").alias("collection_id")),
         table(spark, folder, "customer", "c_custkey", "c_name").toDF("id", "name"),

@@ -508,3 +508,10 @@ def test_grams_of_many_texts_are_those_of_each(spark, monkeypatch):
     held = search._held_grams(df, "hay", "ix").collect()
     want = {(t[i : i + 3], k) for k, t in enumerate(texts) for i in range(len(t or "") - 2)}
     assert {(r["gram"], r["key"]) for r in held} == want and len(held) == len(want)
+
+
+def test_links_to_creators_keep_the_sessions_partitions(spark):
+    from loomset.sources.tables import sample_tables
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sample_tables(spark, "/root/testdata/sf0.001").track_creator.rdd.getNumPartitions() == n > 1

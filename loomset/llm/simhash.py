@@ -135,7 +135,8 @@ def fingerprint_links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> Da
     left = fuzzy_keys(prints, False).select(F.col("fp").alias("u"), "key")
     right = fuzzy_keys(prints, True).select(F.col("fp").alias("v"), "key")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance
-    return left.join(right, "key").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    # Spark takes the keys for no more rows than the fingerprints and would send all of them through the driver
+    return left.join(right.hint("merge"), "key").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, width: int, max_distance: int) -> DataFrame:

@@ -592,6 +592,12 @@ def test_links_within_three_bits_are_all_found(spark):
 # 10
 
 
+def test_links_send_no_keys_through_the_driver(spark):
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.fingerprint_links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_permutation_is_one_to_one():
     for n in (1, 2, 3, 17, 64, 1000, 4097):
         x = mixing.permuted(np.arange(n), n, -77)

@@ -32,7 +32,8 @@ def sample_tables(spark: SparkSession, folder: str) -> Tables:
         # dealt by number, so that Spark does not merge the parts: what a task holds follows the session's partitions
         lines.select(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("creator_id")).repartition(n, "track_id", "creator_id").distinct(),
         table(spark, folder, "supplier", "s_suppkey", "s_name").toDF("id", "name"),
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("track_id"), F.col("o_custkey").alias("collection_id")),
+        # both sides as well: merged parts would give one task millions of lines to sort
+        lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("track_id"), F.col("o_custkey").alias("collection_id")),
         table(spark, folder, "customer", "c_custkey", "c_name").toDF("id", "name"),
         part.select(release_id.alias("id"), F.col("p_type").alias("name")).distinct(),
     )

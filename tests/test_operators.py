@@ -515,3 +515,12 @@ def test_links_to_creators_keep_the_sessions_partitions(spark):
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sample_tables(spark, "/root/testdata/sf0.001").track_creator.rdd.getNumPartitions() == n > 1
+
+
+def test_links_of_collections_are_dealt_to_the_sessions_partitions(spark):
+    from loomset.plans.queries import _vec_pairs
+    from loomset.sources.tables import sample_tables
+
+    n, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), "/root/testdata/sf0.001"
+    assert sample_tables(spark, folder).track_collection.rdd.getNumPartitions() == n > 1
+    assert _vec_pairs(spark, folder).rdd.getNumPartitions() == n

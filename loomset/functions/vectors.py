@@ -27,8 +27,8 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column, epsilon: float = EPSILON) -> Column:
     """v over its length plus epsilon."""
-    length = norm(v) + epsilon
-    return F.transform(v, lambda x: x / length)
+    # the length stands outside the function of an element, so that it is taken once a vector
+    return F.zip_with(v, F.array_repeat(norm(v) + epsilon, F.size(v)), lambda x, length: x / length)
 
 
 def combined(terms: list[tuple[str, Column]]) -> Column:

@@ -524,3 +524,36 @@ def test_links_of_collections_are_dealt_to_the_sessions_partitions(spark):
     n, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), "/root/testdata/sf0.001"
     assert sample_tables(spark, folder).track_collection.rdd.getNumPartitions() == n > 1
     assert _vec_pairs(spark, folder).rdd.getNumPartitions() == n
+
+
+def test_lengths_are_taken_once_a_vector(spark):
+    import time
+
+    from loomset.functions.vectors import normalized
+
+    wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: x.cast("double")).alias("v"))
+    began = time.time()
+    total = wide.select(F.aggregate(normalized(F.col("v")), F.lit(0.0), lambda s, x: s + x)).first()[0]
+    assert time.time() - began < 10  # one length an element took over 30 s
+    x = np.arange(1, 20_001, dtype=float)
+    assert total == pytest.approx((x / (np.sqrt((x * x).sum()) + 1e-9)).sum())
+    odd = spark.createDataFrame([(1, []), (2, None), (3, [1.0, None]), (4, [0.0, 0.0])], "i int, v array<double>").orderBy("i")
+    assert [r[0] for r in odd.select(normalized(F.col("v"))).collect()] == [[], None, [None, None], [0.0, 0.0]]
+
+
+def test_evaluation_writes_few_files(spark, monkeypatch):
+    from loomset.plans import queries
+
+    written, write = [], queries.materialized
+    monkeypatch.setattr(queries, "materialized", lambda df, name: written.append((name, out := write(df, name))) or out)
+    monkeypatch.setattr(queries, "PART_VECTORS", 50)
+    folder = "/root/testdata/sf0.001"
+    tests, items, freq, n = queries._evaluation(spark, folder, k=0)
+    # probes once, and vectors dealt though their table is one file; never all pairs, a file a partition
+    assert [name for name, _ in written] == ["probes", "vectors"]
+    assert 1 < len(items.inputFiles()) <= -(-n // 50) and items.count() == n
+    assert all("loomset-probes" in f for f in tests.inputFiles())
+    pairs = queries._vec_pairs(spark, folder)
+    assert freq.agg(F.sum("freq")).first()[0] == pairs.where("collection_ix % 10 <> 0").count()
+    held = pairs.where("collection_ix % 10 = 0").groupBy("collection_ix").count().where("count > 1")
+    assert tests.count() == held.count() and tests.select(F.sum(F.size("targets") + 1)).first()[0] == held.agg(F.sum("count")).first()[0]

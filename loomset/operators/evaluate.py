@@ -74,8 +74,10 @@ def recall(found: DataFrame) -> DataFrame:
 
 def recall_by_stratum(found: DataFrame, freq: DataFrame, by: str, item: str = "item") -> DataFrame:
     """(stratum, hits, targets, recall) by the popularity of the seed or the target."""
-    joined = found.join(freq.select(F.col(item).alias(by), "freq"), by, "left").withColumn("stratum", stratum(F.coalesce("freq", F.lit(0))))
-    return joined.groupBy("stratum").agg(F.sum("hit").alias("hits"), F.count("*").alias("targets"), (F.sum("hit") / F.count("*")).alias("recall"))
+    # counted by item before the join, so that a frequent item's rows never meet in one task
+    counted = found.groupBy(by).agg(F.sum("hit").alias("hits"), F.count("*").alias("targets"))
+    joined = counted.join(freq.select(F.col(item).alias(by), "freq"), by, "left").withColumn("stratum", stratum(F.coalesce("freq", F.lit(0))))
+    return joined.groupBy("stratum").agg(F.sum("hits").alias("hits"), F.sum("targets").alias("targets"), (F.sum("hits") / F.sum("targets")).alias("recall"))
 
 
 def most_popular(freq: DataFrame, k: int, item: str = "item") -> DataFrame:

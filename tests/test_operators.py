@@ -557,3 +557,13 @@ def test_evaluation_writes_few_files(spark, monkeypatch):
     assert freq.agg(F.sum("freq")).first()[0] == pairs.where("collection_ix % 10 <> 0").count()
     held = pairs.where("collection_ix % 10 = 0").groupBy("collection_ix").count().where("count > 1")
     assert tests.count() == held.count() and tests.select(F.sum(F.size("targets") + 1)).first()[0] == held.agg(F.sum("count")).first()[0]
+
+
+@pytest.mark.parametrize("by", ["seed", "target"])
+def test_strata_count_by_item_before_the_join(spark, by):
+    found = spark.range(3_000).select(F.when(F.col("id") < 2_000, F.lit(1)).when(F.col("id") < 2_900, F.lit(2)).otherwise(F.lit(None)).cast("long").alias(by), (F.col("id") % 2).cast("int").alias("hit"))
+    freq = spark.createDataFrame([(1, 1_000), (2, 10), (3, 5)], "item bigint, freq bigint")
+    out = evaluate.recall_by_stratum(found, freq, by)
+    assert {tuple(r) for r in out.collect()} == {("e. >=1000", 1_000, 2_000, 0.5), ("b. 10-49", 450, 900, 0.5), ("a. <10", 50, 100, 0.5)}
+    below = out._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftOuter")[2].splitlines()[1]
+    assert below.lstrip(" :+-").startswith("Aggregate")

@@ -145,12 +145,12 @@ def split_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
     them is broadcast. Only the rows of other keys are shuffled. Rows of a null key meet nothing and are not shuffled.
     rows are read several times: they should be a written table.
     """
-    many = max(least_hot, rows.count() // most_hot)
-    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > many).select(key).checkpoint()
     known = rows.where(F.col(key).isNotNull())
+    hot = known.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > least_hot).checkpoint()
     if hot.isEmpty():
         out = known.join(keyed, key, how)
     else:
+        hot = hot.where(F.col("__n") > rows.count() // most_hot).select(key)
         small = keyed.join(F.broadcast(hot), key, "left_semi")
         warm = known.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(small), key, how)
         out = known.join(F.broadcast(hot), key, "left_anti").join(keyed, key, how).unionByName(warm)

@@ -195,15 +195,15 @@ def may_link(docs: DataFrame, members: DataFrame, doc_id: str, text: str, broadc
 
 
 def _simhash_links(own: DataFrame) -> DataFrame:
-    """(u, v): every fp of (fp, simhash) with the least of its SimHash class, see simhash.near_duplicates()."""
-    prints = own.groupBy(F.col("simhash").alias("node")).agg(F.min("fp").alias("least")).checkpoint()
-    label = connected_components(fingerprint_links(prints.select(F.col("node").alias("fp"))))
-    named = written(prints.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-text-simhash")
-    # texts go by their SimHash first and then SimHashes by their class, so that no join meets all texts of a class
-    classes = named.groupBy("label").agg(F.min("least").alias("first"))
-    inner = split_join(written(own.select("fp", F.col("simhash").alias("node")), "near-text-own"), named.select("node", "least"), "node").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    outer = split_join(named.select("label", "least"), classes, "label").select(F.col("least").alias("u"), F.col("first").alias("v"))
-    return written(inner.union(outer).where("u <> v"), "near-text-simhash-links")
+    """(u, v): every fp of (fp, simhash) with the least of its SimHash, and the least ones of SimHashes that link, see simhash.fingerprint_links()."""
+    own = written(own.select("fp", F.col("simhash").alias("node")), "near-text-own")
+    prints = own.groupBy("node").agg(F.min("fp").alias("least")).checkpoint()
+    inner = split_join(own, prints, "node").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    # the pairs go to the classes of near_classes() as they are: classes of SimHashes alone would be found a second time there
+    pairs = fingerprint_links(prints.select(F.col("node").alias("fp")))
+    one, two = (prints.select(F.col("node").alias(x), F.col("least").alias(f"{x}_least")) for x in "uv")
+    outer = pairs.join(one, "u").join(two, "v").select("u_least", "v_least")
+    return inner.union(outer).where("u <> v")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, simhash: bool = False) -> DataFrame:
@@ -234,7 +234,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", br
     label = label.where("node <> label").checkpoint()
     named = written(members.select("key", "fp", "row_key", "chars").join(broadcast_or_shuffle(label.select(F.col("node").alias("fp"), "label"), broadcast_rows), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "near-text-named")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1").checkpoint()
     # keys with the same members are looked at once
     same = named.join(broadcast_or_shuffle(split.select("key"), broadcast_rows), "key", "left_semi").groupBy("key").agg(F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("xor"), F.count("*").alias("c")).groupBy("sum", "xor", "c").agg(F.min("key").alias("key"))
     open_ = split.join(same.select("key"), "key").select("key", (-F.col("main.col2")).alias("main")).checkpoint()
@@ -249,7 +249,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", br
         stray = full.where("stray").withColumn("b", _chunk("fp", F.col("strays"), F.col("stray_sum"))).withColumn("a", F.explode(F.sequence(F.lit(0), mine - 1)))
         sides = [x.select(F.xxhash64("key", F.col("a").cast("bigint"), F.col("b").cast("bigint")).alias("block"), F.lit(side).alias("side"), "fp", "row_key") for side, x in ((1, every), (0, stray))]
         more = _compared(docs, written(sides[0].union(sides[1]), "near-text-stray-blocks"), doc_id, text, broadcast_rows)
-        label = connected_components(links.union(more)).where("node <> label").checkpoint()
+        # the classes so far are stars and stand for all links that made them
+        label = connected_components(label.toDF("u", "v").union(more)).where("node <> label").checkpoint()
     label = label.select(F.col("node").alias("fp"), "label")
     return rows.select("doc_id", "row_key", "fp").join(broadcast_or_shuffle(label, broadcast_rows), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 

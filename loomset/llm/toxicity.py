@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomset.llm.common import free_name, scratch_root, slices, text_of, word_lists, written
+from loomset.llm.common import free_name, give_back, scratch_root, slices, text_of, word_lists, written
 
 #: The classifier is fitted on so many labelled rows of each class at most, drawn by a hash of their ids ...
 EXAMPLES_PER_CLASS = 2_000
@@ -263,6 +263,7 @@ def toxicity_scores(docs: DataFrame, index: Index, text: str = "text", keep: boo
     docs come back, and only rows that are not predicted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    give_back()  # what fitting and sending the index took of the driver
     names = [free_name(docs, x) for x in ("toxic_score", "toxic_predicted", "toxic_neighbour", "toxic_cosine")]
     own = docs.columns
 

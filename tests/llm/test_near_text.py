@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import brute_print, frame, words
 
 import corpus_pipeline
-from loomset.llm import near_text
+from loomset.llm import components, near_text
 
 
 def brute_sets(texts):
@@ -151,3 +151,49 @@ def test_stage_links_what_simhash_links(spark):
     docs = docs.union(frame(spark, [(8, texts[7] + " end", "s")]))
     assert sorted(r["doc_id"] for r in near_text.drop_near_texts(docs).collect()) == list(range(8))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(7))
+
+
+def test_stars_take_no_round_of_components(spark, monkeypatch):
+    """The driver holds what a round's plan takes: edges that are stars are told by a look, and no round only proves the last."""
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+
+    def labels(edges):
+        rounds.clear()
+        got = components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+        assert len(got) == len({r["node"] for r in got})
+        return {r["node"]: r["label"] for r in got}, len(rounds) // 2
+
+    # either way round, repeated, with a loop and negative ids
+    assert labels([(1, -4), (-4, 2), (2, -4), (7, 7), (9, 8)]) == ({1: -4, 2: -4, -4: -4, 9: 8, 8: 8}, 0)
+    assert labels([(1, 2), (2, 3), (1, 3)]) == ({1: 1, 2: 1, 3: 1}, 1)
+    assert labels([]) == ({}, 0)
+    rng = np.random.default_rng(41)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 300, (260, 2))] + [(i, i + 1) for i in range(1_000, 1_060)]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for u, v in edges:
+            if u != v:
+                want[u] = want[v] = min(want[u], want[v])
+    assert labels(edges)[0] == want
+
+
+def test_stage_finds_components_of_texts_only(spark, monkeypatch):
+    """SimHashes that link go to the classes of texts as they are, and later links to the stars of the classes so far."""
+    calls, find = [], components.connected_components
+    monkeypatch.setattr(near_text, "connected_components", lambda edges: calls.append(edges.count()) or find(edges))
+    rng = np.random.default_rng(43)
+    common = words(rng, 96)
+    texts = [words(rng, 300) for _ in range(6)] + [f"{common} {words(rng, 24)}" for _ in range(40)]
+    texts += [f"{common} one two three", f"{common} one two three four"]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    prints = [brute_print(t) for t in texts]
+    sets = brute_sets(texts)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= 3:
+                label = [label[j] if x == label[i] else x for x in label]
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.count() == len(set(label)) < len(texts)
+    assert 1 <= len(calls) <= 2
